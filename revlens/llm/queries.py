@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revlens.llm import bpe
+from revlens.llm import bpe, chat, toxicity
 from revlens.llm.common import table
 
 
@@ -24,11 +24,24 @@ def op8_token_counts(spark, sf_dir):
     return bpe.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op9_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_chat_tree(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(spark, chat.formatted(rows.unionByName(own)))
+
+
 def queries():
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_packed_ids": op2_packed_ids,
         "op8_token_counts": op8_token_counts,
+        "op9_toxicity": op9_toxicity,
+        "op10_chat_tree": op10_chat_tree,
     }
 
 
