@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import uuid
-import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 #: Words of the contracts: maximal runs without these six white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,8 +20,6 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = "/tmp/checkpoints/revlens"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
@@ -31,14 +27,8 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and cuts its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, kind: str) -> DataFrame:
-    """As checkpoint(), but columnar: later reads take only the columns that they need."""
+    """Writes df to the shared folder as Parquet and reads it from there: that cuts its lineage, and later reads take only the columns that they need."""
     at = new_path(df.sparkSession, kind)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
@@ -49,67 +39,34 @@ def lower_ascii(c):
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def crc_of_id(doc_id) -> int:
-    return zlib.crc32(str(doc_id).encode())
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Distributed union-find over edges (a long, b long): (node, comp), comp the smallest node reachable.
 
-    Alternates hooking every node onto its smallest neighbour's root with pointer jumping.
-    State is one row per node; hot nodes are handled by partial minima before each shuffle
-    and by joins that AQE can split. Nodes are the ends of edges; null ends are ignored; an
-    empty input gives an empty result.
+    Each round hangs every node on its smallest neighbour, follows these pointers to their roots by doubling, and
+    contracts the edges to roots; rounds and doublings are logarithmic in the usual case. Hot nodes are met by
+    partial minima before a shuffle and by joins whose partitions Spark can split. Nodes are the ends of edges
+    (an edge from a node to itself counts); null ends are ignored; an empty input gives an empty result.
     """
-    spark = edges.sparkSession
-    e = edges.select("a", "b").where("a is not null and b is not null and a <> b")
-    e = checkpoint(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    # a star on the smaller end first: most groups are done after it
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    state = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
-    for _ in range(rounds):
-        # pointer jumping: comp(comp(node))
-        up = state.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        jumped = state.join(up, "comp", "left").select("node", F.least("comp", F.coalesce("up", "comp")).alias("comp"))
-        # links between different classes, named by their classes
-        la = jumped.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
-        lb = jumped.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-        open_ = e.join(la, "a").join(lb, "b").where("ca <> cb").select("ca", "cb").distinct()
-        open_ = checkpoint(open_)
-        jumped = checkpoint(jumped)
-        if open_.isEmpty():
-            changed = jumped.join(state, "node").where(jumped["comp"] != state["comp"]).limit(1)
-            state = jumped
-            if changed.isEmpty():
+    e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and a <= b and b is not null")
+    e = written(e.distinct(), "edges")
+    state = None
+    while True:
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "up")
+        while True:
+            over = up.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
+            up = written(up.join(over, "comp").select("node", F.col("next").alias("comp"), (F.col("next") != F.col("comp")).alias("moved")), "up")
+            moved = up.where("moved").isEmpty()
+            up = up.select("node", "comp")
+            if moved:
                 break
-            continue
-        # the larger class root takes the smallest neighbouring class
-        hook = open_.select(F.greatest("ca", "cb").alias("comp"), F.least("ca", "cb").alias("to")).groupBy("comp").agg(F.min("to").alias("to"))
-        state = checkpoint(jumped.join(hook, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
-    else:
-        raise RuntimeError("components: not settled")
-    return state
-
-
-def local_forest(pairs):
-    """Union-find over an iterable of (a, b) inside one task: edges of a spanning forest, each to its root's smallest node."""
-    up: dict[int, int] = {}
-
-    def root(x):
-        r = x
-        while up.get(r, r) != r:
-            r = up[r]
-        while up.get(x, x) != r:
-            up[x], x = r, up[x]
-        return r
-
-    for a, b in pairs:
-        a, b = root(a), root(b)
-        if a != b:
-            a, b = min(a, b), max(a, b)
-            up[b] = a
-            up.setdefault(a, a)
-    return [(root(x), x) for x in up if root(x) != x]
-
-
-DISK = StorageLevel.MEMORY_AND_DISK
+        if state is None:
+            state = up
+        else:
+            step = up.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
+            state = written(state.join(step, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")), "state")
+        ends = [up.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab"]
+        e = e.join(ends[0], "a").join(ends[1], "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+        e = written(e.distinct(), "edges")
+        if e.isEmpty():
+            return state

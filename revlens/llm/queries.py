@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revlens.llm import bpe, chat, toxicity
+from revlens.llm import bpe, chat, jaccard, toxicity
 from revlens.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_packed_ids(spark, sf_dir):
     return bpe.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op6_ngram_jaccard(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark, sf_dir):
     return bpe.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
@@ -39,6 +43,7 @@ def queries():
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_packed_ids": op2_packed_ids,
+        "op6_ngram_jaccard": op6_ngram_jaccard,
         "op8_token_counts": op8_token_counts,
         "op9_toxicity": op9_toxicity,
         "op10_chat_tree": op10_chat_tree,
