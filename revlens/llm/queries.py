@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revlens.llm import bpe, chat, jaccard, toxicity
+from revlens.llm import bpe, chat, decontam, jaccard, toxicity
 from revlens.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_packed_ids(spark, sf_dir):
     return bpe.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op4_spaced_seeds(spark, sf_dir):
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_ngram_jaccard(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def queries():
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_packed_ids": op2_packed_ids,
+        "op4_spaced_seeds": op4_spaced_seeds,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op8_token_counts": op8_token_counts,
         "op9_toxicity": op9_toxicity,
@@ -51,4 +56,6 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op4_spaced_seeds": decontam.oracle(),
+    }
