@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revlens.llm import bpe, chat, decontam, jaccard, toxicity
+from revlens.llm import bpe, chat, decontam, embed, jaccard, lines, toxicity
 from revlens.llm.common import table
 
 
@@ -24,10 +24,18 @@ def op4_spaced_seeds(spark, sf_dir):
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_itq_near_dup(spark, sf_dir):
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_ngram_jaccard(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_fuzzy_lines(spark, sf_dir):
+    return lines.decisions(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark, sf_dir):
     return bpe.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
@@ -48,7 +56,9 @@ def queries():
         "op1_byte_bpe": op1_byte_bpe,
         "op2_packed_ids": op2_packed_ids,
         "op4_spaced_seeds": op4_spaced_seeds,
+        "op5_itq_near_dup": op5_itq_near_dup,
         "op6_ngram_jaccard": op6_ngram_jaccard,
+        "op7_fuzzy_lines": op7_fuzzy_lines,
         "op8_token_counts": op8_token_counts,
         "op9_toxicity": op9_toxicity,
         "op10_chat_tree": op10_chat_tree,
