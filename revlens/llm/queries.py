@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revlens.llm import bpe, chat, decontam, embed, jaccard, lines, toxicity
+from revlens.llm import bpe, chat, decontam, embed, jaccard, lines, lm, toxicity
 from revlens.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_packed_ids(spark, sf_dir):
     return bpe.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_maxent_lm(spark, sf_dir):
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_spaced_seeds(spark, sf_dir):
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,6 +59,7 @@ def queries():
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_packed_ids": op2_packed_ids,
+        "op3_maxent_lm": op3_maxent_lm,
         "op4_spaced_seeds": op4_spaced_seeds,
         "op5_itq_near_dup": op5_itq_near_dup,
         "op6_ngram_jaccard": op6_ngram_jaccard,
