@@ -218,7 +218,7 @@ def w25_forward_fill(spark, d):
 
 
 def commit_query(name: str, sql: str, *cols):
-    query(name, base(sql))(lambda spark, d: commits.size_measures(A.changes(spark, d)).select("rev", *cols))
+    query(name, base(sql))(lambda spark, d: commits.size_measures(A.changes(spark, d)).select("rev", *(c() if callable(c) else c for c in cols)))
 
 
 commit_query("a1_commit_sums", "SELECT rev, sum(added)::BIGINT AS kamei_la, sum(removed)::BIGINT AS kamei_ld FROM m GROUP BY rev", "kamei_la", "kamei_ld")
@@ -226,7 +226,7 @@ commit_query("a2_ns", "SELECT rev, count(DISTINCT subsystem) AS kamei_ns FROM m
 commit_query("a3_nd", "SELECT rev, count(DISTINCT directory) AS kamei_nd FROM m GROUP BY rev", "kamei_nd")
 commit_query("a4_nf", "SELECT rev, count(*) AS kamei_nf FROM m GROUP BY rev", "kamei_nf")
 commit_query("a5_lt", "SELECT rev, (sum(nloc) + sum(removed) - sum(added))::BIGINT AS kamei_lt FROM m GROUP BY rev", "kamei_lt")
-commit_query("a6_entropy", "SELECT rev, round(coalesce(sum(CASE WHEN n > 0 THEN -(n / a) * log2(n / a) END), 0), 6) + 0.0 AS kamei_entropy FROM (SELECT rev, added + removed AS n, sum(added + removed) OVER (PARTITION BY rev) AS a FROM m) GROUP BY rev", (F.round("kamei_entropy", 6) + 0.0).alias("kamei_entropy"))
+commit_query("a6_entropy", "SELECT rev, round(coalesce(sum(CASE WHEN n > 0 THEN -(n / a) * log2(n / a) END), 0), 6) + 0.0 AS kamei_entropy FROM (SELECT rev, added + removed AS n, sum(added + removed) OVER (PARTITION BY rev) AS a FROM m) GROUP BY rev", lambda: (F.round("kamei_entropy", 6) + 0.0).alias("kamei_entropy"))
 
 
 @query("a7_ndev", base(f"SELECT t.rev, count(DISTINCT h.author) AS kamei_ndev FROM t JOIN {PAST} GROUP BY t.rev"))

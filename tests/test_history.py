@@ -1,0 +1,96 @@
+"""Golden values and properties on hand-written commits."""
+
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from revlens.operators import commits, history, labels
+
+MODS = "rev string, ts timestamp, author string, file string, subsystem string, directory string, mod_idx int, added long, removed long, nloc long, n_mods long, fix boolean"
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    a, b, d = datetime(2018, 1, 1, 12), datetime(2018, 1, 3), datetime(2019, 2, 4)
+    rows = [
+        ("a", a, "u1", "package1/Main.java", "package1", "package1", 1, 5, 0, 4, 2, False),
+        ("a", a, "u1", "package2/Main.java", "package2", "package2", 2, 5, 0, 5, 2, False),
+        ("b", b, "u2", "package1/Main.java", "package1", "package1", 1, 10, 2, 6, 2, False),
+        ("b", b, "u2", "package3/Test.java", "package3", "package3", 2, 6, 0, 6, 2, False),
+        ("d", d, "u1", "package1/Main.java", "package1", "package1", 1, 1, 1, 6, 1, True),
+    ]
+    return spark.createDataFrame(rows, MODS).cache()
+
+
+def by(df, *cols):
+    return {(r["rev"], r["file"]): tuple(r[c] for c in cols) for r in df.collect()}
+
+
+def test_golden_commits(small):
+    got = {r["rev"]: r for r in commits.size_measures(small).collect()}
+    a, b = got["a"], got["b"]
+    assert (a["kamei_ns"], a["kamei_nd"], a["kamei_nf"], a["kamei_la"], a["kamei_ld"], a["kamei_lt"]) == (2, 2, 2, 10, 0, -1)
+    assert a["kamei_entropy"] == pytest.approx(1) and b["kamei_entropy"] == pytest.approx(0.9182958340544896)
+
+
+def test_golden_files(spark, small):
+    t = history.with_file_measures(small)
+    got = by(t, "comm", "adev", "nuc", "age", "cexp", "sexp")
+    assert got["a", "package1/Main.java"] == (1, 1, 0, 0, 1, 1)
+    assert got["b", "package1/Main.java"] == (2, 2, 0, 1, 1, 1)
+    assert got["d", "package1/Main.java"] == (3, 2, 1, 397, 2, 2)
+    c = small.select("rev", "ts", "author").distinct()
+    p = by(history.with_project_measures(small, c), "oexp", "exp")
+    assert p["d", "package1/Main.java"] == (pytest.approx(12 / 30), pytest.approx(1.5))
+    n = by(history.with_neighbours(t), "ncomm", "nadev", "nddev")
+    assert n["a", "package1/Main.java"] == (1, 1, 1) and n["d", "package1/Main.java"] == (0, 0, 0) and n["b", "package3/Test.java"] == (2, 2, 2)
+    o = by(history.with_ownership(small), "own")
+    assert o["a", "package1/Main.java"] == (True,) and o["b", "package1/Main.java"] == (True,) and o["d", "package1/Main.java"] == (False,)
+    s = by(history.with_commit_shares(small, small), "add", "del")
+    assert s["a", "package1/Main.java"] == (0.5, 0.0) and s["b", "package1/Main.java"] == (10 / 16, 1.0)
+    e = {r["rev"]: r["kamei_rexp"] for r in commits.experience(t, c).collect()}
+    assert e == {"a": 2.0, "b": 2.0, "d": 1.5}
+
+
+def fold(rows):
+    """minor and own by walking touches in order."""
+    totals, out = {}, {}
+    from itertools import groupby
+
+    for _, group in groupby(rows, key=lambda r: (r[1], r[0])):
+        group = list(group)
+        for r in group:
+            f = totals.setdefault(r[3], {})
+            f[r[2]] = f.get(r[2], 0) + r[7] + r[8]
+        for r in group:
+            f = totals[r[3]]
+            out[r[0], r[3]] = (sum(v < 0.05 * sum(f.values()) for v in f.values()), max(f, key=f.get) == r[2])
+    return out
+
+
+def test_against_a_fold(spark):
+    import random
+
+    rng = random.Random(3)
+    start = datetime(2020, 1, 1)
+    rows = []
+    for k in range(300):
+        who = f"u{rng.randrange(9)}"
+        for i, f in enumerate(rng.sample(range(6), rng.randrange(1, 4))):
+            rows.append((f"c{k:03d}", start + timedelta(hours=k // 2), who, f"f{f}", "s", "d", i, rng.choice([0, 1, 1, 2, 500]), rng.choice([0, 1]), 1, 1, False))
+    t = spark.createDataFrame(rows, MODS)
+    both = history.with_minor(history.with_ownership(t))
+    assert by(both, "minor", "own") == fold(rows)
+    shares = history.with_commit_shares(t, t).groupBy("rev").agg(F.sum("add").alias("s")).collect()
+    assert all(r["s"] == pytest.approx(1) or r["s"] == 0 for r in shares)
+
+
+def test_labels(spark):
+    deleted = spark.createDataFrame([("f", "A", 3), ("f", "A", 9), ("g", "A", 1)], "fix string, old_path string, line int")
+    blame = spark.createDataFrame([("f", "A", "x", "A0", 1, 4), ("f", "A", "y", "A", 5, 8), ("g", "B", "z", "B", 1, 9)], "fix string, old_path string, inducing string, file string, lo int, hi int")
+    assert [tuple(r) for r in labels.blamed(deleted, blame).collect()] == [("f", "x", "A0")]
+    rows = spark.createDataFrame([("x", "A0"), ("y", "A")], "rev string, file string")
+    lab = spark.createDataFrame([("x", "A0", "b1")], "rev string, file string, bug_id string")
+    m = {r["rev"]: (r["b1"], r["b2"]) for r in labels.bug_matrix(rows, lab, ["b1", "b2"]).collect()}
+    assert m == {"x": (1, 0), "y": (0, 0)}
