@@ -31,7 +31,17 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     """Writes df to the shared folder as Parquet and reads it from there: that cuts its lineage, and later reads take only the columns that they need."""
     at = new_path(df.sparkSession, kind)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
+
+
+def forget(*dfs: DataFrame) -> None:
+    """Deletes what written() wrote for these, once nothing will read it again."""
+    for df in dfs:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lower_ascii(c):
@@ -52,21 +62,28 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "up")
+        up = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp"), F.lit(False).alias("moved")), "up")
         while True:
             over = up.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-            up = written(up.join(over, "comp").select("node", F.col("next").alias("comp"), (F.col("next") != F.col("comp")).alias("moved")), "up")
-            moved = up.where("moved").isEmpty()
-            up = up.select("node", "comp")
-            if moved:
+            jumped = written(up.join(over, "comp").select("node", F.col("next").alias("comp"), (F.col("next") != F.col("comp")).alias("moved")), "up")
+            forget(up)
+            up = jumped
+            if up.where("moved").isEmpty():
                 break
+        ends = [up.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab"]
+        left = e.join(ends[0], "a").join(ends[1], "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+        left = written(left.distinct(), "edges")
+        forget(e)
+        e = left
         if state is None:
             state = up
         else:
             step = up.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-            state = written(state.join(step, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")), "state")
-        ends = [up.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab"]
-        e = e.join(ends[0], "a").join(ends[1], "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
-        e = written(e.distinct(), "edges")
+            joined = written(state.join(step, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp"), F.lit(False).alias("moved")), "state")
+            forget(state, up)
+            state = joined
         if e.isEmpty():
-            return state
+            forget(e)
+            out = state.select("node", "comp")
+            out.written_at = state.written_at
+            return out
