@@ -436,11 +436,15 @@ def o1_union(spark, d):
     return graph.merged_state(s)
 
 
-@query("o2_except", "SELECT p_partkey AS path, 'files' AS side FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A') UNION ALL SELECT DISTINCT l_partkey, 'state' FROM lineitem WHERE l_returnflag = 'A' AND l_partkey NOT IN (SELECT p_partkey FROM part)")
+@query(
+    "o2_except",
+    """WITH f AS (SELECT p_partkey AS path FROM part WHERE p_size < 25), s AS (SELECT DISTINCT l_partkey AS path FROM lineitem WHERE l_returnflag = 'A' AND l_partkey % 2 = 0)
+SELECT path, 'files' AS side FROM f WHERE path NOT IN (SELECT path FROM s) UNION ALL SELECT path, 'state' FROM s WHERE path NOT IN (SELECT path FROM f)""",
+)
 def o2_except(spark, d):
     """Also G9."""
-    files = A.table(spark, d, "part").select(F.col("p_partkey").alias("path"))
-    state = A.table(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.col("l_partkey").alias("path")).distinct()
+    files = A.table(spark, d, "part").where("p_size < 25").select(F.col("p_partkey").alias("path"))
+    state = A.table(spark, d, "lineitem").where("l_returnflag = 'A' and l_partkey % 2 = 0").select(F.col("l_partkey").alias("path")).distinct()
     return graph.state_check(files, state)
 
 
@@ -528,9 +532,10 @@ def f13_date_bound(spark, d):
     return t.where(F.col("ts") <= F.lit("1998-12-31 23:59:59").cast("timestamp")).select(*ID, "comm")
 
 
-@query("f18_issue_keys", "SELECT page_id, unnest(regexp_extract_all(html, 'p-[0-9]+')) AS key FROM pages")
+@query("f18_issue_keys", "SELECT c_custkey, unnest(regexp_extract_all(replace(c_name, '#', '-') || ' and ' || replace(c_name, '#0', '-'), 'Customer-[0-9]+')) AS key FROM customer")
 def f18_issue_keys(spark, d):
-    return A.table(spark, d, "pages").select("page_id", F.explode(C.issue_keys(F.col("html"), "p")).alias("key"))
+    name = F.concat(F.replace(F.col("c_name"), F.lit("#"), F.lit("-")), F.lit(" and "), F.replace(F.col("c_name"), F.lit("#0"), F.lit("-")))
+    return A.table(spark, d, "customer").select("c_custkey", F.explode(C.issue_keys(name, "Customer")).alias("key"))
 
 
 @query("f19_majority", "SELECT user_id AS rev, arg_min(event_type, (-n, event_type)) AS key FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
