@@ -290,9 +290,9 @@ def a15_system_median(spark, d):
     return static.system_metrics(entities(spark, d)).select("rev", "metric", F.round("sum", 4).alias("sum"), F.round("median", 4).alias("median"))
 
 
-@query("a16_five_aggregates", f"WITH {ENTITIES} SELECT rev, metric, round(sum(value), 4) AS sum, round(avg(value), 2) AS avg, round(median(value), 4) AS median, min(value) AS min, max(value) AS max FROM ent GROUP BY ALL")
+@query("a16_five_aggregates", f"WITH {ENTITIES} SELECT rev, metric, round(sum(value), 4) AS sum, round(avg(value), 8) AS avg, round(median(value), 4) AS median, min(value) AS min, max(value) AS max FROM ent GROUP BY ALL")
 def a16_five_aggregates(spark, d):
-    return static.five_aggregates(entities(spark, d)).select("rev", "metric", F.round("sum", 4).alias("sum"), F.round("avg", 2).alias("avg"), F.round("median", 4).alias("median"), "min", "max")
+    return static.five_aggregates(entities(spark, d)).select("rev", "metric", F.round("sum", 4).alias("sum"), F.round("avg", 8).alias("avg"), F.round("median", 4).alias("median"), "min", "max")
 
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
