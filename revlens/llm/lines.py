@@ -1,6 +1,6 @@
 """Fuzzy line deduplication by MinHash (operator 7), in DataFrame functions only.
 
-A line's shingles are the SHINGLE characters from the start of each of its words. Equal lines are one class; classes
+A line's shingles are all its windows of SHINGLE characters. Equal lines are one class; classes
 whose signatures agree in a band are candidates, which exact Jaccard verifies; union-find joins what holds, and of each
 component the first line in order of (doc_id, line number) stays.
 """
@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 from revlens.llm.common import components, forget, written
 
 SHINGLE = 8
+#: Windows that begin in one part of a line.
+PART = 16
 #: A pair of similarity 0.75 meets with probability 1 - (1 - 0.75**ROWS)**BANDS = 0.977, one of 0.85 with 0.9993.
 BANDS, ROWS = 10, 4
 SHARE = 0.75
@@ -33,15 +35,24 @@ def named(lines: DataFrame) -> DataFrame:
 
 
 def shingles(norm) -> F.Column:
-    return F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(\S.{{{SHINGLE - 1}}}))\S+\s*"), F.lit(1))
+    """The distinct hashes of all windows."""
+    windows = F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
+    return F.array_distinct(F.transform(windows, lambda s: F.xxhash64(s)))
+
+
+def windows(lines: DataFrame) -> DataFrame:
+    """(id, id2, h): the hash of every window. Lines are cut into parts first, as a substring is found by counting from the start."""
+    part = F.regexp_extract_all("norm", F.lit(rf"(?s)(?=(.{{{SHINGLE},{PART + SHINGLE - 1}}})).{{1,{PART}}}"), F.lit(1))
+    parts = lines.select("id", "id2", F.explode(part).alias("part"))
+    places = parts.select("id", "id2", "part", F.explode(F.sequence(F.lit(1), F.length("part") - (SHINGLE - 1))).alias("at"))
+    return places.select("id", "id2", F.xxhash64(F.substring("part", F.col("at"), F.lit(SHINGLE))).alias("h"))
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
     """(key, id, id2): one row for each class and band."""
     rng = random.Random(11)
     salt = [rng.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
-    grams = classes.select("id", "id2", F.explode(shingles("norm")).alias("s")).select("id", "id2", F.xxhash64("s").alias("h"))
-    least = grams.groupBy("id", "id2").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(salt)))
+    least = windows(classes).groupBy("id", "id2").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(salt)))
     keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
     return least.select("id", "id2", F.explode(keys).alias("key"))
 
@@ -56,18 +67,23 @@ def candidates(keys: DataFrame) -> DataFrame:
     return pair.select(F.col("o.id").alias("a"), F.col("o.id2").alias("a2"), F.col("id").alias("b"), F.col("id2").alias("b2")).distinct()
 
 
+def jaccard(g, h) -> F.Column:
+    """Of arrays of distinct values. The union is found first, so that each array is computed once."""
+    sides = F.array(F.struct(g.alias("g"), h.alias("h")))
+    return F.transform(sides, lambda x: F.size(F.array_intersect(x["g"], x["h"])) / F.size(F.array_union(x["g"], x["h"])))[0]
+
+
 def similar(pairs: DataFrame, lines: DataFrame, share: float, checked: int) -> DataFrame:
     """The pairs (a, b) whose lines have a Jaccard similarity of at least share, written."""
     ids = written(pairs.select(F.col("a").alias("id"), F.col("a2").alias("id2")).union(pairs.select("b", "b2")).distinct(), "ids")
     side = F.broadcast(ids) if ids.limit(checked + 1).count() <= checked else ids
     texts = lines.where(F.length("norm") >= SHINGLE).join(side, ["id", "id2"], "left_semi").groupBy("id", "id2").agg(F.first("norm").alias("norm"))
-    grams = written(texts.select("id", "id2", F.transform(F.array_distinct(shingles("norm")), lambda s: F.xxhash64(s)).alias("g")), "grams")
-    left = grams.select(F.col("id").alias("a"), F.col("id2").alias("a2"), F.col("g").alias("ga"))
-    right = grams.select(F.col("id").alias("b"), F.col("id2").alias("b2"), F.col("g").alias("gb"))
+    texts = written(texts, "texts")  # not the windows: their hashes take eight times the room
+    left = texts.select(F.col("id").alias("a"), F.col("id2").alias("a2"), F.col("norm").alias("ta"))
+    right = texts.select(F.col("id").alias("b"), F.col("id2").alias("b2"), F.col("norm").alias("tb"))
     both = pairs.join(left, ["a", "a2"]).join(right, ["b", "b2"])
-    common = F.size(F.array_intersect("ga", "gb"))
-    out = written(both.where(common >= share * (F.size("ga") + F.size("gb") - common)).select("a", "b"), "links")
-    forget(ids, grams)
+    out = written(both.where(jaccard(shingles("ta"), shingles("tb")) >= share).select("a", "b"), "links")
+    forget(ids, texts)
     return out
 
 

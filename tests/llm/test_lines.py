@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from revlens.llm import lines as L
 
 SCHEMA = "doc_id long, text string, line string, id long, n_chars long"
@@ -86,3 +88,27 @@ def test_texts(spark):
 def test_none(spark):
     d = spark.createDataFrame([], SCHEMA)
     assert L.decisions(d).collect() == L.deduplicated(d).collect() == []
+
+
+def windows(x):
+    return frozenset(x[k : k + L.SHINGLE] for k in range(len(x) - L.SHINGLE + 1))
+
+
+def test_every_window_counts(spark):
+    lines = ["answer: yes", "answer: no", "chapter one", "chapter twelve", "https://a.example/first", "https://b.example/other", "中文字符没有空格的一行甲乙丙丁戊己庚辛", "中文字符没有空格的另外一句子丑寅卯辰巳午"]
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefgh") for _ in range(400))
+    lines += ["0" + long, "1" + long, "x" * 71 + long]  # unspaced: near copies, and no copy's windows begin a word
+    rows = [(i, x) for i, x in enumerate(lines)]
+    d = spark.createDataFrame([(i, t, "x", 1, 0) for i, t in rows], SCHEMA).repartition(3)
+    gone = {r["doc_id"] for r in L.decisions(d).collect() if r["dropped"]}
+    sets = [windows(x) for x in lines]
+    assert gone == {j for j in range(len(lines)) if any(len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j]) for i in range(j))} == {9, 10}
+
+
+def test_windows_across_parts(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aé漢😀 b") for _ in range(n)) for n in (8, 9, L.PART + 7, L.PART + 8, 2 * L.PART + 7, 301)]
+    d = L.named(spark.createDataFrame([(t,) for t in texts], "norm string"))
+    got = {r["norm"]: (r["n"], r["m"]) for r in L.windows(d).groupBy("id").agg(F.collect_set("h").alias("h")).join(d, "id").select("norm", F.size("h").alias("n"), F.size(F.array_intersect("h", L.shingles(F.col("norm")))).alias("m")).collect()}
+    assert got == {t: (len(windows(t)), len(windows(t))) for t in texts}
