@@ -1,8 +1,8 @@
 """Fuzzy line deduplication by MinHash (operator 7), in DataFrame functions only.
 
 A line's shingles are all its windows of SHINGLE characters. Equal lines are one class; classes
-whose signatures agree in a band are candidates, which exact Jaccard verifies; union-find joins what holds, and of each
-component the first line in order of (doc_id, line number) stays.
+whose signatures agree in a band are candidates, which exact Jaccard verifies: first each with two of its bucket, then all pairs
+of a bucket that are not yet in one component; union-find joins what holds, and of each component the first line in order of (doc_id, line number) stays.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ PART = 16
 #: A pair of similarity 0.75 meets with probability 1 - (1 - 0.75**ROWS)**BANDS = 0.977, one of 0.85 with 0.9993.
 BANDS, ROWS = 10, 4
 SHARE = 0.75
+#: Classes of a bucket that are compared at once with as many others.
+BLOCK = 128
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -57,9 +59,14 @@ def band_keys(classes: DataFrame) -> DataFrame:
     return least.select("id", "id2", F.explode(keys).alias("key"))
 
 
+def shared(keys: DataFrame) -> DataFrame:
+    """The keys of buckets of more than one class."""
+    return keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n")
+
+
 def candidates(keys: DataFrame) -> DataFrame:
     """(a, a2, b, b2) pairs of each bucket: every class with the bucket's first and with the one before it. So a bucket gives
-    at most two pairs for each of its classes, and Spark's window spills where a bucket is large."""
+    at most two pairs for each of its classes, and Spark's window spills where a bucket is large. rest() has the others."""
     w = Window.partitionBy("key").orderBy("id", "id2")
     me = F.struct("id", "id2")
     seen = keys.select("id", "id2", F.lag(me).over(w).alias("before"), F.first(me).over(w).alias("lead")).where("before is not null")
@@ -67,10 +74,48 @@ def candidates(keys: DataFrame) -> DataFrame:
     return pair.select(F.col("o.id").alias("a"), F.col("o.id2").alias("a2"), F.col("id").alias("b"), F.col("id2").alias("b2")).distinct()
 
 
-def jaccard(g, h) -> F.Column:
-    """Of arrays of distinct values. The union is found first, so that each array is computed once."""
-    sides = F.array(F.struct(g.alias("g"), h.alias("h")))
-    return F.transform(sides, lambda x: F.size(F.array_intersect(x["g"], x["h"])) / F.size(F.array_union(x["g"], x["h"])))[0]
+def alike(g, h, share: float) -> F.Column:
+    """Whether two arrays of distinct values have a Jaccard similarity of at least share."""
+    n, m = F.size(g), F.size(h)
+    return (F.least(n, m) >= share * F.greatest(n, m)) & (F.size(F.array_intersect(g, h)) * (1 + share) >= share * (n + m))
+
+
+def once(value, use) -> F.Column:
+    """use(value), where value is computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def rest(keys: DataFrame, comp: DataFrame, lines: DataFrame, share: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between classes of one bucket that are in different components so far, written.
+
+    Buckets that one component fills are done. All pairs across components of the others are compared, in arrays: a bucket is
+    dealt out by pairs of blocks of about block classes (of block * 500 characters, where lines are long), so no pairs leave a task.
+    """
+    w = Window.partitionBy("key")
+    now = keys.join(comp, "id", "left").select("key", "id", "id2", F.coalesce("comp", "id").alias("comp"))
+    now = now.withColumn("low", F.min("comp").over(w)).withColumn("high", F.max("comp").over(w)).where("low < high").drop("low", "high")
+    mixed = written(now, "mixed")
+    ids = mixed.select("id", "id2").distinct()
+    texts = written(lines.where(F.length("norm") >= SHINGLE).join(ids, ["id", "id2"], "left_semi").groupBy("id", "id2").agg(F.first("norm").alias("norm")), "texts")
+    sized = mixed.join(texts, ["id", "id2"])
+    blocks = sized.groupBy("key").agg(F.ceil(F.greatest(F.count("*"), F.sum(F.length("norm")) / 500) / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id", "id2"), F.col("blocks")).cast("int")
+    met = sized.join(blocks, "key").select("key", "blocks", own.alias("own"), "id", "comp", "norm")
+    met = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), F.struct("id", "comp", "own", "norm").alias("x"))
+    cells = met.groupBy("key", "i", "j").agg(F.collect_list("x").alias("xs"))
+    full = F.transform("xs", lambda x: F.struct(x["id"].alias("id"), x["comp"].alias("comp"), x["own"].alias("own"), shingles(x["norm"]).alias("g")))
+
+    def links(xs):
+        def partners(x):
+            # a pair of one block counts in the cell of the block with itself only
+            held = F.filter(xs, lambda y: (x["id"] < y["id"]) & (x["comp"] != y["comp"]) & ((F.col("i") == F.col("j")) | (x["own"] != y["own"])) & alike(x["g"], y["g"], share))
+            return F.transform(held, lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))
+
+        return F.flatten(F.transform(xs, partners))
+
+    out = written(cells.select(F.explode(once(full, links)).alias("l")).select("l.a", "l.b").distinct(), "links")
+    forget(mixed, texts)
+    return out
 
 
 def similar(pairs: DataFrame, lines: DataFrame, share: float, checked: int) -> DataFrame:
@@ -82,7 +127,8 @@ def similar(pairs: DataFrame, lines: DataFrame, share: float, checked: int) -> D
     left = texts.select(F.col("id").alias("a"), F.col("id2").alias("a2"), F.col("norm").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("id2").alias("b2"), F.col("norm").alias("tb"))
     both = pairs.join(left, ["a", "a2"]).join(right, ["b", "b2"])
-    out = written(both.where(jaccard(shingles("ta"), shingles("tb")) >= share).select("a", "b"), "links")
+    sides = F.struct(shingles("ta").alias("g"), shingles("tb").alias("h"))
+    out = written(both.where(once(sides, lambda x: alike(x["g"], x["h"], share))).select("a", "b"), "links")
     forget(ids, texts)
     return out
 
@@ -98,10 +144,15 @@ def decisions(docs: DataFrame, share: float = SHARE, checked: int = 2_000_000) -
     lines = named(lines_of(docs))
     full = lines.where("norm <> ''")
     long = full.where(F.length("norm") >= SHINGLE).groupBy("id", "id2").agg(F.first("norm").alias("norm"))
-    pairs = written(candidates(band_keys(long)), "pairs")
+    keys = written(shared(band_keys(long)), "keys")
+    pairs = written(candidates(keys), "pairs")
     links = similar(pairs, lines, share, checked)
     joined = components(links)
-    forget(pairs, links)
+    more = rest(keys, joined.select(F.col("node").alias("id"), "comp"), lines, share)
+    if not more.isEmpty():
+        forget(joined)
+        joined = components(links.union(more))
+    forget(keys, pairs, links, more)
     comp = joined.select(F.col("node").alias("id"), "comp")
     places = written(full.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "no")).alias("place"), F.count("*").alias("n")), "places")
     tied = places.join(comp, "id", "left").where("n > 1 or comp is not null")

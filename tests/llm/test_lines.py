@@ -112,3 +112,48 @@ def test_windows_across_parts(spark):
     d = L.named(spark.createDataFrame([(t,) for t in texts], "norm string"))
     got = {r["norm"]: (r["n"], r["m"]) for r in L.windows(d).groupBy("id").agg(F.collect_set("h").alias("h")).join(d, "id").select("norm", F.size("h").alias("n"), F.size(F.array_intersect("h", L.shingles(F.col("norm")))).alias("m")).collect()}
     assert got == {t: (len(windows(t)), len(windows(t))) for t in texts}
+
+
+def word(rng):
+    return "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+
+
+def test_families_in_one_bucket(spark):
+    rng = random.Random(5)
+    shared, texts, family = [word(rng) for _ in range(40)], [], []
+    for k in range(60):  # a passage that all share, and words of the family's own; each line has one word of its own
+        base = shared + [word(rng) for _ in range(10)]
+        for _ in range(3):
+            x = list(base)
+            x[rng.randrange(50)] = word(rng)
+            texts.append(" ".join(x))
+            family.append(k)
+    d = L.named(spark.createDataFrame([(t,) for t in texts], "norm string").repartition(3))
+    ids = {r["norm"]: r["id"] for r in d.collect()}
+    own = {ids[t]: k for t, k in zip(texts, family, strict=True)}
+    sets = {t: windows(t) for t in texts}
+    want = {tuple(sorted((ids[a], ids[b]))) for i, a in enumerate(texts) for b in texts[i + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    keys = d.select("id", "id2", F.lit(1).cast("long").alias("key"))  # one bucket of all
+    met = {tuple(sorted((r["a"], r["b"]))) for r in L.candidates(keys).collect()}
+    assert len(want) > 100 and len(want & met) < 0.2 * len(want)
+    none = spark.createDataFrame([], "id long, comp long")
+    for block in (128, 25):
+        got = [tuple(r) for r in L.rest(keys, none, d, 0.8, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    comp = spark.createDataFrame([(i, min(j for j in own if own[j] == k)) for i, k in own.items()], "id long, comp long")
+    assert {tuple(r) for r in L.rest(keys, comp, d, 0.8).collect()} == {(a, b) for a, b in want if own[a] != own[b]}
+
+
+def test_all_pairs_of_the_bands(spark):
+    rng = random.Random(6)
+    shared, rows = [word(rng) for _ in range(40)], []
+    for _ in range(150):
+        base = shared + [word(rng) for _ in range(12)]
+        x = list(base)
+        x[rng.randrange(40)] = word(rng)
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(x))]
+    d = spark.createDataFrame([(i, t, "x", 1, 0) for i, t in rows], SCHEMA).repartition(3)
+    got = {r["doc_id"] for r in L.decisions(d, 0.85).collect() if r["dropped"]}
+    sets = [windows(t) for _, t in rows]
+    dropped = {j for j in range(len(rows)) for i in range(j) if len(sets[i] & sets[j]) >= 0.85 * len(sets[i] | sets[j])}
+    assert got <= dropped and len(got) >= 0.99 * len(dropped) > 100
