@@ -1,7 +1,7 @@
 """Near-duplicate vectors by iterative quantisation (operator 5).
 
-A rotation learnt on a bounded sample makes balanced binary codes; codes are cut into substrings, each with a
-table; two vectors meet where a substring of theirs differs in at most one bit (so every pair whose codes differ in fewer than
+Rotations learnt on a bounded sample make balanced binary codes; codes are cut into substrings, each with a
+table; long substrings, as many rows need them, get further rotations with tables of their own; two vectors meet where a substring of theirs differs in at most one bit (so every pair whose codes differ in fewer than
 twice as many bits as there are tables meets for sure), and are then compared by their original values.
 """
 
@@ -18,6 +18,8 @@ from revlens.llm.common import components, written
 SAMPLE = 20_000
 #: Rows of a bucket that one task compares at once; larger buckets are dealt out by pairs of blocks.
 BUCKET = 4_000
+#: Share of the pairs right at the least cosine that may meet in no table, as far as bits differ independently.
+MISSED = 0.03
 
 
 class Quantiser:
@@ -53,6 +55,13 @@ def cuts(n: int, bits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edge, edge[1:], strict=False) if b > a]
 
 
+def rotations(parts: list[tuple[int, int]], least: float) -> int:
+    """How many rotations it takes until all but MISSED of the pairs of cosine least agree but for one bit in some substring."""
+    p = float(np.arccos(np.clip(least, -1, 1))) / np.pi
+    miss = float(np.prod([1 - (1 - p) ** n - n * p * (1 - p) ** (n - 1) for _, n in parts]))
+    return 1 if miss <= MISSED else int(np.ceil(np.log(MISSED) / np.log(miss)))
+
+
 def unit_rows(flat: np.ndarray, d: int) -> np.ndarray:
     x = flat.reshape(-1, d).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
@@ -75,48 +84,50 @@ def classes_of(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "vec_id long, cid long, vec binary")
 
 
-def meeting_rows(classes: DataFrame, quantiser: dict[int, Quantiser], parts: dict[int, list[tuple[int, int]]]) -> DataFrame:
-    """(bucket, member, cid, w, code, vec): a row in the bucket of each of its substrings, and as a visitor in those of the
+def meeting_rows(classes: DataFrame, quantisers: dict[int, list[Quantiser]], parts: dict[int, list[tuple[int, int]]], kind=np.float64) -> DataFrame:
+    """(bucket, member, cid, w, code, vec), code the codes of all rotations and vec of the given kind: a row in the bucket of each of its substrings, and as a visitor in those of the
     substrings that have one of its ones cleared. So two that differ in one bit meet where the one with a zero is."""
 
     def run(batches):
         for batch in batches:
             cid, w, raw = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            out = [[], [], [], [], [], []]
             size = np.array([len(x) >> 3 for x in raw])
             for d in np.unique(size).tolist():
                 at = np.flatnonzero(size == d)
-                code = quantiser[d].code(unit_rows(np.frombuffer(b"".join([raw[i] for i in at]), np.float64), d))
-                for t, (a, n) in enumerate(parts[d]):
-                    sub = (code >> np.uint64(a)) & np.uint64((1 << n) - 1)
-                    base = np.uint64((d * 64 + t) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+                flat = np.frombuffer(b"".join([raw[i] for i in at]), np.float64)
+                x = unit_rows(flat, d)
+                packed = [v.tobytes() for v in flat.reshape(-1, d).astype(kind)]
+                codes = np.stack([q.code(x) for q in quantisers[d]], 1)
+                coded = [c.tobytes() for c in codes]
+                for t, (r, (a, n)) in enumerate((r, part) for r in range(len(quantisers[d])) for part in parts[d]):
+                    sub = (codes[:, r] >> np.uint64(a)) & np.uint64((1 << n) - 1)
+                    base = np.uint64((d * 4096 + t) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+                    out = [[], [], []]
                     for k in range(-1, n):
-                        on = np.ones(len(at), bool) if k < 0 else (sub >> np.uint64(k)) & np.uint64(1) == 1
-                        key = sub[on] if k < 0 else sub[on] ^ np.uint64(1 << k)
-                        rows = at[on]
+                        rows = np.arange(len(at)) if k < 0 else np.flatnonzero((sub >> np.uint64(k)) & np.uint64(1))
+                        key = sub[rows] if k < 0 else sub[rows] ^ np.uint64(1 << k)
                         out[0].append((base + key).view(np.int64))
                         out[1].append(np.full(len(rows), t * 2 + (k < 0), np.int32))
-                        out[2].append(cid[rows])
-                        out[3].append(w[rows])
-                        out[4].append(code[on].view(np.int64))
-                        out[5] += [raw[i] for i in rows]
-            if size.size:
-                flat = [np.concatenate(x) for x in out[:5]]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, flat), pa.array(out[5], pa.binary())], ["bucket", "member", "cid", "w", "code", "vec"])
+                        out[2].append(rows)
+                    bucket, member, rows = map(np.concatenate, out)
+                    for p in range(0, len(rows), 1 << 14):
+                        some = rows[p : p + (1 << 14)]
+                        cols = [bucket[p : p + (1 << 14)], member[p : p + (1 << 14)], cid[at[some]], w[at[some]]]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([coded[i] for i in some], pa.binary()), pa.array([packed[i] for i in some], pa.binary())], ["bucket", "member", "cid", "w", "code", "vec"])
 
-    return classes.mapInArrow(run, "bucket long, member int, cid long, w long, code long, vec binary")
+    return classes.mapInArrow(run, "bucket long, member int, cid long, w long, code binary, vec binary")
 
 
-def compared(member, cid, w, code, raw, parts, least: float, block=None, rows: int = 512):
+def compared(member, cid, w, code, raw, parts, least: float, block=None, rows: int = 512, kind=np.float64):
     """Of one bucket, or of two blocks of it: (cid, links) of each vector with links that are counted here, and edges that join linked ones.
 
     A pair counts in the first table where it meets. Of two blocks only pairs across count.
     """
-    d = len(raw[0]) >> 3
+    d = len(raw[0]) // np.dtype(kind).itemsize
     t = int(member[0]) >> 1
     is_member = member & 1 == 1
-    x = unit_rows(np.frombuffer(b"".join(raw), np.float64), d)
-    code = code.view(np.uint64)
+    x = unit_rows(np.frombuffer(b"".join(raw), kind), d)
+    code = np.frombuffer(b"".join(code), np.uint64).reshape(len(raw), -1)
     every = np.arange(len(cid))
     if block is None or len(np.unique(block)) == 1:
         sides = [(every, every[is_member], True)]
@@ -138,8 +149,9 @@ def compared(member, cid, w, code, raw, parts, least: float, block=None, rows: i
             a, b = a[keep], b[keep]
             differ = code[a] ^ code[b]
             first = np.ones(len(a), bool)
-            for start, n in parts[d][:t]:
-                first &= np.bitwise_count((differ >> np.uint64(start)) & np.uint64((1 << n) - 1)) > 1
+            for k in range(t):
+                r, (start, n) = k // len(parts[d]), parts[d][k % len(parts[d])]
+                first &= np.bitwise_count((differ[:, r] >> np.uint64(start)) & np.uint64((1 << n) - 1)) > 1
             a, b = a[first], b[first]
             np.add.at(total, a, w[b])
             np.add.at(total, b, w[a])
@@ -175,9 +187,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, sample: int = SAMPLE
     taken: dict[int, list[bytes]] = {}
     for r in classes.orderBy(F.xxhash64("cid")).select("vec").limit(sample).collect():  # at most `sample` vectors
         taken.setdefault(len(r["vec"]) >> 3, []).append(bytes(r["vec"]))
-    quantisers = {d: Quantiser(unit_rows(np.frombuffer(b"".join(taken[d]), np.float64), d) if d in taken else np.eye(d)) for d in sizes}
-    parts = {d: cuts(n, quantisers[d].bits) for d, n in sizes.items()}
-    met = meeting_rows(classes.select("cid", "w", "vec"), quantisers, parts)
+    samples = {d: unit_rows(np.frombuffer(b"".join(taken[d]), np.float64), d) if d in taken else np.eye(d) for d in sizes}
+    parts = {d: cuts(n, min(64, d)) for d, n in sizes.items()}
+    quantisers = {d: [Quantiser(samples[d], seed=7 + r) for r in range(rotations(parts[d], least))] for d in sizes}
+    kind = np.float32 if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64  # of the column: nothing is rounded
+    met = meeting_rows(classes.select("cid", "w", "vec"), quantisers, parts, kind)
     narrow = met.select("bucket").groupBy("bucket").count()
     hot = narrow.where(F.col("count") > bucket).select("bucket", F.ceil(F.col("count") / (bucket // 2)).cast("int").alias("blocks"))
     hot = written(hot, "hot")
@@ -196,7 +210,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, sample: int = SAMPLE
             raw = [x for h in held for x in h[6]]
             if len(raw) < 2 or not (c[0] & 1).any():
                 return None
-            ids, n, a, b = compared(c[0], c[1], c[2], c[3], raw, parts, least, c[5])
+            ids, n, a, b = compared(c[0], c[1], c[2], c[3], raw, parts, least, c[5], kind=kind)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids, a])), pa.array(np.concatenate([n, np.zeros(len(a), np.int64)])), pa.array([None] * len(ids) + b.tolist(), pa.int64())], ["a", "n", "b"]) if len(ids) or len(a) else None
 
         for batch in batches:

@@ -63,3 +63,20 @@ def test_odd_rows(spark):
     got = sorted((tuple(r) for r in embed.near_duplicates(d).collect()), key=str)
     assert got == sorted([(None, 0, None, None), (4, 2, 4, True), (4, 2, 4, True), (9, 2, 4, False), (2, 0, 2, True)], key=str)
     assert embed.near_duplicates(d.limit(0)).collect() == []
+
+
+def test_recall_of_many_rows_near_the_threshold(spark):
+    rng = np.random.default_rng(9)
+    n, d = 4_200, 64  # above 8,192 rows the substrings have 16 bits
+    x = rng.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=(n, d))
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    cos = rng.uniform(0.901, 0.93, size=(n, 1))
+    rows = [(i, v, 0, "", 0) for i, v in enumerate(np.concatenate([x, cos * x + np.sqrt(1 - cos * cos) * y]).tolist())]
+    got = {r["vec_id"]: r for r in embed.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert len(got) == 2 * n and all(r["n_links"] <= 1 for r in got.values())
+    found = [got[n + i]["n_links"] == 1 and got[n + i]["component_id"] == i for i in range(n)]
+    print("recall", np.mean(found))
+    assert np.mean(found) >= 0.95
