@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,15 +28,36 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Within it, the shuffle files of an execution go once it has ended; what it wrote is all that later ones read."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df: DataFrame, kind: str) -> DataFrame:
     """Writes df to the shared folder as Parquet and reads it from there: that cuts its lineage, and later reads take only the columns that they need."""
     at = new_path(df.sparkSession, kind)
-    df.write.parquet(at)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(at)
     out = df.sparkSession.read.schema(df.schema).parquet(at)
     out.written_at = at
     return out
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or a longer one where df has a column of that name already."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def forget(*dfs: DataFrame) -> None:
     """Deletes what written() wrote for these, once nothing will read it again."""
     for df in dfs:

@@ -1,8 +1,9 @@
 """Fuzzy line deduplication by MinHash (operator 7), in DataFrame functions only.
 
-A line's shingles are all its windows of SHINGLE characters. Equal lines are one class; classes
-whose signatures agree in a band are candidates, which exact Jaccard verifies: first each with two of its bucket, then all pairs
-of a bucket that are not yet in one component; union-find joins what holds, and of each component the first line in order of (doc_id, line number) stays.
+A line's shingles are all its windows of SHINGLE characters. Equal lines are one class with a number; classes
+whose signatures agree in a band share a bucket, and pairs of a bucket are verified by exact Jaccard: first each class with two of its bucket,
+then, across the components that these links give, with LEADS of it, and at last all pairs that are left across components.
+Union-find joins what holds, and of each component the first line in order of (doc_id, line number) stays.
 """
 
 from __future__ import annotations
@@ -13,14 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from revlens.llm.common import components, forget, written
+from revlens.llm.common import components, forget, free_name, written
 
 SHINGLE = 8
-#: Windows that begin in one part of a line.
-PART = 16
-#: A pair of similarity 0.75 meets with probability 1 - (1 - 0.75**ROWS)**BANDS = 0.977, one of 0.85 with 0.9993.
-BANDS, ROWS = 10, 4
+#: Bytes of a character, and of a window, in UTF-32, where places are found without counting.
+CHAR, WIDE = 4, 4 * SHINGLE
+#: A pair of similarity 0.75 meets with probability 1 - (1 - 0.75**ROWS)**BANDS = 0.978, one of 0.85 with 0.998.
+BANDS, ROWS = 7, 3
 SHARE = 0.75
+#: Classes of a bucket that all others of it are compared with before all pairs are.
+LEADS = 8
 #: Classes of a bucket that are compared at once with as many others.
 BLOCK = 128
 
@@ -36,42 +39,71 @@ def named(lines: DataFrame) -> DataFrame:
     return lines.withColumn("id", F.xxhash64("norm")).withColumn("id2", F.xxhash64(F.lit(1), "norm"))
 
 
+def classes_of(lines: DataFrame) -> DataFrame:
+    """(cid, id, id2, norm, place, n) of each distinct line but the empty one, written: cid is a number of its own, place its first one, n how often it stands."""
+    by = lines.where("norm <> ''").groupBy("id", "id2").agg(F.first("norm").alias("norm"), F.min(F.struct("doc_id", "no")).alias("place"), F.count("*").alias("n"))
+    return written(by.select(F.monotonically_increasing_id().alias("cid"), "*"), "classes")
+
+
+def once(value, use) -> F.Column:
+    """use(value), where value is computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def places(wide) -> F.Column:
+    """The first byte, from 1, of each window in UTF-32."""
+    return F.sequence(F.lit(1), F.octet_length(wide) - (WIDE - 1), F.lit(CHAR))
+
+
 def shingles(norm) -> F.Column:
-    """The distinct hashes of all windows."""
-    windows = F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
-    return F.array_distinct(F.transform(windows, lambda s: F.xxhash64(s)))
+    """The distinct hashes of all windows of a line of at least SHINGLE characters."""
+    return F.array_distinct(once(F.encode(norm, "UTF-32"), lambda x: F.transform(places(x), lambda at: F.xxhash64(F.substring(x, at, F.lit(WIDE))))))
 
 
-def windows(lines: DataFrame) -> DataFrame:
-    """(id, id2, h): the hash of every window. Lines are cut into parts first, as a substring is found by counting from the start."""
-    part = F.regexp_extract_all("norm", F.lit(rf"(?s)(?=(.{{{SHINGLE},{PART + SHINGLE - 1}}})).{{1,{PART}}}"), F.lit(1))
-    parts = lines.select("id", "id2", F.explode(part).alias("part"))
-    places = parts.select("id", "id2", "part", F.explode(F.sequence(F.lit(1), F.length("part") - (SHINGLE - 1))).alias("at"))
-    return places.select("id", "id2", F.xxhash64(F.substring("part", F.col("at"), F.lit(SHINGLE))).alias("h"))
+def windows(classes: DataFrame) -> DataFrame:
+    """(cid, h): the hash of every window of the lines long enough to have one."""
+    wide = classes.where(F.length("norm") >= SHINGLE).select("cid", F.encode("norm", "UTF-32").alias("wide"))
+    at = wide.select("cid", "wide", F.explode(places("wide")).alias("at"))
+    return at.select("cid", F.xxhash64(F.substring("wide", F.col("at"), F.lit(WIDE))).alias("h"))
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
-    """(key, id, id2): one row for each class and band."""
+    """(key, cid): one row for each class and band."""
     rng = random.Random(11)
     salt = [rng.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
-    least = windows(classes).groupBy("id", "id2").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(salt)))
+    least = windows(classes).groupBy("cid").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(salt)))
     keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
-    return least.select("id", "id2", F.explode(keys).alias("key"))
+    return least.select("cid", F.explode(keys).alias("key"))
 
 
 def shared(keys: DataFrame) -> DataFrame:
-    """The keys of buckets of more than one class."""
-    return keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n")
+    """(key, cid, n) of buckets of more than one class, n their size."""
+    return keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
 
 
 def candidates(keys: DataFrame) -> DataFrame:
-    """(a, a2, b, b2) pairs of each bucket: every class with the bucket's first and with the one before it. So a bucket gives
-    at most two pairs for each of its classes, and Spark's window spills where a bucket is large. rest() has the others."""
-    w = Window.partitionBy("key").orderBy("id", "id2")
-    me = F.struct("id", "id2")
-    seen = keys.select("id", "id2", F.lag(me).over(w).alias("before"), F.first(me).over(w).alias("lead")).where("before is not null")
-    pair = seen.select("id", "id2", F.explode(F.array("before", "lead")).alias("o"))
-    return pair.select(F.col("o.id").alias("a"), F.col("o.id2").alias("a2"), F.col("id").alias("b"), F.col("id2").alias("b2")).distinct()
+    """(a, b) pairs of each bucket: every class with the bucket's first and with the one before it. So a bucket gives
+    at most two pairs for each of its classes, and Spark's window spills where a bucket is large."""
+    w = Window.partitionBy("key").orderBy("cid")
+    seen = keys.select("cid", F.lag("cid").over(w).alias("before"), F.first("cid").over(w).alias("lead")).where("before is not null")
+    return seen.select(F.explode(F.array("before", "lead")).alias("a"), F.col("cid").alias("b")).distinct()
+
+
+def across(keys: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, cid, n, comp) of the buckets that more than one component of (node, comp) shares, written. A class without links is its own component."""
+    w = Window.partitionBy("key")
+    now = keys.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "n", F.coalesce("comp", "cid").alias("comp"))
+    now = now.withColumn("low", F.min("comp").over(w)).withColumn("high", F.max("comp").over(w)).where("low < high")
+    return written(now.drop("low", "high"), "across")
+
+
+def led(mixed: DataFrame) -> DataFrame:
+    """(a, b) pairs across components: every class of a bucket with LEADS of it. A bucket of up to LEADS + 1 classes gives all its pairs."""
+    w = Window.partitionBy("key").orderBy(F.xxhash64("cid"), "cid")
+    own = F.struct("cid", "comp")
+    leads = F.filter(F.array(*(F.nth_value(own, k + 1).over(w) for k in range(LEADS))), lambda x: x.isNotNull())
+    pair = mixed.select("cid", "comp", leads.alias("leads")).select("cid", "comp", F.explode("leads").alias("o")).where("o.comp <> comp")
+    return pair.select(F.least("cid", "o.cid").alias("a"), F.greatest("cid", "o.cid").alias("b")).distinct()
 
 
 def alike(g, h, share: float) -> F.Column:
@@ -80,105 +112,107 @@ def alike(g, h, share: float) -> F.Column:
     return (F.least(n, m) >= share * F.greatest(n, m)) & (F.size(F.array_intersect(g, h)) * (1 + share) >= share * (n + m))
 
 
-def once(value, use) -> F.Column:
-    """use(value), where value is computed once however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
-def rest(keys: DataFrame, comp: DataFrame, lines: DataFrame, share: float, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between classes of one bucket that are in different components so far, written.
+def rest(mixed: DataFrame, classes: DataFrame, share: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between classes of one bucket of (key, cid, comp) that are in different components so far, written.
 
-    Buckets that one component fills are done. All pairs across components of the others are compared, in arrays: a bucket is
-    dealt out by pairs of blocks of about block classes (of block * 500 characters, where lines are long), so no pairs leave a task.
+    All pairs across components are compared, in arrays: a bucket is dealt out by pairs of blocks of about block classes
+    (of block * 500 characters, where lines are long), so no pairs leave a task. A pair of several buckets is compared in that of the least key.
     """
-    w = Window.partitionBy("key")
-    now = keys.join(comp, "id", "left").select("key", "id", "id2", F.coalesce("comp", "id").alias("comp"))
-    now = now.withColumn("low", F.min("comp").over(w)).withColumn("high", F.max("comp").over(w)).where("low < high").drop("low", "high")
-    mixed = written(now, "mixed")
-    ids = mixed.select("id", "id2").distinct()
-    texts = written(lines.where(F.length("norm") >= SHINGLE).join(ids, ["id", "id2"], "left_semi").groupBy("id", "id2").agg(F.first("norm").alias("norm")), "texts")
-    sized = mixed.join(texts, ["id", "id2"])
-    blocks = sized.groupBy("key").agg(F.ceil(F.greatest(F.count("*"), F.sum(F.length("norm")) / 500) / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id", "id2"), F.col("blocks")).cast("int")
-    met = sized.join(blocks, "key").select("key", "blocks", own.alias("own"), "id", "comp", "norm")
-    met = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), F.struct("id", "comp", "own", "norm").alias("x"))
+    own_keys = mixed.groupBy("cid").agg(F.collect_list("key").alias("keys"))  # BANDS at most
+    texts = written(classes.join(own_keys, "cid").select("cid", "norm", "keys"), "texts")
+    sized = mixed.select("key", "cid", "comp").join(texts, "cid")
+    blocks = written(sized.groupBy("key").agg(F.ceil(F.greatest(F.count("*"), F.sum(F.length("norm")) / 500) / block).cast("int").alias("blocks")), "blocks")
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    met = sized.join(blocks, "key").select("key", "blocks", own.alias("own"), "cid", "comp", "norm", "keys")
+    met = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), F.struct("cid", "comp", "own", "norm", "keys").alias("x"))
     cells = met.groupBy("key", "i", "j").agg(F.collect_list("x").alias("xs"))
-    full = F.transform("xs", lambda x: F.struct(x["id"].alias("id"), x["comp"].alias("comp"), x["own"].alias("own"), shingles(x["norm"]).alias("g")))
+    full = F.transform("xs", lambda x: F.struct(x["cid"].alias("cid"), x["comp"].alias("comp"), x["own"].alias("own"), x["keys"].alias("keys"), shingles(x["norm"]).alias("g")))
 
     def links(xs):
         def partners(x):
             # a pair of one block counts in the cell of the block with itself only
-            held = F.filter(xs, lambda y: (x["id"] < y["id"]) & (x["comp"] != y["comp"]) & ((F.col("i") == F.col("j")) | (x["own"] != y["own"])) & alike(x["g"], y["g"], share))
-            return F.transform(held, lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))
+            here = lambda y: (x["cid"] < y["cid"]) & (x["comp"] != y["comp"]) & ((F.col("i") == F.col("j")) | (x["own"] != y["own"]))
+            held = F.filter(xs, lambda y: here(y) & (F.array_min(F.array_intersect(x["keys"], y["keys"])) == F.col("key")) & alike(x["g"], y["g"], share))
+            return F.transform(held, lambda y: F.struct(x["cid"].alias("a"), y["cid"].alias("b")))
 
         return F.flatten(F.transform(xs, partners))
 
-    out = written(cells.select(F.explode(once(full, links)).alias("l")).select("l.a", "l.b").distinct(), "links")
-    forget(mixed, texts)
+    out = written(cells.select(F.explode(once(full, links)).alias("l")).select("l.a", "l.b"), "links")
+    forget(texts, blocks)
     return out
 
 
-def similar(pairs: DataFrame, lines: DataFrame, share: float, checked: int) -> DataFrame:
-    """The pairs (a, b) whose lines have a Jaccard similarity of at least share, written."""
-    ids = written(pairs.select(F.col("a").alias("id"), F.col("a2").alias("id2")).union(pairs.select("b", "b2")).distinct(), "ids")
-    side = F.broadcast(ids) if ids.limit(checked + 1).count() <= checked else ids
-    texts = lines.where(F.length("norm") >= SHINGLE).join(side, ["id", "id2"], "left_semi").groupBy("id", "id2").agg(F.first("norm").alias("norm"))
-    texts = written(texts, "texts")  # not the windows: their hashes take eight times the room
-    left = texts.select(F.col("id").alias("a"), F.col("id2").alias("a2"), F.col("norm").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("id2").alias("b2"), F.col("norm").alias("tb"))
-    both = pairs.join(left, ["a", "a2"]).join(right, ["b", "b2"])
+def similar(pairs: DataFrame, classes: DataFrame, share: float) -> DataFrame:
+    """The pairs (a, b) of classes whose lines have a Jaccard similarity of at least share, written."""
+    pairs = written(pairs, "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    texts = written(classes.join(ids, "cid", "left_semi").select("cid", "norm"), "texts")  # not the windows: their hashes take eight times the room
+    both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("cid").alias("b"), F.col("norm").alias("tb")), "b")
+    n, m = F.length("ta"), F.length("tb")
     sides = F.struct(shingles("ta").alias("g"), shingles("tb").alias("h"))
-    out = written(both.where(once(sides, lambda x: alike(x["g"], x["h"], share))).select("a", "b"), "links")
-    forget(ids, texts)
+    out = written(both.where((n >= SHINGLE) & (m >= SHINGLE)).where(once(sides, lambda x: alike(x["g"], x["h"], share))).select("a", "b"), "links")
+    forget(pairs, texts)
     return out
 
 
-def decisions(docs: DataFrame, share: float = SHARE, checked: int = 2_000_000) -> DataFrame:
+def joined_classes(classes: DataFrame, share: float) -> DataFrame:
+    """(node, comp) of the classes that links join, written."""
+    keys = written(shared(band_keys(classes)), "keys")
+    links = similar(candidates(keys), classes, share)
+    comp = components(links)
+    mixed = across(keys, comp)
+    more = similar(led(mixed), classes, share)
+    if not more.isEmpty():
+        forget(comp)
+        comp = components(links.union(more))
+    left = across(mixed.where(F.col("n") > LEADS + 1).drop("comp"), comp)
+    last = rest(left, classes, share)
+    if not last.isEmpty():
+        forget(comp)
+        comp = components(links.union(more).union(last))
+    forget(keys, links, mixed, more, left, last)
+    return comp
+
+
+def decisions(docs: DataFrame, share: float = SHARE, checked: int = 200_000) -> DataFrame:
     """doc_id, n_lines, n_kept, dropped (line numbers from 0, ascending) of each doc_id.
 
     Blank lines stay and count; an empty or null text is one blank line. Lines of fewer than SHINGLE characters are
     dropped as exact copies only. Rows that share a doc_id count together, and equal lines at the same place of
     them are one. Rows with a null doc_id form one group that comes first. Other columns are ignored. An empty table gives an empty
-    result. Lists of ids are sent to all tasks only if they have at most checked entries; else both sides are shuffled.
+    result. Very long texts are whole; a single line may have up to 2**28 characters. The list of repeated lines (32 bytes each) is sent to all tasks only
+    if it has at most checked entries; else both sides are shuffled.
     """
     lines = named(lines_of(docs))
-    full = lines.where("norm <> ''")
-    long = full.where(F.length("norm") >= SHINGLE).groupBy("id", "id2").agg(F.first("norm").alias("norm"))
-    keys = written(shared(band_keys(long)), "keys")
-    pairs = written(candidates(keys), "pairs")
-    links = similar(pairs, lines, share, checked)
-    joined = components(links)
-    more = rest(keys, joined.select(F.col("node").alias("id"), "comp"), lines, share)
-    if not more.isEmpty():
-        forget(joined)
-        joined = components(links.union(more))
-    forget(keys, pairs, links, more)
-    comp = joined.select(F.col("node").alias("id"), "comp")
-    places = written(full.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "no")).alias("place"), F.count("*").alias("n")), "places")
-    tied = places.join(comp, "id", "left").where("n > 1 or comp is not null")
-    group = F.when(F.col("comp").isNotNull(), F.struct(F.lit(0).alias("kind"), F.col("comp").alias("c"), F.lit(0).cast("long").alias("c2"))).otherwise(F.struct(F.lit(1).alias("kind"), F.col("id").alias("c"), F.col("id2").alias("c2")))
-    tied = written(tied.select("id", "id2", "place", group.alias("g")), "tied")
-    forget(places, joined)
-    first = tied.groupBy("g").agg(F.min("place").alias("keep"))
+    classes = classes_of(lines)
+    comp = joined_classes(classes, share)
+    tied = classes.select("cid", "id", "id2", "place", "n").join(comp.withColumnRenamed("node", "cid"), "cid", "left").where("n > 1 or comp is not null")
+    tied = written(tied.select("id", "id2", "place", F.coalesce("comp", "cid").alias("g")), "tied")
+    first = written(tied.groupBy("g").agg(F.min("place").alias("keep")), "first")
     chosen = written(tied.join(first, "g").select("id", "id2", "keep"), "chosen")
-    forget(tied)
+    forget(classes, comp, tied, first)
     side = F.broadcast(chosen) if chosen.limit(checked + 1).count() <= checked else chosen
     marked = lines.select("doc_id", "no", "id", "id2").join(side, ["id", "id2"], "left")
     # a blank line's hashes are in no class
     gone = F.col("keep").isNotNull() & ~(F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep.no") == F.col("no")))
-    out = marked.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count(F.when(~gone, 1)).alias("n_kept"), F.sort_array(F.collect_set(F.when(gone, F.col("no")))).alias("dropped"))
-    return out
+    return marked.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count(F.when(~gone, 1)).alias("n_kept"), F.sort_array(F.collect_set(F.when(gone, F.col("no")))).alias("dropped"))
+
 
+def deduplicated(docs: DataFrame, share: float = SHARE, checked: int = 200_000) -> DataFrame:
+    """docs with its own columns, texts without the dropped lines. A document all of whose lines go, blank ones aside, goes itself; one that had no line but blank ones stays.
 
-def deduplicated(docs: DataFrame, share: float = SHARE, checked: int = 2_000_000) -> DataFrame:
-    """docs with its own columns, texts without the dropped lines. A document all of whose lines go, blank ones aside, goes itself; one that had no line but blank ones stays."""
+    Null and empty texts stay as they are; rows of one doc_id lose the same line numbers. Column names may be any.
+    """
     names = docs.columns
-    some = written(decisions(docs, share, checked).where(F.size("dropped") > 0).select(F.col("doc_id").alias("of"), "dropped"), "dropped")
+    of, dropped = free_name(docs, "of"), free_name(docs, "dropped")
+    some = written(decisions(docs, share, checked).where(F.size("dropped") > 0).select(F.col("doc_id").alias(of), F.col("dropped").alias(dropped)), "dropped")
     side = F.broadcast(some) if some.limit(checked // 20 + 1).count() <= checked // 20 else some
-    rows = docs.join(side, docs["doc_id"].cast("long").eqNullSafe(F.col("of")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("dropped", i)), "\n")
-    rows = rows.withColumn("text", F.when(F.col("dropped").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept))
-    rows = rows.where(F.col("dropped").isNull() | (F.trim(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"\s+", " ")) != ""))
+    rows = docs.join(side, docs["doc_id"].cast("long").eqNullSafe(F.col(of)), "left")
+    had = F.col(dropped)
+    stays = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), had)
+    kept = F.array_join(once(F.split("text", "\n"), lambda x: F.transform(stays(x), lambda i: F.get(x, i))), "\n")
+    rows = rows.withColumn("text", F.when(had.isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept))
+    rows = rows.where(had.isNull() | (F.trim(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"\s+", " ")) != ""))
     if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(F.col("dropped").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        rows = rows.withColumn("n_chars", F.when(had.isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return rows.select(*names)

@@ -1,5 +1,4 @@
 import random
-import re
 
 from pyspark.sql import functions as F
 
@@ -26,9 +25,6 @@ def docs(seed=1):
 
 
 def brute(rows, share=0.75):
-    def grams(x):
-        return frozenset(x[m.start() : m.start() + L.SHINGLE] for m in re.finditer(r"\S+", x) if m.start() + L.SHINGLE <= len(x))
-
     first, places = {}, {}
     for d, t in sorted(rows, key=lambda r: r[0]):
         for no, line in enumerate((t or "").split("\n")):
@@ -44,7 +40,7 @@ def brute(rows, share=0.75):
             x = up[x]
         return x
 
-    sets = {x: grams(x) for x in texts if len(x) >= L.SHINGLE}
+    sets = {x: windows(x) for x in texts if len(x) >= L.SHINGLE}
     for i, a in enumerate(texts):
         for b in texts[i + 1 :]:
             if a in sets and b in sets:
@@ -106,12 +102,12 @@ def test_every_window_counts(spark):
     assert gone == {j for j in range(len(lines)) if any(len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j]) for i in range(j))} == {9, 10}
 
 
-def test_windows_across_parts(spark):
+def test_windows_of_any_characters(spark):
     rng = random.Random(4)
-    texts = ["".join(rng.choice("aé漢😀 b") for _ in range(n)) for n in (8, 9, L.PART + 7, L.PART + 8, 2 * L.PART + 7, 301)]
-    d = L.named(spark.createDataFrame([(t,) for t in texts], "norm string"))
-    got = {r["norm"]: (r["n"], r["m"]) for r in L.windows(d).groupBy("id").agg(F.collect_set("h").alias("h")).join(d, "id").select("norm", F.size("h").alias("n"), F.size(F.array_intersect("h", L.shingles(F.col("norm")))).alias("m")).collect()}
-    assert got == {t: (len(windows(t)), len(windows(t))) for t in texts}
+    texts = ["".join(rng.choice("aé漢😀 b") for _ in range(n)) for n in (7, 8, 9, 23, 301)]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "cid long, norm string")
+    got = {r["norm"]: (r["n"], r["m"]) for r in L.windows(d).groupBy("cid").agg(F.collect_set("h").alias("h")).join(d, "cid").select("norm", F.size("h").alias("n"), F.size(F.array_intersect("h", L.shingles(F.col("norm")))).alias("m")).collect()}
+    assert got == {t: (len(windows(t)), len(windows(t))) for t in texts if len(t) >= L.SHINGLE}
 
 
 def word(rng):
@@ -128,20 +124,27 @@ def test_families_in_one_bucket(spark):
             x[rng.randrange(50)] = word(rng)
             texts.append(" ".join(x))
             family.append(k)
-    d = L.named(spark.createDataFrame([(t,) for t in texts], "norm string").repartition(3))
-    ids = {r["norm"]: r["id"] for r in d.collect()}
-    own = {ids[t]: k for t, k in zip(texts, family, strict=True)}
-    sets = {t: windows(t) for t in texts}
-    want = {tuple(sorted((ids[a], ids[b]))) for i, a in enumerate(texts) for b in texts[i + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    keys = d.select("id", "id2", F.lit(1).cast("long").alias("key"))  # one bucket of all
+    order = list(range(len(texts)))  # numbers of classes say nothing about families
+    rng.shuffle(order)
+    texts, family = [texts[k] for k in order], [family[k] for k in order]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "cid long, norm string").repartition(3)
+    sets = [windows(t) for t in texts]
+    n = range(len(texts))
+    want = {(a, b) for a in n for b in n if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    keys = d.select("cid", F.lit(1).cast("long").alias("key"), F.lit(len(texts)).cast("long").alias("n"))  # one bucket of all
     met = {tuple(sorted((r["a"], r["b"]))) for r in L.candidates(keys).collect()}
     assert len(want) > 100 and len(want & met) < 0.2 * len(want)
-    none = spark.createDataFrame([], "id long, comp long")
+    alone = keys.withColumn("comp", F.col("cid"))
+    twice = alone.union(alone.withColumn("key", F.lit(2).cast("long")))
     for block in (128, 25):
-        got = [tuple(r) for r in L.rest(keys, none, d, 0.8, block).collect()]
-        assert len(got) == len(set(got)) and set(got) == want
-    comp = spark.createDataFrame([(i, min(j for j in own if own[j] == k)) for i, k in own.items()], "id long, comp long")
-    assert {tuple(r) for r in L.rest(keys, comp, d, 0.8).collect()} == {(a, b) for a, b in want if own[a] != own[b]}
+        for mixed in (alone, twice):
+            got = [tuple(r) for r in L.rest(mixed, d, 0.8, block).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+    comp = spark.createDataFrame([(k, min(j for j in n if family[j] == family[k])) for k in n], "node long, comp long")
+    mixed = L.across(keys, comp)
+    assert {tuple(r) for r in L.rest(mixed, d, 0.8).collect()} == {(a, b) for a, b in want if family[a] != family[b]}
+    led = [tuple(r) for r in L.led(mixed).collect()]
+    assert len(led) == len(set(led)) <= L.LEADS * len(texts) and all(a < b and family[a] != family[b] for a, b in led)
 
 
 def test_all_pairs_of_the_bands(spark):
@@ -157,3 +160,28 @@ def test_all_pairs_of_the_bands(spark):
     sets = [windows(t) for _, t in rows]
     dropped = {j for j in range(len(rows)) for i in range(j) if len(sets[i] & sets[j]) >= 0.85 * len(sets[i] | sets[j])}
     assert got <= dropped and len(got) >= 0.99 * len(dropped) > 100
+
+
+def test_recall_of_pairs(spark):
+    """Pairs at 0.75 to 0.8 that share a boilerplate beginning with all others, against all pairs."""
+    rng = random.Random(7)
+    shared, rows = [word(rng) for _ in range(12)], []
+    while len(rows) < 600:
+        base = shared + [word(rng) for _ in range(24)]
+        x = list(base)
+        for _ in range(rng.randrange(3, 6)):
+            x[rng.randrange(12, 36)] = word(rng)
+        a, b = windows(" ".join(base)), windows(" ".join(x))
+        if 0.75 <= len(a & b) / len(a | b) < 0.8:
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(x))]
+    d = spark.createDataFrame([(i, t, "x", 1, 0) for i, t in rows], SCHEMA).repartition(3)
+    gone = {r["doc_id"] for r in L.decisions(d).collect() if r["dropped"]}
+    assert gone <= set(range(1, 600, 2)) and len(gone) >= 0.95 * 300
+
+
+def test_clashing_names(spark):
+    kept = "kept line of the text"
+    d = spark.createDataFrame([(1, f"{kept}\nother words here", 5, "q"), (2, f"{kept}\nmore of something", 6, "r"), (None, None, 7, "s")], "doc_id long, text string, of long, dropped string")
+    out = L.deduplicated(d)
+    assert out.schema == d.schema
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, f"{kept}\nother words here", 5, "q"), (2, "more of something", 6, "r"), (None, None, 7, "s")], key=str)
