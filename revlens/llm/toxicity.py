@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +22,24 @@ from revlens.llm.pretoken import text_slices, words
 #: What each sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 SEPARATORS = frozenset(".-_*~ '")
-KEEP, SWAP, REPEAT, SKIP, STAY = math.log(0.9), math.log(0.08), math.log(0.05), math.log(0.3), math.log(0.01)
-BEAM = 24
-#: Code points to symbols of the character model: letters up to U+017F; 0 is all else, the word's border.
-SYMBOLS = 160
-_SYMBOL = np.zeros(0x110000, np.int32)
-for _i, _c in enumerate([*range(97, 123), *(c for c in range(0xDF, 0x180) if chr(c).isalpha() and chr(c).islower())]):
-    _SYMBOL[_c] = min(_i + 1, SYMBOLS - 1)
-for _c in [*range(65, 91), *range(0xC0, 0xDF)]:
-    _SYMBOL[_c] = _SYMBOL[ord(chr(_c).lower()[0])]
+KEEP, SWAP, REPEAT, SKIP, STAY, BREAK = math.log(0.9), math.log(0.08), math.log(0.05), math.log(0.3), math.log(0.01), math.log(0.2)
+#: Symbols of the character model: 0 the border of words and all that is no letter, then a to z, the letters of Latin-1, and one for all other letters.
+LATIN = [*range(97, 123), *(c for c in range(0xDF, 0x100) if chr(c).isalpha())]
+SYMBOLS = len(LATIN) + 2
+
+
+@cache
+def symbols() -> np.ndarray:
+    """The symbol of each code point."""
+    from revlens.llm.pretoken import LETTER, classes
+
+    out = np.where(classes() == LETTER, SYMBOLS - 1, 0).astype(np.uint8)
+    for i, c in enumerate(LATIN):
+        out[c] = i + 1
+    for c in [*range(65, 91), *range(0xC0, 0xDF)]:
+        out[c] = out[ord(chr(c).lower())]
+    return out
+
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _PLAIN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -49,35 +58,39 @@ class CharModel:
         p3 = (tri + 3 * p2) / (tri.sum(2, keepdims=True) + 3)
         self.log = np.log(p3).astype(np.float32)
 
-    def decode(self, seen: str, best: int = 4) -> list[str]:
-        """The best true words for a seen one; its own letters are always among the readings."""
-        log, sym = self.log, _SYMBOL
-        states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
-        for k, c in enumerate(seen):
-            nxt: dict[tuple[int, int, str], tuple[float, str]] = {}
+    def decode(self, seen: str, best: int = 4, spaced: bool = False) -> list[str]:
+        """The best true words for a seen one; its own letters are always among the readings. spaced: a blank of the seen may end a word.
+
+        A state is the last two symbols and the last character; each keeps its best way there, as a chain of characters. What may stand
+        at a place is little, so all states are kept, and the time is linear in the length.
+        """
+        log, sym = self.log, symbols()
+        states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
+        for c in seen:
+            nxt: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
+
+            def reach(key, v, way, nxt=nxt):
+                if key not in nxt or nxt[key][0] < v:
+                    nxt[key] = (v, way)
+
             outs = [(c, KEEP)] if sym[ord(c)] else []
             outs += [(x, SWAP) for x in LEET.get(c, "")]
             drop = SKIP if c in SEPARATORS or not (sym[ord(c)] or c in LEET) else None
-            for (a, b, last), (score, text) in states.items():
+            for (a, b, last), (score, way) in states.items():
                 for x, cost in outs:
                     s = int(sym[ord(x)])
-                    v = score + cost + float(log[a, b, s])
-                    key = (b, s, x)
-                    if key not in nxt or nxt[key][0] < v:
-                        nxt[key] = (v, text + x)
+                    reach((b, s, x), score + cost + float(log[a, b, s]), (way, x))
                 if last and (c == last or last in LEET.get(c, "")):  # a repeated one
-                    v, key = score + REPEAT, (a, b, last)
-                    if key not in nxt or nxt[key][0] < v:
-                        nxt[key] = (v, text)
+                    reach((a, b, last), score + REPEAT, way)
+                if spaced and c == " " and b:
+                    reach((0, 0, ""), score + BREAK + float(log[a, b, 0]), (way, " "))
                 if drop is not None:
-                    v, key = score + drop, (a, b, last)
-                    if key not in nxt or nxt[key][0] < v:
-                        nxt[key] = (v, text)
+                    reach((a, b, last), score + drop, way)
                 if not outs and drop is None:
-                    nxt[(a, b, last)] = (score + STAY, text)
-            states = nxt if len(nxt) <= BEAM else dict(sorted(nxt.items(), key=lambda x: -x[1][0])[:BEAM])
-        done = sorted(((v + float(log[a, b, 0]), t) for (a, b, _), (v, t) in states.items() if t), reverse=True)
-        return list(dict.fromkeys(t for _, t in done))[:best]
+                    nxt[(a, b, last)] = (score + STAY, way)
+            states = nxt
+        done = sorted(((v + float(log[a, b, 0]), way) for (a, b, _), (v, way) in states.items() if way), key=lambda x: -x[0])
+        return list(dict.fromkeys(written_out(way) for _, way in done))[:best]
 
     def readings(self, token: str) -> list[str]:
         """A lower-case token's words: itself without its edges' signs and, where it looks disguised, what it decodes to."""
@@ -90,15 +103,25 @@ class CharModel:
         return list(dict.fromkeys([*([bare] if bare else []), *self.decode(token)]))
 
 
+def written_out(way: tuple | None) -> str:
+    out = []
+    while way is not None:
+        way, x = way
+        out.append(x)
+    return "".join(reversed(out)).strip()
+
+
 def char_counts(docs: DataFrame) -> np.ndarray:
     """Trigrams of symbols over all texts: at most SYMBOLS**3 rows come to the driver, however many texts there are."""
 
     def count(batches):
-        total = np.zeros(SYMBOLS**3, np.int64)
+        total, sym = np.zeros(SYMBOLS**3, np.int64), symbols()
         for batch in batches:
             for _, _, data, _ in text_slices(batch.column(0)):
-                s = _SYMBOL[np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)]
-                s = np.concatenate([[0, 0], s, [0]])
+                s = np.zeros(3 + len(data), np.int32)  # of texts side by side: a border between them
+                got = sym[np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)]
+                s = s[: len(got) + 3]
+                s[2:-1] = got
                 # between words the context starts anew
                 a, b, c = s[:-2].copy(), s[1:-1], s[2:]
                 a[b == 0] = 0
@@ -131,9 +154,9 @@ def token_table(data: np.ndarray, firsts: np.ndarray, model: CharModel):
             b = a + 1
             while b < len(on) and on[b] and not edge[b]:
                 b += 1
-            if 4 <= b - a <= 64:
+            if b - a >= 4:
                 letters = " ".join(distinct[i] for i in index[a:b])
-                spaced.append((int(np.searchsorted(cuts, a, "right")) - 1, model.decode(letters)))
+                spaced.append((int(np.searchsorted(cuts, a, "right")) - 1, model.decode(letters, spaced=True)))
     return index, distinct, cuts, spaced
 
 
@@ -170,25 +193,30 @@ class Scorer:
         np.cumsum(w[index] if len(index) else [], out=total[1:])
         out = np.diff(total[cuts])
         for i, reads in spaced:
-            out[i] += max((self.of_word(r) for r in reads), default=0.0)
+            out[i] += max((sum(map(self.of_word, r.split())) for r in reads), default=0.0)
         return np.maximum(out, 0)
 
     def probabilities(self, sums: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.a * np.log1p(sums) + self.b)))
 
 
-def lowered(column: pa.Array) -> pa.Array:
+def lowered_slices(column: pa.Array):
+    """text_slices() of a column in lower case, of which just a slice is made at a time."""
     import pyarrow.compute as pc
 
-    return pc.utf8_lower(column.fill_null("") if column.null_count else column)
+    for i, j, *_ in text_slices(column):
+        part = column.slice(i, j - i)
+        for a, b, data, firsts in text_slices(pc.utf8_lower(part.fill_null("") if part.null_count else part)):
+            yield i + a, i + b, data, firsts
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = 12_000, least: int = 6) -> Scorer:
+def learn(docs: DataFrame, labels: DataFrame, most: int = 12_000, least: int = 6, sure: float = 3.0) -> Scorer:
     """Fits the scorer. The character model counts over all texts. Labels come from at most most labelled rows
     (the bound of the fit: those first by hash of doc_id) whose crc32(doc_id) mod 3 is not 1.
 
     A feature counts where it stands beside at least least different left neighbours in toxic texts, so that
-    copies of one text don't make its words look toxic, and where clean texts hardly have it.
+    copies of one text don't make its words look toxic, and where clean texts hardly have it: the log of how much more often toxic texts
+    have it must be sure at least. All such features are kept; their number is bounded by the labelled rows.
     Rows without a label, and labels without a text, don't count; of several labels of a doc_id the largest holds.
     """
     model = CharModel(char_counts(docs))
@@ -201,7 +229,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 12_000, least: int = 6
     def count(batches):
         for batch in batches:
             toxic = batch.column(1).to_numpy()
-            for i, j, data, firsts in text_slices(lowered(batch.column(0))):
+            for i, j, data, firsts in lowered_slices(batch.column(0)):
                 index, distinct, cuts, spaced = token_table(data, firsts, model)
                 if not len(index):
                     continue
@@ -218,10 +246,10 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 12_000, least: int = 6
                 out = []
                 for k, token in enumerate(distinct):
                     reads = model.readings(token)
-                    out += [(r, int(t[k]), int(c[k]), int(beside[k])) for r in reads if len(r) <= 64]
+                    out += [(r, int(t[k]), int(c[k]), int(beside[k])) for r in reads]
                 for d, reads in spaced:
                     x = int(toxic[i:j][d] > 0)
-                    out += [(r, x, 1 - x, x << (d % 63)) for r in reads if len(r) <= 64]
+                    out += [(r, x, 1 - x, x << (d % 63)) for r in {w for read in reads for w in read.split()}]
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), *(pa.array([o[q] for o in out], pa.int64()) for q in (1, 2, 3))], ["word", "t", "c", "beside"])
 
     by_word = rows.mapInArrow(count, "word string, t long, c long, beside long").where("word <> ''").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.bit_or("beside").alias("beside"))
@@ -230,13 +258,13 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 12_000, least: int = 6
     tally = rows.groupBy("toxic").count().collect()
     n_bad, n_good = (sum(r["count"] for r in tally if (r["toxic"] > 0) == want) for want in (True, False))
     weight = F.log((F.col("t") + 0.5) / (n_bad + 1.0)) - F.log((F.col("c") + 0.5) / (n_good + 1.0))
-    chosen = by.where((F.col("t") >= least) & (F.bit_count("beside") >= least)).select("feature", weight.alias("w")).where(F.col("w") >= 3.0)
-    weights = {r["feature"]: float(r["w"]) for r in chosen.orderBy(F.desc("w"), "feature").limit(20_000).collect()} if n_bad else {}
+    chosen = by.where((F.col("t") >= least) & (F.bit_count("beside") >= least)).select("feature", weight.alias("w")).where(F.col("w") >= sure)
+    weights = {r["feature"]: float(r["w"]) for r in chosen.collect()} if n_bad else {}  # of `most` rows at most
     scorer = Scorer(model, weights)
 
     def summed(batches):
         for batch in batches:
-            for i, j, data, firsts in text_slices(lowered(batch.column(0))):
+            for i, j, data, firsts in lowered_slices(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(scorer.sums(data, firsts)), batch.column(1).slice(i, j - i)], ["s", "toxic"])
 
     fit = rows.mapInArrow(summed, "s double, toxic int").toPandas()  # two numbers for each of at most `most` rows
@@ -267,7 +295,7 @@ def scored(docs: DataFrame, scorer: Scorer, threshold: float = 0.7) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            for i, j, data, firsts in text_slices(lowered(batch.column(2))):
+            for i, j, data, firsts in lowered_slices(batch.column(2)):
                 p = scorer.probabilities(scorer.sums(data, firsts))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -277,19 +305,26 @@ def scored(docs: DataFrame, scorer: Scorer, threshold: float = 0.7) -> DataFrame
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
-    """learn() and scored() in one."""
+    """doc_id, held_out, score, predicted of each row: learn() and scored() in one.
+
+    Null and empty texts score what a text without evidence does; repeated doc_ids stay separate rows; very long texts are scored whole; other
+    columns are ignored; without usable labels all score low; an empty table gives an empty result.
+    """
     return scored(docs, learn(docs, labels, **kw))
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **kw) -> DataFrame:
-    """The rows of docs, all columns, that score below threshold. The texts are scored where they stand: no join, no shuffle of texts."""
+    """The rows of docs, all columns, that score below threshold. The texts are scored where they stand: no join, no shuffle of texts.
+
+    Null and empty texts stay; repeated rows are judged each; columns may have any names; an empty table gives an empty result.
+    """
     scorer = learn(docs, labels, **kw)
     names = docs.columns
     at = names.index("text")
 
     def run(batches):
         for batch in batches:
-            keep = np.concatenate([scorer.probabilities(scorer.sums(data, firsts)) < threshold for _, _, data, firsts in text_slices(lowered(batch.column(at)))] or [np.zeros(0, bool)])
+            keep = np.concatenate([scorer.probabilities(scorer.sums(data, firsts)) < threshold for _, _, data, firsts in lowered_slices(batch.column(at))] or [np.zeros(0, bool)])
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -30,7 +30,7 @@ DOCS, LABELS = "doc_id long, text string, score string, held_out double", "doc_i
 @pytest.fixture(scope="module")
 def learnt(spark):
     docs, labels = make()
-    extra = [(10_000, None, None, None), (10_001, "", None, None), (None, "the on idiot", None, None), (5, docs[5][1], None, None), (10_002, "you 1d10t and m0r0n you stuuupid", None, None), (10_003, "an i d i o t is s.t.u.p.i.d", None, None), (10_004, "the on an 1234 10.20.30.40 ed", None, None), (10_005, "x1" * 20_000, None, None)]
+    extra = [(10_000, None, None, None), (10_001, "", None, None), (None, "the on idiot", None, None), (5, docs[5][1], None, None), (10_002, "you 1d10t and m0r0n you stuuupid", None, None), (10_003, "an i d i o t is s.t.u.p.i.d", None, None), (10_004, "the on an 1234 10.20.30.40 ed", None, None), (10_005, "x1" * 20_000, None, None), (10_006, "an re " + " ".join("theon" * 30 + "stupidmoron"), None, None)]
     d = spark.createDataFrame(docs + extra, DOCS).repartition(3)
     lab = spark.createDataFrame([*labels, (5, 1, None), (None, 1, 1), (77_777, 1, 1)], LABELS)
     return d, lab, tox.learn(d, lab), dict((i, t) for i, _, t in labels)
@@ -44,7 +44,7 @@ def test_held_out_accuracy(learnt):
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.98
     by = {r["doc_id"]: r for r in rows}
     assert by[10_000]["predicted"] == by[10_001]["predicted"] == by[10_004]["predicted"] == by[10_005]["predicted"] == 0
-    assert by[10_002]["predicted"] == by[10_003]["predicted"] == by[None]["predicted"] == 1
+    assert by[10_006]["predicted"] == by[10_002]["predicted"] == by[10_003]["predicted"] == by[None]["predicted"] == 1
     assert sum(r["doc_id"] == 5 for r in rows) == 2
 
 
@@ -61,6 +61,9 @@ def test_disguises(learnt):
     model = learnt[2].model
     for seen, true in (("1d10t", "idiot"), ("m0r0n", "moron"), ("stuuupid", "stupid"), ("p@thet1c", "pathetic"), ("s.t.u.p.i.d", "stupid"), ("w-o-r-t-h-l-e-s-s", "worthless")):
         assert true in model.readings(seen), (seen, model.readings(seen))
+    assert "worthless idiot" in model.decode(" ".join("worthlessidiot"), spaced=True)
+    long = model.decode(" ".join("pathetic" * 300), spaced=True)[0].split()  # no bound on the length
+    assert long.count("pathetic") > 280
     assert model.readings("then,") == ["then"] and model.readings("1234") == ["1234"]
 
 
