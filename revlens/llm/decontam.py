@@ -10,11 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import lower_ascii
+from revlens.llm.common import lower_ascii, written
 
-#: Word positions that each mask looks at. Any WINDOW words of which ENOUGH are equal contain one of these patterns.
+#: Word positions that each mask looks at. Any WINDOW words of which a quarter is substituted contain one of these patterns, as do 10 to 12 words.
 MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 5), (0, 1, 2, 5))
+#: For items of fewer than SHORT words: where three quarters of 4 to 9 words are left, two neighbours are.
+SHORT, SHORT_MASK = 10, (0, 1)
 WINDOW = 13
+#: Places of a text that are worked on at once.
+CHUNK = 4096
 SHARE = 0.75
 
 
@@ -24,64 +28,78 @@ def word_hashes(text) -> F.Column:
     return F.filter(F.transform(words, lambda w: F.xxhash64(w)), lambda h: h != F.xxhash64(F.lit("")))
 
 
-def seeds(hashes: DataFrame, keep: list[str], masks=MASKS) -> DataFrame:
-    """(keep..., at, key) for each place and mask. The position is generated and looked up in one pass, without a copy of the array."""
-    h = hashes.select(*keep, "h", F.explode(F.sequence(F.lit(0), F.size("h") - 1)).alias("at"))
+def chunks(hashes: DataFrame, keep: list[str], reach: range) -> DataFrame:
+    """(keep..., n, base, begin, part): texts (keep..., h) of n words in chunks of CHUNK places from base on; part has their words and those within reach, from word begin on.
+
+    Made by a function that isn't compiled into a stage, chunks are given one at a time: what a stage holds is bounded for texts of any length.
+    """
+    part = lambda h, k: F.struct((k * CHUNK).alias("base"), F.greatest(k * CHUNK + reach[0], F.lit(0)).alias("begin"), F.size(h).alias("n"), F.slice(h, F.greatest(k * CHUNK + reach[0], F.lit(0)) + 1, CHUNK + len(reach)).alias("part"))
+    every = F.transform(F.array("h"), lambda h: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(h) - 1, F.lit(0)) / CHUNK).cast("int")), lambda k: part(h, k)))[0]
+    return hashes.select(*keep, F.explode(every).alias("c")).select(*keep, "c.*")
+
+
+def seeds(parts: DataFrame, keep: list[str], masks) -> DataFrame:
+    """(keep..., begin, part, at, key) for each place and mask (number, positions). The place is generated and looked up in one pass, without a copy of the array."""
+    last = F.greatest(F.least(F.col("base") + CHUNK, "n") - 1, "base")
+    h = parts.select(*keep, "n", "begin", "part", F.explode(F.sequence("base", last)).alias("at"))
     at = F.col("at")
     # a place too near the end for a mask gives a null, which joins nothing
-    keys = [F.when(at + max(m) < F.size("h"), F.xxhash64(F.lit(k), *(F.get("h", at + i) for i in m))) for k, m in enumerate(masks)]
-    return h.select(*keep, "h", "at", F.explode(F.array(*keys)).alias("key"))
+    keys = [F.when(at + max(m) < F.col("n"), F.xxhash64(F.lit(k), *(F.get("part", at - F.col("begin") + i) for i in m))) for k, m in masks]
+    return h.select(*keep, "begin", "part", "at", F.explode(F.array(*keys)).alias("key"))
+
+
+def about(reach: range) -> F.Column:
+    """The words about the place at, null outside. Made by a generator, the array is computed within the stage, and no array of a whole chunk leaves it."""
+    step = F.col("at") - F.col("begin")
+    return F.explode(F.array(F.array(*(F.when(step + k >= 0, F.get("part", step + k)) for k in reach))))
 
 
-def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = SHARE, checked: int = 2_000_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = SHARE, sent: int = 64 << 20) -> DataFrame:
     """(doc_id, item_id, matched, doc_word, places): the items (item_id, text) that documents (doc_id, text) hold, with at most
     a quarter of window words substituted: the most equal words of a window, the first word of the document at
     which one begins, and the number of hits that hold.
 
     Items shorter than window words must hold with share of theirs; those of fewer than four words are not looked for.
     Null and empty texts, and rows without an id, hold nothing. Rows of one doc_id count together, as do items of one
-    item_id. Other columns are ignored; empty tables give an empty result.
+    item_id. Items and documents may be of any length. Other columns are ignored; empty tables give an empty result.
 
-    The seeds of the items are sent to all tasks if there are at most checked of them; else both sides are
-    shuffled by seed and the aligned words follow by item.
+    A seed of an item carries just the words about it, and equal ones of an item count in one row. The seeds are sent to all tasks
+    if they take at most sent bytes; else both sides are shuffled by seed.
     """
     spans = max(max(m) for m in MASKS)
-    known = items.select("item_id", word_hashes(F.col("text")).alias("words")).where("item_id is not null and size(words) >= 4")
-    mine = seeds(known.withColumn("h", F.col("words")), ["item_id", "words"]).select("item_id", "words", F.col("at").alias("p"), "key").where("key is not null")
-    few = mine.limit(checked + 1).count() <= checked
-    theirs = docs.where("doc_id is not null and text is not null").select("doc_id", word_hashes(F.col("text")).alias("h"))
-    at = F.col("at")
     reach = range(spans + 1 - window, window)  # aligned words that can share a window with the hit
-
-    def about(words, place):
-        """The words about a place, null outside."""
-        steps = F.transform(F.sequence(F.lit(reach[0]), F.lit(reach[-1])), lambda k: F.col(place) + k)
-        return F.transform(steps, lambda k: F.when(k >= 0, F.get(words, k)))
-
-    cells = seeds(theirs, ["doc_id"]).where("key is not null")
-    if few:
-        hits = cells.join(F.broadcast(mine), "key")
-        ours, other, size = about("h", "at"), about("words", "p"), F.size("words")
-    else:  # no array of a whole text goes along with a seed, just the words about it
-        near = [F.when(at + k >= 0, F.get("h", at + k)) for k in reach]
-        cells = cells.select("doc_id", "at", "key", F.array(*near).alias("near"))
-        hits = cells.join(mine.select("item_id", "p", "key", about("words", "p").alias("beside"), F.size("words").alias("size")), "key")
-        ours, other, size = F.col("near"), F.col("beside"), F.col("size")
-    same = F.zip_with(ours, other, lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0)))
+    masks = list(enumerate(MASKS))
+    known = items.select("item_id", word_hashes(F.col("text")).alias("h")).where("item_id is not null and size(h) >= 4").withColumn("size", F.size("h"))
+    short = [(len(masks), SHORT_MASK)]
+    some = known.where(F.col("size") >= SHORT), known.where(F.col("size") < SHORT)
+    mine = seeds(chunks(some[0], ["item_id", "size"], reach), ["item_id", "size"], masks)
+    if not some[1].isEmpty():
+        mine = mine.unionByName(seeds(chunks(some[1], ["item_id", "size"], reach), ["item_id", "size"], short))
+        masks = masks + short
+    mine = mine.where("key is not null").select("item_id", "size", "key", about(reach).alias("beside"))
+    mine = mine.groupBy("item_id", "size", "key", "beside").agg(F.count("*").alias("equal"))
+    few = mine.count() * (64 + 8 * len(reach)) <= sent
+    theirs = docs.where("doc_id is not null and text is not null").select("doc_id", word_hashes(F.col("text")).alias("h"))
+    cells = seeds(chunks(theirs, ["doc_id"], reach), ["doc_id"], masks).where("key is not null")
+    if few:  # the words about a place are looked up after the join
+        hits = cells.join(F.broadcast(mine), "key").select("doc_id", "item_id", "equal", "size", "beside", "at", about(reach).alias("near"))
+    else:  # they go along with the seed
+        hits = cells.select("doc_id", "at", "key", about(reach).alias("near")).join(mine, "key")
+    same = F.zip_with("near", "beside", lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0)))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.lit(window - spans)), lambda s: F.aggregate(F.slice("same", s, window), F.lit(0), lambda n, e: n + e)))
-    need = F.ceil(F.lit(share) * F.least(F.lit(window), size)).cast("int")
-    rows = hits.select("doc_id", "item_id", at.alias("at"), need.alias("need"), same.alias("same"))
+    need = F.ceil(F.lit(share) * F.least(F.lit(window), "size")).cast("int")
+    rows = hits.select("doc_id", "item_id", "equal", "at", need.alias("need"), same.alias("same"))
     # made by a generator, the number stays where it is: as a plain column the optimizer would move its terms into the join
-    rows = rows.select("doc_id", "item_id", "at", "need", F.explode(F.array(best)).alias("matched")).where("matched >= need")
-    return rows.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.min("at").cast("long").alias("doc_word"), F.count("*").alias("places"))
+    rows = rows.select("doc_id", "item_id", "equal", "at", "need", F.explode(F.array(best)).alias("matched")).where("matched >= need")
+    return rows.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.min("at").cast("long").alias("doc_word"), F.sum("equal").alias("places"))
 
 
-def clean(docs: DataFrame, items: DataFrame, checked: int = 2_000_000, **kw) -> DataFrame:
-    """The rows of docs that hold no item; rows without a doc_id stay. Only ids are gathered; while few, they are sent to the texts, else both sides meet by doc_id."""
-    ids = leaks(docs, items, **kw).select("doc_id").distinct()
-    from revlens.llm.common import written
+def clean(docs: DataFrame, items: DataFrame, checked: int = 1_000_000, **kw) -> DataFrame:
+    """The rows of docs that hold no item; rows without a doc_id stay, as do null and empty texts; rows of one doc_id go together; column names may be any.
 
-    ids = written(ids, "leaks")
+    Only ids are gathered; while at most checked (8 bytes each), they are sent to the texts, else both sides meet by doc_id.
+    """
+    ids = written(leaks(docs, items, **kw).select("doc_id").distinct(), "leaks")
     side = F.broadcast(ids) if ids.limit(checked + 1).count() <= checked else ids
     return docs.join(side, "doc_id", "left_anti").select(*docs.columns)
 
@@ -90,13 +108,12 @@ def oracle(window: int = WINDOW, share: float = SHARE) -> str:
     """The same in DuckDB: words at places instead of hashes."""
     words = r"""list_filter(string_split_regex(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D]', ' ', 'g'), ' +'), lambda x: x <> '')"""
     spans = max(max(m) for m in MASKS)
-    on = " UNION ALL ".join(
-        f"SELECT d.doc_id, d.pos AS dp, i.item_id, i.pos AS p, i.n, {k} AS mask FROM dw d JOIN iw i ON " + " AND ".join(f"d.w{j} = i.w{j}" for j in m) for k, m in enumerate(MASKS)
-    )
+    every = [(k, m, f"i.n >= {SHORT}") for k, m in enumerate(MASKS)] + [(len(MASKS), SHORT_MASK, f"i.n < {SHORT}")]
+    on = " UNION ALL ".join(f"SELECT d.doc_id, d.pos AS dp, i.item_id, i.pos AS p, i.n, {k} AS mask FROM dw d JOIN iw i ON {of} AND " + " AND ".join(f"d.w{j} = i.w{j}" for j in m) for k, m, of in every)
     lead = ", ".join(f"lead(w, {j}) OVER (PARTITION BY {{0}} ORDER BY pos) AS w{j}" for j in range(1, spans + 1))
     return f"""
 WITH d0 AS (SELECT doc_id, {words} AS ws FROM documents),
-d1 AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM d0 WHERE len(ws) >= 4),
+d1 AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM d0 WHERE len(ws) >= 2),
 dw AS (SELECT doc_id, pos, w AS w0, {lead.format("doc_id")} FROM d1),
 i0 AS (SELECT item_id, {words} AS ws FROM benchmark),
 i1 AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM i0 WHERE len(ws) >= 4),

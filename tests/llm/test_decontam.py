@@ -34,11 +34,11 @@ def brute(docs, items, window=13, share=0.75):
     span = max(max(m) for m in decontam.MASKS)
     for d, t in docs:
         w = words(t)
-        if d is None or len(w) < 4:
+        if d is None:
             continue
         place = {}
         for at in range(len(w)):
-            for k, m in enumerate(decontam.MASKS):
+            for k, m in enumerate([*decontam.MASKS, decontam.SHORT_MASK]):
                 if at + max(m) < len(w):
                     place.setdefault((k, tuple(w[at + j] for j in m)), []).append(at)
         for i, s in items:
@@ -47,8 +47,8 @@ def brute(docs, items, window=13, share=0.75):
                 continue
             need = -(-int(share * 100) * min(window, len(v)) // 100)
             for p in range(len(v)):
-                for k, m in enumerate(decontam.MASKS):
-                    if p + max(m) >= len(v):
+                for k, m in enumerate([*decontam.MASKS, decontam.SHORT_MASK]):
+                    if p + max(m) >= len(v) or (len(v) < decontam.SHORT) != (m == decontam.SHORT_MASK):
                         continue
                     for at in place.get((k, tuple(v[p + j] for j in m)), ()):
                         e = [0 <= at + q < len(w) and 0 <= p + q < len(v) and w[at + q] == v[p + q] for q in range(span + 1 - window, window)]
@@ -65,7 +65,7 @@ def test_same_as_brute_force_and_sql(spark):
     want = brute([(x[0], x[1]) for x in docs], items)
     assert len(want) > 30
     assert {tuple(r) for r in decontam.leaks(d, i).collect()} == want
-    assert {tuple(r) for r in decontam.leaks(d, i, checked=0).collect()} == want
+    assert {tuple(r) for r in decontam.leaks(d, i, sent=0).collect()} == want
     con = duckdb.connect()
     con.execute("create table documents as select * from (values " + ",".join("(?::bigint, ?::varchar)" for _ in docs) + ") t(doc_id, text)", [x for r in docs if r[0] not in (None, 202, 203) for x in r[:2]] + [None] * 2 * sum(r[0] in (None, 202, 203) for r in docs))
     con.execute("create table benchmark as select * from (values " + ",".join("(?::bigint, ?::varchar)" for _ in items) + ") t(item_id, text) where item_id is not null", [x for r in items for x in r])
@@ -83,9 +83,35 @@ def test_clean(spark):
 
 
 def test_masks_find_all_tolerated_substitutions():
-    """Of all ways to place 3 substitutions in 13 words, how many leave some mask whole."""
+    """Every way to place as many substitutions as are tolerated leaves some mask whole."""
     from itertools import combinations
 
-    ways = list(combinations(range(13), 3))
-    found = sum(any(all(a + j not in gone for j in m) for m in decontam.MASKS for a in range(13 - max(m))) for gone in ways)
-    assert found / len(ways) > 0.98
+    for n in range(4, 14):
+        masks = decontam.MASKS if n >= decontam.SHORT else [decontam.SHORT_MASK]
+        for gone in combinations(range(n), n - -(-75 * n // 100)):
+            assert any(all(a + j not in gone for j in m) for m in masks for a in range(n - max(m))), (n, gone)
+
+
+def test_long_items_and_texts(spark):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(50_000)}"
+    item = [word() for _ in range(20_000)]
+    text = [word() for _ in range(1_000_000)]
+    text[700_000:700_020] = item[5_000:5_020]
+    i = spark.createDataFrame([(1, " ".join(item)), (2, "the " * 8_000)], "item_id long, text string")
+    d = spark.createDataFrame([(1, " ".join(text)), (2, "the the " * 10), (3, " ".join(item[100:109])), (4, " ".join(item[19_000:19_013]))], "doc_id long, text string").repartition(2)
+    for sent in (64 << 20, 0):
+        got = {(r["doc_id"], r["item_id"]): (r["matched"], r["doc_word"]) for r in decontam.leaks(d, i, sent=sent).collect()}
+        assert got.keys() == {(1, 1), (2, 2), (4, 1)} and got[1, 1] == (13, 700_000) and got[4, 1] == (13, 0)
+
+
+def test_short_items(spark):
+    items = [(n, " ".join(f"w{n}_{k}" for k in range(n))) for n in range(4, 10)]
+    docs = []
+    for n, t in items:
+        x = t.split()
+        for k in range(0, n - -(-75 * n // 100)):
+            x[(2, 5)[k] if n > 5 else k + 1] = "other"
+        docs.append((n, "so it goes " + " ".join(x) + " and on"))
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(n, n) for n in range(4, 10)}
