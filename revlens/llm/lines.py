@@ -1,8 +1,8 @@
 """Fuzzy line deduplication by MinHash (operator 7), in DataFrame functions only.
 
 A line's shingles are all its windows of SHINGLE characters. Equal lines are one class with a number; classes
-whose signatures agree in a band share a bucket, and pairs of a bucket are verified by exact Jaccard: first each class with two of its bucket,
-then, across the components that these links give, with LEADS of it, and at last all pairs that are left across components.
+whose signatures agree in a band share a bucket, and pairs of a bucket are verified by exact Jaccard: all pairs of a small bucket at once; in a
+large one each class with LEADS others first, and then all pairs that are left across the components that the links so far give.
 Union-find joins what holds, and of each component the first line in order of (doc_id, line number) stays.
 """
 
@@ -19,11 +19,11 @@ from revlens.llm.common import components, forget, free_name, written
 SHINGLE = 8
 #: Bytes of a character, and of a window, in UTF-32, where places are found without counting.
 CHAR, WIDE = 4, 4 * SHINGLE
-#: A pair of similarity 0.75 meets with probability 1 - (1 - 0.75**ROWS)**BANDS = 0.978, one of 0.85 with 0.998.
-BANDS, ROWS = 7, 3
+#: A pair of similarity 0.75 meets with probability 1 - (1 - 0.75**ROWS)**BANDS = 0.977, one of 0.85 with 0.9993.
+BANDS, ROWS = 10, 4
 SHARE = 0.75
-#: Classes of a bucket that all others of it are compared with before all pairs are.
-LEADS = 8
+#: Classes of a bucket that is compared whole at once; of a larger one, LEADS are compared with all others before the rest is.
+SMALL, LEADS = 24, 4
 #: Classes of a bucket that are compared at once with as many others.
 BLOCK = 128
 
@@ -81,31 +81,29 @@ def shared(keys: DataFrame) -> DataFrame:
     return keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
 
 
+def small(keys: DataFrame) -> DataFrame:
+    """(key, cid, comp) of buckets (key, cid, n) of at most SMALL classes, each class a component of its own; of buckets with the same classes one stays."""
+    own = keys.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("cid")).alias("cids"))
+    one = own.groupBy("cids").agg(F.min("key").alias("key"))
+    return one.select("key", F.explode("cids").alias("cid")).withColumn("comp", F.col("cid"))
+
+
 def candidates(keys: DataFrame) -> DataFrame:
-    """(a, b) pairs of each bucket: every class with the bucket's first and with the one before it. So a bucket gives
-    at most two pairs for each of its classes, and Spark's window spills where a bucket is large."""
-    w = Window.partitionBy("key").orderBy("cid")
-    seen = keys.select("cid", F.lag("cid").over(w).alias("before"), F.first("cid").over(w).alias("lead")).where("before is not null")
-    return seen.select(F.explode(F.array("before", "lead")).alias("a"), F.col("cid").alias("b")).distinct()
+    """(a, b) pairs of each bucket: every class with the one before it and with LEADS of it, in an order by hash. Spark's window spills where a bucket is large."""
+    w = Window.partitionBy("key").orderBy(F.xxhash64("cid"), "cid")
+    others = F.filter(F.array(F.lag("cid").over(w), *(F.nth_value("cid", k + 1).over(w) for k in range(LEADS))), lambda x: x.isNotNull() & (x != F.col("cid")))
+    pair = keys.select("cid", others.alias("others")).select("cid", F.explode("others").alias("o"))
+    return pair.select(F.least("cid", "o").alias("a"), F.greatest("cid", "o").alias("b")).distinct()
 
 
 def across(keys: DataFrame, comp: DataFrame) -> DataFrame:
-    """(key, cid, n, comp) of the buckets that more than one component of (node, comp) shares, written. A class without links is its own component."""
+    """(key, cid, comp) of the buckets that more than one component of (node, comp) shares, written. A class without links is its own component."""
     w = Window.partitionBy("key")
-    now = keys.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "n", F.coalesce("comp", "cid").alias("comp"))
+    now = keys.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
     now = now.withColumn("low", F.min("comp").over(w)).withColumn("high", F.max("comp").over(w)).where("low < high")
     return written(now.drop("low", "high"), "across")
 
 
-def led(mixed: DataFrame) -> DataFrame:
-    """(a, b) pairs across components: every class of a bucket with LEADS of it. A bucket of up to LEADS + 1 classes gives all its pairs."""
-    w = Window.partitionBy("key").orderBy(F.xxhash64("cid"), "cid")
-    own = F.struct("cid", "comp")
-    leads = F.filter(F.array(*(F.nth_value(own, k + 1).over(w) for k in range(LEADS))), lambda x: x.isNotNull())
-    pair = mixed.select("cid", "comp", leads.alias("leads")).select("cid", "comp", F.explode("leads").alias("o")).where("o.comp <> comp")
-    return pair.select(F.least("cid", "o.cid").alias("a"), F.greatest("cid", "o.cid").alias("b")).distinct()
-
-
 def alike(g, h, share: float) -> F.Column:
     """Whether two arrays of distinct values have a Jaccard similarity of at least share."""
     n, m = F.size(g), F.size(h)
@@ -158,19 +156,17 @@ def similar(pairs: DataFrame, classes: DataFrame, share: float) -> DataFrame:
 def joined_classes(classes: DataFrame, share: float) -> DataFrame:
     """(node, comp) of the classes that links join, written."""
     keys = written(shared(band_keys(classes)), "keys")
-    links = similar(candidates(keys), classes, share)
-    comp = components(links)
-    mixed = across(keys, comp)
-    more = similar(led(mixed), classes, share)
-    if not more.isEmpty():
-        forget(comp)
-        comp = components(links.union(more))
-    left = across(mixed.where(F.col("n") > LEADS + 1).drop("comp"), comp)
+    few = written(small(keys), "small")
+    links = rest(few, classes, share)
+    large = keys.where(F.col("n") > SMALL)
+    more = similar(candidates(large), classes, share)
+    comp = components(links.union(more))
+    left = across(large, comp)
     last = rest(left, classes, share)
     if not last.isEmpty():
         forget(comp)
         comp = components(links.union(more).union(last))
-    forget(keys, links, mixed, more, left, last)
+    forget(keys, few, links, more, left, last)
     return comp
 
 
