@@ -171,42 +171,55 @@ def token_bytes(path: str) -> tuple[list[bytes], np.ndarray]:
 # ---------------------------------------------------------------- operator 1
 
 
-def stitched(chunks: list[tuple[int, np.ndarray, np.ndarray]], slack: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Joins overlapping chunks of one text. chunks: (first byte in the text, UTF-8, first bytes of its pre-tokens), in order.
+#: Boundaries that end within so many bytes of a chunk's end may move with what follows.
+SLACK = 12
+
+
+def meeting(known: np.ndarray, starts: np.ndarray, edge: int) -> int | None:
+    """The first boundary that a text's own (known) and those of its next chunk (starts, the first of them the chunk's own begin) have in common, before the
+    end of what both have seen. From there on matches depend on what follows only, so both go on alike. The chunk's begin is no evidence; what ends near the edge may still move."""
+    known = known[: np.searchsorted(known, edge - SLACK, "right")]
+    shared = np.intersect1d(known[np.searchsorted(known, starts[0], "right") :], starts, assume_unique=True) if len(starts) else known[:0]
+    return int(shared[0]) if len(shared) else None
 
-    A chunk's boundaries are the text's own from its resynchronisation on: a byte where a boundary of the text
-    so far meets one of the chunk, for from there on matches depend on what follows only. The last pre-token
-    of a chunk and what ends within slack bytes of its end may go on, so they are left to the next chunk.
-    Where no boundaries meet (a pre-token longer than the overlap), the rest is cut anew from the last sure one.
-    """
-    at, data, starts = chunks[0]
-    text, sure = data, starts
-    for at, data, starts in chunks[1:]:
-        edge = len(text)
-        over = edge - at
-        whole = np.concatenate([text, data[over:]])
-        known = sure[sure <= edge - slack]
-        known = known[:-1] if len(known) and len(known) == len(sure) else known
-        shared = np.intersect1d(known[known >= at], starts + at, assume_unique=True)
-        shared = shared[shared > at]  # the chunk's own start is no evidence
-        if len(shared):
-            p = shared[0]
-            sure = np.concatenate([known[known < p], starts[starts + at >= p] + at])
-        else:
-            p = int(known[-1]) if len(known) else 0
-            sure = np.concatenate([known[known < p], Slice(whole[p:], np.zeros(1, np.int64)).starts + p])
-        text = whole
-    return text, sure
 
+def stitched(text: np.ndarray, pieces: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
+    """The first bytes of a text's pre-tokens out of overlapping chunks: (first byte, end, first bytes of the chunk's pre-tokens), in order, all counted in the text.
 
-def chunked(data: np.ndarray, chunk: int, overlap: int) -> list[tuple[int, np.ndarray]]:
-    """Cuts UTF-8 into chunks that share overlap bytes with the next one, never inside a character."""
+    Where no boundaries meet (a pre-token longer than the overlap), what follows is cut anew from the last sure one, each time twice as far, so that
+    the whole takes linear time.
+    """
+    out: list[np.ndarray] = []
+    _, edge, now = pieces[0]
+    k = 1
+    while k < len(pieces):
+        a, end, starts = pieces[k]
+        p = meeting(now[:-1], starts, edge)
+        if p is not None:
+            out.append(now[: np.searchsorted(now, p)])
+            now, edge = starts[np.searchsorted(starts, p) :], end
+            k += 1
+            continue
+        sure = max(0, min(int(np.searchsorted(now, edge - SLACK, "right")), len(now) - 1) - 1)
+        p = int(now[sure]) if len(now) else 0
+        out.append(now[:sure])
+        reach = p + 2 * (end - p)
+        while k + 1 < len(pieces) and pieces[k + 1][1] <= reach:
+            k += 1
+        edge = pieces[k][1]
+        now = Slice(text[p:edge], np.zeros(1, np.int64)).starts + p
+        k += 1
+    return np.concatenate([*out, now])
+
+
+def chunked(data: np.ndarray, chunk: int, overlap: int) -> list[tuple[int, int]]:
+    """(first byte, end) of chunks of UTF-8 that share overlap bytes with the next one, never inside a character."""
     out, a, n = [], 0, len(data)
     while True:
         b = min(n, a + chunk + overlap)
         while b < n and data[b] & 0xC0 == 0x80:
             b += 1
-        out.append((a, data[a:b]))
+        out.append((a, b))
         if b >= n:
             return out
         a += chunk
@@ -214,17 +227,54 @@ def chunked(data: np.ndarray, chunk: int, overlap: int) -> list[tuple[int, np.nd
             a += 1
 
 
-def digests(s: Slice, path: str) -> list[tuple[int, str, str]]:
-    """(number of ids, digest of ids, digest of decoded bytes) of each text."""
+def cut_up(data: np.ndarray, firsts: np.ndarray, chunk: int, overlap: int) -> Slice:
+    """A slice of texts that went through chunks: all of them are pre-tokenised side by side, and stitched text by text."""
+    spans, of = [], []
+    for k, (p, q) in enumerate(zip(firsts.tolist(), np.append(firsts[1:], len(data)).tolist(), strict=True)):
+        own = [(p, q)] if q - p <= chunk + overlap else [(a + p, b + p) for a, b in chunked(data[p:q], chunk, overlap)]
+        spans += own
+        of += [k] * len(own)
+    if len(spans) == len(firsts):
+        return Slice(data, firsts)
+    size = np.array([b - a for a, b in spans], np.int64)
+    begin = np.cumsum(size) - size
+    s = Slice(np.concatenate([data[a:b] for a, b in spans]), begin)
+    cuts = np.append(s.cuts, len(s.starts)).tolist()
+    parts, k = [], 0
+    while k < len(spans):
+        n = k + 1
+        while n < len(spans) and of[n] == of[k]:
+            n += 1
+        pieces = [(a, b, s.starts[cuts[i] : cuts[i + 1]] + (a - int(begin[i]))) for i, (a, b) in enumerate(spans[k:n], k)]
+        parts.append(pieces[0][2] if n == k + 1 else stitched(data, pieces))
+        k = n
+    return Slice(data, firsts, prior=np.concatenate(parts))
+
+
+def ids_of(s: Slice, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, where each text's begin and the last one's end)."""
     index, (lens, flat) = s.coded(rank_codec(path))
     ids, before = gathered(index, lens, flat)
+    return ids, before[np.append(s.cuts, len(s.starts))]
+
+
+def digest(ids: np.ndarray, path: str, step: int = 1 << 20) -> tuple[str, str]:
+    """Digests of ids and of the bytes that they decode to, a step at a time."""
+    one, two, names = hashlib.sha256(), hashlib.sha256(), token_bytes(path)[0]
+    for p in range(0, len(ids), step):
+        part = ids[p : p + step]
+        one.update(np.ascontiguousarray(part, "<u4").tobytes())
+        two.update(b"".join(map(names.__getitem__, part.tolist())))
+    return one.hexdigest(), two.hexdigest()
+
+
+def digests(ids: np.ndarray, cut: np.ndarray, path: str) -> list[tuple[int, str, str]]:
+    """(number of ids, digest of ids, digest of decoded bytes) of each text."""
     names, sizes = token_bytes(path)
     raw = b"".join(map(names.__getitem__, ids.tolist()))
     ends = np.zeros(len(ids) + 1, np.int64)
     np.cumsum(sizes[ids], out=ends[1:])
-    cut = before[np.append(s.cuts, len(s.starts))]
-    ids = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
-    raw = memoryview(raw)
+    ids, raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B"), memoryview(raw)
     sha = hashlib.sha256
     return [(int(q - p), sha(ids[4 * p : 4 * q]).hexdigest(), sha(raw[ends[p] : ends[q]]).hexdigest()) for p, q in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
@@ -232,95 +282,88 @@ def digests(s: Slice, path: str) -> list[tuple[int, str, str]]:
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def encoded(docs: DataFrame, path: str, chunk: int = 16_384, overlap: int = 1_024, long_text: int = 65_536, with_ids: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, path: str, chunk: int = 2_048, overlap: int = 256, long_text: int = 65_536, with_ids: bool = False) -> DataFrame:
     """Encodes each text of docs (doc_id, text) by a rank file and decodes it again.
 
-    Texts of over long_text characters are dealt out as overlapping chunks, pre-tokenised in parallel,
-    and stitched per document; shorter ones over chunk bytes are cut, stitched and coded within their task.
-    Null texts count as empty: no ids, digests of nothing. Repeated doc_ids stay separate rows. Other columns
+    Texts over chunk bytes are cut into overlapping chunks, pre-tokenised side by side and stitched. Texts of over long_text characters are dealt
+    out as chunks of half of that, which find out where they meet their neighbours and code what is theirs in parallel; per document their ids are joined.
+    Only where some neighbours don't meet (a pre-token longer than their overlap) is such a text cut and coded in one task.
+    Null texts count as empty: no ids, digests of nothing. Repeated doc_ids stay separate rows, a null doc_id stays null. Other columns
     are ignored. with_ids adds the ids (array<int>). An empty table gives an empty result.
     """
     schema = ENCODED + (", ids array<int>" if with_ids else "")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    step = long_text // 2
+    shared = min(1_024, step // 2)
 
-    def out(doc_ids, rows, ids=None):
-        cols = [pa.array(doc_ids, pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
+    def out(doc_ids, rows, ids, cut):
+        cols = [doc_ids, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:
-            cols.append(pa.array(ids, pa.list_(pa.int32())))
+            cols.append(pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids.astype(np.int32))))
             names.append("ids")
         return pa.RecordBatch.from_arrays(cols, names)
 
-    def ids_of(s: Slice):
-        index, (lens, flat) = s.coded(rank_codec(path))
-        ids, before = gathered(index, lens, flat)
-        cut = before[np.append(s.cuts, len(s.starts))]
-        ids = ids.astype(np.int32)
-        return [ids[p:q] for p, q in zip(cut[:-1], cut[1:], strict=True)]
-
-    def cut_up(data, firsts):
-        """A slice whose larger texts went through chunks of their own."""
-        ends = np.append(firsts[1:], len(data))
-        big = np.flatnonzero(ends - firsts > chunk + overlap)
-        if not len(big):
-            return Slice(data, firsts)
-        parts, at, runs = [], 0, []
-        for k in range(len(firsts)):  # runs of small texts as one piece of work, chunks of big ones beside them
-            if k in set(big.tolist()):
-                if at < k:
-                    runs.append((at, k, False))
-                runs.append((k, k + 1, True))
-                at = k + 1
-        if at < len(firsts):
-            runs.append((at, len(firsts), False))
-        for p, q, is_big in runs:
-            sub = data[firsts[p] : ends[q - 1]]
-            if is_big:
-                pieces = chunked(sub, chunk, overlap)
-                flat = np.concatenate([x for _, x in pieces])
-                begin = np.cumsum([0, *(len(x) for _, x in pieces)])
-                s = Slice(flat, begin[:-1])
-                cuts = np.append(s.cuts, len(s.starts))
-                _, starts = stitched([(a, x, s.starts[cuts[i] : cuts[i + 1]] - begin[i]) for i, (a, x) in enumerate(pieces)])
-            else:
-                starts = Slice(sub, firsts[p:q] - firsts[p]).starts
-            parts.append(starts + firsts[p])
-        return Slice(data, firsts, prior=np.concatenate(parts))
-
     def whole(batches):
         for batch in batches:
-            doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j, data, firsts in text_slices(batch.column(1)):
-                s = cut_up(data, firsts)
-                yield out(doc_ids[i:j], digests(s, path), ids_of(s) if with_ids else None)
+                ids, cut = ids_of(cut_up(data, firsts, chunk, overlap), path)
+                yield out(batch.column(0).slice(i, j - i), digests(ids, cut, path), ids, cut)
+
+    def dealt(batches):
+        """Each chunk with the one before it and what it shares with the next: own, the bytes of the chunk itself, begin at mid."""
+        names = ["row", "doc_id", "k", "n", "mid", "own", "piece"]
+        for batch in batches:
+            for r, (row, doc_id) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                text = np.frombuffer(batch.column(2)[r].as_buffer(), np.uint8)
+                spans = chunked(text, step, shared)
+                first = [a for a, _ in spans] + [len(text)]
+                for p in range(0, len(spans), 64):
+                    ks = range(p, min(p + 64, len(spans)))
+                    cols = [[row] * len(ks), [doc_id] * len(ks), list(ks), [len(spans)] * len(ks), [first[k] - first[max(k - 1, 0)] for k in ks], [first[k + 1] - first[k] for k in ks], [text[first[max(k - 1, 0)] : spans[k][1]].tobytes() for k in ks]]
+                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names)
+
+    def coded(batches):
+        """The ids of what lies between the places where a chunk meets its neighbours; null if it doesn't meet one."""
+        one = np.zeros(1, np.int64)
+
+        def bounds(piece, mid, own, k, n):
+            starts = Slice(piece[mid:], one).starts + mid
+            p, q = mid, len(piece)
+            if k:
+                end = mid + shared
+                while end < len(piece) and piece[end] & 0xC0 == 0x80:
+                    end += 1
+                p = meeting(Slice(piece[:end], one).starts[:-1], starts, min(end, len(piece)))
+            if k + 1 < n:
+                q = meeting(starts[:-1], Slice(piece[mid + own :], one).starts + (mid + own), len(piece))
+            return None if p is None or q is None else (p, q, starts[np.searchsorted(starts, p) : np.searchsorted(starts, q)] - p)
 
-    def pretokenised(batches):
         for batch in batches:
-            for i, j, data, firsts in text_slices(batch.column(4)):
-                s = Slice(data, firsts)
-                cuts = np.append(s.cuts, len(s.starts))
-                ends = np.append(firsts[1:], len(data))
-                rows = [(data[a:b].tobytes(), (s.starts[p:q] - a).astype("<i4").tobytes()) for a, b, p, q in zip(firsts, ends, cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(4)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["row", "doc_id", "k", "after", "data", "starts"])
-
-    def one(key, group):
-        rows = sorted(group.to_pylist(), key=lambda r: r["k"])
-        done, at = [], 0
-        for r in rows:
-            data = np.frombuffer(r["data"], np.uint8)
-            done.append((at, data, np.frombuffer(r["starts"], "<i4").astype(np.int64)))
-            at += r["after"]
-        text, starts = stitched(done)
-        s = Slice(text, np.zeros(1, np.int64), prior=starts)
-        return pa.Table.from_batches([out([rows[0]["doc_id"]], digests(s, path), ids_of(s) if with_ids else None)])
+            got = []
+            for k, n, mid, own, raw in zip(*(batch.column(c).to_pylist() for c in range(2, 7)), strict=True):
+                piece = np.frombuffer(raw, np.uint8)
+                found = bounds(piece, mid, own, k, n)
+                ids = None if found is None else ids_of(Slice(piece[found[0] : found[1]], one, prior=found[2]), path)[0].astype("<u4").tobytes()
+                got.append((raw[mid : mid + own], ids))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.binary())], ["row", "doc_id", "k", "data", "ids"])
+
+    def joined(key, group):
+        order = np.argsort(group.column("k").to_numpy())
+        parts = [group.column("ids")[int(i)] for i in order]
+        if all(p.is_valid for p in parts):
+            ids = np.concatenate([np.frombuffer(p.as_buffer(), "<u4") for p in parts])
+        else:
+            text = np.concatenate([np.frombuffer(group.column("data")[int(i)].as_buffer(), np.uint8) for i in order])
+            ids = ids_of(cut_up(text, np.zeros(1, np.int64), step, shared), path)[0]
+        rows = [(len(ids), *digest(ids, path))]
+        return pa.Table.from_batches([out(group.column("doc_id").combine_chunks().slice(0, 1), rows, ids, np.array([0, len(ids)]))])
 
     short = docs.where(F.length("text") <= long_text).mapInArrow(whole, schema)
-    step, n = long_text // 2, F.length("text")
-    piece = F.substring(F.col("text"), F.col("k") * step + 1, F.lit(step + overlap))
-    rows = docs.where(n > long_text).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text", F.explode(F.sequence(F.lit(0), F.ceil((n - overlap) / step).cast("int") - 1)).alias("k"))
-    rows = rows.select("row", "doc_id", "k", F.octet_length(F.substring(F.col("text"), F.col("k") * step + 1, F.lit(step))).cast("long").alias("after"), piece.alias("piece"))
-    cut = rows.repartition("row", "k").mapInArrow(pretokenised, "row long, doc_id long, k int, after long, data binary, starts binary")
-    long = cut.groupBy("row").applyInArrow(one, schema)
+    long = docs.where(F.length("text") > long_text).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    long = long.mapInArrow(dealt, "row long, doc_id long, k int, n int, mid int, own int, piece binary").repartition("row", "k")
+    long = long.mapInArrow(coded, "row long, doc_id long, k int, data binary, ids binary").groupBy("row").applyInArrow(joined, schema)
     return short.unionByName(long)
 
 

@@ -85,6 +85,30 @@ def test_chunks_stitch_where_boundaries_meet():
         text = "".join(rng.choice(["a", " ", "  ", "'re", "'", "1", ".", "é", "\n", "漢"]) for _ in range(rng.randrange(1, 200)))
         data = np.frombuffer(text.encode(), np.uint8)
         want = Slice(data, np.zeros(1, np.int64)).starts
-        pieces = [(a, x, Slice(x, np.zeros(1, np.int64)).starts) for a, x in bpe.chunked(data, rng.randrange(20, 40), rng.randrange(4, 19))]
-        text2, got = bpe.stitched(pieces)
-        assert bytes(text2) == bytes(data) and got.tolist() == want.tolist()
+        pieces = [(a, b, Slice(data[a:b], np.zeros(1, np.int64)).starts + a) for a, b in bpe.chunked(data, rng.randrange(20, 40), rng.randrange(4, 19))]
+        assert bpe.stitched(data, pieces).tolist() == want.tolist()
+
+
+def test_a_very_long_text_takes_linear_time(spark):
+    """16 MB of words, and 4 MB without a boundary, within a minute."""
+    import time
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij é") for _ in range(rng.randrange(1, 12))) for _ in range(5_000)]
+    text = " ".join(rng.choice(words) for _ in range(2_300_000))
+    d = spark.createDataFrame([(1, text), (2, "ab" * 2_000_000)], "doc_id long, text string")
+    begun = time.time()
+    got = {r["doc_id"]: r for r in bpe.encoded(d, RANKS, with_ids=True).collect()}
+    assert time.time() - begun < 60
+    assert got[1]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest() and got[2]["decoded_sha256"] == hashlib.sha256(("ab" * 2_000_000).encode()).hexdigest()
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    assert got[1]["ids"] == tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text)
+
+
+def test_null_ids(spark):
+    d = spark.createDataFrame([(None, "a b"), (1, None)], "doc_id long, text string")
+    assert {(r["doc_id"], r["n_tokens"]) for r in bpe.encoded(d, RANKS).collect()} == {(None, 2), (1, 0)}
+    assert {(r["doc_id"], r["n_tokens"]) for r in bpe.token_counts(d, MODEL).collect()} == {(None, 2), (1, 0)}
+    assert {(r["doc_id"], r["n_tokens"]) for r in bpe.packed(d, MODEL).collect()} == {(None, 3), (1, 1)}
