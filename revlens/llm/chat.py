@@ -11,16 +11,16 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from revlens.llm.common import new_path
+from revlens.llm.common import forget, new_path, shuffles_dropped, written
 
 HEAD, COLON, END = "### ", ": ", "</turn>\n"
 _ESCAPED, _BACK = re.compile(r"[\\#<:\n]"), re.compile(r"\\(.)", re.S)
-#: Levels that count one by one in the order of the layout; deeper ones count by this many.
-LEVELS = 64
 
 
 def escape(text: str, every: bool = False) -> str:
@@ -57,124 +57,116 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def chain_keys(ends: list[bytes]) -> list[bytes]:
-    """For each node of a chain, given their digests, a key by which ancestors sort first and descendants of a node beside it."""
-    out, key = [], b""
-    for k, h in enumerate(ends[:LEVELS]):
-        key += h[:8]
-        out.append(key)
-    for a in range(LEVELS, len(ends), LEVELS):
-        part = ends[a : a + LEVELS]
-        base = key + part[-1][:8]
-        out += [base + i.to_bytes(4, "big") for i in range(len(part))]
-        key = base
-    return out
-
-
 def turns_of(conversations: DataFrame) -> DataFrame:
-    """One row per turn with its node in the tree."""
-    schema = "conv_id long, k int, node binary, path binary, pos long, role string, text string, loss_from int, loss_to int"
+    """One row per turn with its node in the tree: cid (a number of the conversation's own), conv_id, k, node, pos, n, text, loss_from, loss_to, and in each conversation's last row key, all of its nodes."""
+    schema = "cid long, conv_id long, k int, node binary, pos long, n int, text string, loss_from int, loss_to int, key binary"
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def one(conv_id, turns):
+    def one(cid, conv_id, turns):
         """turns: (role, text) of a conversation in order."""
-        ends, h, pos, out = [], b"", 0, []
+        h, pos, out, ends = b"", 0, [], []
         for k, (role, text) in enumerate(turns):
             formatted, a, b = render(role, text)
             h = hashlib.blake2b(h + formatted.encode(), digest_size=16).digest()
             ends.append(h)
-            out.append([conv_id, k, h, None, pos, role, formatted, a if role == "assistant" else 0, b if role == "assistant" else 0])
+            loss = (a, b) if role == "assistant" else (0, 0)
+            out.append([cid, conv_id, k, h, pos, len(formatted), formatted, *loss, None])
             pos += len(formatted)
-        for row, path in zip(out, chain_keys(ends), strict=True):
-            row[3] = path
+        out[-1][-1] = b"".join(ends)
         return out
 
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
-    names = ["conv_id", "k", "node", "path", "pos", "role", "text", "loss_from", "loss_to"]
+    def run(batches):
+        from pyspark import TaskContext
 
-    def shaped(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+        cid = TaskContext.get().partitionId() << 33
+        now, held, ready, size, begun = None, [], [], 0, False
+
+        def shaped():
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in ready], t) for i, t in enumerate(kinds)], names)
 
-    def run(batches):
-        now, held, ready = None, [], []
-        begun = False
         for batch in batches:
             for c, role, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if begun and c != now:
-                    ready += one(now, held)
-                    held = []
-                    if len(ready) >= 5000:
-                        yield shaped(ready)
-                        ready = []
+                    ready += one(cid, now, held)
+                    cid, held = cid + 1, []
+                    if size >= 4 << 20:
+                        yield shaped()
+                        ready, size = [], 0
                 now, begun = c, True
                 held.append((role, text))
+                size += len(text) + 100
         if begun:
-            ready += one(now, held)
-            yield shaped(ready)
+            ready += one(cid, now, held)
+            yield shaped()
 
     return rows.mapInArrow(run, schema)
 
 
+def in_order(df: DataFrame, by: list[str], keep: list[str], kinds: str) -> DataFrame:
+    """df in the global order of by, with part and i, the places of the range and within it."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, i = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            m = len(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, part, np.int64)), pa.array(np.arange(i, i + m)), *(batch.column(c) for c in range(len(keep)))], ["part", "i", *keep])
+            i += m
+
+    return df.repartitionByRange(*by).sortWithinPartitions(*by).select(*keep).mapInArrow(run, f"part long, i long, {kinds}")
+
+
 def formatted(conversations: DataFrame, to: str | None = None) -> str:
     """Writes the tree of all conversations (conv_id, turn, role, text) into a folder and returns it.
 
     <to>/nodes: start, end (in the stream of all tokens), pos (position id of the first token), text, loss_from and
     loss_to (the part under the loss mask, relative to the text), attends (merged intervals of the ancestors).
     <to>/conversations: conv_id, path (start of each of its nodes, in order).
-    Rows are ordered by turn, ties by role and text; null texts and roles count as empty; rows of a null conv_id are
+    Conversations are put in the order of their nodes; a node stands where the first of its conversations does, so that the stream is
+    depth first at any depth. Rows are ordered by turn, ties by role and text; null texts and roles count as empty; rows of a null conv_id are
     one conversation; equal rows count as often as they stand. Other columns are ignored. An empty table gives empty ones.
     """
     spark = conversations.sparkSession
     to = to or new_path(spark, "chat")
-    turns_of(conversations).write.parquet(f"{to}/turns")
-    turns = spark.read.parquet(f"{to}/turns")
-    # each node once; partial aggregation takes the heat out of common first turns
-    first = {c: F.first(c).alias(c) for c in ("pos", "text", "loss_from", "loss_to")}
-    nodes = turns.groupBy("node").agg(F.min("path").alias("path"), F.min("conv_id").alias("owner"), *first.values())
-    laid = nodes.repartitionByRange("path").sortWithinPartitions("path")
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            lens = pa.compute.utf8_length(batch.column(4)).to_numpy(zero_copy_only=False).astype("int64")
-            ends = at + lens.cumsum()
-            at = int(ends[-1]) if len(ends) else at
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(lens), pa.int32()), pa.array(ends - lens), pa.array(lens), *(batch.column(i) for i in (0, 2, 3, 4, 5, 6))], ["part", "start", "n", "node", "owner", "pos", "text", "loss_from", "loss_to"])
-
-    laid = laid.select("node", "path", "owner", "pos", "text", "loss_from", "loss_to").mapInArrow(run, "part int, start long, n long, node binary, owner long, pos long, text string, loss_from int, loss_to int")
-    laid.write.parquet(f"{to}/laid")
-    laid = spark.read.parquet(f"{to}/laid")
+    turns = written(turns_of(conversations), "turns")
+    ranked = in_order(turns.where("key is not null").select("cid", "key"), ["key"], ["cid"], "cid long")
+    ranked = written(ranked.select("cid", (F.col("part") * F.lit(1 << 33) + F.col("i")).alias("seq")), "ranked")
+    light = written(turns.select("cid", "k", "node", "n").join(ranked, "cid"), "light")
+    # each node once, without its text; partial aggregation takes the heat out of common first turns
+    nodes = light.groupBy("node").agg(F.min("seq").alias("seq"), F.first("k").alias("k"), F.first("n").alias("n"))
+    laid = written(in_order(nodes, ["seq", "k"], ["node", "seq", "n"], "node binary, seq long, n int"), "laid")
     # what stands before each range: one number for each partition
     totals = sorted((r["part"], r["n"]) for r in laid.groupBy("part").agg(F.sum("n").alias("n")).collect())
     before, at = [], 0
     for part, n in totals:
         before.append((part, at))
         at += n
-    base = F.broadcast(spark.createDataFrame(before or [(-1, 0)], "part int, base long"))
-    placed = laid.join(base, "part").select("node", "owner", (F.col("base") + F.col("start")).alias("start"), "n", "pos", "text", "loss_from", "loss_to")
-    steps = turns.select("conv_id", "k", "node").join(placed.select("node", "owner", "start", "n"), "node")
-    steps = steps.select("conv_id", "k", "node", "start", "n", F.col("owner").eqNullSafe(F.col("conv_id")).alias("own"))
-    steps = steps.repartition("conv_id").sortWithinPartitions("conv_id", "k")
+    base = F.broadcast(spark.createDataFrame(before or [(-1, 0)], "part long, base long"))
+    within = F.sum("n").over(Window.partitionBy("part").orderBy("i")) - F.col("n")
+    placed = written(laid.withColumn("start", within).join(base, "part").select("node", F.col("seq").alias("first"), (F.col("base") + F.col("start")).alias("start")), "placed")
+    steps = light.join(placed, "node").select("cid", "k", "start", "n", (F.col("first") == F.col("seq")).alias("own"))
+    steps = steps.repartition("cid").sortWithinPartitions("cid", "k")
+    schema = "cid long, k int, path array<long>, start long, attends array<array<long>>"
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.list_(pa.int64()))]
 
     def attend(batches):
-        now, begun, spans, path, rows = None, False, [], [], []
+        now, spans, path, rows = None, [], [], []
 
         def shaped():
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.list_(pa.int64())))], ["conv_id", "path", "start", "attends"]
-            )
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["cid", "k", "path", "start", "attends"])
 
         for batch in batches:
-            for c, start, n, own in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5)), strict=True):
-                if begun and c != now:
-                    rows.append((now, path, None, None))
+            for c, k, start, n, own in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if c != now and now is not None:
+                    rows.append((now, None, path, None, None))
                     spans, path = [], []
-                now, begun = c, True
+                now = c
                 if own:
-                    rows.append((None, None, start, [list(s) for s in spans]))
+                    rows.append((c, k, None, start, [list(s) for s in spans]))
                 if spans and spans[-1][1] == start:
                     spans[-1][1] = start + n
                 else:
@@ -183,17 +175,19 @@ def formatted(conversations: DataFrame, to: str | None = None) -> str:
             if len(rows) >= 5000:
                 yield shaped()
                 rows = []
-        if begun:
-            rows.append((now, path, None, None))
+        if now is not None:
+            rows.append((now, None, path, None, None))
             yield shaped()
 
-    both = steps.mapInArrow(attend, "conv_id long, path array<long>, start long, attends array<array<long>>")
-    both.write.parquet(f"{to}/steps")
-    both = spark.read.parquet(f"{to}/steps")
-    both.where("path is not null").select("conv_id", "path").write.parquet(f"{to}/conversations")
-    own = both.where("path is null").select("start", "attends").dropDuplicates(["start"])
-    out = placed.join(own, "start").select("start", (F.col("start") + F.col("n")).alias("end"), "pos", "text", "loss_from", "loss_to", "attends")
-    out.write.parquet(f"{to}/nodes")
+    both = written(steps.mapInArrow(attend, schema), "steps")
+    forget(ranked, light, laid, placed)
+    ids = turns.where("key is not null").select("cid", "conv_id")
+    own = both.where("start is not null").select("cid", "k", "start", "attends")
+    out = turns.select("cid", "k", "pos", "n", "text", "loss_from", "loss_to").join(own, ["cid", "k"])
+    with shuffles_dropped(spark):
+        both.where("path is not null").select("cid", "path").join(ids, "cid").select("conv_id", "path").write.parquet(f"{to}/conversations")
+        out.select("start", (F.col("start") + F.col("n")).alias("end"), "pos", "text", "loss_from", "loss_to", "attends").write.parquet(f"{to}/nodes")
+    forget(turns, both)
     return to
 
 

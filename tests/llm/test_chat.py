@@ -20,6 +20,30 @@ def rows():
     return out
 
 
+def assert_depth_first(starts, paths):
+    parent = {b: a for p in paths for a, b in zip([None, *p], p)}
+    stack = []
+    for s in starts:
+        while stack and stack[-1] != parent[s]:
+            stack.pop()
+        assert parent[s] is None or stack, s
+        stack.append(s)
+
+
+def test_depth_first_at_any_depth(spark, tmp_path):
+    """Conversations that share 70 to 119 turns, and part in several places."""
+    rng = random.Random(11)
+    data = []
+    for c in range(40):
+        shared = rng.choice([20, 70, 90, 119])
+        for t in range(shared + rng.randrange(1, 80)):
+            data.append((c, t, "user", f"t{t}" if t < shared else f"{rng.randrange(2)}", None))
+    at = chat.formatted(spark.createDataFrame(data, SCHEMA).repartition(3), f"file://{tmp_path}/deep")
+    nodes = sorted(r["start"] for r in spark.read.parquet(f"{at}/nodes").collect())
+    assert_depth_first(nodes, [r["path"] for r in spark.read.parquet(f"{at}/conversations").collect()])
+    assert chat.read_back(spark, at).count() == 40
+
+
 def test_turns_come_back(spark, tmp_path):
     data = rows()
     at = chat.formatted(spark.createDataFrame(data, SCHEMA).repartition(3), f"file://{tmp_path}/out")
@@ -42,6 +66,8 @@ def test_turns_come_back(spark, tmp_path):
     prefixes = {tuple((w, x) for _, w, x in t[:k]) for t in by.values() for k in range(1, len(t) + 1)}
     assert len(nodes) == len(prefixes)
     start = {n["start"]: n for n in nodes}
+    paths = [r["path"] for r in spark.read.parquet(f"{at}/conversations").collect()]
+    assert_depth_first([n["start"] for n in nodes], paths)
     stream = "".join(n["text"] for n in nodes)
     for r in spark.read.parquet(f"{at}/conversations").collect():
         text = "".join(start[s]["text"] for s in r["path"])
