@@ -50,6 +50,13 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return out
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Lets no Arrow batch be much over 4 MB, so that workers' memory doesn't depend on how long texts are. A value that the session has set itself stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(4 << 20))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or a longer one where df has a column of that name already."""
     taken = {c.lower() for c in df.columns}

@@ -1,8 +1,8 @@
 """Near-duplicate vectors by iterative quantisation (operator 5).
 
 Rotations learnt on a bounded sample make balanced binary codes; codes are cut into substrings, each with a
-table; long substrings, as many rows need them, get further rotations with tables of their own; two vectors meet where a substring of theirs differs in at most one bit (so every pair whose codes differ in fewer than
-twice as many bits as there are tables meets for sure), and are then compared by their original values.
+table (so every pair whose codes differ in fewer bits than there are tables meets for sure); as many rotations, with tables of their own, are made as it takes
+to miss few pairs right at the threshold. Those of a bucket whose whole codes are near are compared by their original values.
 """
 
 from __future__ import annotations
@@ -13,13 +13,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import components, written
+from revlens.llm.common import components, forget, modest_batches, written
 
 SAMPLE = 20_000
 #: Rows of a bucket that one task compares at once; larger buckets are dealt out by pairs of blocks.
 BUCKET = 4_000
 #: Share of the pairs right at the least cosine that may meet in no table, as far as bits differ independently.
-MISSED = 0.03
+MISSED = 0.01
 
 
 class Quantiser:
@@ -48,20 +48,29 @@ class Quantiser:
 
 
 def cuts(n: int, bits: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of each substring: about log2(n) bits each, four tables at least where the code allows."""
-    tables = max(4, min(bits // 8 or 1, bits // max(8, int(np.log2(max(n, 2))))))
-    tables = min(tables, max(bits, 1))
+    """(first bit, bits) of each substring: of about log2(n) - 6 bits, at least 8 where the code allows, so that a bucket has some tens of rows."""
+    tables = max(1, bits // max(8, int(np.log2(max(n, 2))) - 6))
     edge = [bits * k // tables for k in range(tables + 1)]
-    return [(a, b - a) for a, b in zip(edge, edge[1:], strict=False) if b > a]
+    return list(zip(edge, np.diff(edge).tolist()))
+
+
+def differing(least: float) -> float:
+    """The share of bits that differ right at the least cosine."""
+    return float(np.arccos(np.clip(least, -1, 1))) / np.pi
 
 
 def rotations(parts: list[tuple[int, int]], least: float) -> int:
-    """How many rotations it takes until all but MISSED of the pairs of cosine least agree but for one bit in some substring."""
-    p = float(np.arccos(np.clip(least, -1, 1))) / np.pi
-    miss = float(np.prod([1 - (1 - p) ** n - n * p * (1 - p) ** (n - 1) for _, n in parts]))
+    """How many rotations it takes until all but MISSED of the pairs of cosine least agree in some substring."""
+    miss = float(np.prod([1 - (1 - differing(least)) ** n for _, n in parts]))
     return 1 if miss <= MISSED else int(np.ceil(np.log(MISSED) / np.log(miss)))
 
 
+def reach(bits: int, least: float) -> int:
+    """Bits of a code in which pairs of cosine least differ at most: four deviations over the mean."""
+    p = differing(least)
+    return int(np.ceil(bits * p + 4 * np.sqrt(bits * p * (1 - p))))
+
+
 def unit_rows(flat: np.ndarray, d: int) -> np.ndarray:
     x = flat.reshape(-1, d).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
@@ -73,85 +82,109 @@ def classes_of(vectors: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keep, raw = [], []
-            for v in batch.column(1).to_pylist():
-                x = np.array([], np.float64) if v is None or None in v else np.array(v, np.float64)
-                ok = len(x) and np.isfinite(x).all() and x.any()
-                raw.append((x + 0.0).tobytes() if ok else None)  # -0.0 equals 0.0
-                keep.append(xxhash.xxh3_64_intdigest(raw[-1]) - (1 << 63) if ok else None)
+            column = batch.column(1)
+            offsets = column.offsets.to_numpy().astype(np.int64)
+            x = column.values.cast(pa.float64())
+            x = x.fill_null(np.nan).to_numpy(zero_copy_only=False) + 0.0  # -0.0 equals 0.0
+            wrong, some = (np.append(0, np.cumsum(v)) for v in (~np.isfinite(x), x != 0))
+            a, b = offsets[:-1], offsets[1:]
+            ok = (wrong[b] == wrong[a]) & (some[b] > some[a])
+            if column.null_count:
+                ok &= column.is_valid().to_numpy(zero_copy_only=False)
+            raw = [x[p:q].tobytes() if good else None for p, q, good in zip(a.tolist(), b.tolist(), ok.tolist(), strict=True)]
+            keep = [xxhash.xxh3_64_intdigest(r) - (1 << 63) if r is not None else None for r in raw]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keep, pa.int64()), pa.array(raw, pa.binary())], ["vec_id", "cid", "vec"])
 
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "vec_id long, cid long, vec binary")
 
 
-def meeting_rows(classes: DataFrame, quantisers: dict[int, list[Quantiser]], parts: dict[int, list[tuple[int, int]]], kind=np.float64) -> DataFrame:
-    """(bucket, member, cid, w, code, vec), code the codes of all rotations and vec of the given kind: a row in the bucket of each of its substrings, and as a visitor in those of the
-    substrings that have one of its ones cleared. So two that differ in one bit meet where the one with a zero is."""
+def members(classes: DataFrame, quantisers: dict[int, list[Quantiser]], parts: dict[int, list[tuple[int, int]]]) -> DataFrame:
+    """(bucket, d, t, cid, code) of classes (cid, vec): a row in the bucket of each substring t of each vector of length d; code has the codes of all rotations. The vectors stay behind."""
 
     def run(batches):
         for batch in batches:
-            cid, w, raw = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            size = np.array([len(x) >> 3 for x in raw])
+            cid, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            size = np.array([len(x) >> 3 for x in raw], np.int64)
             for d in np.unique(size).tolist():
                 at = np.flatnonzero(size == d)
-                flat = np.frombuffer(b"".join([raw[i] for i in at]), np.float64)
-                x = unit_rows(flat, d)
-                packed = [v.tobytes() for v in flat.reshape(-1, d).astype(kind)]
+                x = unit_rows(np.frombuffer(b"".join([raw[i] for i in at]), np.float64), d)
                 codes = np.stack([q.code(x) for q in quantisers[d]], 1)
-                coded = [c.tobytes() for c in codes]
+                code = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * codes.shape[1]), len(at), [None, pa.py_buffer(np.ascontiguousarray(codes))]).cast(pa.binary())
                 for t, (r, (a, n)) in enumerate((r, part) for r in range(len(quantisers[d])) for part in parts[d]):
                     sub = (codes[:, r] >> np.uint64(a)) & np.uint64((1 << n) - 1)
                     base = np.uint64((d * 4096 + t) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-                    out = [[], [], []]
-                    for k in range(-1, n):
-                        rows = np.arange(len(at)) if k < 0 else np.flatnonzero((sub >> np.uint64(k)) & np.uint64(1))
-                        key = sub[rows] if k < 0 else sub[rows] ^ np.uint64(1 << k)
-                        out[0].append((base + key).view(np.int64))
-                        out[1].append(np.full(len(rows), t * 2 + (k < 0), np.int32))
-                        out[2].append(rows)
-                    bucket, member, rows = map(np.concatenate, out)
-                    for p in range(0, len(rows), 1 << 14):
-                        some = rows[p : p + (1 << 14)]
-                        cols = [bucket[p : p + (1 << 14)], member[p : p + (1 << 14)], cid[at[some]], w[at[some]]]
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([coded[i] for i in some], pa.binary()), pa.array([packed[i] for i in some], pa.binary())], ["bucket", "member", "cid", "w", "code", "vec"])
-
-    return classes.mapInArrow(run, "bucket long, member int, cid long, w long, code binary, vec binary")
-
-
-def compared(member, cid, w, code, raw, parts, least: float, block=None, rows: int = 512, kind=np.float64):
-    """Of one bucket, or of two blocks of it: (cid, links) of each vector with links that are counted here, and edges that join linked ones.
-
-    A pair counts in the first table where it meets. Of two blocks only pairs across count.
-    """
-    d = len(raw[0]) // np.dtype(kind).itemsize
-    t = int(member[0]) >> 1
-    is_member = member & 1 == 1
-    x = unit_rows(np.frombuffer(b"".join(raw), kind), d)
-    code = np.frombuffer(b"".join(code), np.uint64).reshape(len(raw), -1)
-    every = np.arange(len(cid))
-    if block is None or len(np.unique(block)) == 1:
-        sides = [(every, every[is_member], True)]
-    else:
-        low = block == block.min()
-        sides = [(every[~low], every[low & is_member], False), (every[low & ~is_member], every[~low & is_member], False)]
+                    yield pa.RecordBatch.from_arrays([pa.array((base + sub).view(np.int64)), pa.array(np.full(len(at), d, np.int32)), pa.array(np.full(len(at), t, np.int32)), pa.array(cid[at]), code], ["bucket", "d", "t", "cid", "code"])
+
+    return classes.mapInArrow(run, "bucket long, d int, t int, cid long, code binary")
+
+
+def grouped(batches, key: tuple[int, ...]):
+    """The rows of each run of equal keys (columns of numbers), as one record batch; the rows are sorted by key."""
+    held, now = [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        cols = [batch.column(k).to_numpy() for k in key]
+        new = np.zeros(len(batch), bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        edge = [0, *np.flatnonzero(new).tolist(), len(batch)]
+        for i, j in zip(edge, edge[1:]):
+            this = tuple(int(c[i]) for c in cols)
+            if this != now and held:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            now = this
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def sides_of(own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+    """(left, right, whether they are the same) rows to compare: all of one block, or those of two blocks across."""
+    every = np.arange(len(own))
+    low = own == own.min()
+    return [(every, every, True)] if low.all() else [(every[~low], every[low], False)]
+
+
+def counted_here(a, b, cid, code, t: int, parts) -> np.ndarray:
+    """Which pairs of rows count in table t: distinct ones that agree in no earlier substring."""
+    differ = code[a] ^ code[b]
+    first = cid[a] != cid[b]
+    for k in range(t):
+        r, (start, n) = k // len(parts), parts[k % len(parts)]
+        first &= (differ[:, r] >> np.uint64(start)) & np.uint64((1 << n) - 1) != 0
+    return first
+
+
+def near_rows(cid, code, own, t: int, parts, most: int, step: int = 512) -> np.ndarray:
+    """Rows of a bucket that have a partner whose code differs in at most `most` bits and that counts here."""
+    hit = np.zeros(len(cid), bool)
+    r = t // len(parts)
+    for left, right, same in sides_of(own):
+        for p in range(0, len(left), step):
+            some = left[p : p + step]
+            a, b = np.nonzero(np.bitwise_count(code[some, r][:, None] ^ code[right, r][None, :]) <= most)
+            a, b = some[a], right[b]
+            if same:
+                a, b = a[a < b], b[a < b]
+            ok = counted_here(a, b, cid, code, t, parts)
+            hit[a[ok]] = hit[b[ok]] = True
+    return np.flatnonzero(hit)
+
+
+def compared(cid, w, code, x, own, t: int, parts, least: float, step: int = 512):
+    """Of one bucket, or of two blocks of it: (cid, links) of each vector with links that are counted here, and edges that join linked ones. A pair counts in the first table where it meets."""
     total = np.zeros(len(cid), np.int64)
     pairs_a, pairs_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for left, right, same in sides:
-        if not len(right):
-            continue
+    for left, right, same in sides_of(own):
         y = x[right].T
-        for p in range(0, len(left), rows):
-            a, b = np.nonzero(x[left[p : p + rows]] @ y >= least)
+        for p in range(0, len(left), step):
+            a, b = np.nonzero(x[left[p : p + step]] @ y >= least)
             a, b = left[a + p], right[b]
-            keep = cid[a] != cid[b]
-            if same:  # two members once, a visitor with each member
-                keep &= ~is_member[a] | (cid[a] < cid[b])
-            a, b = a[keep], b[keep]
-            differ = code[a] ^ code[b]
-            first = np.ones(len(a), bool)
-            for k in range(t):
-                r, (start, n) = k // len(parts[d]), parts[d][k % len(parts[d])]
-                first &= np.bitwise_count((differ[:, r] >> np.uint64(start)) & np.uint64((1 << n) - 1)) > 1
+            if same:
+                a, b = a[a < b], b[a < b]
+            first = counted_here(a, b, cid, code, t, parts)
             a, b = a[first], b[first]
             np.add.at(total, a, w[b])
             np.add.at(total, b, w[a])
@@ -172,73 +205,84 @@ def compared(member, cid, w, code, raw, parts, least: float, block=None, rows: i
     return cid[some], total[some], cid[hung], cid[label[hung]]
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, sample: int = SAMPLE, bucket: int = BUCKET) -> DataFrame:
+def dealt(rows: DataFrame, bucket: int) -> DataFrame:
+    """rows with own (block of a row in a hot bucket) and cell: a hot bucket is dealt out by pairs of blocks of about half of bucket."""
+    hot = written(rows.groupBy("bucket").count().where(F.col("count") > bucket).select("bucket", F.ceil(F.col("count") / (bucket // 2)).cast("int").alias("blocks")), "hot")
+    own = F.coalesce(F.pmod(F.xxhash64("cid"), F.col("blocks")), F.lit(0)).cast("int")
+    cells = F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o)))
+    met = rows.join(hot, "bucket", "left") if not hot.isEmpty() else rows.withColumn("blocks", F.lit(None).cast("int"))
+    # a pair of one block meets in each cell of that block: it counts in the cell of the block with itself only
+    return met.select(*rows.columns, own.alias("own"), F.explode(cells).alias("cell"))
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.9, sample: int = SAMPLE, bucket: int = BUCKET, exact: bool = False) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row of vectors (vec_id, embedding): links join rows of cosine at least least.
 
     Equal vectors link without a search. Null vectors, zero ones and those with null or non-finite values link with nothing, and
     vectors of different lengths don't link. A row without a vec_id counts for nobody and has null for its component and kept.
     Rows that share a vec_id stay separate rows. Other columns are ignored. An empty table gives an empty result.
-    The sample for the rotation is bounded; every vector is indexed.
+    The sample for the rotation is bounded (about sample vectors of each length, by hash); every vector is indexed. exact: all pairs are compared, in blocks.
+
+    Codes alone are dealt out to the buckets; vectors go just to those where one has a partner whose code is near.
     """
+    spark = vectors.sparkSession
+    modest_batches(spark)
     rows = written(classes_of(vectors), "vectors")
     valid = rows.where("cid is not null and vec_id is not null")
     classes = written(valid.groupBy("cid").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.first("vec").alias("vec")), "classes")
-    sizes = {r["d"]: r["n"] for r in classes.groupBy((F.octet_length("vec") / 8).cast("int").alias("d")).agg(F.count("*").alias("n")).collect()}
+    length = (F.octet_length("vec") / 8).cast("int")
+    sizes = {r["d"]: r["n"] for r in classes.groupBy(length.alias("d")).count().withColumnRenamed("count", "n").collect()}
+    part = F.create_map(*(F.lit(v) for d, n in sizes.items() for v in (d, min(1.0, sample / n)))) if sizes else None
     taken: dict[int, list[bytes]] = {}
-    for r in classes.orderBy(F.xxhash64("cid")).select("vec").limit(sample).collect():  # at most `sample` vectors
-        taken.setdefault(len(r["vec"]) >> 3, []).append(bytes(r["vec"]))
+    if sizes:  # about `sample` vectors of each length
+        for r in classes.where(F.pmod(F.xxhash64(F.lit(3), "cid"), F.lit(1 << 30)) < part[length] * (1 << 30)).select("vec").collect():
+            taken.setdefault(len(r["vec"]) >> 3, []).append(bytes(r["vec"]))
     samples = {d: unit_rows(np.frombuffer(b"".join(taken[d]), np.float64), d) if d in taken else np.eye(d) for d in sizes}
-    parts = {d: cuts(n, min(64, d)) for d, n in sizes.items()}
-    quantisers = {d: [Quantiser(samples[d], seed=7 + r) for r in range(rotations(parts[d], least))] for d in sizes}
-    kind = np.float32 if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64  # of the column: nothing is rounded
-    met = meeting_rows(classes.select("cid", "w", "vec"), quantisers, parts, kind)
-    narrow = met.select("bucket").groupBy("bucket").count()
-    hot = narrow.where(F.col("count") > bucket).select("bucket", F.ceil(F.col("count") / (bucket // 2)).cast("int").alias("blocks"))
-    hot = written(hot, "hot")
-    met = met.join(hot, "bucket", "left") if not hot.isEmpty() else met.withColumn("blocks", F.lit(None).cast("int"))
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    cells = F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o)))
-    # a pair of one block meets in each cell of that block: it counts in the cell of the block with itself only
-    met = met.select("*", F.explode(cells).alias("cell"), own.alias("own"))
+    parts = {d: [(0, 0)] if exact else cuts(n, min(64, d)) for d, n in sizes.items()}
+    quantisers = {d: [Quantiser(samples[d], seed=7 + r) for r in range(1 if exact else rotations(parts[d], least))] for d in sizes}
+    most = {d: 64 if exact else reach(min(64, d), least) for d in sizes}
+    names = ["bucket", "cell", "d", "t", "cid", "code", "own"]
+    met = dealt(members(classes.select("cid", "vec"), quantisers, parts), bucket).select(*names)
     met = met.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
 
-    def run(batches):
-        held, now = [], None
-
-        def done():
-            c = [np.concatenate([h[k] for h in held]) for k in range(6)]
-            raw = [x for h in held for x in h[6]]
-            if len(raw) < 2 or not (c[0] & 1).any():
-                return None
-            ids, n, a, b = compared(c[0], c[1], c[2], c[3], raw, parts, least, c[5], kind=kind)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids, a])), pa.array(np.concatenate([n, np.zeros(len(a), np.int64)])), pa.array([None] * len(ids) + b.tolist(), pa.int64())], ["a", "n", "b"]) if len(ids) or len(a) else None
+    def columns(group):
+        cid, own = group.column("cid").to_numpy(), group.column("own").to_numpy()
+        code = np.frombuffer(b"".join(group.column("code").to_pylist()), np.uint64).reshape(len(cid), -1)
+        return group.column("d")[0].as_py(), group.column("t")[0].as_py(), cid, code, own
 
-        for batch in batches:
-            key = batch.column(0).to_numpy(), batch.column(7).to_numpy()
-            if not len(batch):
+    def near(batches):
+        held, size = [], 0
+        for group in grouped(batches, (0, 1)):
+            if len(group) < 2:
                 continue
-            edge = np.flatnonzero(np.append(True, (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])))
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 4)]
-            cols += [batch.column(6).fill_null(-1).to_numpy(zero_copy_only=False), batch.column(8).fill_null(-1).to_numpy(zero_copy_only=False)]
-            for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(batch)], strict=True):
-                this = int(key[0][i]), int(key[1][i])
-                if this != now and held:
-                    got = done()
-                    if got is not None:
-                        yield got
-                    held = []
-                now = this
-                held.append(([*(c[i:j] for c in cols), batch.column(5).slice(i, j - i).to_pylist()]))
+            d, t, cid, code, own = columns(group)
+            some = near_rows(cid, code, own, t, parts[d], most[d])
+            if len(some):
+                held.append(group.take(pa.array(some)))
+                size += len(some)
+            if size > 20_000:
+                yield from pa.concat_tables(held).combine_chunks().to_batches()
+                held, size = [], 0
         if held:
-            got = done()
-            if got is not None:
-                yield got
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
 
-    found = written(met.select("bucket", "member", "cid", "w", "code", "vec", "blocks", "cell", "own").mapInArrow(run, "a long, n long, b long"), "found")
+    kept = written(met.mapInArrow(near, "bucket long, cell int, d int, t int, cid long, code binary, own int"), "near")
+    full = kept.join(classes.select("cid", "w", "vec"), "cid").select(*names, "w", "vec").repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
+
+    def run(batches):
+        for group in grouped(batches, (0, 1)):
+            d, t, cid, code, own = columns(group)
+            x = unit_rows(np.frombuffer(b"".join(group.column("vec").to_pylist()), np.float64), d)
+            ids, n, a, b = compared(cid, group.column("w").to_numpy(), code, x, own, t, parts[d], least)
+            if len(ids) or len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids, a])), pa.array(np.concatenate([n, np.zeros(len(a), np.int64)])), pa.array([None] * len(ids) + b.tolist(), pa.int64())], ["a", "n", "b"])
+
+    found = written(full.mapInArrow(run, "a long, n long, b long"), "found")
     counts = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("others"))
     comp = components(found.where("b is not null").select("a", "b"))
     named = classes.select("cid", "rep", "w").join(comp.withColumnRenamed("node", "cid"), "cid", "left").join(counts, "cid", "left")
     named = written(named.select("cid", "rep", (F.col("w") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("comp", "cid").alias("comp")), "named")
+    forget(classes, kept, found, comp)
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by = named.join(smallest, "comp").select("cid", "n_links", "component_id")
     out = rows.select("vec_id", "cid").join(by, "cid", "left")
