@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import new_path
+from revlens.llm.common import modest_batches, new_path
 from revlens.llm.pretoken import Codec, Slice, gathered, text_slices
 
 OPEN = 0xFFFFFFFF
@@ -291,6 +291,7 @@ def encoded(docs: DataFrame, path: str, chunk: int = 2_048, overlap: int = 256,
     Null texts count as empty: no ids, digests of nothing. Repeated doc_ids stay separate rows, a null doc_id stays null. Other columns
     are ignored. with_ids adds the ids (array<int>). An empty table gives an empty result.
     """
+    modest_batches(docs.sparkSession)
     schema = ENCODED + (", ids array<int>" if with_ids else "")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     step = long_text // 2
@@ -423,6 +424,7 @@ def packed_files(docs: DataFrame, path: str, end_id: int, to: str, length: int =
     bounded by the number of partitions. Ties of doc_id are ordered by text; null texts are empty and give
     just end_id; a null doc_id comes first.
     """
+    modest_batches(docs.sparkSession)
     vocab, _, special = merge_file(path)
     strings = sorted(special)
     kind = np.uint16 if max([*vocab.values(), *special.values(), end_id]) < 1 << 16 else np.uint32
@@ -531,6 +533,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     Null texts count as empty: 0 bytes, 0 tokens. Special strings in texts are one token each. Repeated
     doc_ids stay separate rows; other columns are ignored; an empty table gives an empty result.
     """
+    modest_batches(docs.sparkSession)
     strings = sorted(merge_file(path)[2])
     if len(strings) > 1:
         raise ValueError("token_counts: more than one special string isn't supported")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from revlens.llm.common import forget, new_path, shuffles_dropped, written
+from revlens.llm.common import forget, modest_batches, new_path, shuffles_dropped, written
 
 HEAD, COLON, END = "### ", ": ", "</turn>\n"
 _ESCAPED, _BACK = re.compile(r"[\\#<:\n]"), re.compile(r"\\(.)", re.S)
@@ -131,6 +131,7 @@ def formatted(conversations: DataFrame, to: str | None = None) -> str:
     one conversation; equal rows count as often as they stand. Other columns are ignored. An empty table gives empty ones.
     """
     spark = conversations.sparkSession
+    modest_batches(spark)
     to = to or new_path(spark, "chat")
     turns = written(turns_of(conversations), "turns")
     ranked = in_order(turns.where("key is not null").select("cid", "key"), ["key"], ["cid"], "cid long")

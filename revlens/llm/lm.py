@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import written
+from revlens.llm.common import modest_batches, written
 from revlens.llm.pretoken import lower_bytes, text_slices, words
 
 CLASSES, WIDTH = 32, 32
@@ -242,6 +242,7 @@ def lm_scores(docs: DataFrame, folds: int = 10, rounds: int = 1, sent: int = SEN
     just their end. A row without a doc_id is scored, neither held out nor learnt from. Repeated doc_ids stay separate rows. Other
     columns are ignored. Without a training text all counts are 0. An empty table gives an empty result.
     """
+    modest_batches(docs.sparkSession)
     docs = prepared(docs, folds)
     table = written(counted(docs), "counts")
     total = table.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revlens.llm.common import modest_batches
 from revlens.llm.pretoken import text_slices, words
 
 #: What each sign may stand for.
@@ -31,7 +32,8 @@ SYMBOLS = len(LATIN) + 2
 @cache
 def symbols() -> np.ndarray:
     """The symbol of each code point."""
-    from revlens.llm.pretoken import LETTER, classes
+    from revlens.llm.common import modest_batches
+from revlens.llm.pretoken import LETTER, classes
 
     out = np.where(classes() == LETTER, SYMBOLS - 1, 0).astype(np.uint8)
     for i, c in enumerate(LATIN):
@@ -219,6 +221,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 12_000, least: int = 6
     have it must be sure at least. All such features are kept; their number is bounded by the labelled rows.
     Rows without a label, and labels without a text, don't count; of several labels of a doc_id the largest holds.
     """
+    modest_batches(docs.sparkSession)
     model = CharModel(char_counts(docs))
     folds = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     picked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(folds != 1)
