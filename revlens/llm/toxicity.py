@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.llm.common import modest_batches
-from revlens.llm.pretoken import text_slices, words
+from revlens.llm.pretoken import LETTER, classes, text_slices, words
 
 #: What each sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
@@ -32,8 +32,6 @@ SYMBOLS = len(LATIN) + 2
 @cache
 def symbols() -> np.ndarray:
     """The symbol of each code point."""
-    from revlens.llm.common import modest_batches
-from revlens.llm.pretoken import LETTER, classes
 
     out = np.where(classes() == LETTER, SYMBOLS - 1, 0).astype(np.uint8)
     for i, c in enumerate(LATIN):
