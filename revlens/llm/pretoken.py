@@ -10,7 +10,7 @@ import pyarrow as pa
 
 _CLASSES = None
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 
 def classes() -> np.ndarray:
@@ -20,7 +20,7 @@ def classes() -> np.ndarray:
         import regex
 
         table = np.full(0x110000, OTHER, np.uint8)
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        every = np.append(np.arange(0xD800), np.arange(0xE000, 0x110000)).astype("<u4").tobytes().decode("utf-32-le")  # all but surrogates, without an object for each
         for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\p{White_Space}+", SPACE)):
             for m in regex.finditer(pattern, every):
                 table[ord(m[0][0]) : ord(m[0][-1]) + 1][: len(m[0])] = kind

@@ -32,7 +32,6 @@ SYMBOLS = len(LATIN) + 2
 @cache
 def symbols() -> np.ndarray:
     """The symbol of each code point."""
-
     out = np.where(classes() == LETTER, SYMBOLS - 1, 0).astype(np.uint8)
     for i, c in enumerate(LATIN):
         out[c] = i + 1
