@@ -134,7 +134,7 @@ def formatted(conversations: DataFrame, to: str | None = None) -> str:
     modest_batches(spark)
     to = to or new_path(spark, "chat")
     turns = written(turns_of(conversations), "turns")
-    ranked = in_order(turns.where("key is not null").select("cid", "key"), ["key"], ["cid"], "cid long")
+    ranked = in_order(turns.where("key is not null").select("cid", "key"), ["key", "cid"], ["cid"], "cid long")  # equal conversations are dealt out, too
     ranked = written(ranked.select("cid", (F.col("part") * F.lit(1 << 33) + F.col("i")).alias("seq")), "ranked")
     light = written(turns.select("cid", "k", "node", "n").join(ranked, "cid"), "light")
     # each node once, without its text; partial aggregation takes the heat out of common first turns
