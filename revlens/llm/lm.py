@@ -1,167 +1,204 @@
 """A hashed maximum-entropy language model (operator 3).
 
-Frequent tokens fall into classes by frequency; all others share one more class. The probability of a token is
-that of its class times that of the token within it, each a softmax over summed weights of hashed features of what stands before:
-the last token, the one before it (a skip feature) and both together. Within the class of other tokens
-it is their smoothed frequency. Tasks make gradient steps on what they read, and their changes are averaged.
+Every token has a class: the most frequent ones share classes of WIDTH by rank, each with a place of its own; all others are in a class for
+each power of two of their counts, or, where their counts aren't sent to tasks, in the class of the tail, and their place there is a hash. The probability of a token is
+that of its class times that of its place within it, each a softmax over summed weights of hashed features of the words that stand before,
+whichever words these are: the last one (a bigram) and the one before it (a skip feature). Where words share a place, each has its
+share of their counts. Tasks make gradient steps on what they read, and their changes are averaged.
 """
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import modest_batches, written
+from revlens.llm.common import forget, modest_batches, written
 from revlens.llm.pretoken import lower_bytes, text_slices, words
 
 CLASSES, WIDTH = 32, 32
 FREQUENT = CLASSES * WIDTH
-OTHER, START = FREQUENT, FREQUENT + 1  # ids of all other tokens, and of what stands before a text
+#: What stands before a text, in place of a word's hash.
+START = np.uint64(1)
 #: Words whose counts go along with the code, at most; counts of all others meet their words in a join.
 SENT = 200_000
-ROWS_1, ROWS_2 = 1 << 13, 1 << 14
-HASHES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint64)
+#: Rows of weights for classes: a power of two from a sixteenth of the vocabulary on, within these bounds; for places twice as many.
+LEAST_ROWS, MOST_ROWS = 1 << 13, 1 << 15
+#: Tokens of a gradient step.
+STEP = 1 << 14
+HASHES = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+#: The bias of what never occurs.
+NEVER = -40.0
 
 
-def hashed(*parts: np.ndarray, rows: int) -> np.ndarray:
-    """A row for each combination; row 0 is the bias."""
+def mixed(*parts: np.ndarray) -> np.ndarray:
     h = np.zeros(len(parts[0]), np.uint64)
     for k, p in enumerate(parts):
         h = (h ^ (p.astype(np.uint64) + np.uint64(k + 1))) * HASHES[k]
-        h ^= h >> np.uint64(15)
-    return (h % np.uint64(rows - 1)).astype(np.int64) + 1
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def hashed(*parts: np.ndarray, rows: int) -> np.ndarray:
+    """A row for each combination."""
+    return (mixed(*parts) & np.uint64(rows - 1)).astype(np.int64)
+
+
+def word_hash(word: bytes) -> int:
+    """The same as xxhash64(word) in Spark, but unsigned."""
+    return xxhash.xxh64_intdigest(word, seed=42)
 
 
 class Counts:
-    """Counts of training tokens: of all, and of those sent along."""
+    """Counts of training tokens: of all, and of those sent along. top: (word, count); tail: (words, sum of counts) of all other words by place."""
 
-    def __init__(self, n: int, v: int, ends: int, top: list[tuple[str, int]]):
+    def __init__(self, n: int, v: int, ends: int, top: list[tuple[str, int]], tail: np.ndarray):
         self.n, self.v, self.ends = n, v, ends
-        self.count = {w.encode(): c for w, c in top}
-        by = sorted([(-c, w.encode()) for w, c in top])[: FREQUENT - 1]
-        order = sorted([*by, (-ends, None)] if ends else by, key=lambda x: (x[0], x[1] or b""))
-        self.ids = {w: i for i, (_, w) in enumerate(order)}  # the end's key is None
-        self.own = np.array([-c for c, _ in order], np.float64)
-        held = int(self.own.sum())
-        self.n_other, self.v_other = n - held, v - len(order)
+        by = sorted((-c, w.encode()) for w, c in top)
+        order = sorted([*by[: FREQUENT - 1], (-ends, None)] if ends else by[: FREQUENT - 1], key=lambda x: (x[0], x[1] or b""))
+        band = np.array([int(-c).bit_length() for c, _ in by[FREQUENT - 1 :]], np.int64)
+        bands = np.unique(band).tolist()
+        self.classes = CLASSES + len(bands) + 1
+        self.tail = self.classes - 1
+        self.mass = np.zeros((self.classes, WIDTH))
+        self.mass.reshape(-1)[: len(order)] = [-c for c, _ in order]
+        self.known: dict[bytes, tuple[int, int, int]] = {}  # word: class, place, count
+        self.end = (self.tail, 0)
+        for i, (c, w) in enumerate(order):
+            if w is None:
+                self.end = divmod(i, WIDTH)
+            else:
+                self.known[w] = (*divmod(i, WIDTH), -c)
+        for (c, w), b in zip(by[FREQUENT - 1 :], band.tolist(), strict=True):
+            k = CLASSES + bands.index(b), word_hash(w) % WIDTH
+            self.known[w] = (*k, -c)
+            self.mass[k] += 0.1 - c
+        self.mass[self.tail] = tail[:, 1] + 0.1 * (tail[:, 0] + 1)  # and an unknown word
 
     def base(self, c):
         return np.log10((c + 0.1) / (self.n + 0.1 * (self.v + 1)))
 
-    def other(self, c):
-        return np.log10((c + 0.1) / (self.n_other + 0.1 * (self.v_other + 1)))
-
-    def end_id(self) -> int:
-        return self.ids.get(None, OTHER)
-
 
 class Model:
     """Weights of both softmaxes; their biases begin with the tokens' frequencies."""
 
-    def __init__(self, counts: Counts):
-        self.first = np.zeros((ROWS_1, CLASSES + 1), np.float32)
-        self.second = np.zeros((ROWS_2, WIDTH), np.float32)
-        self.biases = np.full((CLASSES, WIDTH), -np.inf, np.float32)
-        k = len(counts.own)
-        self.biases.reshape(-1)[:k] = np.log(np.maximum(counts.own, 1e-9))
-        mass = np.append(np.add.reduceat(np.append(counts.own, np.zeros(FREQUENT - k)), np.arange(0, FREQUENT, WIDTH)), counts.n_other + 0.1 * (counts.v_other + 1))
+    def __init__(self, counts: Counts, rows: int | None = None):
+        if rows is None:
+            rows = min(MOST_ROWS, max(LEAST_ROWS, 1 << max(0, counts.v // 16 - 1).bit_length()))
+        self.first = np.zeros((rows, counts.classes), np.float32)
+        self.second = np.zeros((2 * rows, WIDTH), np.float32)
         with np.errstate(divide="ignore"):
-            self.class_bias = np.log(mass).astype(np.float32)
+            mass = counts.mass.sum(1, keepdims=True)
+            self.biases = np.maximum(np.log(counts.mass / np.maximum(mass, 1e-9)), NEVER).astype(np.float32)
+            self.class_bias = np.maximum(np.log(mass[:, 0] / mass.sum()), NEVER).astype(np.float32)
 
-    @staticmethod
-    def rows_1(w1, w2):
-        return np.stack([hashed(np.zeros_like(w1), w1, rows=ROWS_1), hashed(np.ones_like(w1), w2, rows=ROWS_1), hashed(w1 + 2, w2, rows=ROWS_1)], 1)
+    def rows_1(self, w1, w2):
+        n, zero = len(self.first), np.zeros_like(w1)
+        return np.stack([hashed(zero, w1, rows=n), hashed(zero + np.uint64(1), w2, rows=n)], 1)
 
-    @staticmethod
-    def rows_2(c, w1, w2):
-        return np.stack([hashed(c, np.zeros_like(w1), w1, rows=ROWS_2), hashed(c, np.ones_like(w1), w2, rows=ROWS_2)], 1)
+    def rows_2(self, c, w1, w2):
+        n, zero = len(self.second), np.zeros_like(w1)
+        return np.stack([hashed(c, zero, w1, rows=n), hashed(c, zero + np.uint64(1), w2, rows=n)], 1)
 
     @staticmethod
-    def logs(bias, weights, rows, step: int = 1 << 15):
+    def logs(bias, weights, rows, step: int = 1 << 13):
         """Natural logs of the softmax for each row of features, computed a part at a time."""
         out = np.empty((len(rows), weights.shape[1]), np.float32)
         for p in range(0, len(rows), step):
-            x = weights[rows[p : p + step]].sum(1) + (bias if bias.ndim == 1 else bias[p : p + step])
-            x -= x.max(1, keepdims=True)
+            r = rows[p : p + step]
+            x = weights[r[:, 0]]
+            for k in range(1, r.shape[1]):
+                x += weights[r[:, k]]
+            x += bias if bias.ndim == 1 else bias[p : p + step]
+            np.minimum(x, 60, out=x)  # far above what weights come to; no overflow
             x -= np.log(np.exp(x).sum(1, keepdims=True))
             out[p : p + step] = x
         return out
 
-    def log_classes(self, w1, w2):
-        return self.logs(self.class_bias, self.first, self.rows_1(w1, w2))
-
-    def log_within(self, c, w1, w2):
-        return self.logs(self.biases[c], self.second, self.rows_2(c, w1, w2))
-
-    def of_tokens(self, ids, w1, w2) -> np.ndarray:
-        """log10 of each token's probability but for the factor within the class of other tokens. Each context is computed once."""
-        contexts, at = np.unique(w1 * (START + 1) + w2, return_inverse=True)
-        c1, c2 = contexts // (START + 1), contexts % (START + 1)
-        c = np.minimum(ids // WIDTH, CLASSES)
-        out = self.log_classes(c1, c2)[at, c].astype(np.float64)
-        inner = np.flatnonzero(c < CLASSES)
-        pairs, to = np.unique(at[inner] * CLASSES + c[inner], return_inverse=True)
-        x, k = pairs // CLASSES, pairs % CLASSES
-        out[inner] += self.log_within(k, c1[x], c2[x])[to, ids[inner] % WIDTH]
+    @staticmethod
+    def contexts(w1, w2):
+        """(the different contexts, index of each token's among them)."""
+        _, first, at = np.unique(mixed(w1, w2), return_index=True, return_inverse=True)
+        return w1[first], w2[first], at
+
+    def of_tokens(self, cls, pos, w1, w2) -> np.ndarray:
+        """log10 of the probability of each token's class and place. Each context is computed once."""
+        c1, c2, at = self.contexts(w1, w2)
+        out = self.logs(self.class_bias, self.first, self.rows_1(c1, c2))[at, cls].astype(np.float64)
+        pairs, to = np.unique(at * len(self.class_bias) + cls, return_inverse=True)
+        x, k = np.divmod(pairs, len(self.class_bias))
+        out += self.logs(self.biases[k], self.second, self.rows_2(k, c1[x], c2[x]))[to, pos]
         return out / np.log(10)
 
 
 class Learner:
-    """Gradient steps with a rate for each weight (AdaGrad)."""
+    """Gradient steps with a rate for each row of weights (AdaGrad)."""
 
     def __init__(self, model: Model, rate: float):
         self.m, self.rate = model, rate
-        self.g1, self.g2 = np.full(model.first.shape, 1e-3, np.float32), np.full(model.second.shape, 1e-3, np.float32)
+        self.g1, self.g2 = np.full(len(model.first), 1e-3, np.float32), np.full(len(model.second), 1e-3, np.float32)
 
     def move(self, weights, squares, rows, gradient):
         for k in range(rows.shape[1]):
-            order = np.argsort(rows[:, k], kind="stable")
+            order = np.argsort(rows[:, k])
             r = rows[order, k]
             at = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
             g = np.add.reduceat(gradient[order], at, axis=0)
             r = r[at]
-            squares[r] += g * g
-            weights[r] += self.rate * g / np.sqrt(squares[r])
+            squares[r] += np.einsum("ij,ij->i", g, g)
+            g *= (self.rate / np.sqrt(squares[r]))[:, None]
+            weights[r] += g
 
-    def learn(self, ids, w1, w2, steps: int = 2):
+    def learn(self, cls, pos, w1, w2):
         m = self.m
-        contexts, at = np.unique(w1 * (START + 1) + w2, return_inverse=True)
-        c1, c2 = contexts // (START + 1), contexts % (START + 1)
-        c = np.minimum(ids // WIDTH, CLASSES)
-        seen = np.bincount(at * (CLASSES + 1) + c, minlength=len(contexts) * (CLASSES + 1)).reshape(-1, CLASSES + 1).astype(np.float32)
-        inner = np.flatnonzero(c < CLASSES)
-        pairs, to = np.unique(at[inner] * CLASSES + c[inner], return_inverse=True)
-        x, k = pairs // CLASSES, pairs % CLASSES
-        within = np.bincount(to * WIDTH + ids[inner] % WIDTH, minlength=len(pairs) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
-        rows_1, rows_2 = m.rows_1(c1, c2), m.rows_2(k, c1[x], c2[x])
-        for _ in range(steps):
-            self.move(m.first, self.g1, rows_1, seen - seen.sum(1, keepdims=True) * np.exp(m.logs(m.class_bias, m.first, rows_1)))
-            if len(pairs):
-                self.move(m.second, self.g2, rows_2, within - within.sum(1, keepdims=True) * np.exp(m.logs(m.biases[k], m.second, rows_2)))
+        n = len(m.class_bias)
+        c1, c2, at = m.contexts(w1, w2)
+        rows = m.rows_1(c1, c2)
+        much = np.bincount(at, minlength=len(c1)).astype(np.float32)
+        p = np.exp(m.logs(m.class_bias, m.first, rows))
+        p *= -much[:, None]
+        np.add.at(p, (at, cls), np.float32(1))
+        self.move(m.first, self.g1, rows, p)
+        pairs, to, much = np.unique(at * n + cls, return_inverse=True, return_counts=True)
+        x, k = np.divmod(pairs, n)
+        rows = m.rows_2(k, c1[x], c2[x])
+        p = np.exp(m.logs(m.biases[k], m.second, rows))
+        p *= -much.astype(np.float32)[:, None]
+        np.add.at(p, (to, pos), np.float32(1))
+        self.move(m.second, self.g2, rows, p)
 
 
 class Reader:
-    """Tokens of slices as ids."""
+    """Tokens of slices as classes, places and contexts."""
 
     def __init__(self, counts: Counts):
-        self.counts, self.end = counts, counts.end_id()
+        self.counts = counts
+        self.at = {w: i for i, w in enumerate(counts.known)}
+        self.of = np.array([*counts.known.values(), (counts.tail, 0, -1)], np.int64)
 
     def tokens(self, data, firsts):
-        """(ids with the end of each text, those before, those before these, first token of each text; distinct words, index of each word among them, first word of each text)."""
+        """(class and place of each token, ends of texts among them; hashes of the words before and before those; first token of each text; distinct words, their counts (-1: not sent) and
+        places, index of each word among them, first word of each text)."""
         found, cuts = words(lower_bytes(data), firsts)
         enc = found.dictionary_encode()
         distinct = enc.dictionary.to_pylist()
-        index = enc.indices.to_numpy()
-        own = np.fromiter((self.counts.ids.get(w, OTHER) for w in distinct), np.int64, len(distinct))
-        ids = np.insert(own[index] if len(index) else np.zeros(0, np.int64), cuts[1:], self.end)
+        index = enc.indices.to_numpy() if len(found) else np.zeros(0, np.int64)
+        h = np.fromiter(map(xxhash.xxh64_intdigest, distinct, repeat(42)), np.uint64, len(distinct))
+        at = np.fromiter(map(self.at.get, distinct, repeat(-1)), np.int64, len(distinct))
+        of = list(self.of[at].T)
+        of[1] = np.where(at < 0, (h % np.uint64(WIDTH)).astype(np.int64), of[1])
+        cls, pos = (np.insert(of[k][index], cuts[1:], self.counts.end[k]) for k in (0, 1))
+        h = np.insert(h[index], cuts[1:], START)
         begin = cuts[:-1] + np.arange(len(cuts) - 1)
-        w1 = np.append(START, ids[:-1])
+        w1 = np.append(START, h[:-1])
         w1[begin] = START
         w2 = np.append(START, w1[:-1])
         w2[begin] = START
-        return ids, w1, w2, begin, distinct, index, cuts
+        return (cls, pos, w1, w2), begin, distinct, of, index, cuts
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -179,20 +216,20 @@ def counted(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def most_frequent(table: DataFrame, most: int) -> list[tuple[str, int]]:
-    """The most frequent words of (word, c), at most `most` of them. A histogram of counts on a log scale finds how frequent they must be, so that no
-    more than these come to the driver: a sort with a limit would send as many from every partition."""
+def most_frequent(table: DataFrame, most: int) -> F.Column:
+    """Whether a word of (word, c) is among the most frequent ones, of which there are about `most` at most. A histogram of counts on a log scale finds how frequent they must
+    be, so that no more than these come to the driver: a sort with a limit would send as many from every partition. Of a band that would be too many, a share by hash is taken."""
     band = F.floor(F.log2("c") * 16).cast("int")
-    floor, n = None, 0
+    n = 0
     for r in sorted(table.groupBy(band.alias("band")).count().collect(), key=lambda r: -r["band"]):
+        if n + r["count"] > most:
+            part = F.pmod(F.xxhash64(F.lit(5), "word"), F.lit(1 << 20)) < int((most - n) / r["count"] * (1 << 20))
+            return (band > r["band"]) | ((band == r["band"]) & part)
         n += r["count"]
-        if n > most:
-            break
-        floor = r["band"]
-    return [] if floor is None else [(r["word"], r["c"]) for r in table.where(band >= floor).collect()]
+    return F.lit(True)
 
 
-def trained(docs: DataFrame, counts: Counts, rounds: int = 1, rate: float = 0.3) -> Model:
+def trained(docs: DataFrame, counts: Counts, rounds: int = 1, rate: float = 1.0) -> Model:
     """The model after rounds passes over the training texts. In a pass each task makes gradient steps from the weights so far; then the
     changes of each row are averaged over the tasks that changed it. What comes to the driver has the size of the model."""
     model = Model(counts)
@@ -205,28 +242,33 @@ def trained(docs: DataFrame, counts: Counts, rounds: int = 1, rate: float = 0.3)
             first, second = model.first.copy(), model.second.copy()
             for batch in batches:
                 for _, _, data, firsts in text_slices(batch.column(0)):
-                    ids, w1, w2, *_ = reader.tokens(data, firsts)
-                    learner.learn(ids, w1, w2)
-            out = []
+                    tokens = reader.tokens(data, firsts)[0]
+                    for p in range(0, len(tokens[0]), STEP):
+                        learner.learn(*(x[p : p + STEP] for x in tokens))
             for t, (now, before) in enumerate(((model.first, first), (model.second, second))):
                 d = now - before
-                out += [(t, k, d[k * block : (k + 1) * block].tobytes()) for k in range(len(d) // block) if d[k * block : (k + 1) * block].any()]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], ["t", "k", "d"])
+                for p in range(0, len(d), 16 * block):
+                    some = [(k, d[k : k + block]) for k in range(p, min(p + 16 * block, len(d)), block)]
+                    some = [(k, x.tobytes()) for k, x in some if x.any()]
+                    yield pa.RecordBatch.from_arrays([pa.array([t] * len(some), pa.int32()), pa.array([k for k, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], ["t", "k", "d"])
 
         def mean(key, table):
             n, total = 0, 0.0
-            width = CLASSES + 1 if key[0].as_py() == 0 else WIDTH
+            width = counts.classes if key[0].as_py() == 0 else WIDTH
             for d in table.column("d"):
-                x = np.frombuffer(d.as_py(), np.float32).reshape(block, width).astype(np.float64)
+                x = np.frombuffer(d.as_buffer(), np.float32).reshape(-1, width).astype(np.float64)
                 n = n + (x != 0).any(1, keepdims=True)
                 total = total + x
             out = (total / np.maximum(n, 1)).astype(np.float32)
             return pa.table({"t": table.column("t")[:1], "k": table.column("k")[:1], "d": pa.array([out.tobytes()], pa.binary())})
 
         changes = docs.where("train").select("text").mapInArrow(run, "t int, k int, d binary").groupBy("t", "k").applyInArrow(mean, "t int, k int, d binary")
-        for r in changes.collect():
+        changes = written(changes, "weights")
+        for r in changes.toLocalIterator():
             to = model.first if r["t"] == 0 else model.second
-            to[r["k"] * block : (r["k"] + 1) * block] += np.frombuffer(r["d"], np.float32).reshape(block, -1)
+            x = np.frombuffer(r["d"], np.float32).reshape(-1, to.shape[1])
+            to[r["k"] : r["k"] + len(x)] += x
+        forget(changes)
     return model
 
 
@@ -240,15 +282,19 @@ def lm_scores(docs: DataFrame, folds: int = 10, rounds: int = 1, sent: int = SEN
 
     Rows whose crc32(doc_id) mod folds is 0 are held out; the others are learnt from. Null texts count as empty and have
     just their end. A row without a doc_id is scored, neither held out nor learnt from. Repeated doc_ids stay separate rows. Other
-    columns are ignored. Without a training text all counts are 0. An empty table gives an empty result.
+    columns are ignored. Without a training text all counts are 0. An empty table gives an empty result. Very long texts are scored whole.
     """
     modest_batches(docs.sparkSession)
     docs = prepared(docs, folds)
     table = written(counted(docs), "counts")
     total = table.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     ends = docs.where("train").count()
-    top = most_frequent(table, sent)
-    counts = Counts((total["n"] or 0) + ends, total["v"] + (ends > 0), ends, top)
+    sent_ = most_frequent(table, sent)
+    top = [(r["word"], r["c"]) for r in table.where(sent_).collect()]
+    tail = np.zeros((WIDTH, 2))
+    for r in table.where(~sent_).groupBy((F.xxhash64("word").bitwiseAND(F.lit(WIDTH - 1))).alias("p")).agg(F.count("*").alias("k"), F.sum("c").alias("c")).collect():
+        tail[r["p"]] = r["k"], r["c"]
+    counts = Counts((total["n"] or 0) + ends, total["v"] + (ends > 0), ends, top, tail)
     model = trained(docs, counts, rounds) if ends else Model(counts)
     whole = len(top) == total["v"]  # every known word was sent
     schema = "row long, doc_id long, held_out boolean, word string, k long, n_tokens long, n_known long, base double, score double"
@@ -257,26 +303,22 @@ def lm_scores(docs: DataFrame, folds: int = 10, rounds: int = 1, sent: int = SEN
         from pyspark import TaskContext
 
         reader, row = Reader(counts), TaskContext.get().partitionId() << 36
-        get = counts.count.get
         end_known = int(counts.ends > 0)
         for batch in batches:
             for i, j, data, firsts in text_slices(batch.column(1)):
-                ids, w1, w2, begin, distinct, index, cuts = reader.tokens(data, firsts)
-                score = model.of_tokens(ids, w1, w2)
-                score = np.add.reduceat(score, begin)
-                c = np.fromiter((get(w, -1) for w in distinct), np.float64, len(distinct))
-                sure = c >= 0
+                tokens, begin, distinct, (cls, pos, c), index, cuts = reader.tokens(data, firsts)
+                score = np.add.reduceat(model.of_tokens(*tokens), begin)
                 if whole:
-                    c[~sure] = 0
-                    sure[:] = True
-                rare = np.fromiter((w not in counts.ids for w in distinct), bool, len(distinct))
-                per = np.stack([np.where(sure, counts.base(np.maximum(c, 0)), 0.0), np.where(sure & rare, counts.other(np.maximum(c, 0)), 0.0), (c > 0).astype(np.float64)]) if len(distinct) else np.zeros((3, 0))
+                    c = np.maximum(c, 0)
+                sure = c >= 0
+                share = np.where(cls < CLASSES, 0.0, np.where(sure, np.log10(np.maximum(c, 0) + 0.1), 0.0) - np.log10(np.where(cls < CLASSES, 1.0, counts.mass[cls, pos])))
+                per = np.stack([np.where(sure, counts.base(np.maximum(c, 0)), 0.0), share, c > 0])
                 run_ = np.zeros((3, len(index) + 1))
                 if len(index):
                     np.cumsum(per[:, index], axis=1, out=run_[:, 1:])
                 base, extra, known = run_[:, cuts[1:]] - run_[:, cuts[:-1]]
                 n = np.diff(cuts) + 1
-                end_other = 0.0 if counts.ends else float(counts.other(0))
+                end_other = 0.0 if counts.ends else float(np.log10(0.1 / counts.mass[counts.end]))
                 m = j - i
                 rows = np.arange(row, row + m)
                 none = pa.nulls(m, pa.string())
@@ -300,7 +342,7 @@ def lm_scores(docs: DataFrame, folds: int = 10, rounds: int = 1, sent: int = SEN
         rows = rows.join(table, "word", "left")
         found, k = F.coalesce("c", F.lit(0)), F.col("k")
         base = F.log10((found + 0.1) / F.lit(counts.n + 0.1 * (counts.v + 1)))
-        other = F.log10((found + 0.1) / F.lit(counts.n_other + 0.1 * (counts.v_other + 1)))
+        other = F.log10(found + 0.1)  # the rest of its share has been counted
         rows = rows.withColumn("base", F.col("base") + k * base).withColumn("score", F.col("score") + k * other).withColumn("n_known", F.col("n_known") + F.when(found > 0, k).otherwise(0)).withColumn("n_tokens", F.col("n_tokens"))
         rows = rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

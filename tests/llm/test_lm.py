@@ -50,18 +50,87 @@ def test_base_and_gain(spark, sent, monkeypatch):
     assert sum(g[6] for g in held) > sum(g[5] for g in held) * 0.97  # less negative than the base by 3 % at least
 
 
-def test_probabilities_sum_to_one(spark):
-    docs = make(200)
-    d = lm.prepared(spark.createDataFrame([(*r, "x", 1, 0.0) for r in docs], SCHEMA), 10)
-    rows = [tuple(r) for r in lm.counted(d).collect()]
+def counts_of(d, most=10**6):
+    table = lm.counted(d)
+    cond = lm.most_frequent(table, most)
+    top = [tuple(r) for r in table.where(cond).collect()]
+    rest = [tuple(r) for r in table.where(~cond).collect()]
+    tail = np.zeros((lm.WIDTH, 2))
+    for w, c in rest:
+        tail[lm.word_hash(w.encode()) % lm.WIDTH] += 1, c
     ends = d.where("train").count()
-    counts = lm.Counts(sum(c for _, c in rows) + ends, len(rows) + 1, ends, rows)
-    m = lm.trained(d, counts)
-    for w1, w2 in ((lm.START, lm.START), (3, 5), (lm.OTHER, 1)):
-        n = len(counts.own)
-        ids = np.append(np.arange(n), lm.OTHER)
-        p = 10 ** m.of_tokens(ids, np.full(n + 1, w1), np.full(n + 1, w2))
-        assert p.sum() == pytest.approx(1, abs=1e-3)
+    return lm.Counts(sum(c for _, c in top + rest) + ends, len(top) + len(rest) + 1, ends, top, tail), dict(top + rest)
+
+
+def test_probabilities_sum_to_one(spark):
+    """Over all words, an unknown one for each place of the tail, and the end; whatever stands before."""
+    d = lm.prepared(spark.createDataFrame([(*r, "x", 1, 0.0) for r in make(300)] + [(5000, " ".join(f"w{i % 1500}" for i in range(9000)), "", 1, 0.0)], SCHEMA), 10)
+    for most in (10**6, 1200):
+        counts, words = counts_of(d, most)
+        assert len(words) > 1500 and counts.classes > lm.CLASSES + 1
+        m = lm.trained(d, counts)
+        cells = [(*k[:2], k[2]) for k in counts.known.values()] + [(*counts.end, counts.ends)]
+        cells += [(counts.tail, lm.word_hash(w.encode()) % lm.WIDTH, c) for w, c in words.items() if w.encode() not in counts.known] + [(counts.tail, p, 0) for p in range(lm.WIDTH)]
+        cls, pos, c = map(np.array, zip(*cells))
+        share = np.where(cls < lm.CLASSES, 1, (c + 0.1) / counts.mass[cls, pos].clip(1e-9))
+        for before in ((b"a", b"w7"), (b"w3", b"never seen"), None):
+            w1, w2 = (np.full(len(cls), lm.START if before is None else np.uint64(lm.word_hash(b))) for b in (before or (0, 0)))
+            assert (10 ** m.of_tokens(cls, pos, w1, w2) * share).sum() == pytest.approx(1, abs=1e-3)
+
+
+@pytest.mark.parametrize("sent", [1_200, 100_000])
+def test_score_against_brute_force(spark, sent, monkeypatch):
+    """The score of each text from the model's weights, a token at a time."""
+    docs = [(*r, "x", 1, 0.0) for r in make(120)] + [(5000 + i, " ".join(f"w{(7 * i + k) % 2500}" for k in range(700)), "", 1, 0.0) for i in range(8)]
+    d = spark.createDataFrame(docs, SCHEMA).repartition(2)
+    held = {}
+    real = lm.trained
+    monkeypatch.setattr(lm, "trained", lambda docs, counts, *a, **k: held.setdefault("m", (counts, real(docs, counts, *a, **k)))[1])
+    got = sorted((r["n_tokens"], r["score"]) for r in lm.lm_scores(d, sent=sent).collect())
+    counts, m = held["m"]
+    words = {r["word"]: r["c"] for r in lm.counted(lm.prepared(d, 10)).collect()}
+
+    def softmax(bias, rows):
+        x = bias.astype(float) + sum(r.astype(float) for r in rows)
+        return x - np.log(np.exp(x - x.max()).sum()) - x.max()
+
+    one = lambda x: np.array([x], np.uint64)
+    want = []
+    for _, t, *_ in docs:
+        w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda x: x[0].lower(), t or ""))
+        total, a, b = 0.0, lm.START, lm.START
+        for x in [*w, None]:
+            h = np.uint64(lm.word_hash(x.encode())) if x is not None else None
+            if x is None:
+                (c, p), n = counts.end, counts.ends
+            else:
+                c, p, n = counts.known.get(x.encode(), (counts.tail, int(h) % lm.WIDTH, words.get(x, 0)))
+            total += softmax(m.class_bias, m.first[m.rows_1(one(a), one(b))[0]])[c] + softmax(m.biases[c], m.second[m.rows_2(np.array([c]), one(a), one(b))[0]])[p]
+            if c >= lm.CLASSES:
+                total += math.log((n + 0.1) / counts.mass[c, p])
+            a, b = h, a
+        want.append((len(w) + 1, total / math.log(10)))
+    for g, x in zip(got, sorted(want), strict=True):
+        assert g[0] == x[0] and g[1] == pytest.approx(x[1], rel=1e-4)
+
+
+def test_rare_words_gain_from_their_context(spark):
+    """Words beyond the first 1,024, each after its own word, in held-out texts."""
+    rng = random.Random(4)
+    docs = []
+    for i in range(3_000):
+        k = [rng.randrange(3_000) for _ in range(30)]
+        docs.append((i, " ".join(f"a{x} b{x}" for x in k), "x", 1, 0.0))
+    d = spark.createDataFrame(docs, SCHEMA).repartition(2)
+    for sent in (2_000, 100_000):
+        held = [r for r in lm.lm_scores(d, sent=sent, rounds=2).collect() if r["held_out"]]
+        assert len(held) > 200 and sum(r["score"] for r in held) > 0.9 * sum(r["base_score"] for r in held)
+
+
+def test_ties_leave_words(spark):
+    table = spark.createDataFrame([(f"w{i}", 7) for i in range(1000)] + [("x", 900)], "word string, c long")
+    assert 300 < table.where(lm.most_frequent(table, 400)).count() <= 420
+    assert table.where(lm.most_frequent(table, 2000)).count() == 1001
 
 
 def test_nothing_to_learn(spark):
