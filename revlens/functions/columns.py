@@ -93,16 +93,3 @@ def build_error(output: Column, kinds=BUILD_ERRORS) -> Column:
     for name, words in kinds:
         out = F.when(output.contains(words), F.lit(name)).otherwise(out)
     return out
-
-
-def hunk_lines(content: Column) -> Column:
-    """array<struct<sign, text, before_old, before_new>> of a diff hunk: how many old and new lines stand before each line."""
-    lines = F.split(F.regexp_replace(content, "\r\n|\r", "\n"), "\n")
-    start = F.struct(F.lit(0).alias("old"), F.lit(0).alias("new"), F.array().cast("array<struct<sign:string,text:string,old:int,new:int>>").alias("out"))
-
-    def step(acc, line):
-        sign = F.substring(line, 1, 1)
-        row = F.struct(F.when(sign.isin("+", "-"), sign).otherwise(F.lit(" ")).alias("sign"), F.substring(line, 2, 1 << 30).alias("text"), acc["old"].alias("old"), acc["new"].alias("new"))
-        return F.struct((acc["old"] + F.when(sign == "+", 0).otherwise(1)).alias("old"), (acc["new"] + F.when(sign == "-", 0).otherwise(1)).alias("new"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return F.aggregate(lines, start, step, lambda acc: acc["out"])

@@ -28,14 +28,15 @@ def expanded_rules(refs: DataFrame, rulesets: DataFrame) -> DataFrame:
 
 
 def by_prefix(paths: DataFrame, sources: DataFrame) -> DataFrame:
-    """The longest source folder that each path begins with, and its value, null where there is none.
+    """The source folder that each path begins with, and its value, null where there is none: of several the one of the largest ord, where sources have one, else the longest.
 
     Each path is spread over its own prefixes, so the join is on equal strings and not on every pair.
-    sources: (source, value).
+    sources: (source, value[, ord]).
     """
+    best = F.col("ord") if "ord" in sources.columns else F.length("source")
     parts = F.split("path", "/")
     spread = paths.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("source"))
-    hit = spread.join(sources, "source").groupBy("path").agg(F.max_by(F.struct("source", "value"), F.length("source")).alias("s"))
+    hit = spread.join(sources, "source").groupBy("path").agg(F.max_by(F.struct("source", "value"), best).alias("s"))
     return paths.join(hit, "path", "left").select("path", F.col("s.source").alias("source"), F.col("s.value").alias("value"))
 
 
@@ -43,3 +44,44 @@ def kept_state(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """The last value that isn't null, so far: a failed parse keeps the state before. rows with seq."""
     w = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn(f"{value}_kept", F.last(value, ignorenulls=True).over(w))
+
+
+#: Kinds of failures that leave the state of the build before; all others are errors of the run.
+KEPT = ("child", "malformed", "parse", "unique", "version_missing", "unknown_packaging", "plugin_missing", "parent", "xml_syntax")
+
+
+def with_policy(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds info_kept and failed. rows: commits (keys..., seq) with touched (whether a build file changed), error (kind or null) and info.
+
+    Only commits that touch a build file give a new state; after a failure of the kinds KEPT the state before holds; any other kind is failed, and gives no state either.
+    """
+    fresh = F.col("touched") & F.col("error").isNull()
+    out = kept_state(rows.withColumn("info_new", F.when(fresh, F.col("info"))), "info_new", keys)
+    return out.withColumn("failed", F.col("touched") & F.col("error").isNotNull() & ~F.col("error").isin(*KEPT)).withColumnRenamed("info_new_kept", "info_kept").drop("info_new")
+
+
+def memo(parsed: DataFrame, empty: str = "{}") -> DataFrame:
+    """(rev, info): one entry a revision; of a revision whose build files could not be read, an empty one. parsed: (rev, info or null)."""
+    return parsed.groupBy("rev").agg(F.coalesce(F.max("info"), F.lit(empty)).alias("info"))
+
+
+def holding(words: str):
+    return lambda x: x.contains(words)
+
+
+def error_line(output, kinds):
+    """The last line of a build's output that holds the words of its kind (see build_error), null if unknown."""
+    lines = F.split(output, "\n")
+    found = F.lit(None).cast("string")
+    for _, words in kinds:
+        hit = F.get(F.reverse(F.filter(lines, holding(words))), F.lit(0))
+        found = F.when(output.contains(words), hit).otherwise(found)
+    return found
+
+
+def rewritten_parents(poms: DataFrame, rules: DataFrame) -> DataFrame:
+    """poms (pom, group, artifact, version, relative) with the parent that can be resolved: rules (group, artifact, version, new_version) replace what is no longer published, and a
+    parent that isn't at a relative path loses -SNAPSHOT. The rules are a table to be given."""
+    new = rules.select("group", "artifact", "version", "new_version")
+    version = F.when(F.col("new_version").isNotNull(), F.col("new_version")).when(F.col("relative").isNull(), F.regexp_replace("version", "-SNAPSHOT$", "")).otherwise(F.col("version"))
+    return poms.join(new, ["group", "artifact", "version"], "left").select("pom", "group", "artifact", version.alias("version"), "relative")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from revlens.operators.history import ORDER, reached, so_far
+from revlens.operators.history import ORDER, first_of, reached, so_far
 
 
 def size_measures(mods: DataFrame) -> DataFrame:
@@ -41,10 +41,14 @@ def experience(t: DataFrame, commits: DataFrame) -> DataFrame:
 
 def history_measures(t: DataFrame) -> DataFrame:
     """kamei_ndev, kamei_nuc, kamei_age by commit. t with age."""
-    ndev = reached(t, "author").groupBy("rev").agg(F.count("*").alias("kamei_ndev"))
-    nuc = reached(t, "rev").groupBy("rev").agg(F.count("*").alias("kamei_nuc"))
-    age = t.groupBy("rev").agg(F.avg("age").alias("kamei_age"))
-    return ndev.join(nuc, "rev").join(age, "rev")
+    # of a commit of one file, both are running counts of that file; only where several files meet are histories joined
+    run = t.withColumn("devs", F.sum(first_of("file", "author")).over(so_far("file"))).withColumn("revs", F.sum(first_of("file", "rev")).over(so_far("file")))
+    per = run.groupBy("rev").agg(F.avg("age").alias("kamei_age"), F.min("file").alias("f1"), F.max("file").alias("f2"), F.max("devs").alias("devs"), F.max("revs").alias("revs"))
+    several = t.join(per.where("f1 <> f2").select("rev"), "rev", "left_semi")
+    ndev = reached(several, "author", t).groupBy("rev").agg(F.count("*").alias("n_dev"))
+    nuc = reached(several, "rev", t).groupBy("rev").agg(F.count("*").alias("n_rev"))
+    out = per.join(ndev, "rev", "left").join(nuc, "rev", "left")
+    return out.select("rev", F.coalesce("n_dev", "devs").alias("kamei_ndev"), F.coalesce("n_rev", "revs").alias("kamei_nuc"), "kamei_age")
 
 
 def sequence(commits: DataFrame) -> DataFrame:

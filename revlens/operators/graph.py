@@ -84,6 +84,15 @@ def path_cover(root, children: dict) -> list[list]:
     return paths
 
 
+def attached(path: list, covered: set, parents: dict) -> list:
+    """A branch's path, oldest commit last, so that it begins at a covered commit: its first parent is added where it doesn't, and must be covered."""
+    if path[-1] not in covered:
+        path = [*path, next(iter(parents.get(path[-1], ())), None)]
+        if path[-1] not in covered:
+            raise ValueError(f"attached: the branch at {path[0]} begins at no covered commit")
+    return path
+
+
 def path_key(path: list[str]) -> str:
     """A name of a path by its last two commits; of one commit, by itself."""
     return hashlib.sha1("".join(path[-2:]).encode()).hexdigest()

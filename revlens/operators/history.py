@@ -133,11 +133,11 @@ def with_project_measures(t: DataFrame, commits: DataFrame) -> DataFrame:
     return t.join(c, "rev")
 
 
-def reached(t: DataFrame, what: str) -> DataFrame:
+def reached(t: DataFrame, what: str, all_touches: DataFrame | None = None) -> DataFrame:
     """(rev, what, files, only): which values of what (rev or author) stand in the history so far of the commit's files, in
-    how many of the files, and in which, if in one. Each file's history counts its values once."""
+    how many of the files, and in which, if in one. Each file's history counts its values once. all_touches has the histories, if t is a part."""
     files = t.select("rev", "ts", "file").distinct()
-    past = t.groupBy("file", F.col(what).alias("past")).agg(F.min(F.struct("ts", "rev")).alias("since"))
+    past = (t if all_touches is None else all_touches).groupBy("file", F.col(what).alias("past")).agg(F.min(F.struct("ts", "rev")).alias("since"))
     both = files.join(past, "file").where(F.col("since") <= F.struct("ts", "rev"))
     return both.groupBy("rev", "past").agg(F.count("*").alias("files"), F.min("file").alias("only"))
 
@@ -148,13 +148,14 @@ def with_neighbours(t: DataFrame) -> DataFrame:
     A value counts for a file if another file of the commit has it: all of the commit's less those that this file alone has.
     So each history is met once a commit, not once a pair of files.
     """
+    several = t.withColumn("f1", F.min("file").over(Window.partitionBy("rev"))).withColumn("f2", F.max("file").over(Window.partitionBy("rev"))).where("f1 <> f2")  # a file alone has no neighbours
     out = t.withColumn("of_all", F.sum("adev").over(Window.partitionBy("rev"))).withColumn("of_file", F.sum("adev").over(Window.partitionBy("rev", "file")))
     out = out.withColumn("nadev", F.col("of_all") - F.col("of_file")).drop("of_all", "of_file")
     for what, name in (("rev", "ncomm"), ("author", "nddev")):
-        r = reached(t, what)
+        r = reached(several, what, t)
         alone = r.where("files = 1").groupBy("rev", F.col("only").alias("file")).agg(F.count("*").alias("alone"))
         every = r.groupBy("rev").agg(F.count("*").alias("every"))
-        out = out.join(every, "rev").join(alone, ["rev", "file"], "left").withColumn(name, F.col("every") - F.coalesce("alone", F.lit(0))).drop("every", "alone")
+        out = out.join(every, "rev", "left").join(alone, ["rev", "file"], "left").withColumn(name, F.coalesce(F.col("every") - F.coalesce("alone", F.lit(0)), F.lit(0))).drop("every", "alone")
     return out
 
 

@@ -66,3 +66,75 @@ def validated_fixes(links: DataFrame, hunks: DataFrame) -> DataFrame:
     """(rev, file) of commits with at most one qualifying issue that have a verified line. links: (rev, issue_id); hunks: (rev, file, verified)."""
     many = links.groupBy("rev").agg(F.count("*").alias("n")).where("n > 1")
     return hunks.where("verified").select("rev", "file").distinct().join(many, "rev", "left_anti")
+
+
+#: The label names of validated chains; all others are custom ones.
+VALIDATED = ("JLMIV+R", "JLMIVLV")
+
+
+def labelled(name: str):
+    return lambda i: i["label"] == F.lit(name)
+
+
+def label_relation(names: list[str], actions: DataFrame, commits: DataFrame, issues: DataFrame) -> DataFrame:
+    """(label, rev, file, bug_id) of all named labels: validated ones go by the issues that commits fix and their verified type, custom ones by linked issues and their own type; of the suspects just
+    those with the label count. actions' induces has (change_file_action_id, szz_type, label)."""
+    out = None
+    for name in names:
+        link, kind = ("fixed_issue_ids", "issue_type_verified") if name in VALIDATED else ("linked_issue_ids", "issue_type")
+        own = actions.withColumn("induces", F.filter("induces", labelled(name)))
+        rows = issue_chain(own, commits, issues, link, kind).select(F.lit(name).alias("label"), "rev", "file", "bug_id")
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("label_relation: no label")
+    return out
+
+
+def message_issues(commits: DataFrame, issues: DataFrame, key: str) -> DataFrame:
+    """(rev, external_id, issue_id): issues (external_id, issue_id) that messages (rev, msg) name by key and number."""
+    from revlens.functions.columns import issue_keys
+
+    named = commits.select("rev", F.explode(issue_keys(F.col("msg"), key)).alias("external_id")).distinct()
+    return named.join(issues.select("external_id", "issue_id"), "external_id")
+
+
+def before_report(suspects: DataFrame, at: str = "inducing_ts", created: str = "created_at") -> DataFrame:
+    """Suspects that weren't committed after the issue was reported."""
+    return suspects.where(F.col(at) <= F.col(created))
+
+
+def changed_modes(actions: DataFrame, mode: str = "mode") -> DataFrame:
+    """File actions that are neither copies nor renames, in any case of letters."""
+    return actions.where(~F.lower(mode).isin("c", "r"))
+
+
+def last_modified(deleted: DataFrame, blame: DataFrame) -> DataFrame:
+    """(fix, file, commits): the commits, sorted, that last changed the deleted lines of each file of a fix."""
+    return blamed(deleted, blame).groupBy("fix", "file").agg(F.array_sort(F.collect_set("inducing")).alias("commits"))
+
+
+def unique_inducing(fixes: DataFrame, deleted: DataFrame, blame: DataFrame, most: int = 50, until=None) -> DataFrame:
+    """(inducing, file): distinct changes that fixes (fix, ts, n_mods) of fewer than most files, up to a date, are blamed on."""
+    small = fixes.where(F.col("n_mods") < most)
+    if until is not None:
+        small = small.where(F.col("ts") <= until)
+    return blamed(deleted.join(small.select("fix"), "fix", "left_semi"), blame).select("inducing", "file").distinct()
+
+
+def hunk_lines(hunks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., no, sign, text, old, new): the lines of diff hunks (keys..., content), and how many old and new lines stand before each. A hunk's keys are its own."""
+    from pyspark.sql.window import Window
+
+    lines = hunks.select(*keys, F.posexplode(F.split(F.regexp_replace("content", "\r\n|\r", "\n"), "\n")).alias("no", "line"))
+    sign = F.substring("line", 1, 1)
+    w = Window.partitionBy(*keys).orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda s: F.coalesce(F.sum(F.when(sign == s, 0).otherwise(1)).over(w), F.lit(0))
+    return lines.select(*keys, "no", F.when(sign.isin("+", "-"), sign).otherwise(F.lit(" ")).alias("sign"), F.expr("substring(line, 2)").alias("text"), before("+").alias("old"), before("-").alias("new"))
+
+
+def changed_lines(lines: DataFrame, keys: list[str], old_start: str, new_start: str, verified: DataFrame) -> DataFrame:
+    """(keys..., line, kind): added, deleted and verified lines by number, out of hunk_lines() with the hunks' first numbers. verified: (keys..., no) of lines that a person marked as part of the fix."""
+    added = lines.where("sign = '+'").select(*keys, (F.col(new_start) + F.col("new")).alias("line"), F.lit("added").alias("kind"))
+    gone = lines.where("sign = '-'").select(*keys, "no", (F.col(old_start) + F.col("old")).alias("line"))
+    sure = gone.join(verified, [*keys, "no"], "left_semi").select(*keys, "line", F.lit("verified").alias("kind"))
+    return added.unionByName(gone.select(*keys, "line", F.lit("deleted").alias("kind"))).unionByName(sure)

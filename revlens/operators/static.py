@@ -42,3 +42,24 @@ def against_parent(long: DataFrame, parents: DataFrame, keys: list[str]) -> Data
 def wide(long: DataFrame, names: list[str]) -> DataFrame:
     """One column a name, 0 where missing; names are given. long: (rev, file, name, value)."""
     return long.groupBy("rev", "file").pivot("name", names).agg(F.first("value")).na.fill(0, names)
+
+
+def of_classes(files: DataFrame, entities: DataFrame) -> DataFrame:
+    """(path, metric, value) of class entities (file_id, kind, metric, value) of files (file_id, path)."""
+    return files.join(entities.where("kind = 'class'").select("file_id", "metric", "value"), "file_id").select("path", "metric", "value")
+
+
+def needed_metrics(metrics: DataFrame, needed: DataFrame) -> DataFrame:
+    """Metrics of the commits that are needed (rev, parent) and of their parents, to be stored before rows are made."""
+    revs = needed.select("rev").union(needed.where("parent is not null").select("parent")).distinct()
+    return metrics.join(revs, "rev", "left_semi")
+
+
+def assembled(long: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
+    """(rev, *keys, name, value): each value of a static feature (rev, *keys, name, value) under its own name, the parent's under parent_, and the difference under delta_; 0 where a side lacks it.
+
+    Long form holds the thousands of columns of the wide one; wide() takes those that are asked for.
+    """
+    both = against_parent(long, parents, [*keys, "name"])
+    three = F.array(F.struct(F.lit("current_").alias("p"), F.col("current").alias("v")), F.struct(F.lit("parent_").alias("p"), F.col("parent").alias("v")), F.struct(F.lit("delta_").alias("p"), F.col("delta").alias("v")))
+    return both.select("rev", *keys, "name", F.explode(three).alias("x")).select("rev", *keys, F.concat("x.p", "name").alias("name"), F.col("x.v").alias("value"))

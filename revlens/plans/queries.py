@@ -361,11 +361,6 @@ def j5_range(spark, d):
     return labels.in_range(points, ranges, "at", "lo", "hi", 86_400_000_000.0, ["user_id"]).select("event_id", "fix_id")
 
 
-@query("j6_semi", base("SELECT rev, file, mod_idx FROM t WHERE (rev, file) IN (SELECT (rev, file) FROM inducing)", A.INDUCING))
-def j6_semi(spark, d):
-    return A.touches(spark, d).join(A.inducing(spark, d), ["rev", "file"], "left_semi").select(*ID)
-
-
 @query("j7_neighbours", base("SELECT a.rev, a.file, count(*) AS others FROM t a JOIN t b ON a.rev = b.rev AND a.file <> b.file GROUP BY ALL"))
 def j7_neighbours(spark, d):
     n = A.touches(spark, d).groupBy("rev", "file").agg(F.count("*").alias("own"))
@@ -386,18 +381,6 @@ def j8_parent_delta(spark, d):
     return static.against_parent(long, A.parents(spark, d), ["subsystem"])
 
 
-@query("j10_issue_chain", base("SELECT DISTINCT t.rev, t.file, ('i' || (f.author % 50)::VARCHAR) AS bug_id FROM t JOIN parent p ON p.parent = t.rev JOIN t f ON f.rev = p.rev AND f.mod_idx = 1 WHERE t.mod_idx = 1 AND f.fix AND f.author % 3 <> 0", A.LINT))
-def j10_issue_chain(spark, d):
-    """Also J9 to J13: a change is blamed for the next order of the customer."""
-    t = A.touches(spark, d).where("mod_idx = 1").select("rev", "file", "author", "fix")
-    nxt = A.parents(spark, d).where("parent is not null").select(F.col("rev").alias("next"), F.col("parent").alias("rev"))
-    a = t.join(nxt, "rev", "left").select(F.col("rev").alias("action_id"), "rev", "file", F.when(F.col("next").isNotNull(), F.array(F.struct(F.col("next").alias("change_file_action_id"), F.lit("suspect").alias("szz_type")))).alias("induces"))
-    c = t.select("rev", F.when(F.col("fix"), F.array(F.concat(F.lit("i"), (F.col("author") % 50).cast("string"), F.lit("_"), (F.col("author") % 3).cast("string")))).alias("linked"))
-    i = t.select(F.concat(F.lit("i"), (F.col("author") % 50).cast("string"), F.lit("_"), (F.col("author") % 3).cast("string")).alias("issue_id"), F.when(F.col("author") % 3 != 0, "Bug").otherwise("Task").alias("issue_type"), F.lit("Resolved").alias("status")).distinct()
-    out = labels.issue_chain(a, c, i, "linked", "issue_type")
-    return out.select("rev", "file", F.substring_index("bug_id", "_", 1).alias("bug_id")).distinct()
-
-
 @query("j14_prefix", "SELECT url, arg_max(p, length(p)) AS source FROM pages JOIN (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]+') AS p FROM pages UNION SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]+/[^/]+') FROM pages WHERE page_id % 3 = 0) ON p <> '' AND (url = p OR starts_with(url, p || '/')) GROUP BY url")
 def j14_prefix(spark, d):
     """Also F31."""
@@ -436,30 +419,12 @@ def o1_union(spark, d):
     return graph.merged_state(s)
 
 
-@query(
-    "o2_except",
-    """WITH f AS (SELECT p_partkey AS path FROM part WHERE p_size < 25), s AS (SELECT DISTINCT l_partkey AS path FROM lineitem WHERE l_returnflag = 'A' AND l_partkey % 2 = 0)
-SELECT path, 'files' AS side FROM f WHERE path NOT IN (SELECT path FROM s) UNION ALL SELECT path, 'state' FROM s WHERE path NOT IN (SELECT path FROM f)""",
-)
-def o2_except(spark, d):
-    """Also G9."""
-    files = A.table(spark, d, "part").where("p_size < 25").select(F.col("p_partkey").alias("path"))
-    state = A.table(spark, d, "lineitem").where("l_returnflag = 'A' and l_partkey % 2 = 0").select(F.col("l_partkey").alias("path")).distinct()
-    return graph.state_check(files, state)
-
-
 @query("o3_intersect", "SELECT l_partkey AS file FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
 def o3_intersect(spark, d):
     l = A.table(spark, d, "lineitem")
     return l.where("l_returnflag = 'A'").select(F.col("l_partkey").alias("file")).intersect(l.where("l_returnflag = 'R'").select("l_partkey"))
 
 
-@query("o4_rule_sets", "SELECT a.u AS user_id, (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT event_type AS x FROM events e WHERE e.user_id = a.u AND event_type <> 'view')) AS rules FROM (SELECT DISTINCT user_id AS u FROM events WHERE event_type <> 'view') a")
-def o4_rule_sets(spark, d):
-    e = A.table(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("s"))
-    return e.select("user_id", F.array_join(F.array_sort(F.array_except("s", F.array(F.lit("view")))), ",").alias("rules")).where("rules <> ''")
-
-
 @query("o5_distinct", "SELECT DISTINCT user_id, event_type FROM events")
 def o5_distinct(spark, d):
     return A.table(spark, d, "events").select("user_id", "event_type").distinct()
@@ -475,13 +440,6 @@ def paths(spark, d):
     return A.table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
 
 
-@query("f2_python_filter", f"SELECT page_id, ends_with(lower({PATH}), '.html') AS html, false AS python FROM pages")
-def f2_python_filter(spark, d):
-    """Also F1, F3 and F4 (unknown languages track nothing)."""
-    p = paths(spark, d)
-    return p.select("page_id", F.lower("path").endswith(".html").alias("html"), C.language_file("python", F.col("path")).alias("python"))
-
-
 @query("f5_effective_change", "SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate, CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_suppkey % 2 = 0 AND l_partkey % 2 = 0 THEN 'RENAME' WHEN l_suppkey % 2 = 0 THEN 'DELETE' WHEN l_partkey % 2 = 0 THEN 'ADD' END ELSE CASE WHEN l_suppkey % 2 = 0 AND l_partkey % 2 = 0 THEN l_returnflag END END AS change FROM lineitem")
 def f5_effective_change(spark, d):
     l = A.table(spark, d, "lineitem")
@@ -557,7 +515,6 @@ def f23_year_days(spark, d):
 
 @query("f25_default_rules", "SELECT user_id, count(*) AS n FROM events WHERE event_type IN ('error', 'click') GROUP BY user_id")
 def f25_default_rules(spark, d):
-    """Also F26."""
     w = A.table(spark, d, "events").select("user_id", F.col("event_type").alias("rule"))
     return linter.default_rules(w, ["error", "click"]).groupBy("user_id").agg(F.count("*").alias("n"))
 
@@ -567,24 +524,9 @@ def f29_build_error(spark, d):
     return A.table(spark, d, "documents").select("doc_id", C.build_error(F.col("text"), (("a", "the"), ("b", "des"))).alias("kind"))
 
 
-@query("f20_hunk_lines", "SELECT doc_id, k - 1 AS no, sum((NOT starts_with(line, '+'))::INT) OVER w AS old, sum((NOT starts_with(line, '-'))::INT) OVER w AS new FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM (SELECT doc_id, string_split(replace(text, 'e', chr(10) || '+'), chr(10)) AS ls FROM documents WHERE length(text) < 400)) WINDOW w AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
-def f20_hunk_lines(spark, d):
-    """How many old and new lines a hunk has up to each of its lines."""
-    x = A.table(spark, d, "documents").where("length(text) < 400").select("doc_id", F.posexplode(C.hunk_lines(F.replace(F.col("text"), F.lit("e"), F.lit("\n+")))).alias("no", "x"))
-    old = F.col("x.old") + F.when(F.col("x.sign") == "+", 0).otherwise(1)
-    new = F.col("x.new") + F.when(F.col("x.sign") == "-", 0).otherwise(1)
-    return x.select("doc_id", F.col("no").cast("long").alias("no"), old.cast("long").alias("old"), new.cast("long").alias("new"))
-
-
 # ---------------------------------------------------------------- labels, builds, graph, store
 
 
-@query("l1_labels", base("SELECT rev, file, bug_id FROM inducing", A.INDUCING))
-def l1_labels(spark, d):
-    """Also L2 to L4: the label relation."""
-    return A.inducing(spark, d)
-
-
 BUGS = [f"bug{i}" for i in range(5)]
 
 
@@ -600,19 +542,6 @@ def g2_reach(spark, d):
     return graph.reachable(p.where("parent is null").select(F.col("rev").alias("node")), p.where("parent is not null").select("parent", F.col("rev").alias("child")))
 
 
-@query("g6_order", base("SELECT rev, rank() OVER (ORDER BY ts, rev) AS place FROM c"))
-def g6_order(spark, d):
-    """Dense places by way of ranges: within each day, plus the days before."""
-    c = A.commits(spark, d).withColumn("one", F.lit(1))
-    return history.running_total(c, {"place": "one"}).select("rev", "place")
-
-
-@query("g7_file_state", base("SELECT file AS path, arg_max(rev, (epoch_us(ts), rev, mod_idx)) AS rev FROM m GROUP BY file"))
-def g7_file_state(spark, d):
-    m = A.changes(spark, d).select(F.col("file").alias("path"), F.struct("ts", "rev", "mod_idx").alias("seq"), "rev", F.lit("MODIFY").alias("kind"))
-    return graph.file_state(m).select("path", "rev")
-
-
 @query("g11_possible_renames", base("SELECT a.rev, a.file AS old_path, b.file AS new_path FROM m a JOIN m b ON a.rev = b.rev AND a.subsystem = b.subsystem AND NOT a.tracked AND b.tracked"))
 def g11_possible_renames(spark, d):
     m = A.changes(spark, d)

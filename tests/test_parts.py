@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revlens.functions import columns as C
-from revlens.operators import builds, graph, store
+from revlens.operators import builds, graph, labels, linter, store
 from revlens.sources import files, git
 from revlens.streaming import incremental
 
@@ -72,7 +72,7 @@ def test_columns(spark):
     d = spark.createDataFrame([("src/a/B.py", "Fix it\nsigned-off by pmd"), ("x/tests/B.py", "use pmd now"), ("B.java", None)], "p string, m string")
     got = d.select(C.python_file(F.col("p")).alias("py"), C.subsystem(F.col("p")).alias("s"), C.directory(F.col("p")).alias("d"), C.any_substring(F.col("m"), ["fix"]).alias("f"), C.any_token(F.col("m"), ["pmd"]).alias("t")).collect()
     assert [tuple(r) for r in got] == [(True, "src/a", "a", True, False), (False, "x/tests", "tests", False, True), (False, "", "/", False, False)]
-    h = spark.createDataFrame([(" a\n-b\r\n+c\n d",)], "c string").select(C.hunk_lines(F.col("c")).alias("h")).first()["h"]
+    h = labels.hunk_lines(spark.createDataFrame([(1, " a\n-b\r\n+c\n d")], "id int, content string"), ["id"]).orderBy("no").collect()
     assert [(x["sign"], x["text"], x["old"], x["new"]) for x in h] == [(" ", "a", 0, 0), ("-", "b", 1, 1), ("+", "c", 2, 1), (" ", "d", 2, 2)]
     e = spark.createDataFrame([("x Malformed POM y Child module z",), ("fine",)], "o string").select(C.build_error(F.col("o")).alias("e")).collect()
     assert [r["e"] for r in e] == ["child", "unknown"]
@@ -129,3 +129,29 @@ def test_imports_without_the_llm_folders():
     code = "import sys\nclass No:\n    def find_spec(self, name, path=None, target=None):\n        if name == 'corpus_pipeline' or name.startswith('revlens.llm'):\n            raise ModuleNotFoundError(name, name=name)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e\nassert 'w1_comm' in e.queries() and not any(q.startswith('op') or q == 'pipeline' for q in e.queries())"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], check=True, cwd=root)
+
+
+def test_branch_paths_begin_at_covered_commits():
+    parents = {"c": ["b"], "b": ["a"]}
+    assert graph.attached(["d", "c"], {"c"}, parents) == ["d", "c"] and graph.attached(["d", "c"], {"b"}, parents) == ["d", "c", "b"]
+    with pytest.raises(ValueError):
+        graph.attached(["d", "c"], {"a"}, parents)
+
+
+def test_decayed_sums_of_long_and_short_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = [("f", i, float(v)) if i % 7 else ("f", i, None) for i, v in enumerate(rng.normal(size=3000))] + [("g", i, float(i)) for i in range(3)]
+    got = {(r["k"], r["i"]): r["decayed_x"] for r in linter.decayed(spark.createDataFrame(x, "k string, i long, x double"), "k", ["i"], ["x"]).collect()}
+    for k in "fg":
+        seen = []
+        for key, i, v in sorted(r for r in x if r[0] == k):
+            seen += [v] if v is not None else []
+            assert got[key, i] == pytest.approx(sum(s / (n + 1) for n, s in enumerate(reversed(seen))), abs=1e-9)
+
+
+def test_prefixes_by_order(spark):
+    src = spark.createDataFrame([("a/b", "x", 2), ("a", "y", 3), ("c", "z", 1)], "source string, value string, ord int")
+    got = {r["path"]: r["value"] for r in builds.by_prefix(spark.createDataFrame([("a/b/c.java",), ("c/d",), ("e",)], "path string"), src).collect()}
+    assert got == {"a/b/c.java": "y", "c/d": "z", "e": None}
