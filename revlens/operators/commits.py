@@ -27,9 +27,9 @@ def size_measures(mods: DataFrame) -> DataFrame:
 
 
 def experience(t: DataFrame, commits: DataFrame) -> DataFrame:
-    """kamei_sexp, kamei_rexp by commit with tracked files: sums over its touches."""
+    """kamei_sexp, kamei_rexp by commit with tracked files: sums over its touches. commits may have the year, else it is that of ts."""
     sexp = t.groupBy("rev").agg(F.sum("sexp").alias("kamei_sexp"), F.count("*").alias("n"))
-    c = commits.select("rev", "ts", "author", F.year("ts").alias("year"))
+    c = commits.select("rev", "ts", "author", (F.col("year") if "year" in commits.columns else F.year("ts")).alias("year"))
     # one running count a calendar year, all in one window by author: no commit is joined with earlier ones
     years = sorted(r["year"] for r in c.select("year").distinct().collect())
     total = F.lit(0.0)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from revlens.constants import BUG_KEYWORDS
+from revlens.constants import BUG_KEYWORDS, QUALITY_KEYWORDS
 from revlens.functions import columns as C
 from revlens.operators import commits as commit_ops
 from revlens.operators import graph, history, labels, store
@@ -119,7 +119,10 @@ def mine(spark: SparkSession, path: str, language: str = "java", keywords=BUG_KE
     full = kept(history.with_neighbours(kept(full, "owned")), "neighbours")
     full = kept(history.with_project_measures(history.with_nsctr(full, own), cc), "project")
     years = cc.withColumn("rexp", F.count("*").over(history.so_far("author", "year"))).withColumn("kamei_exp", F.count("*").over(history.so_far("author"))).select("rev", "rexp", "kamei_exp")
-    full = full.join(years, "rev").join(commit_ops.size_measures(own), "rev").join(commit_ops.history_measures(full.select("rev", "ts", "file", "author", "age")), "rev")
+    full = full.join(years, "rev").join(commit_ops.size_measures(own), "rev").join(commit_ops.history_measures(full.select("rev", "ts", "file", "author", "mod_idx", "age")), "rev")
+    full = full.join(commit_ops.experience(full, cc), "rev")
+    topics = list(QUALITY_KEYWORDS)
+    full = history.topic_counts(full, c.select("rev", *(C.any_token(F.col("msg"), list(QUALITY_KEYWORDS[k])).alias(k) for k in topics)), topics)
     full = kept(full, "measured")
     fixes = mods.where("parent_num = 0 and change_type <> 'ADD'").join(c.where("fix and size(parents) = 1").select("rev"), "rev").withColumn("name", C.file_name(F.col("change_type"), F.col("old_path"), F.col("new_path"))).where(C.language_file(language, F.col("name")))
     bad = kept(inducing(spark, path, fixes), "inducing")
@@ -127,12 +130,14 @@ def mine(spark: SparkSession, path: str, language: str = "java", keywords=BUG_KE
     lab = bad.select("rev", F.col("name").alias("file"), "bug_id")
     by_file = bad.join(full.select("rev", "name", "file").distinct(), ["rev", "name"]).select("rev", "file").distinct()
     full = history.previous_inducing(full, by_file)
+    full = labels.flags(full, bad.join(full.select("rev", "name", "file").distinct(), ["rev", "name"]).select("rev", "file"))
     full = full.join(path_numbers(spark, c), "rev").join(c.select("rev", "committer_local", "tz_offset_min"), "rev")
     rows = full.select(
         F.col("rev").alias("commit"), "seq", "mod_idx", F.col("date").alias("committer_date"), "committer_local", "tz_offset_min", F.col("name").alias("file"), F.col("file").alias("oldest_name"),
         F.col("kind").alias("change_type"), "comm", "adev", "ddev", "add", "del", "own", "minor", F.col("kamei_ns").alias("sctr"), F.col("kamei_nd").alias("nd"), F.col("kamei_entropy").alias("entropy"),
         "la", "ld", "lt", "cexp", "rexp", "sexp", "nuc", "age", "oexp", "exp", "nsctr", "ncomm", "nadev", "nddev", "previous_inducing", F.col("fix").alias("fix_bug"), F.col("fix").alias("kamei_fix"),
-        "kamei_ns", "kamei_nd", "kamei_nf", "kamei_la", "kamei_ld", "kamei_entropy", "kamei_exp", "kamei_ndev", "kamei_nuc", "kamei_age", "pathnum",
+        "kamei_ns", "kamei_nd", "kamei_nf", "kamei_la", "kamei_ld", "kamei_entropy", "kamei_exp", "kamei_ndev", "kamei_nuc", "kamei_age", "kamei_lt", "kamei_sexp", "kamei_rexp",
+        "pascarella_commit", "pascarella_file", *(f"quality_{k}{end}" for k in topics for end in ("", "_commit")), "pathnum",
     )
     matrix = labels.bug_matrix(rows.withColumnRenamed("commit", "rev"), lab, bugs) if bugs else rows.withColumnRenamed("commit", "rev")
     if until:

@@ -44,3 +44,7 @@ def test_rows(spark, repo):
     assert [r["kamei_exp"] for r in rows] == [1, 1, 1, 2, 3] and {r["pathnum"] for r in rows} == {0}
     bug = f"adhoc__{rows[4]['commit']}"
     assert [r[bug] for r in rows] == [0, 0, 1, 0, 0] and [r["previous_inducing"] for r in rows] == [0, 0, 0, 1, 1]
+    assert [r["pascarella_commit"] for r in rows] == [False, False, True, False, False] == [r["pascarella_file"] for r in rows]
+    assert [r["kamei_lt"] for r in rows] == [-11, -11, 0, 0, 0] and [r["kamei_sexp"] for r in rows] == [2, 2, 1, 2, 3]
+    # commits of the author in each year over its distance, times the tracked files
+    assert [r["kamei_rexp"] for r in rows] == [2, 2, 1, 2, 3] and not any(r["quality_asat_commit"] for r in rows)
