@@ -61,17 +61,17 @@ def shingles(norm) -> F.Column:
 
 
 def windows(classes: DataFrame) -> DataFrame:
-    """(cid, h): the hash of every window of the lines long enough to have one."""
+    """(cid, h): a hash, of 32 bits, of every window of the lines long enough to have one."""
     wide = classes.where(F.length("norm") >= SHINGLE).select("cid", F.encode("norm", "UTF-32").alias("wide"))
     at = wide.select("cid", "wide", F.explode(places("wide")).alias("at"))
-    return at.select("cid", F.xxhash64(F.substring("wide", F.col("at"), F.lit(WIDE))).alias("h"))
+    return at.select("cid", F.hash(F.substring("wide", F.col("at"), F.lit(WIDE))).alias("h"))
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
     """(key, cid): one row for each class and band."""
     rng = random.Random(11)
-    salt = [rng.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
-    least = windows(classes).groupBy("cid").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(salt)))
+    salt = [rng.getrandbits(32) - (1 << 31) for _ in range(BANDS * ROWS)]
+    least = windows(classes).groupBy("cid").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(c).cast("int"))).alias(f"m{k}") for k, c in enumerate(salt)))
     keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
     return least.select("cid", F.explode(keys).alias("key"))
 
@@ -110,15 +110,23 @@ def alike(g, h, share: float) -> F.Column:
     return (F.least(n, m) >= share * F.greatest(n, m)) & (F.size(F.array_intersect(g, h)) * (1 + share) >= share * (n + m))
 
 
-def rest(mixed: DataFrame, classes: DataFrame, share: float, block: int = BLOCK) -> DataFrame:
+def texts_of(keys: DataFrame, classes: DataFrame, sent: int = 1_000_000) -> DataFrame:
+    """(cid, norm) of the classes that share a bucket, written. Their list goes to all tasks if it has at most sent numbers, so that most lines stay where they are; else both sides are shuffled."""
+    ids = written(keys.select("cid").distinct(), "ids")
+    side = F.broadcast(ids) if ids.count() <= sent else ids
+    out = written(classes.select("cid", "norm").join(side, "cid", "left_semi"), "texts")
+    forget(ids)
+    return out
+
+
+def rest(mixed: DataFrame, texts: DataFrame, share: float, block: int = BLOCK) -> DataFrame:
     """(a, b): links between classes of one bucket of (key, cid, comp) that are in different components so far, written.
 
     All pairs across components are compared, in arrays: a bucket is dealt out by pairs of blocks of about block classes
     (of block * 500 characters, where lines are long), so no pairs leave a task. A pair of several buckets is compared in that of the least key.
     """
     own_keys = mixed.groupBy("cid").agg(F.collect_list("key").alias("keys"))  # BANDS at most
-    texts = written(classes.join(own_keys, "cid").select("cid", "norm", "keys"), "texts")
-    sized = mixed.select("key", "cid", "comp").join(texts, "cid")
+    sized = mixed.select("key", "cid", "comp").join(texts.join(own_keys, "cid").select("cid", "norm", "keys"), "cid")
     blocks = written(sized.groupBy("key").agg(F.ceil(F.greatest(F.count("*"), F.sum(F.length("norm")) / 500) / block).cast("int").alias("blocks")), "blocks")
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     met = sized.join(blocks, "key").select("key", "blocks", own.alias("own"), "cid", "comp", "norm", "keys")
@@ -136,37 +144,36 @@ def rest(mixed: DataFrame, classes: DataFrame, share: float, block: int = BLOCK)
         return F.flatten(F.transform(xs, partners))
 
     out = written(cells.select(F.explode(once(full, links)).alias("l")).select("l.a", "l.b"), "links")
-    forget(texts, blocks)
+    forget(blocks)
     return out
 
 
-def similar(pairs: DataFrame, classes: DataFrame, share: float) -> DataFrame:
-    """The pairs (a, b) of classes whose lines have a Jaccard similarity of at least share, written."""
+def similar(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
+    """The pairs (a, b) of classes (cid, norm) whose lines have a Jaccard similarity of at least share, written. Texts meet, not windows: their hashes take eight times the room."""
     pairs = written(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    texts = written(classes.join(ids, "cid", "left_semi").select("cid", "norm"), "texts")  # not the windows: their hashes take eight times the room
     both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("cid").alias("b"), F.col("norm").alias("tb")), "b")
     n, m = F.length("ta"), F.length("tb")
     sides = F.struct(shingles("ta").alias("g"), shingles("tb").alias("h"))
     out = written(both.where((n >= SHINGLE) & (m >= SHINGLE)).where(once(sides, lambda x: alike(x["g"], x["h"], share))).select("a", "b"), "links")
-    forget(pairs, texts)
+    forget(pairs)
     return out
 
 
 def joined_classes(classes: DataFrame, share: float) -> DataFrame:
     """(node, comp) of the classes that links join, written."""
     keys = written(shared(band_keys(classes)), "keys")
+    texts = texts_of(keys, classes)
     few = written(small(keys), "small")
-    links = rest(few, classes, share)
+    links = rest(few, texts, share)
     large = keys.where(F.col("n") > SMALL)
-    more = similar(candidates(large), classes, share)
+    more = similar(candidates(large), texts, share)
     comp = components(links.union(more))
     left = across(large, comp)
-    last = rest(left, classes, share)
+    last = rest(left, texts, share)
     if not last.isEmpty():
         forget(comp)
         comp = components(links.union(more).union(last))
-    forget(keys, few, links, more, left, last)
+    forget(keys, texts, few, links, more, left, last)
     return comp
 
 
