@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from revlens.llm.common import forget, modest_batches, written
 from revlens.llm.pretoken import lower_bytes, text_slices, words
 
-CLASSES, WIDTH = 32, 32
+CLASSES, WIDTH = 16, 32
 FREQUENT = CLASSES * WIDTH
 #: What stands before a text, in place of a word's hash.
 START = np.uint64(1)
-#: Words whose counts go along with the code, at most; counts of all others meet their words in a join.
-SENT = 200_000
+#: Words whose counts go along with the code, at most (26 bytes each); counts of all others meet their words in a join.
+SENT = 1_000_000
 #: Rows of weights for classes: a power of two from a sixteenth of the vocabulary on, within these bounds; for places twice as many.
 LEAST_ROWS, MOST_ROWS = 1 << 13, 1 << 15
 #: Tokens of a gradient step.
@@ -50,34 +50,57 @@ def hashed(*parts: np.ndarray, rows: int) -> np.ndarray:
 
 def word_hash(word: bytes) -> int:
     """The same as xxhash64(word) in Spark, but unsigned."""
-    return xxhash.xxh64_intdigest(word, seed=42)
+    return xxhash.xxh64_intdigest(word, 42)
+
+
+#: Seed by which a word's second hash is that of xxhash64(1, word) in Spark.
+SECOND = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)
 
 
 class Counts:
-    """Counts of training tokens: of all, and of those sent along. top: (word, count); tail: (words, sum of counts) of all other words by place."""
+    """Counts of training tokens: of all, and of those sent along, by two hashes of the word, which together tell words apart.
 
-    def __init__(self, n: int, v: int, ends: int, top: list[tuple[str, int]], tail: np.ndarray):
+    top: (hash, second hash, count) arrays; tail: (words, sum of counts) of all other words by place.
+    """
+
+    def __init__(self, n: int, v: int, ends: int, top: tuple[np.ndarray, np.ndarray, np.ndarray], tail: np.ndarray):
         self.n, self.v, self.ends = n, v, ends
-        by = sorted((-c, w.encode()) for w, c in top)
-        order = sorted([*by[: FREQUENT - 1], (-ends, None)] if ends else by[: FREQUENT - 1], key=lambda x: (x[0], x[1] or b""))
-        band = np.array([int(-c).bit_length() for c, _ in by[FREQUENT - 1 :]], np.int64)
-        bands = np.unique(band).tolist()
+        key, check, c = top[0].view(np.uint64), top[1].view(np.uint64), top[2]
+        own = FREQUENT - 1 if ends else FREQUENT
+        order = np.lexsort((key, -c))
+        rank = np.empty(len(c), np.int64)
+        rank[order] = np.arange(len(c))
+        rank += (rank < own) & (c < ends) & bool(ends)  # the end's rank comes before those of fewer counts
+        band = np.log2(np.maximum(c, 1)).astype(np.int64)
+        rare = np.ones(len(c), bool)
+        rare[order[:own]] = False
+        bands = np.unique(band[rare])
         self.classes = CLASSES + len(bands) + 1
         self.tail = self.classes - 1
+        cls = np.where(rare, CLASSES + np.searchsorted(bands, band), rank // WIDTH)
+        pos = np.where(rare, (key % np.uint64(WIDTH)).astype(np.int64), rank % WIDTH)
+        self.end = divmod(int((c[~rare] >= ends).sum()), WIDTH) if ends else (self.tail, 0)
         self.mass = np.zeros((self.classes, WIDTH))
-        self.mass.reshape(-1)[: len(order)] = [-c for c, _ in order]
-        self.known: dict[bytes, tuple[int, int, int]] = {}  # word: class, place, count
-        self.end = (self.tail, 0)
-        for i, (c, w) in enumerate(order):
-            if w is None:
-                self.end = divmod(i, WIDTH)
-            else:
-                self.known[w] = (*divmod(i, WIDTH), -c)
-        for (c, w), b in zip(by[FREQUENT - 1 :], band.tolist(), strict=True):
-            k = CLASSES + bands.index(b), word_hash(w) % WIDTH
-            self.known[w] = (*k, -c)
-            self.mass[k] += 0.1 - c
+        np.add.at(self.mass, (cls, pos), np.where(rare, c + 0.1, c))
+        if ends:
+            self.mass[self.end] = ends
         self.mass[self.tail] = tail[:, 1] + 0.1 * (tail[:, 0] + 1)  # and an unknown word
+        by = np.argsort(key)
+        self.key, self.check, self.of = key[by], check[by], (cls[by].astype(np.uint8), pos[by].astype(np.uint8), c[by])
+
+    def found(self, distinct: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(hash, [class, place, count or -1]) of distinct words."""
+        h = np.fromiter(map(xxhash.xxh64_intdigest, distinct, repeat(42)), np.uint64, len(distinct))
+        at = np.minimum(np.searchsorted(self.key, h), max(len(self.key) - 1, 0))
+        if not len(self.key):
+            known = np.zeros(len(h), bool)
+        else:
+            known = self.key[at] == h
+            known &= self.check[at] == np.fromiter(map(xxhash.xxh64_intdigest, distinct, repeat(SECOND)), np.uint64, len(distinct))
+        out = []
+        for values, missing in zip(self.of, (self.tail, (h % np.uint64(WIDTH)).astype(np.int64), -1), strict=True):
+            out.append(np.where(known, values[at].astype(np.int64) if len(values) else 0, missing))
+        return h, out
 
     def base(self, c):
         return np.log10((c + 0.1) / (self.n + 0.1 * (self.v + 1)))
@@ -105,9 +128,10 @@ class Model:
         return np.stack([hashed(c, zero, w1, rows=n), hashed(c, zero + np.uint64(1), w2, rows=n)], 1)
 
     @staticmethod
-    def logs(bias, weights, rows, step: int = 1 << 13):
-        """Natural logs of the softmax for each row of features, computed a part at a time."""
+    def shares(bias, weights, rows, step: int = 1 << 13):
+        """The softmax for each row of features, computed a part at a time."""
         out = np.empty((len(rows), weights.shape[1]), np.float32)
+        one = np.ones(weights.shape[1], np.float32)
         for p in range(0, len(rows), step):
             r = rows[p : p + step]
             x = weights[r[:, 0]]
@@ -115,8 +139,8 @@ class Model:
                 x += weights[r[:, k]]
             x += bias if bias.ndim == 1 else bias[p : p + step]
             np.minimum(x, 60, out=x)  # far above what weights come to; no overflow
-            x -= np.log(np.exp(x).sum(1, keepdims=True))
-            out[p : p + step] = x
+            np.exp(x, out=x)
+            np.divide(x, (x @ one)[:, None], out=out[p : p + step])
         return out
 
     @staticmethod
@@ -128,11 +152,11 @@ class Model:
     def of_tokens(self, cls, pos, w1, w2) -> np.ndarray:
         """log10 of the probability of each token's class and place. Each context is computed once."""
         c1, c2, at = self.contexts(w1, w2)
-        out = self.logs(self.class_bias, self.first, self.rows_1(c1, c2))[at, cls].astype(np.float64)
+        out = self.shares(self.class_bias, self.first, self.rows_1(c1, c2))[at, cls].astype(np.float64)
         pairs, to = np.unique(at * len(self.class_bias) + cls, return_inverse=True)
         x, k = np.divmod(pairs, len(self.class_bias))
-        out += self.logs(self.biases[k], self.second, self.rows_2(k, c1[x], c2[x]))[to, pos]
-        return out / np.log(10)
+        out *= self.shares(self.biases[k], self.second, self.rows_2(k, c1[x], c2[x]))[to, pos]
+        return np.log10(np.maximum(out, 1e-300))
 
 
 class Learner:
@@ -144,8 +168,9 @@ class Learner:
 
     def move(self, weights, squares, rows, gradient):
         for k in range(rows.shape[1]):
-            order = np.argsort(rows[:, k])
-            r = rows[order, k]
+            r = rows[:, k]
+            order = np.argsort(r.astype(np.uint16) if len(weights) <= 1 << 16 else r, kind="stable")
+            r = r[order]
             at = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
             g = np.add.reduceat(gradient[order], at, axis=0)
             r = r[at]
@@ -159,46 +184,35 @@ class Learner:
         c1, c2, at = m.contexts(w1, w2)
         rows = m.rows_1(c1, c2)
         much = np.bincount(at, minlength=len(c1)).astype(np.float32)
-        p = np.exp(m.logs(m.class_bias, m.first, rows))
+        p = m.shares(m.class_bias, m.first, rows)
         p *= -much[:, None]
         np.add.at(p, (at, cls), np.float32(1))
         self.move(m.first, self.g1, rows, p)
         pairs, to, much = np.unique(at * n + cls, return_inverse=True, return_counts=True)
         x, k = np.divmod(pairs, n)
         rows = m.rows_2(k, c1[x], c2[x])
-        p = np.exp(m.logs(m.biases[k], m.second, rows))
+        p = m.shares(m.biases[k], m.second, rows)
         p *= -much.astype(np.float32)[:, None]
         np.add.at(p, (to, pos), np.float32(1))
         self.move(m.second, self.g2, rows, p)
 
 
-class Reader:
-    """Tokens of slices as classes, places and contexts."""
-
-    def __init__(self, counts: Counts):
-        self.counts = counts
-        self.at = {w: i for i, w in enumerate(counts.known)}
-        self.of = np.array([*counts.known.values(), (counts.tail, 0, -1)], np.int64)
-
-    def tokens(self, data, firsts):
-        """(class and place of each token, ends of texts among them; hashes of the words before and before those; first token of each text; distinct words, their counts (-1: not sent) and
-        places, index of each word among them, first word of each text)."""
-        found, cuts = words(lower_bytes(data), firsts)
-        enc = found.dictionary_encode()
-        distinct = enc.dictionary.to_pylist()
-        index = enc.indices.to_numpy() if len(found) else np.zeros(0, np.int64)
-        h = np.fromiter(map(xxhash.xxh64_intdigest, distinct, repeat(42)), np.uint64, len(distinct))
-        at = np.fromiter(map(self.at.get, distinct, repeat(-1)), np.int64, len(distinct))
-        of = list(self.of[at].T)
-        of[1] = np.where(at < 0, (h % np.uint64(WIDTH)).astype(np.int64), of[1])
-        cls, pos = (np.insert(of[k][index], cuts[1:], self.counts.end[k]) for k in (0, 1))
-        h = np.insert(h[index], cuts[1:], START)
-        begin = cuts[:-1] + np.arange(len(cuts) - 1)
-        w1 = np.append(START, h[:-1])
-        w1[begin] = START
-        w2 = np.append(START, w1[:-1])
-        w2[begin] = START
-        return (cls, pos, w1, w2), begin, distinct, of, index, cuts
+def tokens(counts: Counts, data, firsts):
+    """(class and place of each token, ends of texts among them; hashes of the words before and before those; first token of each text; distinct words, their classes, places and
+    counts (-1: not sent), index of each word among them, first word of each text)."""
+    found, cuts = words(lower_bytes(data), firsts)
+    enc = found.dictionary_encode()
+    distinct = enc.dictionary.to_pylist()
+    index = enc.indices.to_numpy() if len(found) else np.zeros(0, np.int64)
+    h, of = counts.found(distinct)
+    cls, pos = (np.insert(of[k][index], cuts[1:], counts.end[k]) for k in (0, 1))
+    h = np.insert(h[index], cuts[1:], START)
+    begin = cuts[:-1] + np.arange(len(cuts) - 1)
+    w1 = np.append(START, h[:-1])
+    w1[begin] = START
+    w2 = np.append(START, w1[:-1])
+    w2[begin] = START
+    return (cls, pos, w1, w2), begin, distinct, of, index, cuts
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -238,13 +252,13 @@ def trained(docs: DataFrame, counts: Counts, rounds: int = 1, rate: float = 1.0)
     for _ in range(rounds):
 
         def run(batches, model=model):
-            reader, learner = Reader(counts), Learner(model, rate)
+            learner = Learner(model, rate)
             first, second = model.first.copy(), model.second.copy()
             for batch in batches:
                 for _, _, data, firsts in text_slices(batch.column(0)):
-                    tokens = reader.tokens(data, firsts)[0]
-                    for p in range(0, len(tokens[0]), STEP):
-                        learner.learn(*(x[p : p + STEP] for x in tokens))
+                    got = tokens(counts, data, firsts)[0]
+                    for p in range(0, len(got[0]), STEP):
+                        learner.learn(*(x[p : p + STEP] for x in got))
             for t, (now, before) in enumerate(((model.first, first), (model.second, second))):
                 d = now - before
                 for p in range(0, len(d), 16 * block):
@@ -290,24 +304,26 @@ def lm_scores(docs: DataFrame, folds: int = 10, rounds: int = 1, sent: int = SEN
     total = table.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     ends = docs.where("train").count()
     sent_ = most_frequent(table, sent)
-    top = [(r["word"], r["c"]) for r in table.where(sent_).collect()]
+    top = table.where(sent_).select(F.xxhash64("word").alias("h"), F.xxhash64(F.lit(1), "word").alias("h2"), "c").toPandas()  # three numbers for each of about `sent` words
+    top = tuple(top[c].to_numpy(np.int64) for c in ("h", "h2", "c"))
     tail = np.zeros((WIDTH, 2))
     for r in table.where(~sent_).groupBy((F.xxhash64("word").bitwiseAND(F.lit(WIDTH - 1))).alias("p")).agg(F.count("*").alias("k"), F.sum("c").alias("c")).collect():
         tail[r["p"]] = r["k"], r["c"]
     counts = Counts((total["n"] or 0) + ends, total["v"] + (ends > 0), ends, top, tail)
     model = trained(docs, counts, rounds) if ends else Model(counts)
-    whole = len(top) == total["v"]  # every known word was sent
+    whole = len(top[0]) == total["v"]  # every known word was sent
     schema = "row long, doc_id long, held_out boolean, word string, k long, n_tokens long, n_known long, base double, score double"
 
     def run(batches):
         from pyspark import TaskContext
 
-        reader, row = Reader(counts), TaskContext.get().partitionId() << 36
+        row = TaskContext.get().partitionId() << 36
         end_known = int(counts.ends > 0)
         for batch in batches:
             for i, j, data, firsts in text_slices(batch.column(1)):
-                tokens, begin, distinct, (cls, pos, c), index, cuts = reader.tokens(data, firsts)
-                score = np.add.reduceat(model.of_tokens(*tokens), begin)
+                got, begin, distinct, (cls, pos, c), index, cuts = tokens(counts, data, firsts)
+                score = np.concatenate([model.of_tokens(*(x[p : p + 4 * STEP] for x in got)) for p in range(0, len(got[0]), 4 * STEP)])
+                score = np.add.reduceat(score, begin)
                 if whole:
                     c = np.maximum(c, 0)
                 sure = c >= 0

@@ -54,12 +54,17 @@ def counts_of(d, most=10**6):
     table = lm.counted(d)
     cond = lm.most_frequent(table, most)
     top = [tuple(r) for r in table.where(cond).collect()]
+    arrays = tuple(np.array([f(w, c) for w, c in top], t).view(np.int64) for f, t in ((lambda w, c: lm.word_hash(w.encode()), np.uint64), (lambda w, c: lm.xxhash.xxh64_intdigest(w.encode(), lm.SECOND), np.uint64), (lambda w, c: c, np.int64)))
     rest = [tuple(r) for r in table.where(~cond).collect()]
     tail = np.zeros((lm.WIDTH, 2))
     for w, c in rest:
         tail[lm.word_hash(w.encode()) % lm.WIDTH] += 1, c
     ends = d.where("train").count()
-    return lm.Counts(sum(c for _, c in top + rest) + ends, len(top) + len(rest) + 1, ends, top, tail), dict(top + rest)
+    return lm.Counts(sum(c for _, c in top + rest) + ends, len(top) + len(rest) + 1, ends, arrays, tail), dict(top + rest)
+
+
+def arrays_of(counts):
+    return counts.key
 
 
 def test_probabilities_sum_to_one(spark):
@@ -69,8 +74,11 @@ def test_probabilities_sum_to_one(spark):
         counts, words = counts_of(d, most)
         assert len(words) > 1500 and counts.classes > lm.CLASSES + 1
         m = lm.trained(d, counts)
-        cells = [(*k[:2], k[2]) for k in counts.known.values()] + [(*counts.end, counts.ends)]
-        cells += [(counts.tail, lm.word_hash(w.encode()) % lm.WIDTH, c) for w, c in words.items() if w.encode() not in counts.known] + [(counts.tail, p, 0) for p in range(lm.WIDTH)]
+        distinct = [w.encode() for w in words]
+        _, (cls, pos, c) = counts.found(distinct)
+        assert all(a in (-1, words[w.decode()]) for w, a in zip(distinct, c.tolist())) and (c >= 0).sum() == len(arrays_of(counts))
+        cells = [(a, b, words[w.decode()]) for w, a, b in zip(distinct, cls.tolist(), pos.tolist())] + [(*counts.end, counts.ends)] + [(counts.tail, p, 0) for p in range(lm.WIDTH)]
+        assert len({x[:2] for x in cells if x[0] < lm.CLASSES}) == sum(x[0] < lm.CLASSES for x in cells)  # places of their own
         cls, pos, c = map(np.array, zip(*cells))
         share = np.where(cls < lm.CLASSES, 1, (c + 0.1) / counts.mass[cls, pos].clip(1e-9))
         for before in ((b"a", b"w7"), (b"w3", b"never seen"), None):
@@ -104,7 +112,9 @@ def test_score_against_brute_force(spark, sent, monkeypatch):
             if x is None:
                 (c, p), n = counts.end, counts.ends
             else:
-                c, p, n = counts.known.get(x.encode(), (counts.tail, int(h) % lm.WIDTH, words.get(x, 0)))
+                c, p, n = (int(v[0]) for v in counts.found([x.encode()])[1])
+                n = words.get(x, 0) if n < 0 else n
+                assert n == words.get(x, 0)
             total += softmax(m.class_bias, m.first[m.rows_1(one(a), one(b))[0]])[c] + softmax(m.biases[c], m.second[m.rows_2(np.array([c]), one(a), one(b))[0]])[p]
             if c >= lm.CLASSES:
                 total += math.log((n + 0.1) / counts.mass[c, p])
