@@ -134,9 +134,9 @@ class Model:
         one = np.ones(weights.shape[1], np.float32)
         for p in range(0, len(rows), step):
             r = rows[p : p + step]
-            x = weights[r[:, 0]]
+            x = np.take(weights, r[:, 0], axis=0, mode="clip")
             for k in range(1, r.shape[1]):
-                x += weights[r[:, k]]
+                x += np.take(weights, r[:, k], axis=0, mode="clip")
             x += bias if bias.ndim == 1 else bias[p : p + step]
             np.minimum(x, 60, out=x)  # far above what weights come to; no overflow
             np.exp(x, out=x)
@@ -172,7 +172,7 @@ class Learner:
             order = np.argsort(r.astype(np.uint16) if len(weights) <= 1 << 16 else r, kind="stable")
             r = r[order]
             at = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-            g = np.add.reduceat(gradient[order], at, axis=0)
+            g = np.add.reduceat(np.take(gradient, order, axis=0, mode="clip"), at, axis=0)
             r = r[at]
             squares[r] += np.einsum("ij,ij->i", g, g)
             g *= (self.rate / np.sqrt(squares[r]))[:, None]
@@ -255,7 +255,7 @@ def trained(docs: DataFrame, counts: Counts, rounds: int = 1, rate: float = 1.0)
             learner = Learner(model, rate)
             first, second = model.first.copy(), model.second.copy()
             for batch in batches:
-                for _, _, data, firsts in text_slices(batch.column(0)):
+                for _, _, data, firsts in text_slices(batch.column(0), 3 << 20):
                     got = tokens(counts, data, firsts)[0]
                     for p in range(0, len(got[0]), STEP):
                         learner.learn(*(x[p : p + STEP] for x in got))
