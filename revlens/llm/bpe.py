@@ -38,11 +38,15 @@ def byte_letters() -> dict[int, str]:
 
 @cache
 def merge_file(path: str) -> tuple[dict[str, int], list[tuple[str, str]], dict[str, int]]:
-    """(vocabulary, merges in rank order, special strings) of a tokenizers .json file of a byte-level BPE."""
+    """(vocabulary, merges in rank order, added strings) of a tokenizers .json file of a byte-level BPE. Added strings, special or not, are looked for as they stand; those that ask for more (a normalised text, no neighbours in a word, stripped white space) are refused."""
     with open(path, encoding="utf-8") as f:
         j = json.load(f)
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in j["model"]["merges"]]
-    return j["model"]["vocab"], merges, {t["content"]: t["id"] for t in j.get("added_tokens", []) if t["special"]}
+    added = j.get("added_tokens", [])
+    odd = [t["content"] for t in added if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or (t.get("normalized") and j.get("normalizer"))]
+    if odd:
+        raise ValueError(f"merge_file: added strings with conditions: {odd}")
+    return j["model"]["vocab"], merges, {t["content"]: t["id"] for t in added}
 
 
 @cache
@@ -374,10 +378,18 @@ SEQUENCES = 64
 
 
 def files_of(uri: str):
-    """(file system, path) of a place."""
+    """(file system, path) of a place, given with its scheme (see qualified())."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    if ":/" not in uri:
+        raise ValueError(f"files_of: {uri} has no scheme, so workers can't tell where it is")
+    return fs.FileSystem.from_uri(uri)
+
+
+def qualified(spark, path: str) -> str:
+    """A path with the scheme that Spark itself would take for it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
 class Packed:
@@ -422,11 +434,11 @@ def packed_files(docs: DataFrame, path: str, end_id: int, to: str, length: int =
     number of ids. The ids are uint16 where the vocabulary allows it. A task writes under a name of its own
     attempt and renames at the end, so repeated attempts leave whole files. Returns one entry a range:
     bounded by the number of partitions. Ties of doc_id are ordered by text; null texts are empty and give
-    just end_id; a null doc_id comes first.
+    just end_id; a null doc_id comes first. Very long texts are coded whole, in their task.
     """
     modest_batches(docs.sparkSession)
     vocab, _, special = merge_file(path)
-    strings = sorted(special)
+    strings = [x.encode() for x in special]
     kind = np.uint16 if max([*vocab.values(), *special.values(), end_id]) < 1 << 16 else np.uint32
 
     def write(batches):
@@ -460,7 +472,7 @@ def packed_files(docs: DataFrame, path: str, end_id: int, to: str, length: int =
                 state = f, g, pa.ipc.new_stream(f, schema), pa.ipc.new_stream(g, doc_schema)
             doc_ids = batch.column(0)
             for i, j, data, firsts in text_slices(batch.column(1)):
-                s = Slice(data, firsts, special=strings[0].encode() if strings else b"")
+                s = Slice(data, firsts, special=strings)
                 index, (lens, flat) = s.coded(model_codec(path))
                 ids, before = gathered(index, lens, flat)
                 cut = before[np.append(s.cuts, len(s.starts))]
@@ -488,8 +500,6 @@ def packed_files(docs: DataFrame, path: str, end_id: int, to: str, length: int =
             system.move(docs_at + own, docs_at)
             yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "lo": pa.array([lo], pa.int64()), "hi": pa.array([hi], pa.int64()), "name": [name], "n_tokens": [total]})
 
-    if len(strings) > 1:
-        raise ValueError("packed_files: more than one special string isn't supported")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     done = sorted((r.asDict() for r in rows.mapInArrow(write, "part int, lo long, hi long, name string, n_tokens long").collect()), key=lambda r: r["part"])
@@ -521,7 +531,7 @@ def read_packed(spark, parts: list[dict]) -> DataFrame:
 def packed(docs: DataFrame, path: str, end_id: int = 2, to: str | None = None, length: int = 1024) -> DataFrame:
     """packed_files() into a new folder of the shared place (or to), then read_packed(): the rows come from the files."""
     spark = docs.sparkSession
-    return read_packed(spark, packed_files(docs, path, end_id, to or new_path(spark, "ids"), length))
+    return read_packed(spark, packed_files(docs, path, end_id, qualified(spark, to or new_path(spark, "ids")), length))
 
 
 # ---------------------------------------------------------------- operator 8
@@ -534,15 +544,13 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     doc_ids stay separate rows; other columns are ignored; an empty table gives an empty result.
     """
     modest_batches(docs.sparkSession)
-    strings = sorted(merge_file(path)[2])
-    if len(strings) > 1:
-        raise ValueError("token_counts: more than one special string isn't supported")
+    strings = [x.encode() for x in merge_file(path)[2]]
 
     def count(batches):
         codec = Codec(lambda pieces: [int(n).to_bytes(4, "little") for n in merger(path).counts(pieces)])
         for batch in batches:
             for i, j, data, firsts in text_slices(batch.column(1)):
-                s = Slice(data, firsts, special=strings[0].encode() if strings else b"")
+                s = Slice(data, firsts, special=strings)
                 index, (_, n) = s.coded(codec)
                 before = np.zeros(len(index) + 1, np.int64)
                 np.cumsum(n[index] if len(index) else [], out=before[1:])

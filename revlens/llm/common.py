@@ -78,6 +78,19 @@ def lower_ascii(c):
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def most_frequent(table: DataFrame, name: str, count: str, most: int) -> F.Column:
+    """Whether a row (name, count) is among the most frequent ones, of which there are about `most` at most. A histogram of counts on a log scale finds how frequent they must
+    be, so that no more than these come to the driver: a sort with a limit would send as many from every partition. Of a band that would be too many, a share by hash is taken."""
+    band = F.floor(F.log2(count) * 16).cast("int")
+    n = 0
+    for r in sorted(table.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["band"]):
+        if n + r["n"] > most:
+            part = F.pmod(F.xxhash64(F.lit(5), name), F.lit(1 << 20)) < int((most - n) / r["n"] * (1 << 20))
+            return (band > r["band"]) | ((band == r["band"]) & part)
+        n += r["n"]
+    return F.lit(True)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Distributed union-find over edges (a long, b long): (node, comp), comp the smallest node reachable.
 

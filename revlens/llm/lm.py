@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import forget, modest_batches, written
+from revlens.llm.common import forget, modest_batches, most_frequent, written
 from revlens.llm.pretoken import lower_bytes, text_slices, words
 
 CLASSES, WIDTH = 16, 32
@@ -230,19 +230,6 @@ def counted(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def most_frequent(table: DataFrame, most: int) -> F.Column:
-    """Whether a word of (word, c) is among the most frequent ones, of which there are about `most` at most. A histogram of counts on a log scale finds how frequent they must
-    be, so that no more than these come to the driver: a sort with a limit would send as many from every partition. Of a band that would be too many, a share by hash is taken."""
-    band = F.floor(F.log2("c") * 16).cast("int")
-    n = 0
-    for r in sorted(table.groupBy(band.alias("band")).count().collect(), key=lambda r: -r["band"]):
-        if n + r["count"] > most:
-            part = F.pmod(F.xxhash64(F.lit(5), "word"), F.lit(1 << 20)) < int((most - n) / r["count"] * (1 << 20))
-            return (band > r["band"]) | ((band == r["band"]) & part)
-        n += r["count"]
-    return F.lit(True)
-
-
 def trained(docs: DataFrame, counts: Counts, rounds: int = 1, rate: float = 1.0) -> Model:
     """The model after rounds passes over the training texts. In a pass each task makes gradient steps from the weights so far; then the
     changes of each row are averaged over the tasks that changed it. What comes to the driver has the size of the model."""
@@ -303,7 +290,7 @@ def lm_scores(docs: DataFrame, folds: int = 10, rounds: int = 1, sent: int = SEN
     table = written(counted(docs), "counts")
     total = table.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     ends = docs.where("train").count()
-    sent_ = most_frequent(table, sent)
+    sent_ = most_frequent(table, "word", "c", sent)
     top = table.where(sent_).select(F.xxhash64("word").alias("h"), F.xxhash64(F.lit(1), "word").alias("h2"), "c").toPandas()  # three numbers for each of about `sent` words
     top = tuple(top[c].to_numpy(np.int64) for c in ("h", "h2", "c"))
     tail = np.zeros((WIDTH, 2))

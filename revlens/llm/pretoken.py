@@ -5,6 +5,8 @@ Everything here works on slices of a batch held as numpy arrays; no Python objec
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -59,11 +61,26 @@ def boundaries(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
     return b
 
 
+def special_spans(raw: bytes, special, edge: np.ndarray) -> list[tuple[int, int]]:
+    """(first byte, end) of each special string within one of the texts that begin at edge: the leftmost, of several there the longest, none over another."""
+    if not any(x in raw for x in special):
+        return []
+    pattern = re.compile(b"|".join(re.escape(x) for x in sorted(special, key=len, reverse=True)))
+    out, at = [], 0
+    while (m := pattern.search(raw, at)) is not None:
+        end = int(edge[np.searchsorted(edge, m.start(), "right")])  # of the text where it begins
+        own = m if m.end() <= end else pattern.match(raw, m.start(), end)
+        if own is not None:
+            out.append(own.span())
+        at = own.end() if own is not None else m.start() + 1
+    return out
+
+
 class Slice:
     """Texts of a slice, cut into pre-tokens. starts: first byte of each pre-token; cuts: index of the first pre-token of each text."""
 
-    def __init__(self, data: np.ndarray, text_starts: np.ndarray, special: bytes = b"", prior: np.ndarray | None = None):
-        """data: UTF-8 of all texts; text_starts: their first bytes; special: a string that is one token wherever it stands; prior: known first bytes of pre-tokens."""
+    def __init__(self, data: np.ndarray, text_starts: np.ndarray, special: list[bytes] | tuple = (), prior: np.ndarray | None = None):
+        """data: UTF-8 of all texts; text_starts: their first bytes; special: strings that are one token wherever they stand, the leftmost first, then the longest; prior: known first bytes of pre-tokens."""
         self.data = data
         n = len(data)
         if prior is None:
@@ -73,24 +90,14 @@ class Slice:
             first = np.zeros(len(cp), bool)
             at = text_starts[text_starts < n]
             first[at if lead is None else np.searchsorted(lead, at)] = True
-            inside = []
-            if special and special in raw:
-                k = raw.find(special)
-                edge = np.append(text_starts, n)
-                while k >= 0:
-                    if np.searchsorted(edge, k, "right") == np.searchsorted(edge, k + len(special) - 1, "right"):
-                        inside.append(k)
-                        k = raw.find(special, k + len(special))
-                    else:
-                        k = raw.find(special, k + 1)
-                for k in inside:
-                    p, q = (k, k + len(special)) if lead is None else np.searchsorted(lead, [k, k + len(special)])
-                    first[p] = True
-                    if q < len(first):
-                        first[q] = True
+            inside = special_spans(raw, special, np.append(text_starts, n))
+            spans = [(p, q) if lead is None else tuple(np.searchsorted(lead, [p, q])) for p, q in inside]
+            for p, q in spans:
+                first[p] = True
+                if q < len(first):
+                    first[q] = True
             b = boundaries(cp, first)
-            for k in inside:
-                p, q = (k, k + len(special)) if lead is None else np.searchsorted(lead, [k, k + len(special)])
+            for p, q in spans:
                 b[p + 1 : q] = False
             starts = np.flatnonzero(b)
             self.starts = starts if lead is None else lead[starts]

@@ -112,3 +112,23 @@ def test_null_ids(spark):
     assert {(r["doc_id"], r["n_tokens"]) for r in bpe.encoded(d, RANKS).collect()} == {(None, 2), (1, 0)}
     assert {(r["doc_id"], r["n_tokens"]) for r in bpe.token_counts(d, MODEL).collect()} == {(None, 2), (1, 0)}
     assert {(r["doc_id"], r["n_tokens"]) for r in bpe.packed(d, MODEL).collect()} == {(None, 3), (1, 1)}
+
+
+def test_several_added_strings(spark, tmp_path):
+    """As the library: the leftmost, then the longest."""
+    import json
+
+    from tokenizers import AddedToken, Tokenizer
+
+    tok = Tokenizer.from_file(MODEL)
+    tok.add_special_tokens(["<|x|>", "<|x|><|y|>"])
+    tok.add_tokens([AddedToken("zqzq", normalized=False)])
+    at = f"{tmp_path}/more.json"
+    tok.save(at)
+    assert len(json.load(open(at))["added_tokens"]) >= 3
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["<|x|>", "<|y|>", "zqzq", "zq", "a b", " ", "é"]) for _ in range(rng.randrange(1, 12))) for _ in range(80)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    want = {i: tok.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["n_tokens"] for r in bpe.token_counts(d, at).collect()} == {i: len(x) for i, x in want.items()}
+    assert {r["doc_id"]: r["ids_crc32"] for r in bpe.packed(d, at).collect()} == {i: zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for i, x in want.items()}

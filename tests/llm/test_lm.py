@@ -52,7 +52,7 @@ def test_base_and_gain(spark, sent, monkeypatch):
 
 def counts_of(d, most=10**6):
     table = lm.counted(d)
-    cond = lm.most_frequent(table, most)
+    cond = lm.most_frequent(table, "word", "c", most)
     top = [tuple(r) for r in table.where(cond).collect()]
     arrays = tuple(np.array([f(w, c) for w, c in top], t).view(np.int64) for f, t in ((lambda w, c: lm.word_hash(w.encode()), np.uint64), (lambda w, c: lm.xxhash.xxh64_intdigest(w.encode(), lm.SECOND), np.uint64), (lambda w, c: c, np.int64)))
     rest = [tuple(r) for r in table.where(~cond).collect()]
@@ -139,8 +139,8 @@ def test_rare_words_gain_from_their_context(spark):
 
 def test_ties_leave_words(spark):
     table = spark.createDataFrame([(f"w{i}", 7) for i in range(1000)] + [("x", 900)], "word string, c long")
-    assert 300 < table.where(lm.most_frequent(table, 400)).count() <= 420
-    assert table.where(lm.most_frequent(table, 2000)).count() == 1001
+    assert 300 < table.where(lm.most_frequent(table, "word", "c", 400)).count() <= 420
+    assert table.where(lm.most_frequent(table, "word", "c", 2000)).count() == 1001
 
 
 def test_nothing_to_learn(spark):
