@@ -58,10 +58,10 @@ def build_files(texts: DataFrame) -> DataFrame:
 
 
 def rule_refs(texts: DataFrame) -> DataFrame:
-    """(ident, ref, excluded) of rule set files (ident, xml)."""
-    refs = F.expr("xpath(xml, 'ruleset/rule/@ref')")
-    rows = texts.select("ident", "xml", F.explode(refs).alias("ref"))
-    return rows.select("ident", "ref", F.expr("xpath(xml, 'ruleset/rule/exclude/@name')").alias("excluded"))
+    """(ident, ref, excluded) of rule set files (ident, xml), one row for each rule that refers to another."""
+    rules = F.regexp_extract_all("xml", F.lit(r"(?s)(<rule\b[^>]*?(?:/>|>.*?</rule>))"), F.lit(1))  # a row each, so that an exclude belongs to its own rule
+    rows = texts.select("ident", F.explode(rules).alias("rule"))
+    return rows.select("ident", F.expr("xpath_string(rule, 'rule/@ref')").alias("ref"), F.expr("xpath(rule, 'rule/exclude/@name')").alias("excluded")).where("ref <> ''")
 
 
 def documents(spark: SparkSession, at: str, model: str, schema) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Git as a Spark data source: spark.read.format("revlens_git").option("path", ...).option("table", "commits" | "modifications" | "refs" | "files" | "blame")."""
+"""Git as a Spark data source: spark.read.format("revlens_git").option("path", ...).option("table", "commits" | "modifications" | "lines" | "refs" | "files" | "blame")."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SCHEMAS = {
     "commits": "rev string, parents array<string>, author string, committer_ts timestamp, committer_local timestamp_ntz, tz_offset_min int, msg string",
     "modifications": "rev string, parent_num int, mod_idx int, change_type string, old_path string, new_path string, added int, removed int",
+    "lines": "rev string, parent_num int, path string, kind string, line int, text string",
     "refs": "name string, rev string",
     "files": "rev string, path string",
     "blame": "rev string, path string, inducing string, file string, lo int, hi int",
@@ -54,8 +55,10 @@ class GitReader(DataSourceReader):
                 yield rev, p
 
     def _commits(self, revs):
-        for rev in revs:
-            h, parents, author, when, msg = git(self.path, "show", "-s", "--format=%H%x00%P%x00%ae%x00%cI%x00%B", rev).split("\0", 4)
+        """One process for all commits of a range."""
+        shown = git(self.path, "show", "-s", "--format=%x01%H%x00%P%x00%ae%x00%cI%x00%B", *revs) if revs else ""
+        for one in shown.split("\1")[1:]:
+            h, parents, author, when, msg = one.split("\0", 4)
             local = datetime.fromisoformat(when)
             yield h, parents.split(), author, local.astimezone(timezone.utc), local.replace(tzinfo=None), int(local.utcoffset().total_seconds() // 60), msg.strip("\n")
 
@@ -75,6 +78,29 @@ class GitReader(DataSourceReader):
                         next(lines), next(lines)
                     yield rev, num, k, kind, None if kind == "ADD" else old, None if kind == "DELETE" else new, int(a) if a != "-" else 0, int(r) if r != "-" else 0
 
+    def _lines(self, revs):
+        """Added and deleted lines by number, against each parent; white space alone is no change."""
+        for rev in revs:
+            parents = git(self.path, "show", "-s", "--format=%P", rev).split()
+            for num, against in enumerate(parents or [None]):
+                names = {"-": "", "+": ""}
+                at = {"-": 0, "+": 0}
+                head = True
+                diff = ["diff-tree", "-r", "-M", "-w", "-U0", "-p", "--no-color", *([against, rev] if against else ["--root", "--no-commit-id", rev])]
+                for line in git(self.path, *diff).split("\n"):
+                    sign = line[:1]
+                    if line.startswith("diff --git "):
+                        head = True
+                    elif head and line.startswith(("--- ", "+++ ")):
+                        names[sign] = "" if line[4:] == "/dev/null" else line[6:].rstrip("\t")
+                    elif line.startswith("@@ "):
+                        head = False
+                        _, old, new, *_ = line.split(" ")
+                        at = {"-": int(old[1:].split(",")[0]), "+": int(new[1:].split(",")[0])}
+                    elif not head and sign in at:
+                        yield rev, num, names[sign], "deleted" if sign == "-" else "added", at[sign], line[1:]
+                        at[sign] += 1
+
     def _blame(self, revs):
         rev, out, names = revs[0] or "HEAD", [], {}
         for line in git(self.path, "blame", "--incremental", "-w", rev, "--", self.file).splitlines():

@@ -48,3 +48,16 @@ def test_rows(spark, repo):
     assert [r["kamei_lt"] for r in rows] == [-11, -11, 0, 0, 0] and [r["kamei_sexp"] for r in rows] == [2, 2, 1, 2, 3]
     # commits of the author in each year over its distance, times the tracked files
     assert [r["kamei_rexp"] for r in rows] == [2, 2, 1, 2, 3] and not any(r["quality_asat_commit"] for r in rows)
+
+
+def test_lines(spark, repo):
+    from revlens.sources import git
+
+    git.register(spark)
+    rows = spark.read.format("revlens_git").options(path=repo, table="lines").load().collect()
+    last = max((r["rev"] for r in rows), key=lambda v: sum(x["rev"] == v for x in rows))
+    first = [r for r in rows if r["rev"] == last]  # everything is added in the first commit
+    assert {(r["path"], r["kind"]) for r in first} == {("p1/Main.java", "added"), ("p2/Main.java", "added"), ("notes.txt", "added")} and len(first) == 11
+    assert sorted((r["path"], r["kind"], r["line"], r["text"]) for r in rows if r["rev"] != last) == [
+        ("p1/Main.java", "added", 3, "BAD"), ("p1/Main.java", "deleted", 3, "c"), ("p1/Other.java", "added", 3, "good"), ("p1/Other.java", "deleted", 3, "BAD"),
+    ]

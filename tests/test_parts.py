@@ -155,3 +155,17 @@ def test_prefixes_by_order(spark):
     src = spark.createDataFrame([("a/b", "x", 2), ("a", "y", 3), ("c", "z", 1)], "source string, value string, ord int")
     got = {r["path"]: r["value"] for r in builds.by_prefix(spark.createDataFrame([("a/b/c.java",), ("c/d",), ("e",)], "path string"), src).collect()}
     assert got == {"a/b/c.java": "y", "c/d": "z", "e": None}
+
+
+def test_rules_have_their_own_excludes(spark):
+    xml = '<ruleset><rule ref="category/java/design.xml"><exclude name="A"/><exclude name="B"/></rule><rule ref="rulesets/X.xml/C"/><rule name="own"/><rule ref="category/java/other.xml">\n<exclude name="D"/></rule></ruleset>'
+    got = [tuple(r) for r in files.rule_refs(spark.createDataFrame([("i", xml)], "ident string, xml string")).collect()]
+    assert got == [("i", "category/java/design.xml", ["A", "B"]), ("i", "rulesets/X.xml/C", []), ("i", "category/java/other.xml", ["D"])]
+
+
+def test_connectors():
+    from revlens.sources import registry
+
+    assert registry.connector("java") is files.pmd and registry.connector("pylint") is files.pylint
+    with pytest.raises(ValueError):
+        registry.connector("cobol")
