@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; only where it is unset, one of our own (tests)."""
+    """The folder of spark.checkpoint.dir, which all executors share; only where it is unset, and all runs on this machine, one of our own (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "/tmp/checkpoints/revlens"
     return at.rstrip("/")
 
