@@ -25,7 +25,7 @@ SHARE = 0.75
 #: Classes of a bucket that is compared whole at once; of a larger one, LEADS are compared with all others before the rest is.
 SMALL, LEADS = 24, 4
 #: Classes of a bucket that are compared at once with as many others.
-BLOCK = 128
+BLOCK = 512
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def joined_classes(classes: DataFrame, share: float) -> DataFrame:
     return comp
 
 
-def decisions(docs: DataFrame, share: float = SHARE, checked: int = 200_000) -> DataFrame:
+def decisions(docs: DataFrame, share: float = SHARE, checked: int = 1_000_000) -> DataFrame:
     """doc_id, n_lines, n_kept, dropped (line numbers from 0, ascending) of each doc_id.
 
     Blank lines stay and count; an empty or null text is one blank line. Lines of fewer than SHINGLE characters are
@@ -201,15 +201,17 @@ def decisions(docs: DataFrame, share: float = SHARE, checked: int = 200_000) ->
     return marked.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count(F.when(~gone, 1)).alias("n_kept"), F.sort_array(F.collect_set(F.when(gone, F.col("no")))).alias("dropped"))
 
 
-def deduplicated(docs: DataFrame, share: float = SHARE, checked: int = 200_000) -> DataFrame:
+def deduplicated(docs: DataFrame, share: float = SHARE, checked: int = 1_000_000, sent: int = 16 << 20) -> DataFrame:
     """docs with its own columns, texts without the dropped lines. A document all of whose lines go, blank ones aside, goes itself; one that had no line but blank ones stays.
 
-    Null and empty texts stay as they are; rows of one doc_id lose the same line numbers. Column names may be any.
+    Null and empty texts stay as they are; rows of one doc_id lose the same line numbers. Column names may be any. The lists of dropped lines are
+    sent to all tasks if they take at most sent bytes; else both sides meet by doc_id.
     """
     names = docs.columns
     of, dropped = free_name(docs, "of"), free_name(docs, "dropped")
     some = written(decisions(docs, share, checked).where(F.size("dropped") > 0).select(F.col("doc_id").alias(of), F.col("dropped").alias(dropped)), "dropped")
-    side = F.broadcast(some) if some.limit(checked // 20 + 1).count() <= checked // 20 else some
+    size = some.agg(F.count("*").alias("n"), F.sum(F.size(dropped)).alias("k")).first()
+    side = F.broadcast(some) if 48 * size["n"] + 4 * (size["k"] or 0) <= sent else some
     rows = docs.join(side, docs["doc_id"].cast("long").eqNullSafe(F.col(of)), "left")
     had = F.col(dropped)
     stays = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), had)

@@ -71,6 +71,7 @@ def test_texts(spark):
     dec = {r["doc_id"]: set(r["dropped"]) for r in L.decisions(d).collect()}
     out = L.deduplicated(d)
     assert out.schema.names == d.schema.names
+    assert sorted(map(str, L.deduplicated(d, sent=0).collect())) == sorted(map(str, out.collect()))
     got = {r["doc_id"]: r["text"] for r in out.collect()}
     for i, t in rows:
         kept = [x for n, x in enumerate((t or "").split("\n")) if n not in dec[i]]
