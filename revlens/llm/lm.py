@@ -25,7 +25,7 @@ FREQUENT = CLASSES * WIDTH
 #: What stands before a text, in place of a word's hash.
 START = np.uint64(1)
 #: Words whose counts go along with the code, at most (26 bytes each); counts of all others meet their words in a join.
-SENT = 1_000_000
+SENT = 300_000
 #: Rows of weights for classes: a power of two from a sixteenth of the vocabulary on, within these bounds; for places twice as many.
 LEAST_ROWS, MOST_ROWS = 1 << 13, 1 << 15
 #: Tokens of a gradient step.
