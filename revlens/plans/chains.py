@@ -305,13 +305,13 @@ WHOLE = ("linter_parent_warnings", "linter_lloc", "linter_files", "current_syste
 
 
 def digits(v: str, n: str) -> str:
-    return f"{v} AS {n}" if n in WHOLE else f"round({v} + 0.0, 6) AS {n}"
+    return f"{v} AS {n}" if n in WHOLE else f"round({v} + 1e-9, 6) AS {n}"  # sums in another order must not meet a tie
 
 
-@query("n1_linter_rows", base("SELECT rev, file, mod_idx, " + ", ".join([*(digits(v, n) for n, v in VALUES.items()), *(f"round(CASE WHEN wd <> 0 THEN {v} END, 6) AS {n}" for n, v in SHOWN.items())]) + " FROM r1", ROWS))
+@query("n1_linter_rows", base("SELECT rev, file, mod_idx, " + ", ".join([*(digits(v, n) for n, v in VALUES.items()), *(f"round(CASE WHEN wd <> 0 THEN {v} END + 1e-9, 6) AS {n}" for n, v in SHOWN.items())]) + " FROM r1", ROWS))
 def n1_linter_rows(spark, d):
     """The linter's row outputs (section 2.8 of the survey) with all running sums; also W21 to W24 in their default and effective forms."""
     t = A.touches(spark, d)
     lint = t.where("added % 5 <> 0").groupBy("rev", "file").agg(F.sum("removed").alias("warnings"), F.sum(F.when(F.col("nloc") <= 3, F.col("removed")).otherwise(0)).alias("default_warnings"), F.sum(F.when(F.col("nloc") <= 2, F.col("removed")).otherwise(0)).alias("effective_warnings"), F.sum(F.col("nloc") * 10).alias("lloc"))
     out = linter.row_outputs(t, lint, A.parents(spark, d))
-    return out.select(*(F.col(c) if c in (*WHOLE, *ID) else (F.round(F.col(c), 6) + 0.0).alias(c) for c in out.columns))
+    return out.select(*(F.col(c) if c in (*WHOLE, *ID) else F.round(F.col(c) + 1e-9, 6).alias(c) for c in out.columns))

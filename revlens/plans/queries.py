@@ -181,14 +181,14 @@ def w21_sum_wd(spark, d):
 @query(
     "w22_decay",
     base(
-        "SELECT a.rev, a.file, a.mod_idx, round(coalesce(sum(b.density / (a.k - b.k + 1)), 0), 6) AS decayed_file_system_sum_WD FROM q a LEFT JOIN q b ON a.file = b.file AND b.k <= a.k AND b.density IS NOT NULL AND b.rid <= a.rid GROUP BY ALL",
+        "SELECT a.rev, a.file, a.mod_idx, round(coalesce(sum(b.density / (a.k - b.k + 1)), 0) + 1e-9, 6) AS decayed_file_system_sum_WD FROM q a LEFT JOIN q b ON a.file = b.file AND b.k <= a.k AND b.density IS NOT NULL AND b.rid <= a.rid GROUP BY ALL",
         A.LINT,
         DENSITY,
         "q AS (SELECT *, count(density) OVER (PARTITION BY file ORDER BY ts, rev, mod_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k, row_number() OVER (PARTITION BY file ORDER BY ts, rev, mod_idx) AS rid FROM dens)",
     ),
 )
 def w22_decay(spark, d):
-    return linter.running_density(density(spark, d)).select(*ID, r("decayed_file_system_sum_WD"))
+    return linter.running_density(density(spark, d)).select(*ID, F.round(F.col("decayed_file_system_sum_WD") + 1e-9, 6).alias("decayed_file_system_sum_WD"))  # sums in another order must not meet a tie
 
 
 DELTA = """
