@@ -314,6 +314,7 @@ def encoded(docs: DataFrame, path: str, chunk: int = 2_048, overlap: int = 256,
             for i, j, data, firsts in text_slices(batch.column(1)):
                 ids, cut = ids_of(cut_up(data, firsts, chunk, overlap), path)
                 yield out(batch.column(0).slice(i, j - i), digests(ids, cut, path), ids, cut)
+        rank_codec(path).known.clear()  # the worker lives on in other stages
 
     def dealt(batches):
         """Each chunk with the one before it and what it shares with the next: own, the bytes of the chunk itself, begin at mid."""
@@ -353,6 +354,7 @@ def encoded(docs: DataFrame, path: str, chunk: int = 2_048, overlap: int = 256,
                 ids = None if found is None else ids_of(Slice(piece[found[0] : found[1]], one, prior=found[2]), path)[0].astype("<u4").tobytes()
                 got.append((raw[mid : mid + own], ids))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.binary())], ["row", "doc_id", "k", "data", "ids"])
+        rank_codec(path).known.clear()
 
     def joined(key, group):
         order = np.argsort(group.column("k").to_numpy())
