@@ -29,7 +29,7 @@ SENT = 300_000
 #: Rows of weights for classes: a power of two from a sixteenth of the vocabulary on, within these bounds; for places twice as many.
 LEAST_ROWS, MOST_ROWS = 1 << 13, 1 << 15
 #: Tokens of a gradient step.
-STEP = 1 << 14
+STEP = 1 << 12
 HASHES = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 #: The bias of what never occurs.
 NEVER = -40.0
