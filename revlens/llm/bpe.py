@@ -473,7 +473,7 @@ def packed_files(docs: DataFrame, path: str, end_id: int, to: str, length: int =
                 f, g = system.open_output_stream(ids_at + own), system.open_output_stream(docs_at + own)
                 state = f, g, pa.ipc.new_stream(f, schema), pa.ipc.new_stream(g, doc_schema)
             doc_ids = batch.column(0)
-            for i, j, data, firsts in text_slices(batch.column(1)):
+            for i, j, data, firsts in text_slices(batch.column(1), 4 << 20):
                 s = Slice(data, firsts, special=strings)
                 index, (lens, flat) = s.coded(model_codec(path))
                 ids, before = gathered(index, lens, flat)
@@ -551,7 +551,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     def count(batches):
         codec = Codec(lambda pieces: [int(n).to_bytes(4, "little") for n in merger(path).counts(pieces)])
         for batch in batches:
-            for i, j, data, firsts in text_slices(batch.column(1)):
+            for i, j, data, firsts in text_slices(batch.column(1), 4 << 20):
                 s = Slice(data, firsts, special=strings)
                 index, (_, n) = s.coded(codec)
                 before = np.zeros(len(index) + 1, np.int64)
