@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revlens.llm import bpe, chat, decontam, embed, jaccard, lines, lm, toxicity
+from revlens.llm import bpe, chat, decontam, embed, jaccard, lines, lm, shard, sortmeans, toxicity, whiten
 from revlens.llm.common import table
 
 
@@ -55,6 +55,18 @@ def op10_chat_tree(spark, sf_dir):
     return chat.read_back(spark, chat.formatted(rows.unionByName(own)))
 
 
+def op11_whitening(spark, sf_dir):
+    return whiten.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_sort_means(spark, sf_dir):
+    return sortmeans.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_minimax_shards(spark, sf_dir):
+    return shard.sharded(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -67,10 +79,15 @@ def queries():
         "op8_token_counts": op8_token_counts,
         "op9_toxicity": op9_toxicity,
         "op10_chat_tree": op10_chat_tree,
+        "op11_whitening": op11_whitening,
+        "op12_sort_means": op12_sort_means,
+        "op13_minimax_shards": op13_minimax_shards,
     }
 
 
 def oracle_sql():
     return {
         "op4_spaced_seeds": decontam.oracle(),
+        "op12_sort_means": sortmeans.oracle(),
+        "op13_minimax_shards": shard.oracle(),
     }
