@@ -12,6 +12,8 @@ from test_decontam import brute as leaks_brute
 from test_embed import brute as links_brute
 from test_jaccard import brute as jaccard_brute
 from test_lm import base as lm_base
+from test_sortmeans import brute as clusters_brute
+from test_whiten import brute as white_brute
 
 import __spark_entry__ as entry
 
@@ -124,6 +126,43 @@ def test_op10(spark, sf):
         assert r["turns_sha256"] == hashlib.sha256("".join(f"{w}\n{t}\n" for w, t in turns).encode()).hexdigest()
 
 
+def wide(spark, tmp_path_factory):
+    """A folder whose embeddings have 64 dimensions."""
+    g = np.random.default_rng(5)
+    vecs = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(g.normal(size=(150, 64)) * 0.2)] + [(200, None), (201, [1.0])]
+    at = str(tmp_path_factory.mktemp("wide"))
+    spark.createDataFrame(vecs, "vec_id long, embedding array<float>").write.parquet(f"{at}/embeddings.parquet")
+    return at, vecs
+
+
+def test_op11_op12(spark, tmp_path_factory):
+    sf = wide(spark, tmp_path_factory)
+    assert sorted(tuple(r) for r in rows(spark, sf, "op12_sort_means")) == clusters_brute(sf[1])
+    got = {}
+    for r in rows(spark, sf, "op11_whitening"):
+        got.setdefault(r["vec_id"], {})[r["component"]] = r
+    want = white_brute(sf[1])
+    assert set(got) == {i for i, *_ in want}
+    for i, n, deviation, z, share in want:
+        own = [got[i][c] for c in range(1, len(z) + 1)]
+        assert {(r["n"], r["deviation"]) for r in own} == {(n, deviation)}
+        some = [(r, v) for r, v in zip(own, z) if v is not None]
+        assert [abs(r["whitened"]) for r, _ in some] == pytest.approx([v for _, v in some], rel=1e-6, abs=1e-8)
+        assert i == 201 or [r["explained"] for r in own] == pytest.approx(share, rel=1e-9)
+        assert i == 201 or own[0]["identity_error"] < 1e-4
+
+
+def test_op13(spark, sf):
+    got = rows(spark, sf, "op13_minimax_shards")
+    assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in got} == {(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in sf[1]}
+    size = [sum(r["size"] for r in got if r["shard"] == k) for k in range(8)]
+    largest = max(len((t or "").encode()) + 1 for _, t in sf[1])
+    assert max(size) - min(size) <= 2 * largest
+    for k in range(8):
+        own = sorted(r["slot"] for r in got if r["shard"] == k)
+        assert own == list(range(len(own)))
+
+
 def test_pipeline(spark, sf):
     got = rows(spark, sf, "pipeline")
     assert got and all(len(r["ids"]) == r["n_tokens"] for r in got) and {r["doc_id"] for r in got} < {i for i, _ in sf[1]}
