@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from revlens.constants import BUG_KEYWORDS, QUALITY_KEYWORDS
 from revlens.functions import columns as C
 from revlens.operators import commits as commit_ops
-from revlens.operators import graph, history, labels, store
+from revlens.operators import graph, history, labels, lineage, store
 from revlens.sources import git
 
 
@@ -51,45 +51,35 @@ def changes(spark: SparkSession, commits: DataFrame, mods: DataFrame, language:
     m = m.withColumn("kind", C.effective_change(F.col("change_type"), ok("old_path"), ok("new_path"))).withColumn("tracked", F.col("kind").isNotNull())
     m = m.withColumn("name", C.file_name(F.coalesce("kind", "change_type"), F.col("old_path"), F.col("new_path")))
     m = m.join(commits.select("rev", "seq", F.col("committer_ts").alias("date"), "author", "msg"), "rev")
-    renames = m.where("kind = 'RENAME'").select(F.lit("").alias("project"), F.struct("seq", "mod_idx").alias("at"), "old_path", "new_path")
-    place = Window.partitionBy("project").orderBy("at")
-    known = graph.aliases(renames.withColumn("seq", F.row_number().over(place)))
-    m = m.join(known.select(F.col("path").alias("name"), "oldest"), "name", "left")
+    m = m.withColumn("at", F.struct("seq", "mod_idx"))
+    moves = lineage.oldest_names(m.where("kind = 'RENAME'").select("at", "old_path", "new_path"))
+    m = lineage.names_as_of(m.withColumnRenamed("name", "path"), moves).withColumnRenamed("path", "name")
     return m.select(
-        "rev", "seq", "date", "author", "msg", "mod_idx", "kind", "tracked", "name", F.coalesce("oldest", "name").alias("file"),
+        "rev", "seq", "date", "author", "msg", "mod_idx", "kind", "tracked", "name", F.col("oldest").alias("file"),
         C.subsystem(F.col("name")).alias("subsystem"), C.directory(F.col("name")).alias("directory"),
-        F.col("added").cast("long").alias("added"), F.col("removed").cast("long").alias("removed"), F.lit(None).cast("long").alias("nloc"),
+        F.col("added").cast("long").alias("added"), F.col("removed").cast("long").alias("removed"), F.col("nloc").cast("long").alias("nloc"),
         F.count("*").over(Window.partitionBy("rev")).alias("n_mods"),
     )
 
 
-def inducing(spark: SparkSession, path: str, fixes: DataFrame) -> DataFrame:
-    """(rev, name, bug_id): what last changed the lines that fixes delete, by blame at the fix's parent."""
+def blamed_lines(commits: DataFrame, mods: DataFrame, lines: DataFrame, language: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fixes, deleted, blame) as labels.blamed() and labels.unique_inducing() take them: fixing commits without merges, the lines of code that they delete from the language's files, and what last changed those lines before."""
+    fix = commits.where("fix and size(parents) = 1").select(F.col("rev").alias("fix"), F.col("parents")[0].alias("before"), F.col("committer_local").alias("ts"))
+    own = mods.where("parent_num = 0").join(fix, F.col("rev") == F.col("fix"))
+    fixes = own.groupBy("fix", "ts").agg(F.count("*").alias("n_mods"))
+    name = C.file_name(F.col("change_type"), F.col("old_path"), F.col("new_path"))
+    touched = own.where((F.col("change_type") != "ADD") & C.language_file(language, name)).select("fix", "before", "old_path")
+    gone = lines.where("parent_num = 0 and kind = 'deleted'").select(F.col("rev").alias("fix"), F.col("path").alias("old_path"), "line", "text")
+    deleted = store.kept(gone.join(touched, ["fix", "old_path"]).where(C.code_line(F.col("text"))).select("fix", "before", "old_path", "line"), "deleted")
+    origins = lineage.line_origins(commits, mods, lines, deleted.select("fix", F.col("before").alias("rev"), F.col("old_path").alias("path"), "line"))
+    return fixes, deleted.select("fix", "old_path", "line"), store.kept(origins.select("fix", F.col("path").alias("old_path"), "inducing", "file", "lo", "hi"), "blame")
 
-    def find(batches):
-        import pandas as pd
 
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                diff = git.git(path, "diff", "-U0", "-w", "-M", f"{r.rev}^", r.rev, "--", r.old_path, r.name)
-                gone, at = [], 0
-                for line in diff.splitlines():
-                    if line.startswith("@@"):
-                        at = int(line.split(" ")[1][1:].split(",")[0])
-                    elif line.startswith("-") and not line.startswith("---"):
-                        text = line[1:].strip()
-                        if text and not text.startswith(("//", "/*", "*", "#")):
-                            gone.append(at)
-                        at += 1
-                if gone:
-                    reader = git.GitReader({"path": path, "rev": f"{r.rev}^", "file": r.old_path}, "blame")
-                    for _, _, sha, name, lo, hi in reader._blame([f"{r.rev}^"]):
-                        if any(lo <= g <= hi for g in gone):
-                            out.append((sha, name, f"adhoc__{r.rev}"))
-            yield pd.DataFrame(out, columns=["rev", "name", "bug_id"])
-
-    return fixes.select("rev", "old_path", "name").mapInPandas(find, "rev string, name string, bug_id string").distinct()
+def bug_ids(commits: DataFrame) -> DataFrame:
+    """(fix, bug_id): the fix and its local time with the distance from UTC."""
+    off = F.col("tz_offset_min")
+    zone = F.concat(F.when(off < 0, "-").otherwise("+"), F.lpad(F.floor(F.abs(off) / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.abs(off) % 60).cast("string"), 2, "0"))
+    return commits.select(F.col("rev").alias("fix"), F.concat(F.lit("adhoc__"), "rev", F.lit("__"), F.date_format("committer_local", "yyyy-MM-dd HH:mm:ss"), zone).alias("bug_id"))
 
 
 def mine(spark: SparkSession, path: str, language: str = "java", keywords=BUG_KEYWORDS, until: str | None = None) -> DataFrame:
@@ -101,7 +91,7 @@ def mine(spark: SparkSession, path: str, language: str = "java", keywords=BUG_KE
         df.write.parquet(f"{at}/{name}")
         return spark.read.schema(df.schema).parquet(f"{at}/{name}")
 
-    read = lambda table: spark.read.format("revlens_git").options(path=path, table=table).load()
+    read = lambda table: spark.read.format("revlens_git").options(path=path, table=table, nloc=table == "modifications").load()
     c = kept(read("commits"), "commits")
     c = kept(c.join(ordered(spark, c), "rev").withColumn("fix", C.any_substring(F.col("msg"), list(keywords))), "ordered")
     mods = kept(read("modifications"), "modifications")
@@ -124,13 +114,14 @@ def mine(spark: SparkSession, path: str, language: str = "java", keywords=BUG_KE
     topics = list(QUALITY_KEYWORDS)
     full = history.topic_counts(full, c.select("rev", *(C.any_token(F.col("msg"), list(QUALITY_KEYWORDS[k])).alias(k) for k in topics)), topics)
     full = kept(full, "measured")
-    fixes = mods.where("parent_num = 0 and change_type <> 'ADD'").join(c.where("fix and size(parents) = 1").select("rev"), "rev").withColumn("name", C.file_name(F.col("change_type"), F.col("old_path"), F.col("new_path"))).where(C.language_file(language, F.col("name")))
-    bad = kept(inducing(spark, path, fixes), "inducing")
-    bugs = sorted(r["bug_id"] for r in bad.select("bug_id").distinct().collect())
-    lab = bad.select("rev", F.col("name").alias("file"), "bug_id")
-    by_file = bad.join(full.select("rev", "name", "file").distinct(), ["rev", "name"]).select("rev", "file").distinct()
-    full = history.previous_inducing(full, by_file)
-    full = labels.flags(full, bad.join(full.select("rev", "name", "file").distinct(), ["rev", "name"]).select("rev", "file"))
+    fixes, deleted, blame = blamed_lines(c, mods, kept(read("lines"), "lines"), language)
+    names = full.select("rev", "name", "file").distinct()
+    placed = lambda hits: hits.select(F.col("inducing").alias("rev"), F.col("file").alias("name")).join(names, ["rev", "name"]).select("rev", "file").distinct()
+    adhoc = labels.blamed(deleted, blame)
+    lab = kept(adhoc.join(bug_ids(c), "fix").select(F.col("inducing").alias("rev"), "file", "bug_id").distinct(), "inducing")
+    bugs = sorted(r["bug_id"] for r in lab.select("bug_id").distinct().collect())
+    full = history.previous_inducing(full, placed(adhoc))
+    full = labels.flags(full, placed(labels.unique_inducing(fixes, deleted, blame, until=F.lit(until).cast("timestamp_ntz") if until else None)))
     full = full.join(path_numbers(spark, c), "rev").join(c.select("rev", "committer_local", "tz_offset_min"), "rev")
     rows = full.select(
         F.col("rev").alias("commit"), "seq", "mod_idx", F.col("date").alias("committer_date"), "committer_local", "tz_offset_min", F.col("name").alias("file"), F.col("file").alias("oldest_name"),

@@ -1,25 +1,73 @@
-"""Git as a Spark data source: spark.read.format("revlens_git").option("path", ...).option("table", "commits" | "modifications" | "lines" | "refs" | "files" | "blame")."""
+"""Git as a Spark data source: spark.read.format("revlens_git").option("path", ...).option("table", "commits" | "modifications" | "lines" | "refs" | "files" | "blame").
+
+With the option nloc, modifications have the lines of code of the new file, without blank lines and comments.
+Filters on rev, parent_num and committer_ts are pushed down: commits and parents that they leave out are never diffed. Filters on path spare the rows of other files.
+"""
 
 from __future__ import annotations
 
+import operator
+import re
 import subprocess
+import tempfile
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 SCHEMAS = {
     "commits": "rev string, parents array<string>, author string, committer_ts timestamp, committer_local timestamp_ntz, tz_offset_min int, msg string",
-    "modifications": "rev string, parent_num int, mod_idx int, change_type string, old_path string, new_path string, added int, removed int",
-    "lines": "rev string, parent_num int, path string, kind string, line int, text string",
+    "modifications": "rev string, parent_num int, mod_idx int, change_type string, old_path string, new_path string, added int, removed int, nloc int, committer_ts timestamp",
+    "lines": "rev string, parent_num int, path string, kind string, line int, text string, committer_ts timestamp",
     "refs": "name string, rev string",
     "files": "rev string, path string",
     "blame": "rev string, path string, inducing string, file string, lo int, hi int",
 }
 KINDS = {"A": "ADD", "M": "MODIFY", "D": "DELETE", "R": "RENAME", "C": "COPY", "T": "MODIFY"}
+COMPARED = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
+
+
+def git(path: str, *args: str, given: str | None = None) -> str:
+    return subprocess.run(["git", "-C", path, *args], input=None if given is None else given.encode(), capture_output=True, check=True).stdout.decode("utf-8", "replace")
+
+
+def git_lines(path: str, *args: str, given: str) -> Iterator[str]:
+    """The output line by line, while the process runs. What it is given must be short beside a pipe or read before it answers: a file holds it."""
+    with tempfile.TemporaryFile() as asked:
+        asked.write(given.encode())
+        asked.seek(0)
+        with subprocess.Popen(["git", "-C", path, *args], stdin=asked, stdout=subprocess.PIPE) as p:
+            for line in p.stdout:
+                yield line.decode("utf-8", "replace").removesuffix("\n")
+        if p.returncode:
+            raise subprocess.CalledProcessError(p.returncode, p.args)
+
 
+C_STYLE = (".c", ".cc", ".cpp", ".cs", ".go", ".h", ".hpp", ".java", ".js", ".kt", ".php", ".rs", ".scala", ".swift", ".ts")
+HASH_STYLE = (".py", ".rb", ".sh")
+STRING = r"""\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"""
 
-def git(path: str, *args: str) -> str:
-    return subprocess.run(["git", "-C", path, *args], capture_output=True, check=True).stdout.decode("utf-8", "replace")
+
+def code_length(name: str, text: str) -> int | None:
+    """Lines that hold more than white space and comments; None for files whose comments aren't known."""
+    comment = r"/\*.*?(?:\*/|\Z)|//[^\n]*" if name.endswith(C_STYLE) else r"#[^\n]*" if name.endswith(HASH_STYLE) else None
+    if comment is None:
+        return None
+    bare = re.sub(f"{STRING}|({comment})", lambda m: "\n" * m[0].count("\n") if m[1] else m[0], text, flags=re.S)
+    return sum(bool(line.strip()) for line in bare.split("\n"))
+
+
+def unquoted(name: str) -> str:
+    """A path as Git prints it: in quotes with backslashes where it holds unusual bytes."""
+    if not (len(name) > 1 and name[0] == name[-1] == '"'):
+        return name
+    return name[1:-1].encode("latin-1", "replace").decode("unicode_escape").encode("latin-1", "replace").decode("utf-8", "replace")
+
+
+def side(line: str) -> str:
+    """The path of a --- or +++ line; nothing for /dev/null. A tab ends names that hold spaces."""
+    name = unquoted(line[4:].removesuffix("\t"))
+    return "" if name == "/dev/null" else name[2:]
 
 
 class Range(InputPartition):
@@ -34,12 +82,46 @@ class GitReader(DataSourceReader):
     def __init__(self, options, table):
         self.path, self.table, self.at = options["path"], table, options.get("rev", "")
         self.file, self.per = options.get("file", ""), int(options.get("per", "500"))
+        self.nloc = options.get("nloc", "false") == "true"
+        self.tests: list[tuple] = []
+
+    def pushFilters(self, filters):
+        """Takes comparisons of rev, parent_num, path and committer_ts with values; gives back all others."""
+        usable = {"commits": ("rev", "committer_ts"), "modifications": ("rev", "parent_num", "committer_ts"), "lines": ("rev", "parent_num", "path", "committer_ts")}.get(self.table, ())
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if name in usable and type(f) in COMPARED and f.value is not None:
+                self.tests.append((name, type(f).__name__, f.value))
+            elif name in usable and isinstance(f, In):
+                self.tests.append((name, "In", tuple(f.value)))
+            else:
+                yield f
+
+    def fits(self, name, value) -> bool:
+        """Whether a value passes the tests on its column."""
+        for column, kind, other in self.tests:
+            if column == name and kind == "In" and value not in other:
+                return False
+            if column == name and kind != "In" and not {k.__name__: v for k, v in COMPARED.items()}[kind](value, other):
+                return False
+        return True
+
+    def at_time(self, seconds: str) -> datetime:
+        """A commit's time, as comparable with the filters' values."""
+        t = datetime.fromtimestamp(int(seconds), timezone.utc)
+        naive = any(isinstance(v, datetime) and v.tzinfo is None for c, _, o in self.tests if c == "committer_ts" for v in (o if isinstance(o, tuple) else (o,)))
+        return t.astimezone().replace(tzinfo=None) if naive else t
 
     def partitions(self):
         if self.table in ("refs", "files", "blame"):
             return [Range([self.at])]
-        revs = git(self.path, "rev-list", "--all", "--topo-order", "--reverse").split()
-        return [Range(revs[i : i + self.per]) for i in range(0, len(revs), self.per)] or [Range([])]
+        listed = git(self.path, "rev-list", "--all", "--topo-order", "--reverse", "--no-commit-header", "--format=%H %ct %P").splitlines()
+        kept = []
+        for line in listed:
+            rev, when, *parents = line.split()
+            if self.fits("rev", rev) and self.fits("committer_ts", self.at_time(when)):
+                kept.append((rev, int(when), tuple(parents)))
+        return [Range(kept[i : i + self.per]) for i in range(0, len(kept), self.per)] or [Range([])]
 
     def read(self, partition):
         yield from getattr(self, f"_{self.table}")(partition.revs)
@@ -56,50 +138,86 @@ class GitReader(DataSourceReader):
 
     def _commits(self, revs):
         """One process for all commits of a range."""
-        shown = git(self.path, "show", "-s", "--format=%x01%H%x00%P%x00%ae%x00%cI%x00%B", *revs) if revs else ""
+        asked = "".join(f"{rev}\n" for rev, *_ in revs)
+        shown = git(self.path, "log", "--no-walk=unsorted", "--stdin", "-s", "--format=%x01%H%x00%P%x00%ae%x00%cI%x00%B", given=asked) if revs else ""
         for one in shown.split("\1")[1:]:
             h, parents, author, when, msg = one.split("\0", 4)
             local = datetime.fromisoformat(when)
             yield h, parents.split(), author, local.astimezone(timezone.utc), local.replace(tzinfo=None), int(local.utcoffset().total_seconds() // 60), msg.strip("\n")
 
+    def pairs(self, revs):
+        """(rev, parent number, time) of what is to be diffed, and what diff-tree is asked for it."""
+        of = [(rev, num, datetime.fromtimestamp(when, timezone.utc), parent) for rev, when, parents in revs for num, parent in enumerate(parents or [""]) if self.fits("parent_num", num)]
+        return [p[:3] for p in of], "".join(f"{rev} {parent}\n" for rev, _, _, parent in of)
+
     def _modifications(self, revs):
-        for rev in revs:
-            parents = git(self.path, "show", "-s", "--format=%P", rev).split()
-            for num, against in enumerate(parents or [None]):
-                cmd = ["diff-tree", "-r", "-M", "-z", *([against, rev] if against else ["--root", "--no-commit-id", rev])]
-                names = iter(git(self.path, *cmd, "--name-status").split("\0"))
-                lines = iter(git(self.path, *cmd, "--numstat").split("\0"))
-                for k, status in enumerate(iter(lambda names=names: next(names, ""), "")):
-                    kind = KINDS.get(status[0], "MODIFY")
-                    old = next(names)
-                    new = next(names) if status[0] in "RC" else old
-                    a, r, p = next(lines).split("\t")
-                    if not p:  # renames have their paths after
-                        next(lines), next(lines)
-                    yield rev, num, k, kind, None if kind == "ADD" else old, None if kind == "DELETE" else new, int(a) if a != "-" else 0, int(r) if r != "-" else 0
+        """One process for all commits and parents of a range."""
+        of, asked = self.pairs(revs)
+        if not of:
+            return
+        rows = list(self.changes(of, asked))
+        sizes = self.code_lengths({(blob, row[5]) for row, blob in rows if row[5]}) if self.nloc else {}
+        for (*row, when), blob in rows:
+            yield *row, sizes.get((blob, row[5])), when
+
+    def code_lengths(self, blobs: set[tuple[str, str]]) -> dict[tuple[str, str], int]:
+        """The length of code of blobs (id, name), read one after another from one process."""
+        of = sorted((b, n) for b, n in blobs if n.endswith(C_STYLE + HASH_STYLE))
+        out = {}
+        with tempfile.TemporaryFile() as asked:
+            asked.write("".join(f"{b}\n" for b, _ in of).encode())
+            asked.seek(0)
+            with subprocess.Popen(["git", "-C", self.path, "cat-file", "--batch"], stdin=asked, stdout=subprocess.PIPE) as p:
+                for blob, name in of:
+                    size = p.stdout.readline().split()[-1]
+                    if size.isdigit():  # else it is missing
+                        out[blob, name] = code_length(name, p.stdout.read(int(size) + 1).decode("utf-8", "replace"))
+        return out
+
+    def changes(self, of, asked):
+        shown = git(self.path, "diff-tree", "--stdin", "-r", "-M", "-z", "--root", "--always", "--raw", "--numstat", "--format=%x01", given=asked)
+        for (rev, num, when), one in zip(of, shown.split("\1")[1:], strict=True):
+            part = iter(one.lstrip("\0\n").split("\0"))
+            kinds, counts = [], []
+            for field in part:
+                field = field.lstrip("\n")
+                if field.startswith(":"):
+                    *_, blob, letter = field.split(" ")
+                    old = next(part)
+                    kinds.append((KINDS.get(letter[0], "MODIFY"), old, next(part) if letter[0] in "RC" else old, blob))
+                elif "\t" in field:
+                    a, r, name = field.split("\t", 2)
+                    if not name:  # renames have their paths after
+                        next(part), next(part)
+                    counts.append((a, r))
+            for k, ((kind, old, new, blob), (a, r)) in enumerate(zip(kinds, counts, strict=True)):
+                yield (rev, num, k, kind, None if kind == "ADD" else old, None if kind == "DELETE" else new, int(a) if a != "-" else 0, int(r) if r != "-" else 0, when), blob
 
     def _lines(self, revs):
-        """Added and deleted lines by number, against each parent; white space alone is no change."""
-        for rev in revs:
-            parents = git(self.path, "show", "-s", "--format=%P", rev).split()
-            for num, against in enumerate(parents or [None]):
-                names = {"-": "", "+": ""}
-                at = {"-": 0, "+": 0}
+        """Added and deleted lines by number, against each parent; white space alone is no change. One process for all of a range, read while it runs."""
+        of, asked = self.pairs(revs)
+        if not of:
+            return
+        todo = iter(of)
+        names, at, head, left = {"-": "", "+": ""}, {"-": 0, "+": 0}, True, {"-": 0, "+": 0}
+        for line in git_lines(self.path, "diff-tree", "--stdin", "-r", "-M", "-w", "-U0", "-p", "--no-color", "--root", "--always", "--format=%x01", given=asked):
+            sign = line[:1]
+            if sign in left and left[sign]:
+                if self.fits("path", names[sign]):
+                    yield rev, num, names[sign], "deleted" if sign == "-" else "added", at[sign], line[1:], when
+                at[sign] += 1
+                left[sign] -= 1
+            elif line == "\1":
+                rev, num, when = next(todo)
+            elif line.startswith("diff --git "):
                 head = True
-                diff = ["diff-tree", "-r", "-M", "-w", "-U0", "-p", "--no-color", *([against, rev] if against else ["--root", "--no-commit-id", rev])]
-                for line in git(self.path, *diff).split("\n"):
-                    sign = line[:1]
-                    if line.startswith("diff --git "):
-                        head = True
-                    elif head and line.startswith(("--- ", "+++ ")):
-                        names[sign] = "" if line[4:] == "/dev/null" else line[6:].rstrip("\t")
-                    elif line.startswith("@@ "):
-                        head = False
-                        _, old, new, *_ = line.split(" ")
-                        at = {"-": int(old[1:].split(",")[0]), "+": int(new[1:].split(",")[0])}
-                    elif not head and sign in at:
-                        yield rev, num, names[sign], "deleted" if sign == "-" else "added", at[sign], line[1:]
-                        at[sign] += 1
+            elif head and line.startswith(("--- ", "+++ ")):
+                names[sign] = side(line)
+            elif line.startswith("@@ "):
+                head = False
+                for s, part in zip("-+", line.split(" ")[1:3]):
+                    start, _, n = part[1:].partition(",")
+                    at[s], left[s] = int(start), int(n or 1)
 
     def _blame(self, revs):
         rev, out, names = revs[0] or "HEAD", [], {}
@@ -109,7 +227,7 @@ class GitReader(DataSourceReader):
                 sha, _, lo, n = part
                 out.append((sha, int(lo), int(lo) + int(n) - 1))
             elif line.startswith("filename "):
-                names[len(out) - 1] = line[9:]
+                names[len(out) - 1] = unquoted(line[9:])
         for k, (sha, lo, hi) in enumerate(out):
             yield rev, self.file, sha, names.get(k, self.file), lo, hi
 
@@ -127,4 +245,8 @@ class GitSource(DataSource):
 
 
 def register(spark) -> None:
+    """Makes the source known, and lets Python sources have filters, unless the session says otherwise itself."""
+    key = "spark.sql.python.filterPushdown.enabled"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, "true")
     spark.dataSource.register(GitSource)

@@ -42,10 +42,10 @@ def test_rows(spark, repo):
     assert [r["kamei_nf"] for r in rows] == [3, 3, 1, 1, 1] and [r["nuc"] for r in rows] == [0, 0, 1, 2, 3]
     assert rows[0]["add"] == pytest.approx(5 / 11) and rows[4]["fix_bug"] and not rows[3]["fix_bug"]
     assert [r["kamei_exp"] for r in rows] == [1, 1, 1, 2, 3] and {r["pathnum"] for r in rows} == {0}
-    bug = f"adhoc__{rows[4]['commit']}"
+    bug = f"adhoc__{rows[4]['commit']}__2018-01-09 01:00:00+02:00"
     assert [r[bug] for r in rows] == [0, 0, 1, 0, 0] and [r["previous_inducing"] for r in rows] == [0, 0, 0, 1, 1]
     assert [r["pascarella_commit"] for r in rows] == [False, False, True, False, False] == [r["pascarella_file"] for r in rows]
-    assert [r["kamei_lt"] for r in rows] == [-11, -11, 0, 0, 0] and [r["kamei_sexp"] for r in rows] == [2, 2, 1, 2, 3]
+    assert [r["kamei_lt"] for r in rows] == [-1, -1, 5, 5, 5] and [r["lt"] for r in rows] == [5] * 5 and [r["kamei_sexp"] for r in rows] == [2, 2, 1, 2, 3]
     # commits of the author in each year over its distance, times the tracked files
     assert [r["kamei_rexp"] for r in rows] == [2, 2, 1, 2, 3] and not any(r["quality_asat_commit"] for r in rows)
 
@@ -61,3 +61,83 @@ def test_lines(spark, repo):
     assert sorted((r["path"], r["kind"], r["line"], r["text"]) for r in rows if r["rev"] != last) == [
         ("p1/Main.java", "added", 3, "BAD"), ("p1/Main.java", "deleted", 3, "c"), ("p1/Other.java", "added", 3, "good"), ("p1/Other.java", "deleted", 3, "BAD"),
     ]
+
+
+HALLO = ["public class Main {", "\tpublic static void main(String[] args) {", '\t\tSystem.out.println("Hallo");', "\t}", "}"]
+BLANK = [*HALLO[:2], "", *HALLO[3:]]
+LESS = [*HALLO[:2], *HALLO[3:]]
+
+
+def history(at):
+    """Functions that put lines into a file and run git at a time."""
+    def run(*args, when="2018-01-01 03:01:01 +0200"):
+        who = {f"GIT_{a}_{b}": v for a in ("AUTHOR", "COMMITTER") for b, v in (("NAME", "Test User"), ("EMAIL", "test@test.local"), ("DATE", when))}
+        subprocess.run(["git", "-C", str(at), *args], check=True, capture_output=True, env=os.environ | who)
+
+    def put(name, lines, msg, when):
+        (at / name).write_text("\n".join(lines) + "\n")
+        run("add", "-A", when=when)
+        run("commit", "-qm", msg, when=when)
+
+    run("init", "-q", "-b", "master")
+    return run, put
+
+
+def mined(spark, at, **kw):
+    return sorted(mine(spark, str(at), keywords=["fix"], **kw).collect(), key=lambda r: (r["seq"], r["mod_idx"]))
+
+
+def test_rename_on_a_branch(spark, tmp_path):
+    """The fix of a renamed file on a branch leads back to the old name; the branch is a path of its own, and its merge has no rows of its own."""
+    run, put = history(tmp_path)
+    put("Main.java", BLANK, "(a) init, added Main.java", "2018-01-01 03:01:01 +0200")
+    run("checkout", "-qb", "branch1")
+    put("Main.java", HALLO, "(b) add output", "2018-01-03 03:01:01 +0200")
+    run("mv", "Main.java", "Rubbish.java")
+    run("commit", "-qam", "(c) move file", when="2018-01-04 03:01:01 +0200")
+    put("Rubbish.java", LESS, "(d) fix, remove unneeded output", "2018-01-05 03:01:01 +0200")
+    run("checkout", "-q", "master")
+    put("Main2.java", [x.replace("Main", "Main2") for x in HALLO], "(b2) add output in branch master for Main2.java", "2018-01-03 03:01:01 +0200")
+    run("merge", "-q", "-m", "merge", "branch1", when="2018-01-06 03:01:01 +0200")
+    rows = mined(spark, tmp_path)
+    by = {(r["file"], r["change_type"]): r for r in rows if len([x for x in rows if x["commit"] == r["commit"]]) == 1}
+    fix = by["Rubbish.java", "MODIFY"]
+    bug = f"adhoc__{fix['commit']}__2018-01-05 03:01:01+02:00"
+    bad = by["Main.java", "MODIFY"]
+    assert (bad[bug], fix[bug]) == (1, 0) and fix["fix_bug"] and fix["oldest_name"] == "Main.java" and fix["comm"] == 4
+    assert bad["pathnum"] != by["Main2.java", "ADD"]["pathnum"] and bad["pascarella_file"] and not fix["pascarella_file"]
+    # the merge counts as what it changes against its first parent: the file's new name
+    assert [(r["file"], r["change_type"]) for r in rows if r["seq"] == 5] == [("Rubbish.java", "RENAME")]
+
+
+def test_dates_out_of_order(spark, tmp_path):
+    _, put = history(tmp_path)
+    put("Main.java", BLANK, "(a)", "2018-01-01 03:01:01 +0200")
+    put("Main.java", HALLO, "(b)", "2018-01-03 03:01:01 +0200")
+    put("Main.java", LESS, "(c) fix", "2018-01-02 03:01:01 +0200")
+    assert [r["committer_local"].day for r in mined(spark, tmp_path)] == [1, 3, 2]
+
+
+def test_odd_names_and_a_limit(spark, tmp_path):
+    """A fix in a file whose name Git quotes is blamed; fixes of fifty files or after the last day flag nothing, but label."""
+    _, put = history(tmp_path)
+    name = 'é "a\tb.java'
+    put(name, HALLO, "(a)", "2018-01-01 03:01:01 +0200")
+    put(name, [*HALLO[:2], "bad", *HALLO[3:]], "(b)", "2018-01-02 03:01:01 +0200")
+    for k in range(49):
+        (tmp_path / f"n{k}.txt").write_text("x\n")
+    put(name, LESS, "(c) fix", "2018-01-03 03:01:01 +0200")
+    rows = mined(spark, tmp_path)
+    bug = f"adhoc__{rows[2]['commit']}__2018-01-03 03:01:01+02:00"
+    assert [r["file"] for r in rows] == [name] * 3 and [r[bug] for r in rows] == [0, 1, 0] and not any(r["pascarella_file"] for r in rows)
+    put(name, HALLO, "(d)", "2018-01-04 03:01:01 +0200")
+    put(name, LESS, "(e) fix", "2018-01-05 03:01:01 +0200")
+    assert [r["pascarella_file"] for r in mined(spark, tmp_path)] == [False, False, False, True, False]
+    assert not any(r["pascarella_file"] for r in mined(spark, tmp_path, until="2018-01-04 23:59:59"))
+
+
+def test_code_length():
+    from revlens.sources.git import code_length
+
+    assert code_length("A.java", 'a /* x\n y */\n\n// z\n"/* no */" // q\n c') == 3
+    assert code_length("a.py", "# x\n\ny = 1  # z\ns = '#'\n") == 2 and code_length("a.txt", "x") is None
