@@ -110,7 +110,8 @@ def all_of(entries: Column, get) -> Column:
 
 
 def relative(path: Column, base: str) -> Column:
-    return F.replace(path, F.lit(base.rstrip("/") + "/"), F.lit(""))
+    top = base.rstrip("/") + "/"
+    return F.when(path.startswith(top), F.substr(path, F.lit(len(top) + 1))).otherwise(path)
 
 
 def records(rows: DataFrame, base: str = "") -> DataFrame:
