@@ -69,13 +69,14 @@ def tree(poms: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     second level that names a parent counts as its own child, and so is no root. Modules without a file are missing.
     """
     p = F.get("projects", F.lit(0))
+    poms = kept(poms.select(*keys, "path", p["modules"]["module"].alias("modules"), p["parent"]["artifactId"].alias("up")), "tree")
     here = poms.select(*keys, F.col("path").alias("found"))
-    module = poms.select(*keys, F.col("path").alias("parent"), F.explode(p["modules"]["module"]).alias("m"))
+    module = poms.select(*keys, F.col("path").alias("parent"), F.explode("modules").alias("m"))
     base = folder("parent")
     module = module.select(*keys, "parent", F.concat(F.when(base == "", "").otherwise(F.concat(base, F.lit("/"))), F.regexp_replace("m", r"\.", "/"), F.lit("/pom.xml")).alias("child"))
     known = module.join(here.withColumnRenamed("found", "child"), [*keys, "child"], "left_semi")
     dotted = F.regexp_replace(folder("path"), "/", ".")
-    up = poms.where(p["parent"]["artifactId"].isNotNull() & (dotted != "")).select(*keys, F.replace("path", dotted, p["parent"]["artifactId"]).alias("parent"), F.col("path").alias("child"))
+    up = poms.where(F.col("up").isNotNull() & (dotted != "")).select(*keys, F.replace("path", dotted, F.col("up")).alias("parent"), F.col("path").alias("child"))
     up = up.join(here.withColumnRenamed("found", "parent"), [*keys, "parent"], "left_semi")
     return known.unionByName(up.select(*known.columns)).distinct(), module.join(known, [*keys, "parent", "child"], "left_anti").distinct()
 

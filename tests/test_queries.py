@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from revlens.plans import chains  # noqa: F401
+from revlens.plans import ancestry, buildfiles, chains  # noqa: F401
 from revlens.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
