@@ -14,14 +14,25 @@ from revlens.llm.common import lower_ascii, written
 
 #: Word positions that each mask looks at. Any WINDOW words of which a quarter is substituted contain one of these patterns, as do 10 to 12 words.
 MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 5), (0, 1, 2, 5))
-#: For items of fewer than SHORT words: where three quarters of 4 to 9 words are left, two neighbours are.
-SHORT, SHORT_MASK = 10, (0, 1)
+#: Masks by the least size of an item: where three quarters of 4 to 9 words are left, two neighbours are; of three words or fewer all must be left.
+BY_SIZE = ((10, MASKS), (4, ((0, 1),)), (3, ((0, 1, 2),)), (2, ((0, 1),)), (1, ((0,),)))
+#: Into so many parts a seed is dealt out by documents where both sides are shuffled.
+SALTS = 8
 WINDOW = 13
 #: Places of a text that are worked on at once.
 CHUNK = 4096
 SHARE = 0.75
 
 
+def numbered_masks() -> list[tuple[int, int | None, list[tuple[int, tuple]]]]:
+    """(least size, size that is too large, [(number, mask)]) of each class of sizes; numbers are of one mask in one class."""
+    out, k, above = [], 0, None
+    for least, masks in BY_SIZE:
+        out.append((least, above, [(k + j, m) for j, m in enumerate(masks)]))
+        k, above = k + len(masks), least
+    return out
+
+
 def word_hashes(text) -> F.Column:
     """Hashes of the words of a text, A-Z lower-cased."""
     words = F.split(F.trim(F.regexp_replace(lower_ascii(text), r"[\x09-\x0D]", " ")), " +")
@@ -59,7 +70,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float
     a quarter of window words substituted: the most equal words of a window, the first word of the document at
     which one begins, and the number of hits that hold.
 
-    Items shorter than window words must hold with share of theirs; those of fewer than four words are not looked for.
+    Items shorter than window words must hold with share of theirs; those of fewer than four words hold with all of them, as a phrase.
     Null and empty texts, and rows without an id, hold nothing. Rows of one doc_id count together, as do items of one
     item_id. Items and documents may be of any length. Other columns are ignored; empty tables give an empty result.
 
@@ -68,23 +79,27 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float
     """
     spans = max(max(m) for m in MASKS)
     reach = range(spans + 1 - window, window)  # aligned words that can share a window with the hit
-    masks = list(enumerate(MASKS))
-    known = items.select("item_id", word_hashes(F.col("text")).alias("h")).where("item_id is not null and size(h) >= 4").withColumn("size", F.size("h"))
-    short = [(len(masks), SHORT_MASK)]
-    some = known.where(F.col("size") >= SHORT), known.where(F.col("size") < SHORT)
-    mine = seeds(chunks(some[0], ["item_id", "size"], reach), ["item_id", "size"], masks)
-    if not some[1].isEmpty():
-        mine = mine.unionByName(seeds(chunks(some[1], ["item_id", "size"], reach), ["item_id", "size"], short))
-        masks = masks + short
+    known = items.select("item_id", word_hashes(F.col("text")).alias("h")).where("item_id is not null and size(h) > 0").withColumn("size", F.size("h"))
+    sizes = {r["size"] for r in known.select(F.least("size", F.lit(BY_SIZE[0][0])).alias("size")).distinct().collect()}
+    masks, mine = [], None
+    for least, above, own in numbered_masks():
+        if any(n >= least and (above is None or n < above) for n in sizes):  # masks that no item needs aren't looked up in texts
+            few = known.where(F.col("size") >= least) if above is None else known.where((F.col("size") >= least) & (F.col("size") < above))
+            part = seeds(chunks(few, ["item_id", "size"], reach), ["item_id", "size"], own)
+            masks, mine = masks + own, part if mine is None else mine.unionByName(part)
+    if mine is None:
+        masks = numbered_masks()[0][2]
+        mine = seeds(chunks(known, ["item_id", "size"], reach), ["item_id", "size"], masks)
     mine = mine.where("key is not null").select("item_id", "size", "key", about(reach).alias("beside"))
-    mine = mine.groupBy("item_id", "size", "key", "beside").agg(F.count("*").alias("equal"))
+    mine = written(mine.groupBy("item_id", "size", "key", "beside").agg(F.count("*").alias("equal")), "seeds")
     few = mine.count() * (64 + 8 * len(reach)) <= sent
     theirs = docs.where("doc_id is not null and text is not null").select("doc_id", word_hashes(F.col("text")).alias("h"))
     cells = seeds(chunks(theirs, ["doc_id"], reach), ["doc_id"], masks).where("key is not null")
     if few:  # the words about a place are looked up after the join
         hits = cells.join(F.broadcast(mine), "key").select("doc_id", "item_id", "equal", "size", "beside", "at", about(reach).alias("near"))
-    else:  # they go along with the seed
-        hits = cells.select("doc_id", "at", "key", about(reach).alias("near")).join(mine, "key")
+    else:  # they go along with the seed; a frequent one is dealt out
+        salted = mine.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = cells.select("doc_id", "at", "key", about(reach).alias("near")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
     same = F.zip_with("near", "beside", lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0)))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.lit(window - spans)), lambda s: F.aggregate(F.slice("same", s, window), F.lit(0), lambda n, e: n + e)))
     need = F.ceil(F.lit(share) * F.least(F.lit(window), "size")).cast("int")
@@ -108,15 +123,15 @@ def oracle(window: int = WINDOW, share: float = SHARE) -> str:
     """The same in DuckDB: words at places instead of hashes."""
     words = r"""list_filter(string_split_regex(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D]', ' ', 'g'), ' +'), lambda x: x <> '')"""
     spans = max(max(m) for m in MASKS)
-    every = [(k, m, f"i.n >= {SHORT}") for k, m in enumerate(MASKS)] + [(len(MASKS), SHORT_MASK, f"i.n < {SHORT}")]
-    on = " UNION ALL ".join(f"SELECT d.doc_id, d.pos AS dp, i.item_id, i.pos AS p, i.n, {k} AS mask FROM dw d JOIN iw i ON {of} AND " + " AND ".join(f"d.w{j} = i.w{j}" for j in m) for k, m, of in every)
+    every = [(k, m, f"i.n >= {least}" + (f" AND i.n < {above}" if above else "")) for least, above, own in numbered_masks() for k, m in own]
+    on = " UNION ALL ".join(f"SELECT d.doc_id, d.pos AS dp, i.item_id, i.pos AS p, i.n, {k} AS mask FROM dw d JOIN iw i ON {of} AND " + " AND ".join(f"d.w{j} = i.w{j}" for j in m) + f" AND i.pos + {max(m)} < i.n" for k, m, of in every)
     lead = ", ".join(f"lead(w, {j}) OVER (PARTITION BY {{0}} ORDER BY pos) AS w{j}" for j in range(1, spans + 1))
     return f"""
 WITH d0 AS (SELECT doc_id, {words} AS ws FROM documents),
-d1 AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM d0 WHERE len(ws) >= 2),
+d1 AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM d0 WHERE len(ws) >= 1),
 dw AS (SELECT doc_id, pos, w AS w0, {lead.format("doc_id")} FROM d1),
 i0 AS (SELECT item_id, {words} AS ws FROM benchmark),
-i1 AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM i0 WHERE len(ws) >= 4),
+i1 AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM i0 WHERE len(ws) >= 1),
 iw AS (SELECT item_id, n, pos, w AS w0, {lead.format("item_id")} FROM i1),
 hit AS ({on}),
 cell AS (SELECT DISTINCT h.doc_id, h.item_id, h.dp, h.p, k, (d.w IS NOT NULL)::INT AS e

@@ -38,19 +38,21 @@ def brute(docs, items, window=13, share=0.75):
             continue
         place = {}
         for at in range(len(w)):
-            for k, m in enumerate([*decontam.MASKS, decontam.SHORT_MASK]):
-                if at + max(m) < len(w):
-                    place.setdefault((k, tuple(w[at + j] for j in m)), []).append(at)
+            for _, masks in decontam.BY_SIZE:
+                for m in masks:
+                    if at + max(m) < len(w) and at not in (had := place.setdefault((m, tuple(w[at + j] for j in m)), [])):
+                        had.append(at)
         for i, s in items:
             v = words(s)
-            if i is None or len(v) < 4:
+            if i is None or not v:
                 continue
+            masks = next(masks for least, masks in decontam.BY_SIZE if len(v) >= least)
             need = -(-int(share * 100) * min(window, len(v)) // 100)
             for p in range(len(v)):
-                for k, m in enumerate([*decontam.MASKS, decontam.SHORT_MASK]):
-                    if p + max(m) >= len(v) or (len(v) < decontam.SHORT) != (m == decontam.SHORT_MASK):
+                for m in masks:
+                    if p + max(m) >= len(v):
                         continue
-                    for at in place.get((k, tuple(v[p + j] for j in m)), ()):
+                    for at in place.get((m, tuple(v[p + j] for j in m)), ()):
                         e = [0 <= at + q < len(w) and 0 <= p + q < len(v) and w[at + q] == v[p + q] for q in range(span + 1 - window, window)]
                         best = max(sum(e[s : s + window]) for s in range(window - span))
                         if best >= need:
@@ -86,8 +88,8 @@ def test_masks_find_all_tolerated_substitutions():
     """Every way to place as many substitutions as are tolerated leaves some mask whole."""
     from itertools import combinations
 
-    for n in range(4, 14):
-        masks = decontam.MASKS if n >= decontam.SHORT else [decontam.SHORT_MASK]
+    for n in range(1, 14):
+        masks = next(masks for least, masks in decontam.BY_SIZE if n >= least)
         for gone in combinations(range(n), n - -(-75 * n // 100)):
             assert any(all(a + j not in gone for j in m) for m in masks for a in range(n - max(m))), (n, gone)
 
@@ -106,12 +108,12 @@ def test_long_items_and_texts(spark):
 
 
 def test_short_items(spark):
-    items = [(n, " ".join(f"w{n}_{k}" for k in range(n))) for n in range(4, 10)]
-    docs = []
+    items = [(n, " ".join(f"w{n}_{k}" for k in range(n))) for n in range(1, 10)]
+    docs = [(20, "w3_0 x w3_1 w3_2 w2_0"), (21, "w2_1 w2_0")]
     for n, t in items:
         x = t.split()
         for k in range(0, n - -(-75 * n // 100)):
             x[(2, 5)[k] if n > 5 else k + 1] = "other"
         docs.append((n, "so it goes " + " ".join(x) + " and on"))
     got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in got} == {(n, n) for n in range(4, 10)}
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(n, n) for n in range(1, 10)}
