@@ -85,3 +85,34 @@ def rewritten_parents(poms: DataFrame, rules: DataFrame) -> DataFrame:
     new = rules.select("group", "artifact", "version", "new_version")
     version = F.when(F.col("new_version").isNotNull(), F.col("new_version")).when(F.col("relative").isNull(), F.regexp_replace("version", "-SNAPSHOT$", "")).otherwise(F.col("version"))
     return poms.join(new, ["group", "artifact", "version"], "left").select("pom", "group", "artifact", version.alias("version"), "relative")
+
+
+def settings_so_far(touched: DataFrame, errors: DataFrame, records: DataFrame, flags: list[str]) -> DataFrame:
+    """(state, seq, upto, source, flags...): the settings of each source folder from the commit seq on until before upto (null: to the end).
+
+    touched: (rev, seq) of commits that touch a build file; errors (rev, error); records (rev, source_directory, flags...). After a failure of the kinds KEPT the settings before go on; any other
+    kind leaves the build's settings as they are and is left to with_policy(). Of records of one folder the last by ident counts, where they have it. A row is a change of the build, so the order of them is one window.
+    """
+    good = touched.join(errors.select("rev"), "rev", "left_anti")
+    w = Window.partitionBy(F.lit(1)).orderBy("seq")
+    spans = good.withColumn("upto", F.lead("seq").over(w)).select("rev", "seq", "upto")
+    pick = F.struct("ident") if "ident" in records.columns else F.struct("source_directory")
+    last = records.groupBy("rev", F.col("source_directory").alias("source")).agg(*(F.max_by(f, pick).alias(f) for f in flags))
+    return spans.join(last, "rev", "left").select(F.col("rev").alias("state"), "seq", "upto", "source", *flags)
+
+
+def with_settings(rows: DataFrame, spans: DataFrame, flags: list[str]) -> DataFrame:
+    """rows (rev, seq, name, ...) with use_maven and flags: the settings at their commit of the longest source folder that their name begins with; false where there is none. spans: settings_so_far()."""
+    states = spans.select("state", "seq", "upto").distinct()
+    has = spans.where("source is not null").select("state").distinct().withColumn("any", F.lit(True))
+    from revlens.operators.labels import in_range
+
+    ranges = states.select("state", F.col("seq").alias("lo"), (F.coalesce("upto", F.lit(1 << 40)) - 1).alias("hi"))
+    last = rows.agg(F.max("seq")).first()[0] or 0
+    when = in_range(rows.select("seq").distinct(), ranges.withColumn("hi", F.least("hi", F.lit(last))).where("lo <= hi"), "seq", "lo", "hi", max(1, last // 1000), []).select("seq", "state")
+    out = rows.join(when, "seq", "left")
+    parts = F.split("name", "/")
+    prefixes = out.select("state", "name").distinct().select("state", "name", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("source"))
+    hit = prefixes.join(spans.drop("seq", "upto"), ["state", "source"]).groupBy("state", "name").agg(F.max_by(F.struct(*flags), F.length("source")).alias("s"))
+    out = out.join(hit, ["state", "name"], "left").join(has, "state", "left")
+    return out.select(*rows.columns, F.coalesce("any", F.lit(False)).alias("use_maven"), *(F.coalesce(F.col(f"s.{f}"), F.lit(False)).alias(f) for f in flags))

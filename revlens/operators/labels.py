@@ -56,6 +56,24 @@ def bug_matrix(rows: DataFrame, labels: DataFrame, bugs: list[str]) -> DataFrame
     return out.na.fill(0, bugs)
 
 
+def numbered_bugs(labels: DataFrame) -> DataFrame:
+    """(bug_id, no): the bugs numbered from 0 without gaps, in 256 parts by hash: no task sees all of them."""
+    from pyspark.sql.window import Window
+
+    part = labels.select("bug_id").distinct().withColumn("part", F.substring(F.sha2("bug_id", 256), 1, 2))
+    before = part.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("bug_id"))
+    return part.withColumn("own", own).join(before, "part").select("bug_id", (F.col("own") + F.col("before") - 1).alias("no"))
+
+
+def blocks(rows: DataFrame, labels: DataFrame, numbers: DataFrame, lo: int, hi: int, keys: list[str]) -> DataFrame:
+    """The bug matrix's columns lo to before hi: (keys..., a 0/1 column for each bug of these numbers) of all rows (rev, file, keys...), whatever the number of bugs. Only this block's ids come to the driver."""
+    some = numbers.where(F.col("no").between(lo, hi - 1))
+    names = [r["bug_id"] for r in some.orderBy("no").collect()]
+    own = labels.join(some.select("bug_id"), "bug_id", "left_semi")
+    return bug_matrix(rows.select(*dict.fromkeys(["rev", "file", *keys])), own, names).select(*dict.fromkeys([*keys, *names]))
+
+
 def majority_key(keys: DataFrame) -> DataFrame:
     """The most frequent key of each commit, the smallest on a tie. keys: (rev, key)."""
     n = keys.groupBy("rev", "key").agg(F.count("*").alias("n"))

@@ -62,8 +62,8 @@ def with_stand_in(files: DataFrame, keys: list[str]) -> DataFrame:
     return own.unionByName(stand_in.withColumn("path", F.lit("pom.xml")))
 
 
-def tree(poms: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(edges (keys..., parent, child), missing (keys..., parent, child)) of poms (keys..., path, projects).
+def tree(poms: DataFrame, keys: list[str], parents: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(edges (keys..., parent, child), missing (keys..., parent, child)) of poms (keys..., path, projects); without parents, edges to modules alone.
 
     A module leads to the build file in its folder, dots in its name standing for folders; a parent's artifact leads from the folder beside it of that name. A file below the
     second level that names a parent counts as its own child, and so is no root. Modules without a file are missing.
@@ -74,11 +74,11 @@ def tree(poms: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     module = poms.select(*keys, F.col("path").alias("parent"), F.explode("modules").alias("m"))
     base = folder("parent")
     module = module.select(*keys, "parent", F.concat(F.when(base == "", "").otherwise(F.concat(base, F.lit("/"))), F.regexp_replace("m", r"\.", "/"), F.lit("/pom.xml")).alias("child"))
-    known = module.join(here.withColumnRenamed("found", "child"), [*keys, "child"], "left_semi")
+    known = module.join(here.withColumnRenamed("found", "child"), [*keys, "child"], "left_semi").distinct()
     dotted = F.regexp_replace(folder("path"), "/", ".")
     up = poms.where(F.col("up").isNotNull() & (dotted != "")).select(*keys, F.replace("path", dotted, F.col("up")).alias("parent"), F.col("path").alias("child"))
     up = up.join(here.withColumnRenamed("found", "parent"), [*keys, "parent"], "left_semi")
-    return known.unionByName(up.select(*known.columns)).distinct(), module.join(known, [*keys, "parent", "child"], "left_anti").distinct()
+    return known.unionByName(up.select(*known.columns)).distinct() if parents else known, module.join(known, [*keys, "parent", "child"], "left_anti").distinct()
 
 
 def main_files(poms: DataFrame, keys: list[str], ignored: str = "^$") -> DataFrame:
@@ -283,3 +283,27 @@ def without_doubles(rows: DataFrame, keys: list[str]) -> DataFrame:
     double = shared.select(*keys, F.explode("paths").alias("path")).distinct()
     keep = double.groupBy(*keys).agg(F.min_by("path", F.struct(F.length("path").alias("n"), F.col("path"))).alias("path"))
     return rows.join(double.join(keep, [*keys, "path"], "left_anti"), [*keys, "path"], "left_anti")
+
+
+def built(files: DataFrame, keys: list[str], ignored: str = "^$", rewrites: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, errors) of the build of each tree of files (keys..., path, xml): records() of the projects that its main files lead to by modules, with their path; errors (keys..., error), one a tree whose build can't be made.
+
+    A tree is in error if one of these projects is, or if any file is malformed. Files whose projects others have too are left out as without_doubles() says.
+    """
+    own = with_stand_in(files, keys)
+    read = kept(parsed(own), "read")
+    main = main_files(read, keys, ignored)
+    edges, _ = tree(read, keys, parents=False)
+    found = [kept(main, "main")]
+    while True:
+        seen = reduce(DataFrame.unionByName, found)
+        more = found[-1].join(edges.withColumnRenamed("parent", "path"), [*keys, "path"]).select(*keys, F.col("child").alias("path")).distinct()
+        more = kept(more.join(seen, [*keys, "path"], "left_anti"), "main")
+        if more.isEmpty():
+            break
+        found.append(more)
+    out = kept(effective(own, keys, rewrites=rewrites).join(seen, [*keys, "path"], "left_semi"), "effective")
+    bad = out.where("error is not null").select(*keys, "error").unionByName(read.where("malformed").select(*keys, F.lit("malformed").alias("error")))
+    errors = bad.groupBy(*keys).agg(F.max("error").alias("error"))
+    fine = out.where("error is null").join(errors, keys, "left_anti").drop("error").join(own.select(*keys, "path", "xml"), [*keys, "path"])
+    return without_doubles(records(fine), keys), errors

@@ -15,6 +15,7 @@ from revlens.constants import BUG_KEYWORDS, QUALITY_KEYWORDS
 from revlens.functions import columns as C
 from revlens.operators import commits as commit_ops
 from revlens.operators import graph, history, labels, lineage, store
+from revlens.plans import complete
 from revlens.sources import git
 
 
@@ -82,8 +83,9 @@ def bug_ids(commits: DataFrame) -> DataFrame:
     return commits.select(F.col("rev").alias("fix"), F.concat(F.lit("adhoc__"), "rev", F.lit("__"), F.date_format("committer_local", "yyyy-MM-dd HH:mm:ss"), zone).alias("bug_id"))
 
 
-def mine(spark: SparkSession, path: str, language: str = "java", keywords=BUG_KEYWORDS, until: str | None = None) -> DataFrame:
-    """The feature rows of a repository. until bounds the rows that are given, not what they count."""
+def mine(spark: SparkSession, path: str, language: str = "java", keywords=BUG_KEYWORDS, until: str | None = None, extra: complete.Extra | None = None, matrix: bool = True) -> DataFrame:
+    """The feature rows of a repository. until bounds the rows that are given, not what they count. extra: tables that complete the rows. Without matrix, rows have their bug_ids as a list, not a column each (see labels.blocks())."""
+    extra = extra or complete.Extra()
     git.register(spark)
     at = store.scratch(spark, "mine")
 
@@ -91,7 +93,7 @@ def mine(spark: SparkSession, path: str, language: str = "java", keywords=BUG_KE
         df.write.parquet(f"{at}/{name}")
         return spark.read.schema(df.schema).parquet(f"{at}/{name}")
 
-    read = lambda table: spark.read.format("revlens_git").options(path=path, table=table, nloc=table == "modifications").load()
+    read = lambda table, **kw: spark.read.format("revlens_git").options(path=path, table=table, nloc=table == "modifications", **kw).load()
     c = kept(read("commits"), "commits")
     c = kept(c.join(ordered(spark, c), "rev").withColumn("fix", C.any_substring(F.col("msg"), list(keywords))), "ordered")
     mods = kept(read("modifications"), "modifications")
@@ -114,12 +116,25 @@ def mine(spark: SparkSession, path: str, language: str = "java", keywords=BUG_KE
     topics = list(QUALITY_KEYWORDS)
     full = history.topic_counts(full, c.select("rev", *(C.any_token(F.col("msg"), list(QUALITY_KEYWORDS[k])).alias(k) for k in topics)), topics)
     full = kept(full, "measured")
-    fixes, deleted, blame = blamed_lines(c, mods, kept(read("lines"), "lines"), language)
+    lines = kept(read("lines"), "lines")
+    more: list[str] = []
+    before = set(full.columns)
+    if extra.warnings is not None:
+        full = kept(complete.with_linter(full, extra, c, lines), "linted")
+    if extra.metrics is not None:
+        full = kept(complete.with_static(full, extra, c)[0], "static")
+    if extra.builds:
+        full = kept(complete.with_builds(full, kept(read("contents", endings="pom.xml,project.xml"), "contents"), c), "builds")
+    full, named = complete.with_labels(full, extra)
+    more = [x for x in full.columns if x not in before]
+    fixes, deleted, blame = blamed_lines(c, mods, lines, language)
     names = full.select("rev", "name", "file").distinct()
     placed = lambda hits: hits.select(F.col("inducing").alias("rev"), F.col("file").alias("name")).join(names, ["rev", "name"]).select("rev", "file").distinct()
     adhoc = labels.blamed(deleted, blame)
     lab = kept(adhoc.join(bug_ids(c), "fix").select(F.col("inducing").alias("rev"), "file", "bug_id").distinct(), "inducing")
-    bugs = sorted(r["bug_id"] for r in lab.select("bug_id").distinct().collect())
+    if named is not None:
+        lab = kept(lab.unionByName(named), "labels")
+    bugs = [] if not matrix else sorted(r["bug_id"] for r in lab.select("bug_id").distinct().collect())
     full = history.previous_inducing(full, placed(adhoc))
     full = labels.flags(full, placed(labels.unique_inducing(fixes, deleted, blame, until=F.lit(until).cast("timestamp_ntz") if until else None)))
     full = full.join(path_numbers(spark, c), "rev").join(c.select("rev", "committer_local", "tz_offset_min"), "rev")
@@ -128,12 +143,16 @@ def mine(spark: SparkSession, path: str, language: str = "java", keywords=BUG_KE
         F.col("kind").alias("change_type"), "comm", "adev", "ddev", "add", "del", "own", "minor", F.col("kamei_ns").alias("sctr"), F.col("kamei_nd").alias("nd"), F.col("kamei_entropy").alias("entropy"),
         "la", "ld", "lt", "cexp", "rexp", "sexp", "nuc", "age", "oexp", "exp", "nsctr", "ncomm", "nadev", "nddev", "previous_inducing", F.col("fix").alias("fix_bug"), F.col("fix").alias("kamei_fix"),
         "kamei_ns", "kamei_nd", "kamei_nf", "kamei_la", "kamei_ld", "kamei_entropy", "kamei_exp", "kamei_ndev", "kamei_nuc", "kamei_age", "kamei_lt", "kamei_sexp", "kamei_rexp",
-        "pascarella_commit", "pascarella_file", *(f"quality_{k}{end}" for k in topics for end in ("", "_commit")), "pathnum",
+        "pascarella_commit", "pascarella_file", *(f"quality_{k}{end}" for k in topics for end in ("", "_commit")), "pathnum", *more,
     )
-    matrix = labels.bug_matrix(rows.withColumnRenamed("commit", "rev"), lab, bugs) if bugs else rows.withColumnRenamed("commit", "rev")
+    rows = rows.withColumnRenamed("commit", "rev")
+    if not matrix:
+        rows = labels.with_labels(rows, lab)
+    elif bugs:
+        rows = labels.bug_matrix(rows, lab, bugs)
     if until:
-        matrix = matrix.where(F.col("committer_local") <= F.lit(until).cast("timestamp_ntz"))
-    return matrix.withColumnRenamed("rev", "commit")
+        rows = rows.where(F.col("committer_local") <= F.lit(until).cast("timestamp_ntz"))
+    return rows.withColumnRenamed("rev", "commit")
 
 
 def main() -> None:

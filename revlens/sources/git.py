@@ -1,5 +1,6 @@
-"""Git as a Spark data source: spark.read.format("revlens_git").option("path", ...).option("table", "commits" | "modifications" | "lines" | "refs" | "files" | "blame").
+"""Git as a Spark data source: spark.read.format("revlens_git").option("path", ...).option("table", "commits" | "modifications" | "lines" | "contents" | "refs" | "files" | "blame").
 
+contents are the texts of all files whose names end in one of the option endings (by commas), in each commit that changes one of them against its first parent.
 With the option nloc, modifications have the lines of code of the new file, without blank lines and comments.
 Filters on rev, parent_num and committer_ts are pushed down: commits and parents that they leave out are never diffed. Filters on path spare the rows of other files.
 """
@@ -19,6 +20,7 @@ SCHEMAS = {
     "commits": "rev string, parents array<string>, author string, committer_ts timestamp, committer_local timestamp_ntz, tz_offset_min int, msg string",
     "modifications": "rev string, parent_num int, mod_idx int, change_type string, old_path string, new_path string, added int, removed int, nloc int, committer_ts timestamp",
     "lines": "rev string, parent_num int, path string, kind string, line int, text string, committer_ts timestamp",
+    "contents": "rev string, path string, text string",
     "refs": "name string, rev string",
     "files": "rev string, path string",
     "blame": "rev string, path string, inducing string, file string, lo int, hi int",
@@ -82,12 +84,13 @@ class GitReader(DataSourceReader):
     def __init__(self, options, table):
         self.path, self.table, self.at = options["path"], table, options.get("rev", "")
         self.file, self.per = options.get("file", ""), int(options.get("per", "500"))
+        self.endings = tuple(options.get("endings", "pom.xml").split(","))
         self.nloc = options.get("nloc", "false") == "true"
         self.tests: list[tuple] = []
 
     def pushFilters(self, filters):
         """Takes comparisons of rev, parent_num, path and committer_ts with values; gives back all others."""
-        usable = {"commits": ("rev", "committer_ts"), "modifications": ("rev", "parent_num", "committer_ts"), "lines": ("rev", "parent_num", "path", "committer_ts")}.get(self.table, ())
+        usable = {"commits": ("rev", "committer_ts"), "modifications": ("rev", "parent_num", "committer_ts"), "lines": ("rev", "parent_num", "path", "committer_ts"), "contents": ("rev",)}.get(self.table, ())
         for f in filters:
             name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
             if name in usable and type(f) in COMPARED and f.value is not None:
@@ -163,16 +166,7 @@ class GitReader(DataSourceReader):
     def code_lengths(self, blobs: set[tuple[str, str]]) -> dict[tuple[str, str], int]:
         """The length of code of blobs (id, name), read one after another from one process."""
         of = sorted((b, n) for b, n in blobs if n.endswith(C_STYLE + HASH_STYLE))
-        out = {}
-        with tempfile.TemporaryFile() as asked:
-            asked.write("".join(f"{b}\n" for b, _ in of).encode())
-            asked.seek(0)
-            with subprocess.Popen(["git", "-C", self.path, "cat-file", "--batch"], stdin=asked, stdout=subprocess.PIPE) as p:
-                for blob, name in of:
-                    size = p.stdout.readline().split()[-1]
-                    if size.isdigit():  # else it is missing
-                        out[blob, name] = code_length(name, p.stdout.read(int(size) + 1).decode("utf-8", "replace"))
-        return out
+        return {(b, n): code_length(n, text) for (b, n), text in zip(of, self.blobs([b for b, _ in of]), strict=True) if text is not None}
 
     def changes(self, of, asked):
         shown = git(self.path, "diff-tree", "--stdin", "-r", "-M", "-z", "--root", "--always", "--raw", "--numstat", "--format=%x01", given=asked)
@@ -219,6 +213,29 @@ class GitReader(DataSourceReader):
                     start, _, n = part[1:].partition(",")
                     at[s], left[s] = int(start), int(n or 1)
 
+    def _contents(self, revs):
+        """A process for each commit that changes such a file, for its tree, and one for all texts of the range."""
+        of = [(rev, parents[0] if parents else "") for rev, _, parents in revs]
+        if not of:
+            return
+        shown = git(self.path, "diff-tree", "--stdin", "-r", "-z", "--root", "--always", "--name-only", "--format=%x01", given="".join(f"{rev} {parent}\n" for rev, parent in of))
+        changed = [rev for (rev, _), one in zip(of, shown.split("\1")[1:], strict=True) if any(p.endswith(self.endings) for p in one.split("\0"))]
+        for rev in changed:
+            tree = [entry.split("\t", 1) for entry in git(self.path, "ls-tree", "-r", "-z", rev).split("\0") if entry]
+            own = [(meta.split(" ")[2], name) for meta, name in tree if name.endswith(self.endings) and meta.split(" ")[1] == "blob"]
+            for (_, name), text in zip(own, self.blobs([b for b, _ in own]), strict=True):
+                yield rev, name, text
+
+    def blobs(self, ids: list[str]) -> Iterator[str | None]:
+        """The texts of blobs, one after another from one process; None where one is missing."""
+        with tempfile.TemporaryFile() as asked:
+            asked.write("".join(f"{b}\n" for b in ids).encode())
+            asked.seek(0)
+            with subprocess.Popen(["git", "-C", self.path, "cat-file", "--batch"], stdin=asked, stdout=subprocess.PIPE) as p:
+                for _ in ids:
+                    size = p.stdout.readline().split()[-1]
+                    yield p.stdout.read(int(size) + 1).decode("utf-8", "replace").removesuffix("\n") if size.isdigit() else None
+
     def _blame(self, revs):
         rev, out, names = revs[0] or "HEAD", [], {}
         for line in git(self.path, "blame", "--incremental", "-w", rev, "--", self.file).splitlines():

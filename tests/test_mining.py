@@ -141,3 +141,62 @@ def test_code_length():
 
     assert code_length("A.java", 'a /* x\n y */\n\n// z\n"/* no */" // q\n c') == 3
     assert code_length("a.py", "# x\n\ny = 1  # z\ns = '#'\n") == 2 and code_length("a.txt", "x") is None
+
+
+def test_complete_row(spark, tmp_path):
+    """Warnings on changed lines, static metrics against the parent, the build's settings as they stand, validated fixes and named labels."""
+    from revlens.plans.complete import Extra
+
+    run, put = history(tmp_path)
+    pom = '<project xmlns="http://maven.apache.org/POM/4.0.0"><groupId>g</groupId><artifactId>a</artifactId><version>1</version>{}</project>'
+    plugin = "<build><plugins><plugin><artifactId>maven-pmd-plugin</artifactId></plugin></plugins></build>"
+    (tmp_path / "src/main/java").mkdir(parents=True)
+    name = "src/main/java/Main.java"
+    put(name, BLANK, "(a)", "2018-01-01 03:01:01 +0200")
+    put("pom.xml", [pom.format("")], "(b)", "2018-01-02 03:01:01 +0200")
+    put(name, HALLO, "(c)", "2018-01-03 03:01:01 +0200")
+    put("pom.xml", [pom.format(plugin)], "(d)", "2018-01-04 03:01:01 +0200")
+    (tmp_path / "Other.java").write_text("x\n")
+    put(name, LESS, "(e) fix", "2018-01-05 03:01:01 +0200")
+    put("pom.xml", ["<project><broken>"], "(f)", "2018-01-06 03:01:01 +0200")
+    put(name, HALLO, "(g)", "2018-01-07 03:01:01 +0200")
+    log = subprocess.run(["git", "-C", str(tmp_path), "log", "--reverse", "--format=%H"], capture_output=True, check=True).stdout.decode().split()
+    a, b, c, d, e, f, g = log
+    warnings = [(r, name, 1, "Old") for r in log] + [(c, name, 3, "Print"), (d, name, 3, "Print"), (g, name, 3, "Print")]
+    sizes = [(r, name, 4) for r in log] + [(r, "Other.java", 6) for r in (e, f, g)]
+    extra = Extra(
+        warnings=spark.createDataFrame(warnings, "rev string, file string, line int, rule string"), sizes=spark.createDataFrame(sizes, "rev string, file string, lloc long"), default_rules=("Print",),
+        metrics=spark.createDataFrame([(r, name, "McCC", float(k)) for k, r in enumerate(log)] + [(c, name, "WMC", 5.0)], "rev string, file string, name string, value double"),
+        bugfixes=spark.createDataFrame([(e, name)], "rev string, file string"), named=spark.createDataFrame([("SZZ", c, name, "BUG-1")], "label string, rev string, file string, bug_id string"), builds=True,
+    )
+    rows = {(r["commit"], r["file"]): r for r in mined(spark, tmp_path, extra=extra)}
+    assert set(rows) == {(a, name), (c, name), (e, name), (e, "Other.java"), (g, name)}
+    main = [rows[x, name] for x in (a, c, e, g)]
+    assert [r["linter_warnings"] for r in main] == [1, 2, 1, 2] and rows[e, "Other.java"]["linter_warnings"] == 0 and rows[e, name]["linter_lloc"] == 10
+    assert [r["linter_warning_list"] for r in main] == [["Old"], ["Old", "Print"], ["Old"], ["Old", "Print"]]
+    assert [r["linter_added_warnings"] for r in main] == [["Old"], ["Print"], [], ["Print"]] and [r["linter_deleted_warnings"] for r in main] == [[], [], ["Print"], []]
+    assert [r["current_WD"] for r in main] == [0.25, 0.5, 0.25, 0.5] and [r["current_default_WD"] for r in main] == [0, 0.25, 0, 0.25]
+    assert rows[c, name]["delta_system_WD"] == pytest.approx(0.25) and rows[e, name]["system_WD"] == pytest.approx(0.1) and rows[e, name]["parent_WD"] == 0.5
+    assert rows[c, name]["file_system_sum_WD"] == 0 and rows[e, name]["file_system_sum_WD"] == pytest.approx(0.15)
+    assert [r["current_McCC"] for r in main] == [0, 2, 4, 6] and [r["delta_McCC"] for r in main] == [0, 1, 1, 1] and (rows[c, name]["current_WMC"], rows[e, name]["delta_WMC"]) == (5, 0)
+    assert [r["use_maven"] for r in main] == [False, True, True, True] and [r["use_pmd"] for r in main] == [False, False, True, True] and not rows[e, "Other.java"]["use_pmd"] and rows[e, "Other.java"]["use_maven"]
+    assert [r["validated_bugfix"] for r in main] == [False, False, True, False] and [r["SZZ__BUG-1"] for r in main] == [0, 1, 0, 0]
+    bug = f"adhoc__{e}__2018-01-05 03:01:01+02:00"
+    assert [r[bug] for r in main] == [0, 1, 0, 0]
+    lists = {(r["commit"], r["file"]): r["bug_ids"] for r in mined(spark, tmp_path, extra=extra, matrix=False)}
+    assert lists[c, name] == sorted([bug, "SZZ__BUG-1"]) and lists[a, name] == []
+
+
+def test_matrix_of_many_bugs(spark, tmp_path):
+    from revlens.operators import store
+
+    rows = spark.createDataFrame([(f"r{k}", "f", k) for k in range(5)], "rev string, file string, mod_idx int")
+    marks = [(f"r{k % 4}", "f", f"bug{k:03d}") for k in range(50)]
+    assert store.write_matrix(rows, spark.createDataFrame(marks, "rev string, file string, bug_id string"), str(tmp_path / "m"), ["rev", "file", "mod_idx"], size=20) == 3
+    seen = {}
+    for k in range(3):
+        part = spark.read.csv(f"{tmp_path}/m/bugs-{k:05d}", header=True)
+        assert part.count() == 5 and len(part.columns) == 3 + (20, 20, 10)[k]
+        for r in part.collect():
+            seen |= {(r["rev"], b): int(r[b]) for b in part.columns[3:]}
+    assert {k for k, v in seen.items() if v} == {(r, b) for r, _, b in marks} and len(seen) == 250
