@@ -1,9 +1,8 @@
-"""The commit graph: edges, reachability, order, path cover, aliases, file states."""
+"""The commit graph: edges, reachability, path cover, file states. Order, names and origins are in lineage."""
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections import defaultdict, deque
 
 from pyspark.sql import DataFrame
@@ -37,32 +36,6 @@ def reachable(start: DataFrame, arcs: DataFrame, limit: int = 100_000) -> DataFr
     raise RuntimeError("reachable: too deep")
 
 
-def traversal_order(nodes: list[tuple], links: list[tuple]) -> list:
-    """Parents before children, earlier dates first, ties by place in nodes. nodes: (rev, date), links: (parent, child).
-
-    The graph of a project's commits fits the driver: 10^5 nodes are a few MB.
-    """
-    place = {n: (d, i) for i, (n, d) in enumerate(nodes)}
-    waits, after = defaultdict(int), defaultdict(list)
-    for p, c in links:
-        if p in place and c in place:
-            waits[c] += 1
-            after[p].append(c)
-    ready = [(*place[n], n) for n, _ in nodes if not waits[n]]
-    heapq.heapify(ready)
-    out = []
-    while ready:
-        *_, n = heapq.heappop(ready)
-        out.append(n)
-        for c in after[n]:
-            waits[c] -= 1
-            if not waits[c]:
-                heapq.heappush(ready, (*place[c], c))
-    if len(out) != len(place):
-        raise ValueError("the commit graph has a cycle")
-    return out
-
-
 def path_cover(root, children: dict) -> list[list]:
     """Breadth first from root: each arc is in one path; an arc goes to the first path that ends in its parent, else it begins a path."""
     paths, todo, seen = [[root]], deque([root]), {root}
@@ -98,23 +71,6 @@ def path_key(path: list[str]) -> str:
     return hashlib.sha1("".join(path[-2:]).encode()).hexdigest()
 
 
-def aliases(renames: DataFrame) -> DataFrame:
-    """(path, oldest): each new path's oldest name, from renames (seq, old_path, new_path) in order of seq. A path added again keeps its alias.
-
-    Names chain in time, so the pass is in order, within each project; renames are few beside changes.
-    """
-    import pandas as pd
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        known: dict[str, str] = {}
-        for r in pdf.sort_values("seq").itertuples():
-            known[r.new_path] = known.get(r.old_path, r.old_path)
-            known.setdefault(r.old_path, known[r.new_path])
-        return pd.DataFrame({"project": pdf["project"].iloc[0], "path": list(known), "oldest": list(known.values())})
-
-    return renames.select("project", "seq", "old_path", "new_path").groupBy("project").applyInPandas(follow, "project string, path string, oldest string")
-
-
 def file_state(changes: DataFrame) -> DataFrame:
     """(path, rev, kind): the last change of each path: all that don't end in DELETE exist. changes: (path, seq, rev, kind)."""
     return changes.groupBy("path").agg(F.max_by(F.struct("rev", "kind"), "seq").alias("last")).select("path", "last.rev", "last.kind")

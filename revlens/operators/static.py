@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revlens.constants import STATIC_METRICS
+
 #: The aggregates of metrics below files.
 FIVE = ("sum", "avg", "median", "min", "max")
 
@@ -63,3 +67,44 @@ def assembled(long: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame
     both = against_parent(long, parents, [*keys, "name"])
     three = F.array(F.struct(F.lit("current_").alias("p"), F.col("current").alias("v")), F.struct(F.lit("parent_").alias("p"), F.col("parent").alias("v")), F.struct(F.lit("delta_").alias("p"), F.col("delta").alias("v")))
     return both.select("rev", *keys, "name", F.explode(three).alias("x")).select("rev", *keys, F.concat("x.p", "name").alias("name"), F.col("x.v").alias("value"))
+
+
+#: The kinds of entities below files whose metrics are aggregated, and the sides of a feature.
+KINDS = ("class", "method", "interface", "enum")
+SIDES = ("parent", "current", "delta")
+
+
+def feature_names(rules: list[str]) -> list[str]:
+    """The names of all wide features: three sides of each metric of each kind in each aggregate, of each metric of files, and of each rule's warnings."""
+    below = [f"{m}_{kind}_{a}" for kind in KINDS for m in STATIC_METRICS for a in FIVE]
+    return [f"{side}_{name}" for name in [*below, *(f"{m}_file" for m in STATIC_METRICS), *rules] for side in SIDES]
+
+
+def plain_features(states: DataFrame, rules: list[str]) -> DataFrame:
+    """(rev, file, name, value) of states (rev, file, kind, metrics MAP<STRING,DOUBLE>, linter ARRAY<STRUCT<l_ty>>): five aggregates of metrics below files, the files' own metrics, warnings by rule, and their density sm_WD over the file's lines of code.
+
+    Metrics that aren't among STATIC_METRICS, and rules that aren't among rules, are left out. A file without lines of code has no density.
+    """
+    known = unfolded(states).where(F.col("metric").isin(*STATIC_METRICS))
+    five = five_aggregates(known.where(F.col("kind").isin(*KINDS)))
+    each = F.explode(F.array(*(F.struct(F.concat_ws("_", "metric", "kind", F.lit(a)).alias("name"), F.col(a).cast("double").alias("value")) for a in FIVE)))
+    below = five.select("rev", "file", each.alias("x")).select("rev", "file", "x.*")
+    own = known.where("kind = 'file'").groupBy("rev", "file", "metric").agg(F.max("value").alias("value"))
+    files = own.select("rev", "file", F.concat("metric", F.lit("_file")).alias("name"), "value")
+    found = warning_counts(states.where("kind = 'file'")).select("rev", "file", F.explode("warnings").alias("w")).where(F.col("w.rule").isin(*rules))
+    warned = found.select("rev", "file", F.col("w.rule").alias("name"), F.col("w.n").cast("double").alias("value"))
+    sums = warned.groupBy("rev", "file").agg(F.sum("value").alias("n"))
+    lines = own.where("metric = 'LLOC' and value > 0").select("rev", "file", "value")
+    density = lines.join(sums, ["rev", "file"], "left").select("rev", "file", F.lit("sm_WD").alias("name"), (F.coalesce("n", F.lit(0.0)) / F.col("value")).alias("value"))
+    return reduce(DataFrame.unionByName, [below, files, warned, density])
+
+
+def features(states: DataFrame, parents: DataFrame, rules: list[str]) -> DataFrame:
+    """(rev, file, name, value): the wide static features in long form, those that either side has; all others of feature_names() are 0. sm_current_WD, sm_parent_WD, delta_WD, and lt, the parent's lines, come with them. parents: (rev, parent)."""
+    three = assembled(plain_features(states, rules), parents, ["file"])
+    sides = {"current_sm_WD": "sm_current_WD", "parent_sm_WD": "sm_parent_WD", "delta_sm_WD": "delta_WD"}
+    name = F.col("name")
+    for old, new in sides.items():
+        name = F.when(F.col("name") == old, new).otherwise(name)
+    lt = three.where("name = 'parent_LOC_file'").withColumn("name", F.lit("lt"))
+    return three.withColumn("name", name).unionByName(lt)

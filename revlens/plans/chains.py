@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from revlens.functions import columns as C
-from revlens.operators import builds, graph, labels, linter, static
+from revlens.operators import builds, graph, labels, lineage, linter, static
 from revlens.plans import analog as A
 from revlens.plans.queries import ID, PATH, base, paths, query
 
@@ -211,10 +211,9 @@ def g7_broken(spark, d):
 
 @query("g6_order", base("SELECT rev, row_number() OVER (ORDER BY ts, rev) AS place FROM c"))
 def g6_order(spark, d):
-    """The order of a project's commits, its customers' chains being the graph, by traversal_order."""
-    rows = A.parents(spark, d).select("rev", "ts", "parent").orderBy("rev").collect()
-    order = graph.traversal_order([(x["rev"], x["ts"]) for x in rows], [(x["parent"], x["rev"]) for x in rows if x["parent"] is not None])
-    return spark.createDataFrame([(rev, i + 1) for i, rev in enumerate(order)], "rev long, place long")
+    """The order of a project's commits, its customers' chains being the graph."""
+    p = A.parents(spark, d).select("rev", F.when(F.col("parent").isNull(), F.array().cast("array<long>")).otherwise(F.array("parent")).alias("parents"), F.col("ts").alias("date"), F.col("rev").alias("place"))
+    return lineage.ordered(p).select("rev", (F.col("seq") + 1).alias("place"))
 
 
 # ---------------------------------------------------------------- builds
@@ -279,6 +278,31 @@ def a18_assembly(spark, d):
     return static.assembled(long, A.parents(spark, d), ["subsystem"])
 
 
+#: Touches as states of code entities: the line number tells the kind, the part's brand is the file, the flag of returns a rule.
+STATES = """
+st AS (SELECT l_orderkey AS rev, p_brand AS file, ['file', 'class', 'method', 'interface', 'enum', 'other', 'class'][l_linenumber] AS kind, l_quantity::DOUBLE AS loc, l_linenumber::DOUBLE AS lloc, l_returnflag AS rule FROM lineitem JOIN part ON p_partkey = l_partkey),
+un AS (SELECT rev, file, kind, metric, CASE metric WHEN 'LOC' THEN loc ELSE lloc END AS value FROM st, (VALUES ('LOC'), ('LLOC')) q(metric)),
+below AS (SELECT rev, file, metric || '_' || kind AS stem, sum(value) AS s, avg(value) AS a, median(value) AS m, min(value) AS l, max(value) AS h FROM un WHERE kind IN ('class', 'method', 'interface', 'enum') GROUP BY ALL),
+own AS (SELECT rev, file, metric, max(value) AS value FROM un WHERE kind = 'file' GROUP BY ALL),
+warned AS (SELECT rev, file, rule, count(*)::DOUBLE AS n FROM st WHERE kind = 'file' AND rule IN ('A', 'R') GROUP BY ALL),
+plain AS (SELECT rev, file, stem || '_sum' AS name, s AS value FROM below UNION ALL SELECT rev, file, stem || '_avg', a FROM below UNION ALL SELECT rev, file, stem || '_median', m FROM below UNION ALL SELECT rev, file, stem || '_min', l FROM below
+  UNION ALL SELECT rev, file, stem || '_max', h FROM below UNION ALL SELECT rev, file, metric || '_file', value FROM own UNION ALL SELECT rev, file, rule, n FROM warned
+  UNION ALL SELECT o.rev, o.file, 'sm_WD', coalesce((SELECT sum(n) FROM warned w WHERE w.rev = o.rev AND w.file = o.file), 0) / o.value FROM own o WHERE metric = 'LLOC' AND value > 0),
+sides AS (SELECT coalesce(x.rev, y.rev) AS rev, coalesce(x.file, y.file) AS file, coalesce(x.name, y.name) AS name, coalesce(x.value, 0) AS a, coalesce(y.value, 0) AS b
+  FROM plain x FULL JOIN (SELECT parent.rev, file, name, value FROM parent JOIN plain ON plain.rev = parent.parent) y ON x.rev = y.rev AND x.file = y.file AND x.name = y.name),
+three AS (SELECT rev, file, CASE WHEN name = 'sm_WD' THEN ['sm_current_WD', 'sm_parent_WD', 'delta_WD'][k] ELSE ['current_', 'parent_', 'delta_'][k] || name END AS name, [a, b, a - b][k] AS value FROM sides, range(1, 4) r(k))"""
+
+
+@query("a18_features", base("SELECT rev, file, name, round(value, 6) AS value FROM (SELECT * FROM three UNION ALL SELECT rev, file, 'lt', value FROM three WHERE name = 'parent_LOC_file')", A.LINT, STATES))
+def a18_features(spark, d):
+    """The chain of static features: unfolded metrics, five aggregates, warnings by rule, densities, the parent's side and the differences. Also A13, A16, A17, J8."""
+    kinds = F.array(*(F.lit(k) for k in ("file", "class", "method", "interface", "enum", "other", "class")))
+    l = A.table(spark, d, "lineitem").join(A.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("file")), "l_partkey")
+    metrics = F.create_map(F.lit("LOC"), F.col("l_quantity").cast("double"), F.lit("LLOC"), F.col("l_linenumber").cast("double"), F.lit("unknown"), F.lit(1.0))
+    states = l.select(F.col("l_orderkey").alias("rev"), "file", kinds[F.col("l_linenumber").cast("int") - 1].alias("kind"), metrics.alias("metrics"), F.array(F.struct(F.col("l_returnflag").alias("l_ty"))).alias("linter"))
+    return static.features(states, A.parents(spark, d), ["A", "R"]).select("rev", "file", "name", F.round("value", 6).alias("value"))
+
+
 ROWS = """
 l AS (SELECT rev, file, sum(removed) AS warnings, sum(CASE WHEN nloc <= 3 THEN removed ELSE 0 END) AS default_warnings, sum(CASE WHEN nloc <= 2 THEN removed ELSE 0 END) AS effective_warnings, sum(nloc * 10) AS lloc FROM t WHERE added % 5 <> 0 GROUP BY ALL),
 pa AS (SELECT *, lag(rev) OVER (PARTITION BY author ORDER BY ts, rev) AS parent FROM c),

@@ -17,13 +17,10 @@ from revlens.operators import commits as commit_ops
 from revlens.operators import graph, history, labels, lineage, store
 from revlens.plans import complete
 from revlens.sources import git
+from revlens.streaming import incremental
 
-
-def ordered(spark: SparkSession, commits: DataFrame) -> DataFrame:
-    """(rev, seq): the order in which commits are worked off. The graph of one project is small enough for the driver."""
-    rows = commits.select("rev", "committer_ts", "parents").collect()
-    order = graph.traversal_order([(r["rev"], r["committer_ts"]) for r in rows], [(p, r["rev"]) for r in rows for p in r["parents"]])
-    return spark.createDataFrame([(rev, i) for i, rev in enumerate(order)] or [("", -1)], "rev string, seq long")
+#: Endings of the files that tell of the build.
+BUILD_FILES = "pom.xml,project.xml"
 
 
 def path_numbers(spark: SparkSession, commits: DataFrame) -> DataFrame:
@@ -83,8 +80,9 @@ def bug_ids(commits: DataFrame) -> DataFrame:
     return commits.select(F.col("rev").alias("fix"), F.concat(F.lit("adhoc__"), "rev", F.lit("__"), F.date_format("committer_local", "yyyy-MM-dd HH:mm:ss"), zone).alias("bug_id"))
 
 
-def mine(spark: SparkSession, path: str, language: str = "java", keywords=BUG_KEYWORDS, until: str | None = None, extra: complete.Extra | None = None, matrix: bool = True) -> DataFrame:
-    """The feature rows of a repository. until bounds the rows that are given, not what they count. extra: tables that complete the rows. Without matrix, rows have their bug_ids as a list, not a column each (see labels.blocks())."""
+def mine(spark: SparkSession, path: str, language: str = "java", keywords=BUG_KEYWORDS, until: str | None = None, extra: complete.Extra | None = None, matrix: bool = True, state: str | None = None) -> DataFrame:
+    """The feature rows of a repository. until bounds the rows that are given, not what they count. extra: tables that complete the rows. Without matrix, rows have their bug_ids as a list, not a column each (see labels.blocks()). state: a folder
+    that keeps what has been read for the next run, so that only new commits are diffed (see incremental.facts())."""
     extra = extra or complete.Extra()
     git.register(spark)
     at = store.scratch(spark, "mine")
@@ -95,8 +93,13 @@ def mine(spark: SparkSession, path: str, language: str = "java", keywords=BUG_KE
 
     read = lambda table, **kw: spark.read.format("revlens_git").options(path=path, table=table, nloc=table == "modifications", **kw).load()
     c = kept(read("commits"), "commits")
-    c = kept(c.join(ordered(spark, c), "rev").withColumn("fix", C.any_substring(F.col("msg"), list(keywords))), "ordered")
-    mods = kept(read("modifications"), "modifications")
+    if state:
+        known = incremental.facts(spark, path, state, {"modifications": {"nloc": True}, "lines": {}, "contents": {"endings": BUILD_FILES}})
+        table = lambda name: known[name].join(c.select("rev"), "rev", "left_semi")
+    else:
+        table = lambda name: kept(read(name, **({"endings": BUILD_FILES} if name == "contents" else {})), name)
+    c = kept(c.join(lineage.ordered(c.select("rev", "parents", F.col("committer_ts").alias("date"), "place")), "rev").withColumn("fix", C.any_substring(F.col("msg"), list(keywords))), "ordered")
+    mods = table("modifications")
     m = kept(changes(spark, c, mods, language).join(c.select("rev", "fix"), "rev"), "changes")
     # windows are ordered by the commits' place: it stands in for the time of order, dates stay for ages
     own = kept(m.withColumn("ts", F.timestamp_seconds("seq")), "in_order")
@@ -116,7 +119,7 @@ def mine(spark: SparkSession, path: str, language: str = "java", keywords=BUG_KE
     topics = list(QUALITY_KEYWORDS)
     full = history.topic_counts(full, c.select("rev", *(C.any_token(F.col("msg"), list(QUALITY_KEYWORDS[k])).alias(k) for k in topics)), topics)
     full = kept(full, "measured")
-    lines = kept(read("lines"), "lines")
+    lines = table("lines")
     more: list[str] = []
     before = set(full.columns)
     if extra.warnings is not None:
@@ -124,7 +127,7 @@ def mine(spark: SparkSession, path: str, language: str = "java", keywords=BUG_KE
     if extra.metrics is not None:
         full = kept(complete.with_static(full, extra, c)[0], "static")
     if extra.builds:
-        full = kept(complete.with_builds(full, kept(read("contents", endings="pom.xml,project.xml"), "contents"), c), "builds")
+        full = kept(complete.with_builds(full, table("contents"), c), "builds")
     full, named = complete.with_labels(full, extra)
     more = [x for x in full.columns if x not in before]
     fixes, deleted, blame = blamed_lines(c, mods, lines, language)
@@ -161,9 +164,11 @@ def main() -> None:
     p.add_argument("out")
     p.add_argument("--language", default="java")
     p.add_argument("--until")
+    p.add_argument("--builds", action="store_true")
+    p.add_argument("--state")
     a = p.parse_args()
     spark = SparkSession.builder.appName("revlens").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    store.write_csv(mine(spark, a.path, a.language, until=a.until), a.out)
+    store.write_csv(mine(spark, a.path, a.language, until=a.until, extra=complete.Extra(builds=a.builds), state=a.state), a.out)
 
 
 if __name__ == "__main__":

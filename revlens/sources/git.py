@@ -1,7 +1,9 @@
 """Git as a Spark data source: spark.read.format("revlens_git").option("path", ...).option("table", "commits" | "modifications" | "lines" | "contents" | "refs" | "files" | "blame").
 
 contents are the texts of all files whose names end in one of the option endings (by commas), in each commit that changes one of them against its first parent.
+Commits that the option known (by spaces) names, and all before them, are left out.
 With the option nloc, modifications have the lines of code of the new file, without blank lines and comments.
+place is the commits' order in Git's list, parents before children.
 Filters on rev, parent_num and committer_ts are pushed down: commits and parents that they leave out are never diffed. Filters on path spare the rows of other files.
 """
 
@@ -17,7 +19,7 @@ from datetime import datetime, timezone
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 SCHEMAS = {
-    "commits": "rev string, parents array<string>, author string, committer_ts timestamp, committer_local timestamp_ntz, tz_offset_min int, msg string",
+    "commits": "rev string, parents array<string>, author string, committer_ts timestamp, committer_local timestamp_ntz, tz_offset_min int, msg string, place long",
     "modifications": "rev string, parent_num int, mod_idx int, change_type string, old_path string, new_path string, added int, removed int, nloc int, committer_ts timestamp",
     "lines": "rev string, parent_num int, path string, kind string, line int, text string, committer_ts timestamp",
     "contents": "rev string, path string, text string",
@@ -84,6 +86,7 @@ class GitReader(DataSourceReader):
     def __init__(self, options, table):
         self.path, self.table, self.at = options["path"], table, options.get("rev", "")
         self.file, self.per = options.get("file", ""), int(options.get("per", "500"))
+        self.known = options.get("known", "").split()
         self.endings = tuple(options.get("endings", "pom.xml").split(","))
         self.nloc = options.get("nloc", "false") == "true"
         self.tests: list[tuple] = []
@@ -118,12 +121,12 @@ class GitReader(DataSourceReader):
     def partitions(self):
         if self.table in ("refs", "files", "blame"):
             return [Range([self.at])]
-        listed = git(self.path, "rev-list", "--all", "--topo-order", "--reverse", "--no-commit-header", "--format=%H %ct %P").splitlines()
+        listed = git(self.path, "rev-list", "--all", "--topo-order", "--reverse", "--no-commit-header", "--format=%H %ct %P", "--ignore-missing", *(f"^{rev}" for rev in self.known)).splitlines()
         kept = []
-        for line in listed:
+        for place, line in enumerate(listed):
             rev, when, *parents = line.split()
             if self.fits("rev", rev) and self.fits("committer_ts", self.at_time(when)):
-                kept.append((rev, int(when), tuple(parents)))
+                kept.append((rev, int(when), tuple(parents), place))
         return [Range(kept[i : i + self.per]) for i in range(0, len(kept), self.per)] or [Range([])]
 
     def read(self, partition):
@@ -142,15 +145,16 @@ class GitReader(DataSourceReader):
     def _commits(self, revs):
         """One process for all commits of a range."""
         asked = "".join(f"{rev}\n" for rev, *_ in revs)
+        places = {rev: place for rev, _, _, place in revs}
         shown = git(self.path, "log", "--no-walk=unsorted", "--stdin", "-s", "--format=%x01%H%x00%P%x00%ae%x00%cI%x00%B", given=asked) if revs else ""
         for one in shown.split("\1")[1:]:
             h, parents, author, when, msg = one.split("\0", 4)
             local = datetime.fromisoformat(when)
-            yield h, parents.split(), author, local.astimezone(timezone.utc), local.replace(tzinfo=None), int(local.utcoffset().total_seconds() // 60), msg.strip("\n")
+            yield h, parents.split(), author, local.astimezone(timezone.utc), local.replace(tzinfo=None), int(local.utcoffset().total_seconds() // 60), msg.strip("\n"), places[h]
 
     def pairs(self, revs):
         """(rev, parent number, time) of what is to be diffed, and what diff-tree is asked for it."""
-        of = [(rev, num, datetime.fromtimestamp(when, timezone.utc), parent) for rev, when, parents in revs for num, parent in enumerate(parents or [""]) if self.fits("parent_num", num)]
+        of = [(rev, num, datetime.fromtimestamp(when, timezone.utc), parent) for rev, when, parents, _ in revs for num, parent in enumerate(parents or [""]) if self.fits("parent_num", num)]
         return [p[:3] for p in of], "".join(f"{rev} {parent}\n" for rev, _, _, parent in of)
 
     def _modifications(self, revs):
@@ -215,7 +219,7 @@ class GitReader(DataSourceReader):
 
     def _contents(self, revs):
         """A process for each commit that changes such a file, for its tree, and one for all texts of the range."""
-        of = [(rev, parents[0] if parents else "") for rev, _, parents in revs]
+        of = [(rev, parents[0] if parents else "") for rev, _, parents, _ in revs]
         if not of:
             return
         shown = git(self.path, "diff-tree", "--stdin", "-r", "-z", "--root", "--always", "--name-only", "--format=%x01", given="".join(f"{rev} {parent}\n" for rev, parent in of))

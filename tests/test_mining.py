@@ -200,3 +200,23 @@ def test_matrix_of_many_bugs(spark, tmp_path):
         for r in part.collect():
             seen |= {(r["rev"], b): int(r[b]) for b in part.columns[3:]}
     assert {k for k, v in seen.items() if v} == {(r, b) for r, _, b in marks} and len(seen) == 250
+
+
+def test_state_of_a_run(spark, tmp_path):
+    """A second run on what the first one kept gives the rows of mining all at once, and reads new commits only; a batch without tips doesn't count."""
+    run, put = history(tmp_path / "repo") if (tmp_path / "repo").mkdir() is None else None
+    at = str(tmp_path / "state")
+    put("Main.java", BLANK, "(a)", "2018-01-01 03:01:01 +0200")
+    put("Main.java", HALLO, "(b)", "2018-01-02 03:01:01 +0200")
+    path = tmp_path / "repo"
+    assert mined(spark, path, state=at) == mined(spark, path)
+    run("checkout", "-qb", "other", "HEAD~1")
+    put("Two.java", HALLO, "(c)", "2018-01-03 03:01:01 +0200")
+    run("checkout", "-q", "master")
+    put("Main.java", LESS, "(d) fix", "2018-01-04 03:01:01 +0200")
+    spark.read.parquet(f"{at}/lines/batch=0").limit(1).write.parquet(f"{at}/lines/batch=1")  # a run that was cut short
+    both = mined(spark, path, state=at)
+    assert both == mined(spark, path) and len(both) == 4
+    count = lambda k: spark.read.parquet(f"{at}/modifications/batch={k}").select("rev").distinct().count()
+    assert (count(0), count(1)) == (2, 2)
+    assert mined(spark, path, state=at) == both and not (tmp_path / "state/tips/batch=2").exists()

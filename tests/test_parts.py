@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revlens.functions import columns as C
-from revlens.operators import builds, graph, labels, linter, store
+from revlens.operators import builds, graph, labels, lineage, linter, store
 from revlens.sources import files, git
 from revlens.streaming import incremental
 
@@ -50,11 +50,15 @@ def test_git(spark, repo):
     assert {(r["inducing"], r["file"], r["lo"], r["hi"]) for r in b} == {(c[0]["rev"], "Main.java", 1, 6), (c[1]["rev"], "Main.java", 7, 7)}
 
 
-def test_order_prefers_parents_then_dates():
-    assert graph.traversal_order([("a", 1), ("b", 3), ("c", 2)], [("a", "b"), ("b", "c")]) == ["a", "b", "c"]
-    assert graph.traversal_order([("a", 1), ("b", 3), ("c", 2)], [("a", "b"), ("a", "c")]) == ["a", "c", "b"]
+def test_order_prefers_parents_then_dates(spark):
+    def order(nodes, links):
+        rows = [(n, [p for p, c in links if c == n], d, k) for k, (n, d) in enumerate(nodes)]
+        return [r["rev"] for r in lineage.ordered(spark.createDataFrame(rows, "rev string, parents array<string>, date int, place int")).orderBy("seq").collect()]
+
+    assert order([("a", 1), ("b", 3), ("c", 2)], [("a", "b"), ("b", "c")]) == ["a", "b", "c"]
+    assert order([("a", 1), ("b", 3), ("c", 2)], [("a", "b"), ("a", "c")]) == ["a", "c", "b"]
     with pytest.raises(ValueError):
-        graph.traversal_order([("a", 1), ("b", 2)], [("a", "b"), ("b", "a")])
+        order([("a", 1), ("b", 2)], [("a", "b"), ("b", "a")])
     paths = graph.path_cover("a", {"a": ["b", "x"], "b": ["m"], "x": ["m"], "m": ["z"]})
     arcs = sorted((p, q) for path in paths for p, q in zip(path, path[1:]))
     assert arcs == [("a", "b"), ("a", "x"), ("b", "m"), ("m", "z"), ("x", "m")]
@@ -64,8 +68,8 @@ def test_order_prefers_parents_then_dates():
 def test_states(spark):
     ch = spark.createDataFrame([("A", 1, "r1", "ADD"), ("A", 2, "r2", "DELETE"), ("B", 1, "r1", "ADD"), ("B", 3, "r3", "ADD"), ("C", 2, "r2", "MODIFY")], "path string, seq int, rev string, kind string")
     assert {(r["path"], r["rev"]) for r in graph.broken_states(ch).collect()} == {("B", "r3"), ("C", "r2")}
-    ren = spark.createDataFrame([("p", 1, "a", "b"), ("p", 2, "b", "c")], "project string, seq int, old_path string, new_path string")
-    assert {r["path"]: r["oldest"] for r in graph.aliases(ren).collect()} == {"a": "a", "b": "a", "c": "a"}
+    ren = spark.createDataFrame([(1, "a", "b"), (2, "b", "c")], "at int, old_path string, new_path string")
+    assert {r["path"]: r["oldest"] for r in lineage.oldest_names(ren).collect()} == {"b": "a", "c": "a"}
 
 
 def test_columns(spark):
@@ -169,3 +173,12 @@ def test_connectors():
     assert registry.connector("java") is files.pmd and registry.connector("pylint") is files.pylint
     with pytest.raises(ValueError):
         registry.connector("cobol")
+
+
+def test_feature_names():
+    """All names of the wide features, each once."""
+    from revlens.operators import static
+
+    names = static.feature_names([f"R{k}" for k in range(193)])
+    assert len(names) == len(set(names)) == 4140 + 207 + 579
+    assert {"parent_LOC_class_median", "current_WMC_enum_avg", "delta_TNPA_file", "delta_R7"} <= set(names)
