@@ -293,14 +293,18 @@ sides AS (SELECT coalesce(x.rev, y.rev) AS rev, coalesce(x.file, y.file) AS file
 three AS (SELECT rev, file, CASE WHEN name = 'sm_WD' THEN ['sm_current_WD', 'sm_parent_WD', 'delta_WD'][k] ELSE ['current_', 'parent_', 'delta_'][k] || name END AS name, [a, b, a - b][k] AS value FROM sides, range(1, 4) r(k))"""
 
 
-@query("a18_features", base("SELECT rev, file, name, round(value, 6) AS value FROM (SELECT * FROM three UNION ALL SELECT rev, file, 'lt', value FROM three WHERE name = 'parent_LOC_file')", A.LINT, STATES))
+SHOWN_FEATURES = [f"{side}_{name}" for name in (*(f"LOC_class_{a}" for a in static.FIVE), "LLOC_method_sum", "LOC_file", "LLOC_file", "A", "R") for side in static.SIDES] + ["sm_current_WD", "sm_parent_WD", "delta_WD", "lt"]
+
+
+@query("a18_features", base("SELECT rev, file, " + ", ".join(f"round(coalesce(max(value) FILTER (name = '{n}'), 0), 6) AS \"{n}\"" for n in SHOWN_FEATURES) + " FROM (SELECT * FROM three UNION ALL SELECT rev, file, 'lt', value FROM three WHERE name = 'parent_LOC_file') GROUP BY rev, file", A.LINT, STATES))
 def a18_features(spark, d):
-    """The chain of static features: unfolded metrics, five aggregates, warnings by rule, densities, the parent's side and the differences. Also A13, A16, A17, J8."""
+    """The chain of static features: unfolded metrics, five aggregates, warnings by rule, densities, the parent's side and the differences, some of them as columns. Also A13, A16, A17, J8."""
     kinds = F.array(*(F.lit(k) for k in ("file", "class", "method", "interface", "enum", "other", "class")))
     l = A.table(spark, d, "lineitem").join(A.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("file")), "l_partkey")
     metrics = F.create_map(F.lit("LOC"), F.col("l_quantity").cast("double"), F.lit("LLOC"), F.col("l_linenumber").cast("double"), F.lit("unknown"), F.lit(1.0))
     states = l.select(F.col("l_orderkey").alias("rev"), "file", kinds[F.col("l_linenumber").cast("int") - 1].alias("kind"), metrics.alias("metrics"), F.array(F.struct(F.col("l_returnflag").alias("l_ty"))).alias("linter"))
-    return static.features(states, A.parents(spark, d), ["A", "R"]).select("rev", "file", "name", F.round("value", 6).alias("value"))
+    wide = static.wide(static.features(states, A.parents(spark, d), ["A", "R"]), SHOWN_FEATURES)
+    return wide.select("rev", "file", *(F.round(F.col(n), 6).alias(n) for n in SHOWN_FEATURES))
 
 
 ROWS = """
