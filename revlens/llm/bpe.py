@@ -542,8 +542,8 @@ def packed(docs: DataFrame, path: str, end_id: int = 2, to: str | None = None, l
 def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """Per document its UTF-8 bytes, its tokens by a byte-level .json vocabulary, and whether these are over limit.
 
-    Null texts count as empty: 0 bytes, 0 tokens. Special strings in texts are one token each. Repeated
-    doc_ids stay separate rows; other columns are ignored; an empty table gives an empty result.
+    Null texts count as empty: 0 bytes, 0 tokens. Special strings in texts are one token each. Very long texts are whole: they
+    go through in slices. Repeated doc_ids, and equal rows, stay separate rows; a null doc_id stays null; other columns are ignored, whatever their names; an empty table gives an empty result.
     """
     modest_batches(docs.sparkSession)
     strings = [x.encode() for x in merge_file(path)[2]]

@@ -193,7 +193,11 @@ def formatted(conversations: DataFrame, to: str | None = None) -> str:
 
 
 def read_back(spark, at: str) -> DataFrame:
-    """Per conversation what formatted() has written of it: turns parsed from the text, and what lies under the loss mask."""
+    """Per conversation what formatted() has written of it: turns parsed from the text, and what lies under the loss mask.
+
+    A row a conv_id, null for the conversation of rows without one; equal turns count as often as they were written, in their order; null and empty texts are turns of no characters. A
+    conversation is read turn by turn, so that none is held whole. Other files in the folder are ignored; a tree without conversations gives an empty result.
+    """
     nodes = spark.read.parquet(f"{at}/nodes").select("start", "text", "loss_from", "loss_to")
     steps = spark.read.parquet(f"{at}/conversations").select("conv_id", F.posexplode("path").alias("k", "start"))
     rows = steps.join(nodes, "start").select("conv_id", "k", "text", "loss_from", "loss_to")
