@@ -38,14 +38,14 @@ def s12_main_files(spark, d):
 @query("s13_effective", f"""WITH RECURSIVE {LINE},
 met AS (SELECT line.n, bool_or(p.n >= 10 AND p.up IS NULL) AS lost, arg_min(p_size, depth) FILTER (p.n % 3 = 0) AS size, arg_min(p.n % 5, depth) FILTER (p.n % 4 = 0) AS priority,
   arg_min(lower(replace(p_brand, '#', '')), depth) FILTER (p.n % 4 = 0) AS brand FROM line JOIN p ON p.n = line.up_ GROUP BY line.n)
-SELECT 'a' || n || '/pom.xml' AS path, CASE WHEN lost THEN 'parent' END AS error, CASE WHEN NOT lost THEN priority IS NOT NULL END AS use_pmd, CASE WHEN NOT lost THEN coalesce(priority::VARCHAR, '5') END AS minimum_priority,
+SELECT 'a' || n || '/pom.xml' AS path, CASE WHEN lost THEN 'parent' END AS error, (NOT lost AND priority IS NOT NULL) AS use_pmd, CASE WHEN NOT lost THEN coalesce(priority::VARCHAR, '5') END AS minimum_priority,
   CASE WHEN NOT lost AND priority IS NOT NULL THEN coalesce(size::VARCHAR, '${{size}}') END AS version, CASE WHEN NOT lost AND priority IS NOT NULL THEN '/a' || n || '/' || brand || '.xml' END AS rules,
   CASE WHEN NOT lost THEN 'a' || n || '/src/main/java' END AS source_directory FROM met""")
 def s13_effective(spark, d):
     """Settings and properties come down the line of parents; a line that ends at a missing parent is in error."""
     built = poms.effective(files(spark, d), K)
     rec = poms.records(built.drop("error")).select("path", "use_pmd", "minimum_priority", "version", F.get("custom_rule_files", F.lit(0)).alias("rules"), "source_directory")
-    return built.select("path", "error").join(rec, "path", "left")
+    return built.select("path", "error").join(rec, "path", "left").na.fill(False, ["use_pmd"])
 
 
 @query("s14_records", "SELECT 'g:a' || p_partkey || '-1' AS ident, p_partkey % 4 = 0 AS use_pmd, CASE WHEN p_partkey % 4 = 0 THEN (p_partkey % 5)::VARCHAR ELSE '5' END AS minimum_priority, CASE WHEN p_partkey % 4 = 0 THEN '${size}' END AS version, (p_partkey % 4 = 0)::INT AS plugin_build, 0 AS plugin_reporting, 'java' AS language, CASE WHEN p_partkey % 4 = 0 THEN '${basedir}/' || lower(replace(p_brand, '#', '')) || '.xml' ELSE '' END AS rules FROM part")
