@@ -35,6 +35,14 @@ DEFAULT_RULES = (
     "BigIntegerInstantiation", "BooleanInstantiation",
 )
 
+#: Categories of rules that a linter run checks, and the rules of them that it doesn't.
+RULE_CATEGORIES = ("bestpractices", "codestyle", "design", "documentation", "errorprone", "multithreading", "performance", "security")
+UNCHECKED_RULES = ("CommentSize", "DataflowAnomalyAnalysis")
+
+#: Exit codes by which a linter says that it ran (with or without warnings), or that it failed.
+RAN = {"pmd": (0, 4)}
+FAILED = {"pylint": (32,)}
+
 #: Static metrics of code entities.
 STATIC_METRICS = (
     "PDA", "LOC", "CLOC", "PUA", "McCC", "LLOC", "LDC", "NOS", "MISM", "CCL", "TNOS", "TLLOC", "NLE", "CI", "HPL", "MI", "HPV", "CD",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -20,6 +21,7 @@ class Extra:
 
     warnings (rev, file, line, rule) and sizes (rev, file, lloc) of a linter over all files of each commit, with the names of its default rules; metrics (rev, file, name, value) of an issue tracker's
     miner; bugfixes (rev, file) that were validated; named (label, rev, file, bug_id) as labels.label_relation() gives them; builds: whether build files are read.
+    plugins: functions of the touches (rev, file, name, mod_idx, seq, ...) and the tables (commits, modifications, lines) that give the touches, each once, with columns of their own.
     """
 
     warnings: DataFrame | None = None
@@ -29,10 +31,11 @@ class Extra:
     bugfixes: DataFrame | None = None
     named: DataFrame | None = None
     builds: bool = False
+    plugins: tuple[Callable[[DataFrame, dict[str, DataFrame]], DataFrame], ...] = ()
 
 
-def lint_table(extra: Extra, commits: DataFrame, lines: DataFrame) -> DataFrame:
-    """(rev, file, lloc, warnings, default_warnings, effective_warnings, warning_list, added, deleted): of each file of each commit, with the rules of its warnings on added lines, and of those of the parent on lines that are deleted."""
+def lint_table(extra: Extra, commits: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((rev, file, lloc, warnings, default_warnings, effective_warnings, warning_list, added), (rev, file, linter_deleted_warnings)): of each file of each commit, with the rules of its warnings on added lines; and the rules of the parent's warnings on lines that are deleted."""
     w = extra.warnings
     changed = lambda kind: lines.where(f"parent_num = 0 and kind = '{kind}'").select("rev", F.col("path").alias("file"), "line").distinct()
     rules = lambda of, name: of.groupBy("rev", "file").agg(F.sort_array(F.collect_list("rule")).alias(name))

@@ -128,6 +128,8 @@ def mine(spark: SparkSession, path: str, language: str = "java", keywords=BUG_KE
         full = kept(complete.with_static(full, extra, c)[0], "static")
     if extra.builds:
         full = kept(complete.with_builds(full, table("contents"), c), "builds")
+    for plugin in extra.plugins:
+        full = kept(plugin(full, {"commits": c, "modifications": mods, "lines": lines}), f"plugin-{plugin.__name__}")
     full, named = complete.with_labels(full, extra)
     more = [x for x in full.columns if x not in before]
     fixes, deleted, blame = blamed_lines(c, mods, lines, language)

@@ -143,6 +143,12 @@ def test_code_length():
     assert code_length("a.py", "# x\n\ny = 1  # z\ns = '#'\n") == 2 and code_length("a.txt", "x") is None
 
 
+def lines_of_commit(touches, tables):
+    """A column of its own: the lines that the commit adds."""
+    added = tables["lines"].where("kind = 'added'").groupBy("rev").count().withColumnRenamed("count", "own_lines")
+    return touches.join(added, "rev", "left")
+
+
 def test_complete_row(spark, tmp_path):
     """Warnings on changed lines, static metrics against the parent, the build's settings as they stand, validated fixes and named labels."""
     from revlens.plans.complete import Extra
@@ -167,7 +173,7 @@ def test_complete_row(spark, tmp_path):
     extra = Extra(
         warnings=spark.createDataFrame(warnings, "rev string, file string, line int, rule string"), sizes=spark.createDataFrame(sizes, "rev string, file string, lloc long"), default_rules=("Print",),
         metrics=spark.createDataFrame([(r, name, "McCC", float(k)) for k, r in enumerate(log)] + [(c, name, "WMC", 5.0)], "rev string, file string, name string, value double"),
-        bugfixes=spark.createDataFrame([(e, name)], "rev string, file string"), named=spark.createDataFrame([("SZZ", c, name, "BUG-1")], "label string, rev string, file string, bug_id string"), builds=True,
+        bugfixes=spark.createDataFrame([(e, name)], "rev string, file string"), named=spark.createDataFrame([("SZZ", c, name, "BUG-1")], "label string, rev string, file string, bug_id string"), builds=True, plugins=(lines_of_commit,),
     )
     rows = {(r["commit"], r["file"]): r for r in mined(spark, tmp_path, extra=extra)}
     assert set(rows) == {(a, name), (c, name), (e, name), (e, "Other.java"), (g, name)}
@@ -181,6 +187,7 @@ def test_complete_row(spark, tmp_path):
     assert [r["current_McCC"] for r in main] == [0, 2, 4, 6] and [r["delta_McCC"] for r in main] == [0, 1, 1, 1] and (rows[c, name]["current_WMC"], rows[e, name]["delta_WMC"]) == (5, 0)
     assert [r["use_maven"] for r in main] == [False, True, True, True] and [r["use_pmd"] for r in main] == [False, False, True, True] and not rows[e, "Other.java"]["use_pmd"] and rows[e, "Other.java"]["use_maven"]
     assert [r["validated_bugfix"] for r in main] == [False, False, True, False] and [r["SZZ__BUG-1"] for r in main] == [0, 1, 0, 0]
+    assert [r["own_lines"] for r in main] == [5, 1, 1, 1]
     bug = f"adhoc__{e}__2018-01-05 03:01:01+02:00"
     assert [r[bug] for r in main] == [0, 1, 0, 0]
     lists = {(r["commit"], r["file"]): r["bug_ids"] for r in mined(spark, tmp_path, extra=extra, matrix=False)}

@@ -182,3 +182,16 @@ def test_feature_names():
     names = static.feature_names([f"R{k}" for k in range(193)])
     assert len(names) == len(set(names)) == 4140 + 207 + 579
     assert {"parent_LOC_class_median", "current_WMC_enum_avg", "delta_TNPA_file", "delta_R7"} <= set(names)
+
+
+def test_linter_runs(spark):
+    runs = spark.createDataFrame([("a", 0), ("b", 4), ("c", 1)], "rev string, code int")
+    sizes = spark.createDataFrame([(r, f, 5) for r in "abc" for f in ("x", "y")], "rev string, file string, lloc int")
+    found = spark.createDataFrame([("b", "x", "R2"), ("b", "x", "R1"), ("c", "gone", "R1")], "rev string, file string, rule string")
+    got = {(r["rev"], r["file"]): r["rules"] for r in linter.states(runs, sizes, found, "pmd").collect()}
+    assert got == {("a", "x"): [], ("a", "y"): [], ("b", "x"): ["R1", "R2"], ("b", "y"): []}
+    assert {r["rev"] for r in linter.good_runs(spark.createDataFrame([("a", 28), ("b", 32)], "rev string, code int"), "pylint").collect()} == {"a"}
+    with pytest.raises(ValueError):
+        linter.states(runs, sizes.where("file = 'y'"), found, "pmd")
+    rules = spark.createDataFrame([("design", "A"), ("documentation", "CommentSize"), ("other", "B")], "category string, rule string")
+    assert [r["rule"] for r in linter.checked_rules(rules).collect()] == ["A"]
