@@ -159,6 +159,24 @@ class Model:
         return np.log10(np.maximum(out, 1e-300))
 
 
+def run_sums(rows: np.ndarray, order: np.ndarray, at: np.ndarray, short: int = 6) -> np.ndarray:
+    """The sums of runs of rows: run i is rows[order[at[i]:at[i + 1]]]. Most runs are short: their rows are added one place after another, all runs at once; what is left of long ones is summed run by run."""
+    size = np.diff(np.append(at, len(order)))
+    out = np.take(rows, order[at], axis=0, mode="clip")
+    some = np.flatnonzero(size > 1)
+    for j in range(1, short):
+        if not len(some):
+            return out
+        out[some] += np.take(rows, order[at[some] + j], axis=0, mode="clip")
+        some = some[size[some] > j + 1]
+    if len(some):
+        left = size[some] - short
+        first = np.cumsum(left) - left
+        place = np.repeat(at[some] + short - first, left) + np.arange(left.sum())
+        out[some] += np.add.reduceat(np.take(rows, order[place], axis=0, mode="clip"), first, axis=0)
+    return out
+
+
 class Learner:
     """Gradient steps with a rate for each row of weights (AdaGrad)."""
 
@@ -172,11 +190,13 @@ class Learner:
             order = np.argsort(r.astype(np.uint16) if len(weights) <= 1 << 16 else r, kind="stable")
             r = r[order]
             at = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-            g = np.add.reduceat(np.take(gradient, order, axis=0, mode="clip"), at, axis=0)
+            g = run_sums(gradient, order, at)
             r = r[at]
-            squares[r] += np.einsum("ij,ij->i", g, g)
-            g *= (self.rate / np.sqrt(squares[r]))[:, None]
-            weights[r] += g
+            square = np.take(squares, r) + np.einsum("ij,ij->i", g, g)
+            squares[r] = square
+            g *= (self.rate / np.sqrt(square))[:, None]
+            g += np.take(weights, r, axis=0, mode="clip")
+            weights[r] = g
 
     def learn(self, cls, pos, w1, w2):
         m = self.m
