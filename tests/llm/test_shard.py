@@ -85,3 +85,19 @@ def test_copies_of_one_row(spark):
     """Rows alike in doc_id and text are numbered in blocks."""
     got, _ = run(spark, [(1, "same")] * 200 + [(k, f"t{k}") for k in range(50)], 3, block=10)
     assert sum(r["doc_id"] == 1 and r["size"] == 5 for r in got) == 200
+
+
+def test_same_as_sql(spark):
+    """Also where groups fill shards of their own, texts are null or empty, and nothing is left for the last shards."""
+    import duckdb
+
+    rng = random.Random(9)
+    for case in range(4):
+        rows = [(i, rng.choice([None, "", "hot " * 9, "a", "é", *(f"t{k} " * rng.randrange(1, 9) for k in range(20))])) for i in range(rng.choice([3, 40, 200]))]
+        rows += [(1000 + i, "giant " * 20) for i in range(30 * case)]
+        con = duckdb.connect()
+        con.execute("create table documents(doc_id bigint, text varchar)")
+        con.executemany("insert into documents values (?, ?)", rows)
+        want = {(a, b, c, e, f) for a, b, c, _, e, f, _ in con.sql(shard.oracle()).fetchall()}
+        got, _ = run(spark, rows)
+        assert {(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got} == want and len(want) == len(rows)
