@@ -94,3 +94,20 @@ def test_labels(spark):
     lab = spark.createDataFrame([("x", "A0", "b1")], "rev string, file string, bug_id string")
     m = {r["rev"]: (r["b1"], r["b2"]) for r in labels.bug_matrix(rows, lab, ["b1", "b2"]).collect()}
     assert m == {"x": (1, 0), "y": (0, 0)}
+
+
+def test_partitions_of_shuffles_grow_with_tables(spark, monkeypatch):
+    from revlens.plans import analog as A
+
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(A, "SHARE", 1 << 10)
+    A.table(spark, d, "region")
+    A.table(spark, d, "lineitem")
+    many = int(spark.conf.get(A.INITIAL))
+    assert many > 50
+    A.table(spark, d, "region")
+    assert int(spark.conf.get(A.INITIAL)) == many  # the largest table of a folder counts
+    spark.conf.set(A.INITIAL, "7")
+    A.table(spark, d, "lineitem")
+    assert spark.conf.get(A.INITIAL) == "7"  # the session's own value stays
+    spark.conf.unset(A.INITIAL)
