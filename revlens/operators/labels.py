@@ -152,7 +152,9 @@ def hunk_lines(hunks: DataFrame, keys: list[str]) -> DataFrame:
 
 def changed_lines(lines: DataFrame, keys: list[str], old_start: str, new_start: str, verified: DataFrame) -> DataFrame:
     """(keys..., line, kind): added, deleted and verified lines by number, out of hunk_lines() with the hunks' first numbers. verified: (keys..., no) of lines that a person marked as part of the fix."""
-    added = lines.where("sign = '+'").select(*keys, (F.col(new_start) + F.col("new")).alias("line"), F.lit("added").alias("kind"))
-    gone = lines.where("sign = '-'").select(*keys, "no", (F.col(old_start) + F.col("old")).alias("line"))
-    sure = gone.join(verified, [*keys, "no"], "left_semi").select(*keys, "line", F.lit("verified").alias("kind"))
-    return added.unionByName(gone.select(*keys, "line", F.lit("deleted").alias("kind"))).unionByName(sure)
+    sure = verified.select(*keys, "no", F.lit(True).alias("sure")).distinct()
+    # one pass over the lines: their running counts are a window, which each further use would run again
+    line = F.when(F.col("sign") == "+", F.col(new_start) + F.col("new")).otherwise(F.col(old_start) + F.col("old"))
+    gone = F.when(F.col("sure"), F.array(F.lit("deleted"), F.lit("verified"))).otherwise(F.array(F.lit("deleted")))
+    kinds = F.when(F.col("sign") == "+", F.array(F.lit("added"))).otherwise(gone)
+    return lines.where("sign in ('+', '-')").join(sure, [*keys, "no"], "left").select(*keys, line.alias("line"), F.explode(kinds).alias("kind"))

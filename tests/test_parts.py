@@ -195,3 +195,11 @@ def test_linter_runs(spark):
         linter.states(runs, sizes.where("file = 'y'"), found, "pmd")
     rules = spark.createDataFrame([("design", "A"), ("documentation", "CommentSize"), ("other", "B")], "category string, rule string")
     assert [r["rule"] for r in linter.checked_rules(rules).collect()] == ["A"]
+
+
+def test_changed_lines_in_one_pass(spark):
+    """Running counts of lines are one window, whatever the kinds; each line once, a verified one as deleted, too."""
+    x = labels.hunk_lines(spark.createDataFrame([(1, " a\n-b\n+c\n-d\n d")], "id int, content string"), ["id"]).withColumn("o", F.lit(20)).withColumn("n", F.lit(10))
+    out = labels.changed_lines(x, ["id"], "o", "n", spark.createDataFrame([(1, 3), (1, 3), (1, 2), (1, 9)], "id int, no int"))
+    assert sorted((r["line"], r["kind"]) for r in out.collect()) == [(11, "added"), (21, "deleted"), (22, "deleted"), (22, "verified")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
