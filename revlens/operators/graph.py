@@ -27,6 +27,9 @@ def reachable(start: DataFrame, arcs: DataFrame, limit: int = 100_000) -> DataFr
         df.write.parquet(parts[-1])
         return spark.read.schema(df.schema).parquet(parts[-1])
 
+    # arcs are read each round: what they come from is worked out once
+    arcs.select("parent", "child").write.parquet(f"{at}/arcs")
+    arcs = spark.read.schema(arcs.select("parent", "child").schema).parquet(f"{at}/arcs")
     front = put(start.select("node").distinct())
     for _ in range(limit):
         seen = spark.read.parquet(*parts)

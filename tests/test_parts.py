@@ -203,3 +203,17 @@ def test_changed_lines_in_one_pass(spark):
     out = labels.changed_lines(x, ["id"], "o", "n", spark.createDataFrame([(1, 3), (1, 3), (1, 2), (1, 9)], "id int, no int"))
     assert sorted((r["line"], r["kind"]) for r in out.collect()) == [(11, "added"), (21, "deleted"), (22, "deleted"), (22, "verified")]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+
+
+def test_reachable_works_out_its_arcs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    arcs = spark.createDataFrame([(k, k + 1) for k in range(6)] + [(9, 10)], "parent int, child int").mapInArrow(passed, "parent int, child int")
+    out = graph.reachable(spark.createDataFrame([(2,)], "node int"), arcs)
+    assert sorted(r["node"] for r in out.collect()) == [2, 3, 4, 5, 6]
+    assert seen.value == 7
