@@ -32,10 +32,15 @@ def document(output: Column) -> Column:
     return F.when(output.rlike(r"(?m)^\s*<projects[ >]"), whole).otherwise(one)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt out to all cores: a build file takes much work for few bytes, by which Spark would put thousands of them into one task."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def parsed(texts: DataFrame) -> DataFrame:
     """texts (keys..., xml) with projects (array of PROJECT, null if malformed) and malformed. A document holds one project, or several within <projects>; name spaces don't matter."""
     read = lambda schema: F.from_xml("xml", schema, {"ignoreNamespace": "true"})
-    many = texts.withColumn("several", F.coalesce(F.col("xml").rlike(r"<projects[\s>]"), F.lit(False)))
+    many = spread(texts).withColumn("several", F.coalesce(F.col("xml").rlike(r"<projects[\s>]"), F.lit(False)))
     both = many.withColumn("m", F.when(F.col("several"), read(f"struct<project:array<{PROJECT}>,_corrupt_record:string>"))).withColumn("o", F.when(~F.col("several"), read(PROJECT[:-1] + ",_corrupt_record:string>")))
     bad = F.col("xml").isNull() | (F.trim("xml") == "") | F.col("m._corrupt_record").isNotNull() | F.col("o._corrupt_record").isNotNull()
     one = F.array(F.struct(*(F.col(f"o.{f}").alias(f) for f in FIELDS)))
@@ -257,10 +262,10 @@ def effective(poms: DataFrame, keys: list[str], base: str = "", rewrites: DataFr
     entries = F.concat(entries, F.filter(F.array(*(F.struct(F.lit(k).alias("key"), c.alias("value")) for k, c in own.items())), lambda x: x["value"].isNotNull()))
     whole = whole.withColumn("all", F.filter(entries, lambda x: x["value"].isNotNull()))
     whole = whole.withColumn("props", F.transform(F.array_distinct(F.transform("all", lambda x: x["key"])), lambda k: F.struct(k.alias("key"), F.get(F.filter("all", lambda x: x["key"] == k), F.lit(0))["value"].alias("value")))).drop("all")
-    whole = kept(whole, "lines")
+    whole = kept(spread(whole), "lines")
     many = whole.agg(F.max(F.size("props"))).first()[0] or 0
     for _ in range(many.bit_length()):  # each round doubles how deep references are followed
-        whole = kept(whole.withColumn("props", F.transform("props", lambda e: F.struct(e["key"], replaced(e["value"], F.col("props")).alias("value")))), "lines")
+        whole = kept(spread(whole).withColumn("props", F.transform("props", lambda e: F.struct(e["key"], replaced(e["value"], F.col("props")).alias("value")))), "lines")
     ln = F.col("line")
     plugins = lambda s, m: F.struct(merged_plugins(ln, s, m).alias("plugin"))
     section = lambda s: [plugins(s, False).alias("plugins"), F.struct(plugins(s, True).alias("plugins")).alias("pluginManagement")]
@@ -271,10 +276,12 @@ def effective(poms: DataFrame, keys: list[str], base: str = "", rewrites: DataFr
     escaped = F.transform("props", lambda e: F.struct(e["key"], F.replace(F.replace(e["value"], F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')).alias("value")))
     text = replaced(F.to_json(built), escaped)
     error = F.when(F.col("malformed"), "malformed").when(F.col("lost"), "parent").when(F.col("childless"), "child")
-    out = whole.withColumn("error", error).withColumn("p", F.from_json(text, PROJECT))
+    # written, so that merging and reading back are done once, whatever is asked of the project
+    out = kept(spread(whole).select(*keys, "path", error.alias("error"), here.alias("here"), text.alias("text")), "merged").withColumn("p", F.from_json("text", PROJECT))
+    here = F.col("here")
     full = lambda f: F.when(F.col("p")["build"][f].startswith("/"), F.col("p")["build"][f]).otherwise(F.concat(here, F.lit("/"), F.col("p")["build"][f]))
     put = F.col("p").withField("build.sourceDirectory", full("sourceDirectory")).withField("build.testSourceDirectory", full("testSourceDirectory"))
-    return out.select(*keys, "path", F.when(F.col("error").isNull(), F.array(put)).alias("projects"), "error")
+    return kept(spread(out).select(*keys, "path", F.when(F.col("error").isNull(), F.array(put)).alias("projects"), "error"), "projects")
 
 
 def without_doubles(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -159,3 +159,10 @@ def test_rules(spark):
 def test_doubles(spark):
     rows = spark.createDataFrame([("r", "a/pom.xml", "x"), ("r", "longer/pom.xml", "x"), ("r", "c/pom.xml", "y"), ("s", "longer/pom.xml", "x")], "rev string, path string, ident string")
     assert {(r["rev"], r["path"]) for r in poms.without_doubles(rows, K).collect()} == {("r", "a/pom.xml"), ("r", "c/pom.xml"), ("s", "longer/pom.xml")}
+
+
+def test_build_files_go_to_all_cores(spark):
+    """A few bytes of build files are much work: they aren't left in the one task that their bytes would fill."""
+    x = spark.createDataFrame([("r", f"a{k}/pom.xml", f"<project><groupId>g</groupId><artifactId>a{k}</artifactId><version>1</version></project>") for k in range(64)], "rev string, path string, xml string").coalesce(1)
+    tasks = poms.parsed(x).select(F.spark_partition_id().alias("p"), "projects").where("projects is not null").select("p").distinct().count()
+    assert tasks >= spark.sparkContext.defaultParallelism
