@@ -84,7 +84,8 @@ def rewritten_parents(poms: DataFrame, rules: DataFrame) -> DataFrame:
     parent that isn't at a relative path loses -SNAPSHOT. The rules are a table to be given."""
     new = rules.select("group", "artifact", "version", "new_version")
     version = F.when(F.col("new_version").isNotNull(), F.col("new_version")).when(F.col("relative").isNull(), F.regexp_replace("version", "-SNAPSHOT$", "")).otherwise(F.col("version"))
-    return poms.join(new, ["group", "artifact", "version"], "left").select("pom", "group", "artifact", version.alias("version"), "relative")
+    # few rules meet many files, which have few keys: by a shuffle, all files of a key would go to one task
+    return poms.join(F.broadcast(new), ["group", "artifact", "version"], "left").select("pom", "group", "artifact", version.alias("version"), "relative")
 
 
 def settings_so_far(touched: DataFrame, errors: DataFrame, records: DataFrame, flags: list[str]) -> DataFrame:

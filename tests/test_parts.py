@@ -217,3 +217,16 @@ def test_reachable_works_out_its_arcs_once(spark):
     out = graph.reachable(spark.createDataFrame([(2,)], "node int"), arcs)
     assert sorted(r["node"] for r in out.collect()) == [2, 3, 4, 5, 6]
     assert seen.value == 7
+
+
+def test_rewritten_parents_without_a_shuffle_of_files(spark):
+    """Many files of one parent don't meet in one task, however large Spark takes the rules to be."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        p = spark.createDataFrame([("a", "g", "x", "1", None)] * 3, "pom string, group string, artifact string, version string, relative string")
+        out = builds.rewritten_parents(p, spark.createDataFrame([("g", "x", "1", "2")], "group string, artifact string, version string, new_version string"))
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().toString() and [r["version"] for r in out.collect()] == ["2"] * 3
+    finally:
+        spark.conf.set(key, before)
