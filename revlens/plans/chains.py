@@ -303,7 +303,7 @@ def a18_features(spark, d):
     l = A.table(spark, d, "lineitem").join(A.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("file")), "l_partkey")
     metrics = F.create_map(F.lit("LOC"), F.col("l_quantity").cast("double"), F.lit("LLOC"), F.col("l_linenumber").cast("double"), F.lit("unknown"), F.lit(1.0))
     states = l.select(F.col("l_orderkey").alias("rev"), "file", kinds[F.col("l_linenumber").cast("int") - 1].alias("kind"), metrics.alias("metrics"), F.array(F.struct(F.col("l_returnflag").alias("l_ty"))).alias("linter"))
-    wide = static.wide(static.features(states, A.parents(spark, d), ["A", "R"]), SHOWN_FEATURES)
+    wide = static.wide_features(states, A.parents(spark, d), ["A", "R"], SHOWN_FEATURES)
     return wide.select("rev", "file", *(F.round(F.col(n), 6).alias(n) for n in SHOWN_FEATURES))
 
 
