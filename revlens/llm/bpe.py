@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import modest_batches, new_path
+from revlens.llm.common import lean, modest_batches, new_path
 from revlens.llm.pretoken import Codec, Slice, gathered, text_slices
 
 OPEN = 0xFFFFFFFF
@@ -55,7 +55,7 @@ def rank_codec(path: str) -> Codec:
     import tiktoken
 
     one = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=rank_file(path), special_tokens={})._encode_single_piece
-    return Codec(lambda pieces: [np.array(one(p), np.uint32).tobytes() for p in pieces])
+    return Codec(lambda pieces: [np.array(one(p), np.uint32).tobytes() for p in pieces], most=100_000)
 
 
 @cache
@@ -311,9 +311,11 @@ def encoded(docs: DataFrame, path: str, chunk: int = 2_048, overlap: int = 256,
 
     def whole(batches):
         for batch in batches:
-            for i, j, data, firsts in text_slices(batch.column(1)):
+            for i, j, data, firsts in text_slices(batch.column(1), 256 << 10):
                 ids, cut = ids_of(cut_up(data, firsts, chunk, overlap), path)
                 yield out(batch.column(0).slice(i, j - i), digests(ids, cut, path), ids, cut)
+                del data, firsts, ids, cut
+                pa.default_memory_pool().release_unused()
         rank_codec(path).known.clear()  # the worker lives on in other stages
 
     def dealt(batches):
@@ -367,10 +369,10 @@ def encoded(docs: DataFrame, path: str, chunk: int = 2_048, overlap: int = 256,
         rows = [(len(ids), *digest(ids, path))]
         return pa.Table.from_batches([out(group.column("doc_id").combine_chunks().slice(0, 1), rows, ids, np.array([0, len(ids)]))])
 
-    short = docs.where(F.length("text") <= long_text).mapInArrow(whole, schema)
+    short = docs.where(F.length("text") <= long_text).mapInArrow(lean(whole), schema)
     long = docs.where(F.length("text") > long_text).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    long = long.mapInArrow(dealt, "row long, doc_id long, k int, n int, mid int, own int, piece binary").repartition("row", "k")
-    long = long.mapInArrow(coded, "row long, doc_id long, k int, data binary, ids binary").groupBy("row").applyInArrow(joined, schema)
+    long = long.mapInArrow(lean(dealt), "row long, doc_id long, k int, n int, mid int, own int, piece binary").repartition("row", "k")
+    long = long.mapInArrow(lean(coded), "row long, doc_id long, k int, data binary, ids binary").groupBy("row").applyInArrow(joined, schema)
     return short.unionByName(long)
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import modest_batches
+from revlens.llm.common import lean, modest_batches
 from revlens.llm.pretoken import LETTER, classes, text_slices, words
 
 #: What each sign may stand for.
@@ -129,7 +129,7 @@ def char_counts(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["code", "n"])
 
-    rows = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(count, "code int, n long")
+    rows = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(lean(count), "code int, n long")
     got = rows.groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(SYMBOLS**3, np.int64)
     out[got["code"].to_numpy()] = got["n"].to_numpy()
@@ -252,7 +252,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 12_000, least: int = 6
                     out += [(r, x, 1 - x, x << (d % 63)) for r in {w for read in reads for w in read.split()}]
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), *(pa.array([o[q] for o in out], pa.int64()) for q in (1, 2, 3))], ["word", "t", "c", "beside"])
 
-    by_word = rows.mapInArrow(count, "word string, t long, c long, beside long").where("word <> ''").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.bit_or("beside").alias("beside"))
+    by_word = rows.mapInArrow(lean(count), "word string, t long, c long, beside long").where("word <> ''").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.bit_or("beside").alias("beside"))
     starts = F.array("word", *(F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in (3, 4, 5, 6)))
     by = by_word.select(F.explode(starts).alias("feature"), "t", "c", "beside").where("feature is not null").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.bit_or("beside").alias("beside"))
     tally = rows.groupBy("toxic").count().collect()
@@ -267,7 +267,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 12_000, least: int = 6
             for i, j, data, firsts in lowered_slices(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(scorer.sums(data, firsts)), batch.column(1).slice(i, j - i)], ["s", "toxic"])
 
-    fit = rows.mapInArrow(summed, "s double, toxic int").toPandas()  # two numbers for each of at most `most` rows
+    fit = rows.mapInArrow(lean(summed), "s double, toxic int").toPandas()  # two numbers for each of at most `most` rows
     x, y = np.log1p(fit["s"].to_numpy(np.float64)), (fit["toxic"].to_numpy() > 0).astype(np.float64)
     a, b = 1.0, -3.0
     for _ in range(50):  # Newton's steps for a logistic curve, with a small ridge
@@ -301,7 +301,7 @@ def scored(docs: DataFrame, scorer: Scorer, threshold: float = 0.7) -> DataFrame
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
@@ -327,4 +327,4 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **kw) -> D
             keep = np.concatenate([scorer.probabilities(scorer.sums(data, firsts)) < threshold for _, _, data, firsts in lowered_slices(batch.column(at))] or [np.zeros(0, bool)])
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
