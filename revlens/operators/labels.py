@@ -139,22 +139,32 @@ def unique_inducing(fixes: DataFrame, deleted: DataFrame, blame: DataFrame, most
     return blamed(deleted.join(small.select("fix"), "fix", "left_semi"), blame).select("inducing", "file").distinct()
 
 
-def hunk_lines(hunks: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., no, sign, text, old, new): the lines of diff hunks (keys..., content), and how many old and new lines stand before each. A hunk's keys are its own."""
+def hunk_lines(hunks: DataFrame, keys: list[str], text: bool = True) -> DataFrame:
+    """(keys..., no, sign, text, old, new): the lines of diff hunks (keys..., content), and how many old and new lines stand before each. A hunk's keys are its own. text: whether the lines' texts are wanted.
+
+    Hunks are shuffled before they are cut into lines, and where no texts are wanted just as a sign for each line: windows over their lines need no other shuffle.
+    """
     from pyspark.sql.window import Window
 
-    lines = hunks.select(*keys, F.posexplode(F.split(F.regexp_replace("content", "\r\n|\r", "\n"), "\n")).alias("no", "line"))
-    sign = F.substring("line", 1, 1)
+    cut = F.split(F.regexp_replace("content", "\r\n|\r", "\n"), "\n")
+    sign = lambda line: F.when(line.startswith("+"), "+").when(line.startswith("-"), "-").otherwise(" ")
+    if text:
+        lines = hunks.select(*keys, "content").repartition(*keys).select(*keys, F.posexplode(cut).alias("no", "line")).select(*keys, "no", sign(F.col("line")).alias("sign"), F.expr("substring(line, 2)").alias("text"))
+    else:
+        lines = hunks.select(*keys, F.array_join(F.transform(cut, sign), "").alias("signs")).repartition(*keys).select(*keys, F.posexplode(F.split("signs", "")).alias("no", "sign"))
     w = Window.partitionBy(*keys).orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
-    before = lambda s: F.coalesce(F.sum(F.when(sign == s, 0).otherwise(1)).over(w), F.lit(0))
-    return lines.select(*keys, "no", F.when(sign.isin("+", "-"), sign).otherwise(F.lit(" ")).alias("sign"), F.expr("substring(line, 2)").alias("text"), before("+").alias("old"), before("-").alias("new"))
+    before = lambda s: F.coalesce(F.sum(F.when(F.col("sign") == s, 0).otherwise(1)).over(w), F.lit(0))
+    return lines.select("*", before("+").alias("old"), before("-").alias("new"))
 
 
 def changed_lines(lines: DataFrame, keys: list[str], old_start: str, new_start: str, verified: DataFrame) -> DataFrame:
     """(keys..., line, kind): added, deleted and verified lines by number, out of hunk_lines() with the hunks' first numbers. verified: (keys..., no) of lines that a person marked as part of the fix."""
-    sure = verified.select(*keys, "no", F.lit(True).alias("sure")).distinct()
+    # a hunk's verified lines come as one row, by the hundred, so that lines stay where hunk_lines() has put them
+    part = lambda: F.floor(F.col("no") / 256).cast("long")
+    sure = verified.where("no is not null").groupBy(*keys, part().alias("part")).agg(F.collect_set("no").alias("some"))
+    sure = sure.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("part", "some"))).alias("sure"))
     # one pass over the lines: their running counts are a window, which each further use would run again
     line = F.when(F.col("sign") == "+", F.col(new_start) + F.col("new")).otherwise(F.col(old_start) + F.col("old"))
-    gone = F.when(F.col("sure"), F.array(F.lit("deleted"), F.lit("verified"))).otherwise(F.array(F.lit("deleted")))
+    gone = F.when(F.array_contains(F.element_at("sure", part()), F.col("no")), F.array(F.lit("deleted"), F.lit("verified"))).otherwise(F.array(F.lit("deleted")))
     kinds = F.when(F.col("sign") == "+", F.array(F.lit("added"))).otherwise(gone)
-    return lines.where("sign in ('+', '-')").join(sure, [*keys, "no"], "left").select(*keys, line.alias("line"), F.explode(kinds).alias("kind"))
+    return lines.where("sign in ('+', '-')").join(sure, keys, "left").select(*keys, line.alias("line"), F.explode(kinds).alias("kind"))
