@@ -185,6 +185,10 @@ class Scorer:
                 self._known[token] = v
         return v
 
+    def forget(self) -> None:
+        """Drops the tokens' values at the end of a task: its worker lives on in other stages."""
+        self._known.clear()
+
     def sums(self, data: np.ndarray, firsts: np.ndarray) -> np.ndarray:
         index, distinct, cuts, spaced = token_table(data, firsts, self.model)
         w = np.fromiter(map(self.of_token, distinct), np.float64, len(distinct))
@@ -251,6 +255,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 12_000, least: int = 6
                     x = int(toxic[i:j][d] > 0)
                     out += [(r, x, 1 - x, x << (d % 63)) for r in {w for read in reads for w in read.split()}]
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), *(pa.array([o[q] for o in out], pa.int64()) for q in (1, 2, 3))], ["word", "t", "c", "beside"])
+        hash_64.cache_clear()  # the worker lives on in other stages
 
     by_word = rows.mapInArrow(lean(count), "word string, t long, c long, beside long").where("word <> ''").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.bit_or("beside").alias("beside"))
     starts = F.array("word", *(F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in (3, 4, 5, 6)))
@@ -266,6 +271,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 12_000, least: int = 6
         for batch in batches:
             for i, j, data, firsts in lowered_slices(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(scorer.sums(data, firsts)), batch.column(1).slice(i, j - i)], ["s", "toxic"])
+        scorer.forget()
 
     fit = rows.mapInArrow(lean(summed), "s double, toxic int").toPandas()  # two numbers for each of at most `most` rows
     x, y = np.log1p(fit["s"].to_numpy(np.float64)), (fit["toxic"].to_numpy() > 0).astype(np.float64)
@@ -298,6 +304,7 @@ def scored(docs: DataFrame, scorer: Scorer, threshold: float = 0.7) -> DataFrame
             for i, j, data, firsts in lowered_slices(batch.column(2)):
                 p = scorer.probabilities(scorer.sums(data, firsts))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        scorer.forget()
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -326,5 +333,6 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **kw) -> D
         for batch in batches:
             keep = np.concatenate([scorer.probabilities(scorer.sums(data, firsts)) < threshold for _, _, data, firsts in lowered_slices(batch.column(at))] or [np.zeros(0, bool)])
             yield batch.filter(pa.array(keep, pa.bool_()))
+        scorer.forget()
 
     return docs.mapInArrow(lean(run), docs.schema)
